@@ -5,11 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from calltide.llm import chat_format
 from calltide.llm.ngram_join import ngram_groups
+from calltide.llm.quality import quality_rules
 from calltide.session import read_table
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted text; conversation -1 holds another template's control strings."""
+    added = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    read = chat_format.format_chats(turns).select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat_format.LOSS_ROLE), lambda t: t["text"]), "")
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+        "conv_id", "n_turns", F.sha2("whole", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(read_table(spark, sf_dir, "documents"))
 
@@ -18,5 +37,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP8_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[\\\\<\\[]'))
+    + CASE WHEN before IS DISTINCT FROM role THEN 5 + length(role) + len(regexp_extract_all(role, '[\\\\<\\[|]')) ELSE 5 END
+    + CASE WHEN after IS DISTINCT FROM role THEN 8 ELSE 0 END AS chars FROM n)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_format": OP8_SQL}
