@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from calltide.llm import chat_format
 from calltide.llm.ngram_join import ngram_groups
 from calltide.llm.quality import quality_rules
+from calltide.llm.toxicity import toxicity
 from calltide.session import read_table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 

@@ -15,6 +15,9 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For ``letters``: words are runs of ASCII letters, digits and bytes of other characters.
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -81,8 +84,8 @@ def _bounds(column: pa.Array) -> np.ndarray:
     return raw[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
-def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """All words of the column. ``lower`` lower-cases A-Z only."""
+def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, letters: bool = False) -> Words:
+    """All words of the column. ``lower`` lower-cases A-Z only; ``letters`` parts words at ASCII marks also."""
     column = strings(column)
     n = len(column)
     if not n or column.buffers()[2] is None:
@@ -93,7 +96,7 @@ def words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     offset = offset - offset[0]
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~(_NO_LETTER if letters else _SPACE)[data]
     opens = np.zeros(len(data) + 1, dtype=bool)  # a text begins here
     opens[offset] = True
     before = np.empty_like(inside)
