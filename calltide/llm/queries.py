@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import chat_format
+from calltide.llm import chat_format, pieces
 from calltide.llm.ngram_join import ngram_groups
 from calltide.llm.pii import KINDS, find_pii
 from calltide.llm.quality import quality_rules
@@ -19,6 +19,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of each text's pieces, and whether they decode to the text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.Vocabulary.load()).select("doc_id", "n_pieces", "ids_sha256", "exact")
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
