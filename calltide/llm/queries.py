@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.llm import chat_format, pieces
+from calltide.llm.html_text import main_text
 from calltide.llm.ngram_join import ngram_groups
 from calltide.llm.pii import KINDS, find_pii
 from calltide.llm.quality import quality_rules
@@ -55,6 +56,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(read_table(spark, sf_dir, "documents"))
 
