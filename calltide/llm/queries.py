@@ -13,10 +13,18 @@ from calltide.llm.html_text import main_text
 from calltide.llm.ngram_join import ngram_groups
 from calltide.llm.pii import KINDS, find_pii
 from calltide.llm.quality import quality_rules
+from calltide.llm.secrets import find_secrets
 from calltide.llm.toxicity import toxicity
 from calltide.session import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans."""
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    found = found.select("doc_id", "base", _joined("base").alias("joined"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *(_counted("base", k) for k in ("assign", "access", "hex")), F.sha2("joined", 256).alias("base_sha256"), "spans")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
