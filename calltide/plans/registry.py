@@ -1,4 +1,4 @@
-"""All registered queries of the library itself."""
+"""All registered queries of the library itself, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from calltide.plans import graph_queries, relation_queries, rule_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {**rule_queries.QUERIES, **relation_queries.QUERIES, **graph_queries.QUERIES, **text_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
