@@ -24,17 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm import simjoin
-from calltide.llm.tokens import U, mix, shingles, signed, slices, words
+from calltide.llm.filters import without
+from calltide.llm.tokens import U, mix, signed, slices
 
 SIZE, PERCENT, SLACK = 3, 90, 2
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
-    w = words(batch.column("text"), lower=True)
-    return [np.unique(shingles(w.hash[a:b], size)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-
-
 def _print(s: np.ndarray) -> int:
     """Fingerprint of a set: order-free sum of mixed members, with its size."""
     return int(mix(np.array([mix(s).sum() + U(len(s))], dtype=np.uint64)).view(np.int64)[0])
@@ -70,7 +66,7 @@ def _signatures(s: np.ndarray, percent: int) -> np.ndarray:
 def _prints(size: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = _sets(batch, size)
+            sets = simjoin.sets(batch, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) if len(s) else None for s in sets], pa.int64())],
                 names=["doc_id", "n_shingles", "node"],
@@ -83,7 +79,7 @@ def _flat(size: int, percent: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             known: dict[int, np.ndarray] = {}
-            for s in _sets(batch, size):
+            for s in simjoin.sets(batch, size):
                 if len(s) and (node := _print(s)) not in known:
                     known[node] = _signatures(s, percent)
             if known:
@@ -98,28 +94,12 @@ def _flat(size: int, percent: int) -> Callable:
 def _texts(size: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = _sets(batch, size)
+            sets = simjoin.sets(batch, size)
             yield pa.RecordBatch.from_arrays([pa.array([_print(s) if len(s) else None for s in sets], pa.int64()), batch.column("text").cast(pa.string())], names=["node", "text"])
 
     return of
 
 
-def _check(size: int, percent: int) -> Callable:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0))
-        for batch in slices(batches, "tb"):
-            keep = []
-            right = _sets(batch.select(["tb"]).rename_columns(["text"]), size)
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), right, strict=True)):
-                if last[0] != a:
-                    last = (a, _sets(batch.slice(i, 1).select(["ta"]).rename_columns(["text"]), size)[0])
-                both = len(np.intersect1d(last[1], b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last[1]) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return of
-
-
 def ngram_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -130,7 +110,20 @@ def ngram_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
         wanted = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
         return wanted.mapInArrow(_texts(size), "node long, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    comps = simjoin.classes(docs.select("text").mapInArrow(_flat(size, percent), "sig long, node long"), payload, _check(size, percent))
+    comps = simjoin.classes(docs.select("text").mapInArrow(_flat(size, percent), "sig long, node long"), payload, size, percent)
     rows = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those that link to a lower doc_id, at any number of links; of repeated rows one stays.
+    Rows without doc_id and texts without words stay."""
+    groups = ngram_groups(docs, size, percent).checkpoint()
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without(docs, gone)
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+

@@ -1,9 +1,13 @@
 """From shared signatures to exact similarity classes.
 
 A bucket is all nodes with one signature. Each bucket is first joined as a star (its least node with every
-other), so its rows stay linear; the pairs are checked exactly and connected. Where members of one bucket are
+other), so its rows stay linear; the pairs are checked exactly and connected. Where the nodes of one bucket are
 still in different components, the pairs across components that no star has checked are checked too, so no
 link that the signatures show is lost.
+
+Before texts are compared, odd sketches are: a bit differs only where sets have different members, so two sets
+whose sketches differ in more bits than a link allows are no link. This bound is exact and drops nothing; it
+is part of the join's condition, so pairs that cannot be links are never made.
 """
 
 from __future__ import annotations
@@ -12,12 +16,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calltide.llm.tokens import U, mix, shingles, slices, words
 from calltide.session import ensure_checkpoint_dir
 
 
+#: Bits of an odd sketch.
+SKETCH = 1024
+
+Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted."""
+    w = words(batch.column("text"), lower=True)
+    return [np.unique(shingles(w.hash[a:b], size)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (sig, node): each bucket's least node with each other distinct node. Keeps one row between batches."""
     last_sig = last_node = least = None
@@ -67,31 +84,73 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def linked(pairs: DataFrame, payload: DataFrame, check: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """The pairs (a, b) that ``check`` keeps, given (a, b, ta, tb) from payload (node, text)."""
-    left = payload.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = payload.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+def _profiles(size: int) -> Check:
+    """(node, text, n, sketch): size of the shingle set, and its odd sketch (each member turns over one bit)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, rows = [], []
+            for s in sets(batch, size):
+                bits = np.bincount((mix(s + U(7)) >> U(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
+                n.append(len(s))
+                rows.append(np.packbits(bits).view(np.int64))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(n, pa.int64()), flat], names=["node", "text", "n", "sketch"])
+
+    return of
+
 
+def _possible(percent: int, a: str, b: str) -> Column:
+    """Whether two sets can be linked: their sketches differ in no more bits than the sets have different members."""
+    bits = sum((F.bit_count(F.get(f"sketch_{a}", k).bitwiseXOR(F.get(f"sketch_{b}", k))) for k in range(SKETCH // 64)), F.lit(0))
+    return bits * (100 + percent) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (100 - percent)
 
-def classes(signatures: DataFrame, payload: Callable[[DataFrame], DataFrame], check: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(node, comp) for every node that has a link. ``payload(nodes)`` gives (node, text) of the nodes asked for."""
+
+def exact(size: int, percent: int) -> Check:
+    """The pairs (a, b) of (a, b, ta, tb) that are links by their whole shingle sets."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0))
+        for batch in slices(batches, "tb"):
+            link = []
+            right = sets(batch.select(["tb"]).rename_columns(["text"]), size)
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), right, strict=True)):
+                if last[0] != a:
+                    last = (a, sets(batch.slice(i, 1).select(["ta"]).rename_columns(["text"]), size)[0])
+                both = len(np.intersect1d(last[1], b, assume_unique=True))
+                link.append(100 * both >= percent * (len(last[1]) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
+
+    return of
+
+
+def classes(signatures: DataFrame, payload: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
+    """(node, comp) for every node that has a link: 100 * common shingles >= percent * all shingles, of ``size`` words.
+    ``payload(nodes)`` gives (node, text) of the nodes asked for."""
     ensure_checkpoint_dir(signatures.sparkSession)
     found = stars(signatures).checkpoint()
     pairs = found.select("a", "b").distinct().checkpoint()
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = payload(nodes).checkpoint()
-    edges = linked(pairs, texts, check).checkpoint()
+    texts = payload(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()).mapInArrow(_profiles(size), "node long, text string, n long, sketch array<long>").checkpoint()
+    profile = lambda c, key: texts.select(F.col("node").alias(key), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    def links(candidates: DataFrame) -> DataFrame:
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return candidates.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(exact(size, percent), "a long, b long").checkpoint()
+
+    near = pairs.join(profile("a", "a"), "a").join(profile("b", "b"), "b").where(_possible(percent, "a", "b")).select("a", "b").checkpoint()
+    edges = links(near)
     comps = components(edges)
-    own = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    placed = found.join(own("a"), "a", "left").join(own("b"), "b", "left")
-    placed = placed.select("sig", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    # a bucket is settled if it holds one component, or two nodes only
-    size = placed.groupBy("sig").agg(F.count("*").alias("n"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("open"))
-    members = placed.join(size.where("open = 1 and n > 1").select("sig"), "sig", "left_semi").select("sig", F.col("b").alias("x"), F.col("cb").alias("cx")).checkpoint()
+
+    # open buckets: three nodes or more, not all in one component; of buckets with the same nodes, one
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    placed = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select("sig", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    alike = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.sum(F.shiftright(F.xxhash64("b"), 20)).alias("s"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("open"))
+    alike = alike.where("n > 1 and open = 1").groupBy("n", "a", "s").agg(F.min("sig").alias("sig"))
+    members = placed.join(alike.select("sig"), "sig", "left_semi").select("sig", F.col("b").alias("x"), F.col("cb").alias("cx")).join(profile("x", "x"), "x").checkpoint()
     if members.isEmpty():
         return comps
-    other = members.select("sig", F.col("x").alias("y"), F.col("cx").alias("cy"))
-    across = members.join(other, "sig").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = linked(across.join(pairs, ["a", "b"], "left_anti"), texts, check).checkpoint()
-    return components(edges.union(more)) if not more.isEmpty() else comps
+    other = members.select("sig", *(F.col(c).alias(c.replace("x", "y") if c != "sketch_x" else "sketch_y") for c in members.columns if c != "sig"))
+    across = members.join(other, (members["sig"] == other["sig"]) & (F.col("cx") < F.col("cy")) & _possible(percent, "x", "y"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    more = links(across)
+    return comps if more.isEmpty() else components(edges.union(more))
