@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calltide.llm.filters import without
+from calltide.session import ensure_checkpoint_dir
+
 SIZE, PERCENT = 5, 80
 BLOCKS, RADIUS = 4, 15
 BITS = 64 // BLOCKS
@@ -39,7 +42,7 @@ def shingles(w: str) -> Column:
 
 def simhash(grams: str) -> Column:
     """Bit b is set if most shingles, each as often as it occurs, have bit b."""
-    ones = lambda b: F.aggregate(grams, F.lit(0), lambda n, g: n + F.expr("1") * _bit(g, b))
+    ones = lambda b: F.aggregate(grams, F.lit(0), lambda n, g: n + _bit(g, b))
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(63)),
         F.lit(0).cast("long"),
@@ -63,44 +66,45 @@ def common(a: str, b: str) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows by doc_id and text: repeated rows share a key and a result."""
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), F.xxhash64("text").alias("th"))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__k"), F.xxhash64("text").alias("__th"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(k, th, item_id, percent): verified leaks of items in documents."""
+    """(__k, __th, item_id, percent): verified leaks of items in documents."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SIZE).select("item_id", F.size("w").alias("size"), shingles("w").alias("ig"))
     listed = items.select("size", F.posexplode("ig").alias("at", "g")).distinct()
 
-    texts = _keyed(docs.select("doc_id", "text").where("text is not null")).select("k", "th", words(F.col("text")).alias("w"))
-    grams = texts.select("k", "th", F.size("w").alias("n"), F.posexplode(shingles("w")).alias("pos", "g"))
+    texts = _keyed(docs.select("doc_id", "text").where("text is not null")).select("__k", "__th", words(F.col("text")).alias("w"))
+    grams = texts.select("__k", "__th", F.size("w").alias("n"), F.posexplode(shingles("w")).alias("pos", "g"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    wanted = grams.join(listed, "g").select("k", "th", start.alias("start"), "size").distinct()
-    wanted = wanted.groupBy("k", "th").agg(F.collect_set(F.struct("start", "size")).alias("windows"))  # a document's own windows
+    wanted = grams.join(listed, "g").select("__k", "__th", start.alias("start"), "size").distinct()
+    wanted = wanted.groupBy("__k", "__th").agg(F.collect_set(F.struct("start", "size")).alias("windows"))  # a document's own windows
 
-    cut = texts.join(wanted, ["k", "th"]).dropDuplicates(["k", "th"]).select("k", "th", F.explode("windows").alias("v"), "w")
-    cut = cut.select("k", "th", "v.size", F.expr("slice(w, v.start + 1, v.size)").alias("w")).select("k", "th", "size", shingles("w").alias("wg"))
-    printed = cut.select("k", "th", "size", "wg", simhash("wg").alias("wp"))
+    cut = texts.join(wanted, ["__k", "__th"]).dropDuplicates(["__k", "__th"]).select("__k", "__th", F.explode("windows").alias("v"), "w")
+    cut = cut.select("__k", "__th", "v.size", F.expr("slice(w, v.start + 1, v.size)").alias("w")).select("__k", "__th", "size", shingles("w").alias("wg"))
+    printed = cut.select("__k", "__th", "size", "wg", simhash("wg").alias("wp"))
 
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
     blocks = lambda p: F.explode(F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col(p), k).alias("key")) for k in range(BLOCKS))))
     one = items.select("item_id", "size", "ig", simhash("ig").alias("ip")).select("item_id", "size", "ig", blocks("ip").alias("b"))
     one = one.select("item_id", "size", "b.block", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("b.key")))).alias("key"))
-    probes = printed.select("k", "th", "size", "wg", blocks("wp").alias("b")).select("k", "th", "size", "wg", "b.block", "b.key")
-    pairs = probes.join(one, ["size", "block", "key"]).select("k", "th", "wg", "item_id").distinct()
+    probes = printed.select("__k", "__th", "size", "wg", blocks("wp").alias("b")).select("__k", "__th", "size", "wg", "b.block", "b.key")
+    pairs = probes.join(one, ["size", "block", "key"]).select("__k", "__th", "wg", "item_id").distinct()
     checked = pairs.join(items.select("item_id", "ig"), "item_id").withColumn("both", common("wg", "ig"))
     percent = 100 * F.col("both") / (F.size("wg") + F.size("ig") - F.col("both"))
-    return checked.withColumn("percent", percent).where(F.col("percent") >= PERCENT).groupBy("k", "th", "item_id").agg(F.max("percent").alias("percent"))
+    return checked.withColumn("percent", percent).where(F.col("percent") >= PERCENT).groupBy("__k", "__th", "item_id").agg(F.max("percent").alias("percent"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item leaks."""
-    found = leaks(docs, benchmark).select("k", "th").distinct()
-    return _keyed(docs).join(found, ["k", "th"], "left_anti").select(*docs.columns)
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = leaks(docs, benchmark).select("__k", "__th").distinct().checkpoint()
+    return without(_keyed(docs), found).select(*docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, items, percent) of each row; items is the sorted list of leaked item ids."""
-    found = leaks(docs, benchmark).groupBy("k", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("percent").alias("percent"))
-    rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "k", "th").join(found, ["k", "th"], "left")
+    found = leaks(docs, benchmark).groupBy("__k", "__th").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("percent").alias("percent"))
+    rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "__k", "__th").join(found, ["__k", "__th"], "left")
     items = F.coalesce("items", F.array().cast("array<bigint>"))
     return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("items"), F.coalesce("percent", F.lit(0.0)).alias("percent"))
