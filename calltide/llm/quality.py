@@ -68,6 +68,39 @@ def _statistics(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of each row."""
+    forest, rows = _fitted(docs, labels), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts, failed, good = _verdict(batch, forest)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(counts[:, j]) for j in range(5)), pa.array(failed), pa.array(good), pa.array(~failed & (good >= 0.5))],
+                names=["doc_id", *_COUNTS, "base_failed", "score", "kept"],
+            )
+
+    return rows.mapInArrow(score, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, score double, kept boolean")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    forest = _fitted(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, failed, good = _verdict(batch, forest)
+            yield batch.filter(pa.array(~failed & (good >= 0.5)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _verdict(batch: pa.RecordBatch, forest: trees.Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base failure and score of each row."""
+    counts, x = _statistics(batch)
+    return counts, (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0]), forest.score(x)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> trees.Forest:
+    """The trees, fitted on the labelled sample."""
     docs = docs.select("doc_id", "text")
     pick = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     some = lambda q: pick.where(F.col("quality") == q).orderBy("h", "doc_id").limit(SAMPLE)
@@ -81,16 +114,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.join(sample, "doc_id").select("text", "quality").mapInArrow(gather, "x array<double>, y int").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     order = np.lexsort(x.T)
-    forest = trees.fit(x[order], np.array([r.y for r in rows], dtype=float)[order], MONOTONE)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            counts, x = _statistics(batch)
-            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-            good = forest.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(counts[:, j]) for j in range(5)), pa.array(failed), pa.array(good), pa.array(~failed & (good >= 0.5))],
-                names=["doc_id", *_COUNTS, "base_failed", "score", "kept"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, score double, kept boolean")
+    return trees.fit(x[order], np.array([r.y for r in rows], dtype=float)[order], MONOTONE)

@@ -11,6 +11,7 @@ from calltide.llm import chat_format, pieces
 from calltide.llm.decontaminate import contamination
 from calltide.llm.html_text import main_text
 from calltide.llm.ngram_join import ngram_groups
+from calltide.llm.paragraphs import substring_dedup
 from calltide.llm.pii import KINDS, find_pii
 from calltide.llm.quality import quality_rules
 from calltide.llm.secrets import find_secrets
@@ -53,6 +54,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 

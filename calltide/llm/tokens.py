@@ -126,3 +126,11 @@ def shingles(code: np.ndarray, size: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
+
+
+def sequences(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the word sequence from each ``first`` to before the ``last`` beside it."""
+    up, down = _power(len(code) + 1)
+    total = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(code * up[: len(code)], out=total[1:])
+    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))

@@ -1,10 +1,61 @@
-"""A five-stage corpus pipeline over ``documents``."""
+"""A five-stage corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on everything that the stage before it kept, and returns a DataFrame,
+which is written as Parquet and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from calltide.llm.decontaminate import decontaminated
+from calltide.llm.ngram_join import deduplicated
+from calltide.llm.pieces import Vocabulary, encode
+from calltide.llm.pii import mask_pii
+from calltide.llm.quality import good_documents
+from calltide.session import ensure_checkpoint_dir, read_table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return good_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the least doc_id."""
+    return deduplicated(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item leaks go."""
+    return decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; n_chars is counted anew."""
+    return mask_pii(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text that is left, and whether they decode to it."""
+    return encode(docs, Vocabulary.load()).drop("text")
+
+
+STAGES = [("quality rules", quality_rules), ("n-gram jaccard join", ngram_join), ("benchmark decontamination", benchmark_decontamination), ("pii", pii), ("sentencepiece", sentencepiece)]
+
+#: Trained models, connected components and a tokenizer are beyond SQL: tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to and read again from the shared folder of the session."""
+    ensure_checkpoint_dir(spark)
+    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
+        docs = spark.read.parquet(f"{shared}/{k}")
+    return docs
