@@ -96,7 +96,7 @@ def prior_later_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first signup of the user before each view."""
     events = context.first_before(_events(spark, sf_dir), ["user_id"], ["event_id"], F.col("event_type") == "signup", F.col("event_id"), "created")
-    return events.where("event_type = 'view'").select("event_id", "created")
+    return events.where("event_type = 'view'").select("event_id", F.coalesce("created", F.lit(-1)).alias("created"))
 
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +109,13 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last purchase of the user at or before each event."""
     value = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return context.carry_forward(_events(spark, sf_dir), ["user_id"], ["event_id"], value, "purchase").select("event_id", "user_id", "purchase")
+    return context.carry_forward(_events(spark, sf_dir), ["user_id"], ["event_id"], value, "purchase").select("event_id", "user_id", F.coalesce("purchase", F.lit(-1)).alias("purchase"))
 
 
 def running_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the number of signups less the number of errors first rises over 0, and where it first comes back."""
     delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return context.first_return(_events(spark, sf_dir), ["user_id"], ["event_id"], delta)
+    return context.first_return(_events(spark, sf_dir), ["user_id"], ["event_id"], delta).select("user_id", F.coalesce("opened", F.lit(-1)).alias("opened"), F.coalesce("closed", F.lit(-1)).alias("closed"))
 
 
 def window_lookback3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +226,7 @@ FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'pu
     ),
     "first_creation": (
         first_creation,
-        "SELECT a.event_id, min(b.event_id) AS created FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'signup' AND b.event_id < a.event_id WHERE a.event_type = 'view' GROUP BY a.event_id",
+        "SELECT a.event_id, coalesce(min(b.event_id), -1) AS created FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'signup' AND b.event_id < a.event_id WHERE a.event_type = 'view' GROUP BY a.event_id",
     ),
     "best_candidate": (
         best_candidate,
@@ -234,13 +234,13 @@ FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'pu
     ),
     "carry_forward": (
         carry_forward,
-        "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS purchase FROM events",
+        "SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), -1) AS purchase FROM events",
     ),
     "running_extent": (
         running_extent,
         """WITH d AS (SELECT user_id, event_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS depth FROM events),
 o AS (SELECT user_id, min(event_id) FILTER (WHERE depth > 0) AS opened FROM d GROUP BY user_id)
-SELECT d.user_id, any_value(opened) AS opened, min(event_id) FILTER (WHERE depth <= 0 AND event_id > opened) AS closed FROM d JOIN o USING (user_id) GROUP BY d.user_id""",
+SELECT d.user_id, coalesce(any_value(opened), -1) AS opened, coalesce(min(event_id) FILTER (WHERE depth <= 0 AND event_id > opened), -1) AS closed FROM d JOIN o USING (user_id) GROUP BY d.user_id""",
     ),
     "window_lookback3": (
         window_lookback3,
