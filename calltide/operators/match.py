@@ -17,14 +17,21 @@ def glob_method(glob: Column) -> Column:
     return F.nullif(F.regexp_extract(glob, r"^(?:.*\.)?([^.()*]+)\([^()]*\)$", 1), F.lit(""))
 
 
-def match_rules(sites: DataFrame, patterns: DataFrame, key: list[str], signature: str = "signature", method: str = "method") -> DataFrame:
-    """One row (key, rule_id) for each rule of which a pattern (rule_id, glob) matches the signature.
+def match_rules(sites: DataFrame, patterns: DataFrame, signature: str = "signature", method: str = "method") -> DataFrame:
+    """Each row of sites once for every rule of which a pattern (rule_id, glob) matches its signature.
 
-    Patterns with a literal method name join on that name and check the regex on the few rows left; only patterns with a
-    ``*`` in the method name meet every site. Rules are a small table by nature: Spark broadcasts it below its size limit.
+    A rule whose patterns all have a literal method name joins on that name, with one regex for each (rule, name); any other
+    rule meets every site with one regex of all its patterns. So a site meets a rule once at most, and nothing is shuffled to
+    take out copies. Rules are a small table by nature: Spark broadcasts it below its size limit.
     """
-    rules = patterns.select("rule_id", glob_regex(F.col("glob")).alias("rx"), glob_method(F.col("glob")).alias("name"))
-    named = sites.join(rules.where("name is not null"), sites[method] == F.col("name")).where(F.rlike(F.col(signature), F.col("rx")))
-    loose = sites.join(rules.where("name is null"), F.rlike(F.col(signature), F.col("rx")))
+    listed = patterns.select("rule_id", glob_regex(F.col("glob")).alias("rx"), glob_method(F.col("glob")).alias("name"))
+    loose_rules = listed.groupBy("rule_id").agg(F.bool_or(F.col("name").isNull()).alias("loose"))
+    either = lambda: F.array_join(F.array_sort(F.collect_set("rx")), "|").alias("rx")
+    told = listed.join(loose_rules, "rule_id")
+    by_name = told.where(~F.col("loose")).groupBy("rule_id", "name").agg(either())
+    by_regex = told.where("loose").groupBy("rule_id").agg(either())
+    hit = F.rlike(F.col(signature), F.col("rx"))
+    named = sites.join(by_name, sites[method] == F.col("name")).where(hit)
+    loose = sites.join(by_regex, hit)
     columns = [*sites.columns, "rule_id"]
-    return named.select(*columns).unionByName(loose.select(*columns)).dropDuplicates([*key, "rule_id"])
+    return named.select(*columns).unionByName(loose.select(*columns))

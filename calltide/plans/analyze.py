@@ -133,7 +133,7 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     sites = context.usage_counts(sites.withColumn("at", F.col("line") * 100000 + F.col("seq")), ["path", "class_name", "scope", "receiver"], ["at"], F.col("method") == HARDENING).checkpoint()
     rows = ", ".join(f"('{r.id}', '{r.severity}', '{g}')" for r in rules for g in r.globs)
     patterns = spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, severity, glob)")
-    matched = match.match_rules(sites, patterns, ["site_id"], method="called").checkpoint()
+    matched = match.match_rules(sites, patterns, method="called").checkpoint()
 
     asked = matched.dropDuplicates(["site_id"]).withColumn("args", java.argument_text(F.col("text"), F.col("method")))
     given = s.methods.select("path", "class_name", F.col("method_name").alias("scope"), F.explode("params").alias("p")).select("path", "class_name", "scope", "p.name")

@@ -43,7 +43,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = _patterns(spark)
-    found = match.match_rules(_sites(spark, sf_dir), patterns, ["p_partkey"])
+    found = match.match_rules(_sites(spark, sf_dir), patterns)
     return found.join(patterns.select("rule_id", "severity").distinct(), "rule_id")
 
 
