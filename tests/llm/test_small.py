@@ -298,6 +298,25 @@ def test_pieces_are_the_best_path():
         assert abs(sum(v.scores[i] for i in coder.encode(t)) - best[-1]) < 1e-9
 
 
+def test_pieces_equal_the_library(texts):
+    """The library's own best path under the same scores: the same ids, or others of the same score at ties."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    v = pieces.Vocabulary.load()
+    with open(pieces.MODEL, "rb") as f:
+        model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    model.trainer_spec.model_type = 1  # best path instead of merges
+    for i, piece in enumerate(model.pieces):
+        if v.usable[i]:
+            piece.score = v.scores[i]
+    library, coder = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()), pieces.Coder(v)
+    total = lambda ids: sum(v.scores[i] for i in ids)
+    for t in [*filter(None, texts), "日本語 🎉 x", "a  b \t\n"]:
+        ours, theirs = list(coder.encode(t)), library.encode(t)
+        assert ours == theirs or abs(total(ours) - total(theirs)) < 1e-6 * len(ours) + 1e-3
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     rows, labels = [], []
