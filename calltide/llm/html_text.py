@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm import crf
+from calltide.llm.batches import bound
 from calltide.llm.tokens import slices, strings
 
 #: Pages that the CRF is trained on, at most.
@@ -169,6 +170,7 @@ def train(pages: list[str]) -> crf.Crf | None:
 def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages with ``text`` in place of the html."""
     spark = pages.sparkSession
+    bound(spark)
     ids = pages.where(F.col(html_column).isNotNull() & F.col("page_id").isNotNull()).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
     sample = pages.join(F.broadcast(ids), "page_id").select(F.col(html_column).alias("html")).distinct().orderBy(F.xxhash64("html")).limit(SAMPLE)
     model = spark.sparkContext.broadcast(train([r.html for r in sample.collect()]))  # SAMPLE pages at most

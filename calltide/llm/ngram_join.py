@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm import simjoin
+from calltide.llm.batches import bound
 from calltide.llm.filters import without
 from calltide.llm.tokens import U, mix, signed, slices
 
@@ -102,6 +103,7 @@ def _texts(size: int) -> Callable:
 
 def ngram_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    bound(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = docs.mapInArrow(_prints(size), "doc_id long, n_shingles long, node long")
 

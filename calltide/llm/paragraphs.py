@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.llm import simjoin
+from calltide.llm.batches import bound
 from calltide.llm.filters import sized
 from calltide.llm.tokens import U, mix, sequences, shingles, signed, slices, words
 from calltide.session import ensure_checkpoint_dir
@@ -110,6 +111,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(__id, __th, start, end, word, to_word, class, first): paragraphs that are not the first of their class; __id and __th
     are the key of a row (see ``_keyed``), first is the __id where the class stays."""
     ensure_checkpoint_dir(docs.sparkSession)
+    bound(docs.sparkSession)
     docs = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("doc_id")
     places = docs.mapInArrow(_places, "__id long, __th long, start long, end long, word long, to_word long, node long")
 

@@ -27,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from calltide.llm.batches import bound
 from calltide.llm.tokens import slices, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
 #: Stretches that a task remembers, at most, and the longest one it remembers.
-MEMORY, STRETCH = 400_000, 64
+MEMORY, STRETCH = 100_000, 64
 
 
 class Vocabulary:
@@ -141,6 +142,7 @@ class Coder:
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """docs with ``ids``, the piece ids of each text, ``n_pieces``, their number, ``ids_sha256``, the digest of the ids as
     little-endian 32-bit numbers, and ``exact``, whether they decode to the text."""
+    bound(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
     clean = docs.drop("ids", "n_pieces", "ids_sha256", "exact")
 
@@ -161,6 +163,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "text") -> DataFrame:
     """rows with ``into``, the text of each id list; null or empty lists give the empty text."""
+    bound(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     clean = rows.drop(into)
 

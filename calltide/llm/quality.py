@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm import trees
+from calltide.llm.batches import bound
 from calltide.llm.tokens import shingles, slices, words
 
 #: Labelled rows of each class that the trees are fitted on, at most.
@@ -101,6 +102,7 @@ def _verdict(batch: pa.RecordBatch, forest: trees.Forest) -> tuple[np.ndarray, n
 
 def _fitted(docs: DataFrame, labels: DataFrame) -> trees.Forest:
     """The trees, fitted on the labelled sample."""
+    bound(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     pick = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     some = lambda q: pick.where(F.col("quality") == q).orderBy("h", "doc_id").limit(SAMPLE)

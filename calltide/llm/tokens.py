@@ -39,7 +39,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -67,7 +67,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that working memory stays bounded."""
     for batch in batches:
         size = np.diff(_bounds(strings(batch.column(column)))) if batch.num_rows else np.zeros(0)
