@@ -1,7 +1,8 @@
 """Operator 7: quality rules by gradient-boosted trees over document statistics.
 
 The trees are fitted on a bounded sample of labelled rows (``SAMPLE`` of each class, those with the least hash of
-doc_id), flattened to node arrays, and sent to the tasks. The verdict never gets better as symbols, repeated words,
+doc_id) that count as their class does among all labels, so the cut means the same at any table size; flattened to
+node arrays, and sent to the tasks. The verdict never gets better as symbols, repeated words,
 repeated lines, capitals or exclamation marks grow (monotonic constraints).
 
 Defined results: null, empty or blank texts have no words and fail the base rule; repeated rows are each scored; with
@@ -101,10 +102,11 @@ def _verdict(batch: pa.RecordBatch, forest: trees.Forest) -> tuple[np.ndarray, n
 
 
 def _fitted(docs: DataFrame, labels: DataFrame) -> trees.Forest:
-    """The trees, fitted on the labelled sample."""
+    """The trees, fitted on the labelled sample; each class weighs as much as all its labels do."""
     bound(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     pick = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
+    counts = {int(r.quality): r["count"] for r in pick.where("quality in (0, 1)").groupBy("quality").count().collect()}
     some = lambda q: pick.where(F.col("quality") == q).orderBy("h", "doc_id").limit(SAMPLE)
     sample = F.broadcast(some(0).union(some(1)).select("doc_id", "quality"))  # 2 * SAMPLE rows at most
 
@@ -116,4 +118,6 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> trees.Forest:
     rows = docs.join(sample, "doc_id").select("text", "quality").mapInArrow(gather, "x array<double>, y int").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
     order = np.lexsort(x.T)
-    return trees.fit(x[order], np.array([r.y for r in rows], dtype=float)[order], MONOTONE)
+    y = np.array([r.y for r in rows], dtype=float)[order]
+    weight = np.where(y == 1, counts.get(1, 0) / max(y.sum(), 1), counts.get(0, 0) / max((1 - y).sum(), 1))
+    return trees.fit(x[order], y, MONOTONE, weight=weight / weight.mean() if len(y) else None)

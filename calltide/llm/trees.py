@@ -30,12 +30,14 @@ class Forest:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, l2: float = 5.0, least: int = 5) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, l2: float = 5.0, least: int = 5, weight: np.ndarray | None = None) -> Forest:
     """Logistic boosting on binned features. ``monotone`` has +1, -1 or 0 for each feature: the score never moves
-    against that sign as the feature grows. One class only, or no rows: a constant."""
+    against that sign as the feature grows. ``weight`` counts rows more or less, 1 on average. One class only, or no rows:
+    a constant."""
     n, wide = x.shape if x.ndim == 2 else (0, len(monotone))
     inner = 2**depth - 1
-    share = (y.sum() + 1) / (n + 2)
+    weight = np.ones(n) if weight is None else weight
+    share = ((weight * y).sum() + 1) / (weight.sum() + 2)
     base = float(np.log(share / (1 - share)))
     out = Forest(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     if n == 0 or y.min() == y.max():
@@ -46,7 +48,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, dep
     made = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
         rows = {0: np.arange(n)}
         limit = {0: (-np.inf, np.inf)}

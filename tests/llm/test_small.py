@@ -357,3 +357,16 @@ def test_html(spark):
 
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in q.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("good, bad", [(100, 20), (20, 100)])
+def test_quality_verdict_at_two_table_sizes(spark, monkeypatch, good, bad):
+    """Texts that tell nothing get their class's share, whether the sample of a class is cut or not."""
+    monkeypatch.setattr(quality, "SAMPLE", 25)
+    found = []
+    for part in (5, 1):
+        marks = [1] * (good // part) + [0] * (bad // part)
+        docs = spark.createDataFrame([(i, prose(60, 1)) for i in range(len(marks))], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+        found.append({(round(r.score, 1), r.kept) for r in quality.quality_rules(docs, labels).collect()})
+    assert found[0] == found[1] == {(round(good / (good + bad), 1), good > bad)}
