@@ -53,3 +53,12 @@ def test_stages(spark, folder, tmp_path):
     coder = pieces.Coder(pieces.Vocabulary.load())
     assert set(kept[4]) == set(kept[3]) and all(r.exact and coder.decode(r.ids) == kept[3][i].text for i, r in kept[4].items())
     assert {r.doc_id for r in corpus_pipeline.run(spark, root).collect()} == set(kept[4])
+
+
+def test_near_copies_by_five_words_at_eighty(spark):
+    """100 words, two of them replaced: 0.81 by five words, 0.885 by three."""
+    text = [f"w{k}" for k in range(100)]
+    near = [*text[:30], "x", *text[31:70], "y", *text[71:]]
+    far = [w if k % 20 else f"z{k}" for k, w in enumerate(text)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((text, near, far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, "").collect()} == {0, 2}
