@@ -6,9 +6,16 @@ words or more take part. Equal ones (by their lower-case words) are one node; ea
 five-word shingles, with bands tuned so that pairs at the threshold share one with probability ``RECALL`` or more.
 Paragraphs that share a band are joined, their exact Jaccard similarity is verified on whole shingle sets, and verified
 pairs are clustered into components (see ``simjoin``). Of each class, the first occurrence (least doc_id, then place)
-stays. Other occurrences are removed where they stand in a run of ``RUN`` words or more, so that single short lines
+stays; of rows with one doc_id, that of the least text hash. Other occurrences are removed where they stand in a run of ``RUN`` words or more, so that single short lines
 that many documents share are left alone; in a run, shorter sentences between repeated ones go along.
 
+With ``verbatim``, runs of words that repeat word for word are found too, whatever their sentences and borders. Each text
+keeps as anchors the sequences of ``ANCHOR`` words with the least hash of any ``WINDOW`` neighbouring ones, so two equal
+runs of ANCHOR + WINDOW - 1 = 50 words or more have an anchor in common. An anchor that stands at a lesser (doc_id, text's
+hash, place) too is a repeat of the least such place; neighbouring anchors join, as they overlap, and both ends grow word by
+word while the words equal those around that place. Where a longer copy is elsewhere than the least place, fewer than
+WINDOW words at an end can stay.
+
 Defined results: null and empty texts have no paragraphs; repeated rows (doc_id and text) share one result; a null
 doc_id comes after all others; places are code points, end exclusive; other columns are kept by ``deduplicated`` and
 ignored by ``removals``.
@@ -32,6 +39,8 @@ from calltide.session import ensure_checkpoint_dir
 LEAST, SIZE, PERCENT, RECALL, HASHES = 8, 5, 80, 0.997, 12
 #: Words of a removed run, at least, and what ends a paragraph.
 RUN, ENDS = 24, b".?"
+#: Words of an anchor, and anchors' choice: 50 equal words have one in common, and neighbouring anchors overlap.
+ANCHOR, WINDOW = 26, 25
 _LAST = (1 << 63) - 1
 
 
@@ -103,6 +112,95 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(p.row)), batch.column("__th").take(pa.array(p.row)), *(pa.array(x.astype(np.int64)) for x in (*p.places, p.node))], names=["__id", "__th", "start", "end", "word", "to_word", "node"])
 
 
+def _sliding(x: np.ndarray, of: np.ufunc) -> np.ndarray:
+    """``of`` over every WINDOW neighbours, at the first of them."""
+    have, size = x, 1
+    while 2 * size <= WINDOW:
+        have, size = of(have[:-size], have[size:]), 2 * size
+    return of(have[: len(x) - WINDOW + 1], have[WINDOW - size :]) if size < WINDOW else have
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        w = words(batch.column("text"), lower=True)
+        n = len(w.hash) - ANCHOR + 1
+        if n < WINDOW:
+            continue
+        row = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
+        at = np.arange(n)
+        code = sequences(w.hash, at, at + ANCHOR)
+        least = _sliding(code, np.minimum)
+        whole = row[: len(least)] == row[ANCHOR + WINDOW - 2 :]  # windows inside one text
+        edge = np.zeros(WINDOW - 1, dtype=np.uint64)
+        best = _sliding(np.concatenate([edge, np.where(whole, least, U(0)), edge]), np.maximum)
+        at = np.flatnonzero((best == code) & (best > 0))
+        if len(at):
+            take = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__th").take(take), pa.array(at - w.first[row[at]]), pa.array(signed(code[at]))], names=["__id", "__th", "word", "gram"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wish (side, at) of a text: the hashes of WINDOW words at most before (side 0) or from (side 1) the word ``at``,
+    going away from it, and the code points where a run would begin or end that takes none, one, two ... of them."""
+    for batch in slices(batches):
+        w = words(batch.column("text"), lower=True)
+        points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        code = signed(w.hash)
+        rows, side, at, near, place = [], [], [], [], []
+        for i, wishes in enumerate(batch.column("wishes").to_pylist()):
+            a, b, zero = w.first[i], w.first[i + 1], points[w.offset[i]]
+            for wish in wishes:
+                p = a + wish["at"]
+                if wish["side"]:
+                    end = min(b, p + WINDOW)
+                    near.append(code[p:end])
+                    place.append(points[w.end[p - 1 : end]] - zero)
+                else:
+                    begin = max(a, p - WINDOW)
+                    near.append(code[begin:p][::-1])
+                    place.append(points[w.start[begin : p + 1]][::-1] - zero)
+                rows.append(i)
+                side.append(wish["side"])
+                at.append(wish["at"])
+        take = pa.array(rows, pa.int64())
+        lists = [pa.array(near, pa.list_(pa.int64())), pa.array([x.astype(np.int32) for x in place], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__th").take(take), pa.array(side, pa.int64()), pa.array(at, pa.int64()), *lists], names=["__id", "__th", "side", "at", "near", "place"])
+
+
+def verbatim_repeats(docs: DataFrame) -> DataFrame:
+    """(__id, __th, start, end, word, to_word, first): runs that repeat word for word what stands at a lesser place."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    bound(docs.sparkSession)
+    docs = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("doc_id")
+    anchors = docs.mapInArrow(_anchors, "__id long, __th long, word long, gram long")
+    place = F.xxhash64("__id", "__th", "word")
+    grams = anchors.select("gram", place.alias("p")).groupBy("gram").agg(F.min("p").alias("p"), F.max("p").alias("q")).where("p <> q").select("gram").checkpoint()
+    hits = anchors.join(sized(grams), "gram").checkpoint()
+    known = hits.groupBy("gram").agg(F.min(F.struct("__id", "__th", "word")).alias("at"))
+    known = known.select("gram", F.col("at.__id").alias("f_id"), F.col("at.__th").alias("f_th"), F.col("at.word").alias("f_word")).checkpoint()
+    again = hits.join(sized(known), "gram").withColumn("shift", F.col("word") - F.col("f_word")).drop("gram")
+    again = again.where(~((F.col("__id") == F.col("f_id")) & (F.col("__th") == F.col("f_th")) & (F.col("shift") < ANCHOR)))  # a copy does not overlap what stays
+    w = Window.partitionBy("__id", "__th").orderBy("word")
+    same = [F.lag(c).over(w) == F.col(c) for c in ("f_id", "f_th", "shift")]
+    joins = same[0] & same[1] & same[2] & (F.col("word") - F.lag("word").over(w) <= ANCHOR)
+    runs = again.withColumn("opens", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("opens").over(w))
+    runs = runs.groupBy("__id", "__th", "run", "f_id", "f_th", "shift").agg(F.min("word").alias("begin"), (F.max("word") + ANCHOR).alias("stop"))
+    edge = lambda side, c: F.struct(F.lit(side).cast("long").alias("side"), F.col(c).alias("at"))
+    edges = runs.select("__id", "__th", "run", "f_id", "f_th", "shift", F.explode(F.array(edge(0, "begin"), edge(1, "stop"))).alias("e"))
+    edges = edges.select("__id", "__th", "run", "f_id", "f_th", "e.side", "e.at", (F.col("e.at") - F.col("shift")).alias("f_at")).checkpoint()
+    wishes = edges.select("__id", "__th", "side", "at").union(edges.select("f_id", "f_th", "side", "f_at")).distinct()
+    wishes = wishes.groupBy("__id", "__th").agg(F.collect_list(F.struct("side", "at")).alias("wishes")).checkpoint()
+    found = docs.join(sized(wishes), ["__id", "__th"]).mapInArrow(_sides, "__id long, __th long, side long, at long, near array<long>, place array<int>")
+    found = found.dropDuplicates(["__id", "__th", "side", "at"])
+    theirs = found.select(F.col("__id").alias("f_id"), F.col("__th").alias("f_th"), "side", F.col("at").alias("f_at"), F.col("near").alias("f_near"))
+    ends = edges.join(found, ["__id", "__th", "side", "at"]).join(theirs, ["f_id", "f_th", "side", "f_at"])
+    differs = F.array_position(F.zip_with("near", "f_near", lambda x, y: F.coalesce(x != y, F.lit(True))), True)
+    ends = ends.withColumn("more", F.when(differs > 0, differs - 1).otherwise(F.size("near")).cast("int"))
+    ends = ends.select("__id", "__th", "run", "f_id", "side", F.get("place", "more").cast("long").alias("place"), F.when(F.col("side") == 0, F.col("at") - F.col("more")).otherwise(F.col("at") + F.col("more")).alias("word"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return ends.groupBy("__id", "__th", "run").agg(of(0, "place").alias("start"), of(1, "place").alias("end"), of(0, "word").alias("word"), of(1, "word").alias("to_word"), F.max("f_id").alias("first")).drop("run")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"))
 
@@ -119,7 +217,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         return docs.mapInArrow(_texts, "node long, text string").join(sized(nodes), "node", "left_semi").dropDuplicates(["node"])
 
     comps = simjoin.classes(docs.mapInArrow(_bands(*tuned()), "sig long, node long"), payload, SIZE, PERCENT)
-    nodes = places.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("__id", "start", "__th")).alias("at"))
+    nodes = places.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__th", "start")).alias("at"))
     nodes = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("class"), F.col("comp").isNotNull().alias("linked"), "n", "at")
     known = nodes.where("n > 1 or linked").checkpoint()
     first = known.groupBy("class").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1").select("class", "at")
@@ -128,29 +226,33 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.select("__id", "__th", "start", "end", "word", "to_word", "class", "first").distinct()
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, verbatim: bool = False) -> DataFrame:
     """(__id, __th, start, end, words, classes, firsts): runs to remove. Runs are made inside one document."""
-    w = Window.partitionBy("__id", "__th").orderBy("start")
-    gap = F.col("word") - F.lag("to_word").over(w)
-    found = repeats(docs).withColumn("opens", F.when(gap.isNull() | (gap >= LEAST), 1).otherwise(0))
+    w = Window.partitionBy("__id", "__th").orderBy("start", "end")
+    gap = F.col("word") - F.max("to_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    columns = ["__id", "__th", "start", "end", "word", "to_word", "first"]
+    found = repeats(docs).select(columns)
+    if verbatim:
+        found = found.unionByName(verbatim_repeats(docs).select(columns))
+    found = found.withColumn("opens", F.when(gap.isNull() | (gap >= LEAST), 1).otherwise(0))
     runs = found.withColumn("run", F.sum("opens").over(w)).groupBy("__id", "__th", "run")
     runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to_word") - F.min("word")).alias("words"), F.count("*").alias("classes"), F.collect_set("first").alias("firsts"))
     return runs.where(F.col("words") >= RUN).drop("run")
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, verbatim: bool = False) -> DataFrame:
     """(doc_id, repeated, n_removed, removed, kept_in) of each row: removed lists start:end of the removed runs in order,
     kept_in the doc_ids where their paragraphs stay."""
-    gone = removals(docs).groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("kept_in"))
+    gone = removals(docs, verbatim).groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("kept_in"))
     rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "__id", "__th").join(gone, ["__id", "__th"], "left")
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = F.coalesce(F.size("spans"), F.lit(0)).cast("long")
     return rows.select("doc_id", F.col("spans").isNotNull().alias("repeated"), F.when(F.col("spans").isNull(), 0).otherwise(count).cast("long").alias("n_removed"), F.coalesce(joined, F.lit("")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, verbatim: bool = False) -> DataFrame:
     """docs with the removed paragraphs cut out of ``text``; every column is kept."""
-    gone = removals(docs).groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    gone = removals(docs, verbatim).groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     rows = _keyed(docs).join(gone.withColumnRenamed("spans", "__spans"), ["__id", "__th"], "left")
     kept = F.expr("concat(array_join(transform(__spans, (s, i) -> substring(text, if(i = 0, 0, __spans[i - 1].end) + 1, s.start - if(i = 0, 0, __spans[i - 1].end))), ''), substring(text, element_at(__spans, -1).end + 1))")
     return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

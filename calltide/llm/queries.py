@@ -55,7 +55,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents"))
+    return substring_dedup(read_table(spark, sf_dir, "documents"), verbatim=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

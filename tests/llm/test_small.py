@@ -370,3 +370,24 @@ def test_quality_verdict_at_two_table_sizes(spark, monkeypatch, good, bad):
         labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
         found.append({(round(r.score, 1), r.kept) for r in quality.quality_rules(docs, labels).collect()})
     assert found[0] == found[1] == {(round(good / (good + bad), 1), good > bad)}
+
+
+def test_verbatim_passages_of_any_sentences(spark):
+    """Repeated runs of 50 words and more are cut out whole: of short sentences, inside one line, and with a gap of short ones."""
+    short = ". ".join(prose(5, 5000 + k) for k in range(11)) + "."
+    line = prose(50, 5100)
+    gap = " ".join(prose(n, 5200 + k) + "." for k, n in enumerate((8, 8, 1, 5, 3, 8, 8, 7, 7)))
+    rows, want = [], {}
+    for p, passage in enumerate((short, line, gap)):
+        for k in range(3):
+            before = f"é{p}{k} " + prose(40 + 7 * k, 6000 + 10 * p + k) + f" a{p}{k} "
+            rows.append((10 * p + k, before + passage + f" z{p}{k} " + prose(30, 7000 + 10 * p + k)))
+            want[10 * p + k] = [f"{len(before)}:{len(before) + len(passage)}"] if k else []
+    rows += [(100, line.upper() + " " + prose(60, 8000)), (101, prose(60, 8001) + "\n\n" + line), (102, "again and again " * 30), (103, prose(49, 8002)), (104, "x " + prose(49, 8002)), (105, None)]
+    rows += [(100, rows[-6][1])]
+    want |= {100: [f"0:{len(line)}"], 101: [f"{len(prose(60, 8001)) + 2}:{len(prose(60, 8001)) + 2 + len(line)}"]}
+    got = rows_of(paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), verbatim=True))
+    assert {i: [s for s in got[i].removed.split(",") if s] for i in want} == want
+    assert got[101].kept_in == [10] and not got[105].repeated
+    kept = rows_of(paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), verbatim=True))
+    assert len(kept[102].text.split()) >= paragraphs.RUN and kept[10].text == dict(rows)[10]
