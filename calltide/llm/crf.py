@@ -1,4 +1,7 @@
-"""A linear-chain conditional random field in numpy: fitting, and Viterbi decoding of many sequences at a time."""
+"""A linear-chain conditional random field in numpy: fitting, and Viterbi decoding of many sequences at a time.
+
+A token has the same number of feature ids as any other of its call; the id 0 is no feature and has no weight.
+"""
 
 from __future__ import annotations
 
@@ -87,6 +90,7 @@ def fit(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, features: int, c
                 pair = np.exp(alpha[:, t - 1, :, None] + step + (score[:, t] + beta[:, t])[:, None, :] - whole[:, None, None])
                 grads[1] += (pair * real[:, t, None, None]).sum(axis=0)
                 np.add.at(grads[1], (truth[real[:, t], t - 1], truth[real[:, t], t]), -1)
+        grads[0][0] = 0  # id 0 is no feature
         for p, g, (m, v) in zip(params, grads, moments, strict=True):
             g /= total
             m += 0.1 * (g - m)

@@ -18,6 +18,24 @@ def shingle_set(text, size):
     return frozenset(tuple(w[j : j + size]) for j in range(max(len(w) - size + 1, 1))) if w else frozenset()
 
 
+def paragraphs(text, least):
+    """(begin, end) words of sentences; short ones are part of the one before them, or of the next at the head of a line."""
+    found, out = list(WORD.finditer(text)), []
+    marks = tuple(".?!\u3002\uff01\uff1f\u0964")
+    begin = 0
+    for k, m in enumerate(found):
+        last = k + 1 == len(found)
+        line = last or "\n" in text[m.end() : found[k + 1].start()]
+        if line or m[0].endswith(marks):
+            out.append((begin, k + 1, not out or out[-1][3], line))
+            begin = k + 1
+    units = []
+    for k, (a, b, head, _) in enumerate(out):
+        joins = not head and (b - a < least or (out[k - 1][2] and out[k - 1][1] - out[k - 1][0] < least))
+        units[-1:] = [(units[-1][0], b)] if joins else [*units[-1:], (a, b)]
+    return [(a, b) for a, b in units if b - a >= least]
+
+
 def components(ids, linked):
     up = {i: i for i in ids}
 

@@ -41,8 +41,8 @@ def test_stages(spark, folder, tmp_path):
     assert set(kept[0]) == {r.doc_id for r in verdict.where("kept").collect()}
     assert set(range(46)) <= set(kept[0]) and not set(kept[0]) & set(range(46, 65))
     ids = sorted(kept[0])
-    sets = {i: brute.shingle_set(texts[i], 3) for i in ids}
-    classes = brute.components(ids, lambda a, b: brute.link(sets[a], sets[b], 90))
+    sets = {i: brute.shingle_set(texts[i], 5) for i in ids}
+    classes = brute.components(ids, lambda a, b: brute.link(sets[a], sets[b], 80))
     assert set(kept[1]) == set(classes.values()) and not {41, 42} & set(kept[1])
     assert set(kept[2]) == {i for i in kept[1] if not brute.leaks(texts[i], items)} and not {43, 44} & set(kept[2])
     assert set(kept[3]) == set(kept[2])

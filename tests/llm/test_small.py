@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,20 +70,60 @@ def test_ngram_join_edges(spark, docs):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7]
 
 
-def test_signatures_lose_no_link():
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_signatures_lose_no_link(percent):
     r = np.random.default_rng(1)
-    for n in (1, 5, 9, 10, 19, 20, 60, 400):
-        for _ in range(40):
-            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-            gone = r.integers(0, max(1, n // 10) + 1)
-            b = np.unique(np.concatenate([a[gone // 2 :], r.integers(0, 2**63, gone - gone // 2).astype(np.uint64)]))
-            if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)):
-                assert np.isin(ngram_join._signatures(a, 90), ngram_join._signatures(b, 90)).any()
+    share = (100 - percent) / percent
+    for n in (1, 2, 3, 5, 9, 10, 19, 20, 33, 60, 400):
+        for _ in range(60):
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+            gone = r.integers(0, int(n * share) + 2)
+            b = np.unique(np.concatenate([a[gone // 2 :], r.integers(0, 2**63, r.integers(0, int(n * share) + 2)).astype(np.uint64) << np.uint64(1)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * len(np.union1d(a, b)):
+                shared = np.isin(ngram_join._signatures(a, percent), ngram_join._signatures(b, percent)).any()
+                assert shared or both == len(a) == len(b)
+            x, y = simjoin.sketch(a, percent), simjoin.sketch(b, percent)
+            least = min(len(x), len(y))
+            differ = np.bitwise_count((simjoin._fold(x, least) ^ simjoin._fold(y, least)).view(np.uint64)).sum()
+            assert differ <= len(a) + len(b) - 2 * both
+
+
+def test_short_sets_make_no_signature():
+    """A set linked only with its equals needs none, so unrelated short texts meet nowhere."""
+    r = np.random.default_rng(2)
+    assert not sum(len(ngram_join._signatures(r.integers(0, 2**63, 1).astype(np.uint64), 90)) for _ in range(300))
+    shared = [set(ngram_join._signatures(np.unique(r.integers(0, 2**63, n).astype(np.uint64)), 80).tolist()) for n in range(2, 30) for _ in range(20)]
+    assert sum(map(len, shared)) == len(set().union(*shared))
+
+
+def test_large_group_under_the_threshold(spark):
+    """Rows of the join across components stay linear: 600 near copies, most pairs of which are just under 0.9."""
+    base = prose(150, 1)
+    texts = [edited(base, 0.02 + 0.0001 * k, k) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    plain = simjoin.Scratch.keep
+
+    def keep(self, df):
+        out = plain(self, df)
+        made.append((sorted(df.columns), out.count()))
+        return out
+
+    simjoin.Scratch.keep = keep
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs).collect()}
+    finally:
+        simjoin.Scratch.keep = plain
+    sets = [brute.shingle_set(t, 3) for t in texts]
+    assert got == brute.components(list(range(len(texts))), lambda a, b: brute.link(sets[a], sets[b], 90))
+    assert max(n for c, n in made if c == ["a", "b"]) <= 20 * len(texts)
+    assert max(n for c, n in made if "more" in c) <= 60 * len(texts)
 
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.comp for r in simjoin.components(edges).collect()}
+    got = {r.node: r.comp for r in simjoin.components(edges, simjoin.Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
@@ -91,14 +132,10 @@ def test_substring_dedup(docs, texts):
     places, sets = [], {}
     for i, t in enumerate(texts):
         found = list(brute.WORD.finditer(t or ""))
-        begin = 0
-        for k, m in enumerate(found):
-            if k + 1 == len(found) or m[0][-1] in ".?" or "\n" in t[m.end() : found[k + 1].start()]:
-                if k + 1 - begin >= paragraphs.LEAST:
-                    key = tuple(brute.words(t[found[begin].start() : m.end()]))
-                    sets[key] = brute.shingle_set(" ".join(key), 5)
-                    places.append((i, found[begin].start(), m.end(), begin, k + 1, key))
-                begin = k + 1
+        for begin, end in brute.paragraphs(t or "", paragraphs.LEAST):
+            key = tuple(brute.words(t[found[begin].start() : found[end - 1].end()]))
+            sets[key] = brute.shingle_set(" ".join(key), 5)
+            places.append((i, found[begin].start(), found[end - 1].end(), begin, end, key))
     keys = list(sets)
     index = {k: n for n, k in enumerate(keys)}
     classes = brute.components(list(range(len(keys))), lambda a, b: brute.link(sets[keys[a]], sets[keys[b]], 80))
@@ -107,7 +144,7 @@ def test_substring_dedup(docs, texts):
         c = classes[index[key]]
         if c in seen:
             runs = want[i]
-            if runs and wa - runs[-1][3] < paragraphs.LEAST:
+            if runs and wa <= runs[-1][3]:
                 runs[-1] = (runs[-1][0], b, runs[-1][2], wb)
             else:
                 runs.append((a, b, wa, wb))
@@ -126,6 +163,16 @@ def test_substring_dedup(docs, texts):
     assert paragraphs.tuned() == (6, 2)
 
 
+def test_only_repeats_are_removed(spark):
+    """What stands between two repeated sentences stays, however short it is."""
+    one, two = prose(30, 1) + ".", prose(30, 2) + "!"
+    new = "Patient Anna Smith died."
+    rows = [(1, f"{one} {two}"), (2, f"{one}\n{new}\n{two}"), (3, f"{one} {prose(7, 3)}. {two}"), (4, f"{prose(9, 4)}. {one}\n{two}\n{new}"), (2, None)]
+    frame = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], "doc_id long, text string, __id long, __th string, spans string")
+    kept = sorted((r.doc_id, r.text) for r in paragraphs.deduplicated(frame).collect() if r.text is not None)
+    assert kept == [(1, rows[0][1]), (2, f"\n{new}\n"), (3, f" {prose(7, 3)}. "), (4, f"{prose(9, 4)}. \n{new}")]
+
+
 def test_passage_inside_other_text(spark):
     """A passage of over 50 words in the middle of lines is found; documents without it are left alone."""
     sentence = lambda k: prose(13, k).capitalize() + ". "
@@ -391,3 +438,106 @@ def test_verbatim_passages_of_any_sentences(spark):
     assert got[101].kept_in == [10] and not got[105].repeated
     kept = rows_of(paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), verbatim=True))
     assert len(kept[102].text.split()) >= paragraphs.RUN and kept[10].text == dict(rows)[10]
+
+
+def test_kneser_ney_against_plain_python(spark, monkeypatch):
+    """Discounts, continuation counts, shared backoff and the length-normalised difference, by class, of a toy corpus."""
+    monkeypatch.setattr(toxicity, "LEAST", 1)
+    monkeypatch.setattr(toxicity, "G2", -1.0)
+    monkeypatch.setattr(toxicity, "MARGIN", 0.0)
+    monkeypatch.setattr(toxicity, "tells", lambda c0, c1, n0, n1: (c0 + c1) > 0)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("you", "are", "a", "fine", "day", "bad" if k % 3 else "good", "fool" if k % 2 else "friend")) for _ in range(r.randint(3, 12))) for k in range(200)]
+    toxic = {t: int("fool" in t and "bad" in t) for t in texts}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic[t]) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    beta, model = toxicity._learn(docs, labels.withColumn("toxic", F.col("toxic").cast("long")), {k: list(toxic.values()).count(k) for k in (0, 1)})
+    pairs, seen = ({0: {}, 1: {}}, {})
+    for t, c in toxic.items():
+        w = t.split()
+        for p in set(zip(["<s>", *w[:-1]], w, strict=True)):
+            pairs[c][p] = pairs[c].get(p, 0) + 1
+    vocabulary = {w for t in toxic for w in t.split()}
+    size = len(vocabulary) + 2
+
+    def discount(counts):
+        n1, n2 = list(counts).count(1), list(counts).count(2)
+        return min(max(n1 / max(n1 + 2 * n2, 1), 0.05), 0.95)
+
+    after = {c: {w: sum(x == w for _, x in pairs[c]) for w in vocabulary} for c in (0, 1)}
+    everything = sum(sum(a.values()) for a in after.values())
+    shared = {w: (after[0][w] + after[1][w] + 0.5) / (everything + 0.5 * size) for w in vocabulary}
+
+    def word(c, w):
+        d, total = discount(after[c].values()), sum(after[c].values())
+        free = 1 - sum(max(n - d, 0) for n in after[c].values()) / total
+        return max(after[c][w] - d, 0) / total + free * shared[w]
+
+    def pair(c, u, w):
+        d = discount(pairs[c].values())
+        total = sum(n for (x, _), n in pairs[c].items() if x == u)
+        if not total:
+            return word(c, w)
+        kept = sum(max(n - d, 0) for (x, _), n in pairs[c].items() if x == u)
+        return max(pairs[c].get((u, w), 0) - d, 0) / total + (1 - kept / total) * word(c, w)
+
+    def ratio(u, w):
+        if (u, w) in pairs[0] or (u, w) in pairs[1]:
+            return np.log(pair(1, u, w) / pair(0, u, w))
+        return np.log(word(1, w) / word(0, w))
+
+    for t in [*texts[:40], "fool friend fool good day day bad"]:
+        w = t.split()
+        want = np.mean([ratio(u, x) for u, x in zip(["<s>", *w[:-1]], w, strict=True)])
+        assert abs(model.mean(pa.record_batch([pa.array([t])], names=["text"]))[0] - want) < 1e-9
+    assert beta[0] > 0
+
+
+def _site(k, style):
+    """(html, main text) of a page: article, menu, advert, comments and footer in one of several mark-ups."""
+    body = [prose(25, 9000 + 20 * k + j) + "." for j in range(3)]
+    title, menu, talk = prose(6, 9500 + k), [prose(1, 9600 + 9 * k + j) for j in range(5)], prose(12, 9700 + k) + "."
+    links = "".join(f"<li><a href='/{m}'>{m}</a>" for m in menu)
+    if style == "plain":
+        page = f"<html><head><title>{title}</title></head><body><nav><ul>{links}</ul></nav><article><h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+        page += f"</article><div class='comments'><p>{talk}</p></div><footer>&copy; {menu[0]}</footer></body></html>"
+    elif style == "omitted":  # no end tags where HTML lets one omit them
+        page = f"<!DOCTYPE html><title>{title}</title><meta charset=utf-8><nav><ul>{links}</ul></nav><main><h1>{title}</h1>" + "".join(f"<p>{b}" for b in body)
+        page += f"</main><aside class=sidebar><p>{talk}</aside><footer><p>&copy; {menu[0]}"
+    elif style == "unclosed head":
+        page = f"<html><head><title>{title}</title><style>p{{}}</style><body><nav>{links}</nav><article><h1>{title}</h1>" + "".join(f"<p>{b}" for b in body)
+        page += f"</article><footer>&copy; {menu[0]}</footer>"
+    else:  # deep: menu and main text nine levels and more inside
+        wrap = lambda inner: "<div>" * 12 + inner + "</div>" * 12
+        page = f"<html><body><nav>{wrap(f'<p>{talk}</p>')}</nav><article>{wrap(f'<h1>{title}</h1>' + ''.join(f'<p>{b}</p>' for b in body))}</article></body></html>"
+    return page, "\n".join([title, *body])
+
+
+def test_main_text_of_several_markups(spark):
+    styles = ("plain", "omitted", "unclosed head", "deep")
+    sites = [_site(k, styles[k % 4]) for k in range(60)]
+    long = "<article><h1>x</h1>" + "".join(f"<p>{prose(30, k)}." for k in range(400)) + "</article><footer>y</footer>"
+    rows = [(k, "u", page) for k, (page, _) in enumerate(sites)] + [(0, "u", sites[0][0]), (100, None, long), (101, "u", ""), (102, "u", None)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert len(got) == len(rows)
+    found = {}
+    for r in got:
+        found.setdefault(r.page_id, []).append(r.text)
+    right = [found[k][0] == want for k, (_, want) in enumerate(sites)]
+    assert all(right), [styles[k % 4] for k, ok in enumerate(right) if not ok]
+    assert len(found[0]) == 2 and len(set(found[0])) == 1 and found[101] == found[102] == [""]
+    assert found[100][0] == "\n".join(["x", *(prose(30, k) + "." for k in range(400))])
+
+
+def test_main_text_of_held_out_pages(spark):
+    """Share of blocks labelled as built, on pages of mark-ups that were in the training sample and on one that was not."""
+    train = [_site(k, ("plain", "omitted")[k % 2])[0] for k in range(60)]
+    model = html_text.train(train)
+    right = total = 0
+    for k in range(100, 140):
+        page, want = _site(k, ("plain", "omitted", "unclosed head", "deep")[k % 4])
+        found = html_text.blocks(page)
+        keep = model.decode(html_text.padded(html_text.features(found)), np.array([0, len(found)]))
+        right += sum((b[0] in want.split("\n")) == bool(x) for b, x in zip(found, keep, strict=True))
+        total += len(found)
+    assert right / total >= 0.97, right / total
