@@ -2,8 +2,9 @@
 
 The context of a site: ``method``, ``receiver_type``, ``args``, ``ext`` (an operand is outside input), ``tainted`` (one is a
 caller's parameter), ``hard_any``/``hard_all`` (literals or constants), ``chain`` (confidence of its taint chain, null
-without), ``hardened`` (the receiver was locked down before), ``names`` (of outside and tainted operands). Each list gives
-a confidence, or null for no alert. A site without a rule-specific list gets medium.
+without), ``hardened`` (the receiver, or what made it, was locked down before), ``receiver_ext``/``receiver_tainted`` (what the
+receiver was made of), ``names`` (of outside and tainted operands). Each list gives a confidence, or null for no alert. A site
+whose rule names no list gets medium; one whose list is not known gets low, so that a broken rule is seen.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ def _sql() -> Column:
 
 
 def _command() -> Column:
-    first = F.when((_c("method") == "start") & _c("chain").isNotNull(), "high").when((_c("method") == "start") & _c("ext"), "high").when((_c("method") == "start") & _c("tainted"), "medium").when(_c("method") == "start", None)
-    return first.when(_c("ext") | _c("chain").isNotNull(), "high").when(_c("tainted"), "medium").when(_c("hard_all"), None).when(_c("hard_any"), "low").otherwise("medium")
+    spread = _c("chain").isNotNull()
+    started = F.when(spread | _c("receiver_ext"), "high").when(_c("receiver_tainted"), "medium").otherwise("none")
+    other = F.when(_c("ext") | spread, "high").when(_c("tainted"), "medium").when(_c("hard_all"), "none").when(_c("hard_any"), "low").otherwise("medium")
+    return F.nullif(F.when(_c("method") == "start", started).otherwise(other), F.lit("none"))
 
 
 def _spread(otherwise: str, chained: str = "medium") -> Column:
@@ -56,20 +59,24 @@ def _ssrf() -> Column:
 
 
 def _xml() -> Column:
-    parse = _c("method").isin("parse")
-    return F.when(parse & ~_c("hardened"), "high").when(parse & _c("ext"), "medium").when(~parse & (_c("method") == "newInstance") & _c("receiver_type").endswith("DocumentBuilderFactory"), "medium")
+    parse = (_c("method") == "parse") & _c("receiver_type").endswith("DocumentBuilder")
+    made = (_c("method") == "newInstance") & _c("receiver_type").endswith("DocumentBuilderFactory")
+    return F.when(parse & ~_c("hardened"), "high").when(parse & _c("ext"), "medium").when(made, "medium")
 
 
 def _directory() -> Column:
     m = _c("method")
-    return F.when(m.isin("compile", "evaluate"), _spread("low")).when(m == "search", _spread("medium")).when(m == "lookup", F.when(_c("ext") | _c("chain").isNotNull(), "high").otherwise("medium"))
+    found = F.when(_c("ext"), "critical").when(_c("chain").isNotNull(), "high").otherwise("medium")
+    return F.when(m.isin("compile", "evaluate"), _spread("low")).when(m == "search", _spread("medium")).when(m == "lookup", found)
 
 
 def _crypto() -> Column:
+    """The algorithm as a word of the arguments; word borders are ASCII."""
     a = F.coalesce(_c("args"), F.lit(""))
-    word = lambda w: a.rlike(rf"(?i)(^|[^A-Za-z0-9]){w}([^A-Za-z0-9]|$)")
-    weak = word("DES(ede)?") | word("ECB") | word("(ARC4|RC4)") | (word("RSA") & ~a.rlike("(?i)OAEP"))
-    return F.when(a == "", None).when(weak, "high").when(word("MD5") | word("SHA-?1"), "high").when(a.rlike("(?i)SHA-?(2|3|512|384)"), None).when(_c("ext"), "high").otherwise("low")
+    word = lambda w, fold="": a.rlike(rf"{fold}(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)")
+    weak = (word("DES") & ~word("DESede") & ~word("3DES")) | word("ECB") | word("RC4") | word("ARCFOUR") | (word("RSA") & ~word("OAEP"))
+    short = word("MD5", "(?i)") | word("SHA-?1", "(?i)")
+    return F.when(a == "", None).when(weak | short, "high").when(word("SHA-?(224|256|384|512|3)", "(?i)"), None).when(_c("ext"), "high").otherwise("low")
 
 
 def _reflection() -> Column:
@@ -94,23 +101,32 @@ RULES = [
     Rule("S002", "Unsafe deserialization", "critical", _OBJECT, "Object read from an untrusted stream", "always"),
     Rule("S003", "Command injection", "critical", ["java.lang.Runtime.exec(*)", "java.lang.ProcessBuilder.command(*)", "java.lang.ProcessBuilder.start()", "java.lang.ProcessBuilder.ProcessBuilder(*)", "ProcessBuilder.ProcessBuilder(*)"], "Command made of outside input", "command"),
     Rule("S004", "Cross-file taint", "high", [*_SQL, *_OBJECT, "java.lang.Runtime.exec(*)", "java.lang.ProcessBuilder.start()", "java.lang.ProcessBuilder.command(*)"], "Outside input reaches a sink in another file", "chain", needs_chain=True),
-    Rule("S005", "Path traversal", "high", [f"java.io.{c}.{c}(*)" for c in ("FileInputStream", "FileOutputStream", "FileReader", "FileWriter", "File")], "File path made of outside input", "path"),
+    Rule("S005", "Path traversal", "high", ["java.io.FileInputStream.FileInputStream(*)", "java.io.FileOutputStream.FileOutputStream(*)", "java.io.FileReader.FileReader(*)", "java.io.FileWriter.FileWriter(*)", "java.io.File.File(*)"], "File path made of outside input", "path"),
     Rule("S006", "Server-side request forgery", "high", ["java.net.URL.URL(*)", "java.net.HttpURLConnection.openConnection(*)"], "Address made of outside input", "ssrf"),
     Rule("S007", "XML external entities", "critical", ["javax.xml.parsers.DocumentBuilder.parse(*)", "javax.xml.parsers.DocumentBuilderFactory.newInstance(*)", "javax.xml.transform.TransformerFactory.newInstance(*)", "javax.xml.validation.SchemaFactory.newInstance(*)", "org.xml.sax.XMLReader.parse(*)", "org.dom4j.io.SAXReader.read(*)"], "XML read without locking entities", "xml"),
     Rule("S008", "XPath, LDAP and JNDI injection", "critical", ["javax.xml.xpath.XPath.compile(*)", "javax.xml.xpath.XPath.evaluate(*)", "javax.naming.directory.DirContext.search(*)", "javax.naming.directory.InitialDirContext.search(*)", "javax.naming.directory.InitialDirContext.lookup(*)", "javax.naming.Context.lookup(*)", "javax.naming.InitialContext.lookup(*)"], "Query made of outside input", "directory"),
     Rule("S009", "Hard-coded secret", "high", ["javax.crypto.spec.SecretKeySpec.SecretKeySpec(*)", "java.sql.DriverManager.getConnection(*)"], "Key or password in the source", "secret"),
     Rule("S010", "Weak cryptography", "high", ["javax.crypto.Cipher.getInstance(*)", "java.security.MessageDigest.getInstance(*)"], "Weak algorithm", "crypto"),
     Rule("S011", "Unsafe reflection", "critical", ["java.lang.Class.forName(*)", "java.lang.Class.newInstance(*)", "java.lang.reflect.Constructor.newInstance(*)"], "Class chosen by outside input", "reflection"),
-    Rule("S012", "Insecure randomness", "medium", ["java.util.Random.Random(*)", *(f"java.util.Random.next{t}(*)" for t in ("Long", "Int", "Double", "Float", "Boolean", "Bytes", "Gaussian"))], "Predictable random numbers", "always"),
-    Rule("S013", "Log injection", "medium", [f"java.util.logging.Logger.{m}(*)" for m in ("info", "warning", "severe", "fine", "finer", "finest", "log")], "Log entry made of outside input", "log"),
+    Rule("S012", "Insecure randomness", "medium", ["java.util.Random.Random(*)", "java.util.Random.nextLong(*)", "java.util.Random.nextInt(*)", "java.util.Random.nextDouble(*)", "java.util.Random.nextFloat(*)", "java.util.Random.nextBoolean(*)", "java.util.Random.nextBytes(*)", "java.util.Random.nextGaussian(*)"], "Predictable random numbers", "always"),
+    Rule("S013", "Log injection", "medium", ["java.util.logging.Logger.info(*)", "java.util.logging.Logger.warning(*)", "java.util.logging.Logger.severe(*)", "java.util.logging.Logger.fine(*)", "java.util.logging.Logger.finer(*)", "java.util.logging.Logger.finest(*)", "java.util.logging.Logger.log(*)"], "Log entry made of outside input", "log"),
 ]
 
 
+def told(rules: list[Rule]) -> Column:
+    """The message of an alert: what the rule says, the outside input and parameters it found, and what it does not know."""
+    what = F.coalesce(*(F.when(_c("rule_id") == r.id, F.lit(r.description or r.name)) for r in rules), F.lit(""))
+    named = F.coalesce("names", F.lit("")) != ""
+    source = F.when(named & _c("ext"), F.concat(F.lit(": outside input "), "names")).when(named & _c("tainted"), F.concat(F.lit(": parameter "), "names"))
+    made = F.when(_c("receiver_ext"), " (receiver made of outside input)").when(_c("receiver_tainted"), " (receiver made of a parameter)")
+    return F.concat(what, F.coalesce(source, F.lit("")), F.coalesce(made, F.lit("")))
+
+
 def decide(matched: DataFrame, rules: list[Rule]) -> DataFrame:
     """matched (site context, rule_id) with ``confidence`` and ``message``; rows without an alert go."""
-    listed = [r for r in rules if r.check in CHECKS]
-    confidence = F.coalesce(*(F.when(_c("rule_id") == r.id, F.coalesce(CHECKS[r.check](), F.lit("none"))) for r in listed), F.lit("medium"))
-    told = F.coalesce(*(F.when(_c("rule_id") == r.id, F.lit(r.description)) for r in rules), F.lit(""))
-    message = F.concat(told, F.when(F.coalesce("names", F.lit("")) != "", F.concat(F.lit(": "), "names")).otherwise(F.lit("")))
+    listed = [F.when(_c("rule_id") == r.id, F.coalesce(CHECKS[r.check](), F.lit("none"))) for r in rules if r.check in CHECKS]
+    broken = [r.id for r in rules if r.check and r.check not in CHECKS]
+    otherwise = F.when(_c("rule_id").isin(*broken), "low").otherwise("medium") if broken else F.lit("medium")
     needed = [r.id for r in rules if r.needs_chain]
-    return matched.withColumn("confidence", confidence).withColumn("message", message).where((_c("confidence") != "none") & (~_c("rule_id").isin(*needed) | _c("chain").isNotNull()))
+    out = matched.withColumn("confidence", F.coalesce(*listed, otherwise)).withColumn("message", told(rules))
+    return out.where((_c("confidence") != "none") & (~_c("rule_id").isin(*needed) | _c("chain").isNotNull()))

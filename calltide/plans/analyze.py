@@ -12,50 +12,56 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators import context, graph, match, merge, provenance
+from calltide.operators import graph, match, merge, provenance
 from calltide.operators.lookup import cascade
 from calltide.operators.rules import RULES, Rule, decide
-from calltide.session import ensure_checkpoint_dir
+from calltide.session import Scratch
 from calltide.sources import java
 
 # Names that need no import, by package.
 BUILT_IN = {
-    "java.lang": "Object String Integer Long Boolean Double Float Short Byte Character Math System Thread Runtime Process ProcessBuilder Class StringBuilder StringBuffer Exception RuntimeException Iterable Runnable Throwable".split(),
-    "java.util": "List ArrayList Map HashMap Set HashSet Collection Random Date Properties Optional Arrays Collections UUID Scanner".split(),
-    "java.io": "File FileInputStream FileOutputStream FileReader FileWriter InputStream OutputStream Reader Writer BufferedReader ObjectInputStream IOException".split(),
-    "java.sql": "Connection Statement PreparedStatement ResultSet DriverManager SQLException".split(),
-}
+    "java.lang": ["Object", "String", "Integer", "Long", "Boolean", "Double", "Float", "Short", "Byte", "Character", "Math", "System", "Thread", "Runtime", "Process", "ProcessBuilder", "Class", "StringBuilder", "StringBuffer", "Exception", "RuntimeException", "Iterable", "Runnable", "Throwable"],
+    "java.util": ["List", "ArrayList", "Map", "HashMap", "Set", "HashSet", "Collection", "Random", "Date", "Properties", "Optional", "Arrays", "Collections", "UUID", "Scanner"],
+    "java.io": ["File", "FileInputStream", "FileOutputStream", "FileReader", "FileWriter", "InputStream", "OutputStream", "Reader", "Writer", "BufferedReader", "ObjectInputStream", "IOException"],
+    "java.sql": ["Connection", "Statement", "PreparedStatement", "ResultSet", "DriverManager", "SQLException"],
+}
 # Names of tainted parameters, and methods that read outside input.
 TAINTED_NAME = r"(?i)request|param|(^|[^a-z0-9_])input([^a-z0-9_]|$)|(^|[^a-z0-9_])user|header|body|query|cookie|token|password|secret|key|id$|name$|path$|url$|file$"
 SOURCE_METHODS = ["getParameter", "getHeader", "getInputStream", "getReader", "getQueryString", "getRequestURI", "getRemoteAddr", "getCookies", "getAttribute", "getParameterValues", "getPart", "getParts"]
 # Calls that make their argument harmless; used only if asked for.
-SANITIZER = r"(?i)^(sanitize|escape|encode(For(SQL|HTML|JavaScript|URL|CSS))?|parameterize|prepareStatement|bind|set(String|Int|Long|Double|Float|Boolean|Bytes|Date|Timestamp|Object)|validate|whitelist|allowlist)$"
+SANITIZERS = [
+    "sanitize", "escape", "encode", "encodeForSQL", "encodeForHTML", "encodeForJavaScript", "encodeForURL", "encodeForCSS", "parameterize", "prepareStatement", "bind", "setString", "setInt", "setLong", "setDouble",
+    "setFloat", "setBoolean", "setBytes", "setDate", "setTimestamp", "setObject", "validate", "whitelist", "allowlist",
+]
 HARDENING = "setFeature"
 ALERT_KEY = ["rule_id", "path", "line", "signature"]
+ALERT_SCHEMA = (
+    "rule_id string, severity string, confidence string, message string, path string, line int, seq int, signature string, class_name string, method_name string, source_line string, "
+    "chain string, chain_source string, chain_depth int, chain_path string, chain_reason string, detected_at bigint"
+)
+ALERT_COLUMNS = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
 
 
 @dataclass
 class Scan:
-    """Tables of one scan."""
+    """Tables of one scan, all of them selections of ``facts``."""
 
-    lines: DataFrame
+    facts: DataFrame
     classes: DataFrame
     methods: DataFrame
     variables: DataFrame
+    assignments: DataFrame
     constants: DataFrame
     imports: DataFrame
     packages: DataFrame
     calls: DataFrame
 
 
-def scan(files: DataFrame) -> Scan:
-    """Each table is cut from its lineage: later joins plan on what is written, and a lost executor costs one table."""
-    ensure_checkpoint_dir(files.sparkSession)
-    lines = java.source_lines(files).checkpoint()
-    types = java.classes(lines).checkpoint()
-    made = java.methods(lines, types).checkpoint()
-    whole = java.statements(lines).checkpoint()
-    return Scan(lines, types, made, java.variables(whole, types, made).checkpoint(), java.constants(lines, types).checkpoint(), java.imports(lines).checkpoint(), java.packages(lines).checkpoint(), java.calls(whole, types, made).checkpoint())
+def scan(files: DataFrame, scratch: Scratch | None = None) -> Scan:
+    """Files are read once; the facts are written, so later joins plan on what is there, and a lost executor costs one table."""
+    facts = (scratch or Scratch(files.sparkSession)).keep(java.facts(files))
+    tables = (java.classes, java.methods, java.variables, java.assignments, java.constants, java.imports, java.packages, java.calls)
+    return Scan(facts, *(table(facts) for table in tables))
 
 
 def _built_in(spark: SparkSession) -> DataFrame:
@@ -66,7 +72,7 @@ def _built_in(spark: SparkSession) -> DataFrame:
 def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     """Call sites with ``type`` (qualified class of the receiver), ``provenance`` and ``signature``. ``returns`` has
     (class_name, method, return_type) of a library, for receivers that are calls."""
-    spark = s.lines.sparkSession
+    spark = s.facts.sparkSession
     own = F.col("receiver").isin("", "this", "super")
     bare = F.regexp_replace("receiver", r"^(this|super)\.", "")
     sites = s.calls.withColumn("scope", F.coalesce("method_name", F.lit("<fields>"))).withColumn("bare", bare).withColumn("fields", F.lit("<fields>"))
@@ -83,13 +89,24 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     inner = [(variables, {"path": "path", "class_name": "class_name", "scope": "scope", "inner": "name"}, "type", "v"), (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "inner": "name"}, "type", "f")]
     typed = cascade(typed, inner, F.col("inner"), "inner_type", "_ignored").drop("_ignored")
 
+    declared = s.classes.join(s.packages, "path", "left").select("path", F.coalesce("package", F.lit("")).alias("package"), F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"))
+    near = merge.first_wins(declared, ["package", "short_name"], ["path"]).select("package", "short_name", "fqn")
+    far = declared.groupBy("short_name").agg(F.min("fqn").alias("fqn"), F.max("fqn").alias("last")).where("fqn = last").select("short_name", "fqn")
+
     def qualified(rows: DataFrame, name: str, into: str, told: str) -> DataFrame:
-        known = [(s.imports, {"path": "path", name: "short_name"}, "fqn", "import"), (_built_in(spark), {name: "short_name"}, "fqn", "built-in")]
-        classes = merge.first_wins(s.classes.join(s.packages, "path", "left").select(F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"), "path"), ["short_name"], ["path"]).select("short_name", "fqn")
-        rows = cascade(rows, [known[0], (classes, {name: "short_name"}, "fqn", "import"), known[1]], F.col(name), into, told)
+        """By an import, a class of the file, one of its package, a name that needs no import, or the one class of that name."""
+        levels = [
+            (s.imports, {"path": "path", name: "short_name"}, "fqn", "import"),
+            (declared.select("path", "short_name", "fqn").dropDuplicates(["path", "short_name"]), {"path": "path", name: "short_name"}, "fqn", "file"),
+            (near, {"package": "package", name: "short_name"}, "fqn", "package"),
+            (_built_in(spark), {name: "short_name"}, "fqn", "built-in"),
+            (far, {name: "short_name"}, "fqn", "project"),
+        ]
+        rows = cascade(rows, levels, F.col(name), into, told)
         dotted = F.col(name).rlike(r"^[a-z_]\w*(\.\w+)+$")
         return rows.withColumn(into, F.when(dotted, F.col(name)).otherwise(F.col(into))).withColumn(told, F.when(dotted, "qualified").otherwise(F.col(told)))
 
+    typed = typed.join(s.packages, "path", "left").withColumn("package", F.coalesce("package", F.lit("")))
     typed = qualified(typed, "inner_type", "inner_fqn", "_ignored").drop("_ignored")
     if returns is not None:
         side = returns.select(F.col("class_name").alias("inner_fqn"), F.col("method").alias("inner_method"), "return_type").dropDuplicates(["inner_fqn", "inner_method"])
@@ -98,18 +115,20 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     out = qualified(typed, "short", "type", "looked").withColumn("provenance", F.coalesce("told", "looked"))
     name = F.when(F.col("method") == "<init>", F.element_at(F.split("type", r"\."), -1)).otherwise(F.col("method"))
     out = out.withColumn("called", name).withColumn("signature", F.concat("type", F.lit("."), name, F.lit("()")))
-    return out.select("path", "line", "seq", "text", "receiver", "method", "called", "class_name", "method_name", "method_line", "scope", "is_handler", "type", "provenance", "signature", F.concat_ws(":", "path", "line", "seq").alias("site_id"))
+    return out.select("path", "line", "seq", "text", "args", "receiver", "method", "called", "class_name", "method_name", "method_line", "scope", "is_handler", "type", "provenance", "signature", F.concat_ws(":", "path", "line", "seq").alias("site_id"))
 
 
 def node_id(path: Column, class_name: Column, method: Column) -> Column:
     return F.concat_ws("::", path, class_name, method)
 
 
-def call_graph(sites: DataFrame, methods: DataFrame) -> DataFrame:
-    """(source, target, line): calls between declared methods; a call meets the methods of its name in a class of its type's name."""
-    callee = methods.select(F.col("class_name").alias("callee_class"), F.col("method_name").alias("called"), node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
-    short = F.element_at(F.split("type", r"\."), -1)
-    return sites.where("method_name is not null").select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("source"), "line", short.alias("callee_class"), "called").join(callee, ["callee_class", "called"]).select("source", "target", "line")
+def call_graph(sites: DataFrame, s: Scan) -> DataFrame:
+    """(source, target, line): calls between declared methods; a call meets the methods of its name in its receiver's qualified
+    type, so classes of one name in different packages stay apart."""
+    owner = s.methods.join(s.packages, "path", "left").withColumn("type", F.concat_ws(".", "package", "class_name"))
+    callee = owner.select("type", F.col("method_name").alias("called"), node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
+    caller = sites.where("method_name is not null").select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("source"), "line", "type", "called")
+    return caller.join(callee, ["type", "called"]).select("source", "target", "line")
 
 
 def taint_sources(methods: DataFrame, sites: DataFrame) -> DataFrame:
@@ -124,58 +143,111 @@ def taint_sources(methods: DataFrame, sites: DataFrame) -> DataFrame:
     return merge.first_wins(every, ["node"], ["seq"]).select("node", "confidence", "reason")
 
 
+def receiver_sources(sites: DataFrame, assigned: DataFrame) -> DataFrame:
+    """sites with ``arguments``: what stands in the last brackets of the receiver itself, or of the first value that the receiver is
+    given in its method; it is taken as one argument."""
+    first = merge.first_wins(assigned, ["path", "class_name", "scope", "name"], ["seq"]).select("path", "class_name", "scope", F.col("name").alias("receiver"), "value")
+    made = F.when(F.col("receiver").contains("("), F.col("receiver")).otherwise(F.col("value"))
+    inside = F.regexp_extract(made, r"\(([^()]*)\)[^()]*$", 1)
+    return sites.drop("arguments").join(first, ["path", "class_name", "scope", "receiver"], "left").withColumn("arguments", F.coalesce(inside, F.lit(""))).drop("value")
+
+
+def hardened(sites: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(site_id): sites whose receiver, or the object that made it, was locked down before in the same method."""
+    place = ["path", "class_name", "scope"]
+    locked = sites.where(F.col("method") == HARDENING).groupBy(*place, F.col("receiver").alias("object")).agg(F.min("seq").alias("since"))
+    maker = merge.first_wins(assigned, [*place, "name"], ["seq"]).select(*place, F.col("name").alias("receiver"), F.regexp_extract("value", r"^(\w+)\.", 1).alias("maker"))
+    asked = sites.join(maker, [*place, "receiver"], "left").select("site_id", *place, "seq", F.explode(F.array("receiver", F.coalesce("maker", F.lit("")))).alias("object"))
+    return asked.where("object <> ''").join(locked, [*place, "object"]).where("since < seq").select("site_id").distinct()
+
+
 def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False) -> DataFrame:
     """One row per rule and call site: rule_id, severity, confidence, message, path, line, signature, class_name, method_name,
     source_line, chain columns (null without), detected_at. ``sanitizers``: methods that call one stop taint."""
     rules = RULES if rules is None else rules
-    spark, s = files.sparkSession, scan(files)
-    sites = resolve(s, returns)
-    sites = context.usage_counts(sites.withColumn("at", F.col("line") * 100000 + F.col("seq")), ["path", "class_name", "scope", "receiver"], ["at"], F.col("method") == HARDENING).checkpoint()
+    spark, scratch = files.sparkSession, Scratch(files.sparkSession)
+    s = scan(files, scratch)
+    sites = scratch.keep(resolve(s, returns))
     rows = ", ".join(f"('{r.id}', '{r.severity}', '{g}')" for r in rules for g in r.globs)
     patterns = spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, severity, glob)")
-    matched = match.match_rules(sites, patterns, method="called").checkpoint()
+    matched = scratch.keep(match.match_rules(sites, patterns, method="called"))
 
-    asked = matched.dropDuplicates(["site_id"]).withColumn("args", java.argument_text(F.col("text"), F.col("method")))
+    asked = matched.dropDuplicates(["site_id"]).withColumn("arguments", F.col("args"))
+    made = receiver_sources(asked, s.assignments).withColumn("site_id", F.concat("site_id", F.lit("#receiver")))
     given = s.methods.select("path", "class_name", F.col("method_name").alias("scope"), F.explode("params").alias("p")).select("path", "class_name", "scope", "p.name")
-    parts = provenance.argument_parts(asked.withColumn("arguments", F.col("args")), given, s.variables, s.constants)
-    told = asked.select("site_id", "args").join(provenance.flags(parts), "site_id", "left")
+    parts = provenance.argument_parts(asked.unionByName(made), given, s.variables, s.constants)
+    told = scratch.keep(provenance.flags(parts))
+    receiver = told.where(F.col("site_id").endswith("#receiver")).select(F.regexp_replace("site_id", "#receiver$", "").alias("site_id"), F.col("ext").alias("receiver_ext"), F.col("tainted").alias("receiver_tainted"))
+    told = told.where(~F.col("site_id").endswith("#receiver")).join(receiver, "site_id", "full")
 
     chain = None
     if taint:
-        edges = call_graph(sites, s.methods)
+        edges = call_graph(sites, s)
         if sanitizers:
-            clean = sites.where(F.col("method").rlike(SANITIZER) & F.col("method_name").isNotNull()).select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
+            clean = sites.where(F.col("method").isin(*SANITIZERS) & F.col("method_name").isNotNull()).select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
             edges = edges.join(clean, "target", "left_anti")
         sinks = matched.where("method_name is not null").select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("root")).distinct()
-        chain = graph.best_chain(graph.chains(edges, sinks, taint_sources(s.methods, sites))).select("root", F.col("confidence").alias("chain"), F.col("source").alias("chain_source"), F.col("depth").alias("chain_depth"), graph.propagation(F.col("path")).alias("chain_path"), F.col("reason").alias("chain_reason"))
+        best = graph.best_chain(graph.chains(edges, sinks, taint_sources(s.methods, sites)))
+        chain = best.select("root", F.col("confidence").alias("chain"), F.col("source").alias("chain_source"), F.col("depth").alias("chain_depth"), graph.propagation(F.col("path")).alias("chain_path"), F.col("reason").alias("chain_reason"))
     full = matched.join(told, "site_id", "left").withColumn("root", node_id(F.col("path"), F.col("class_name"), F.col("method_name")))
-    full = full.join(chain, "root", "left") if chain is not None else full.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("chain", "string"), ("chain_source", "string"), ("chain_depth", "int"), ("chain_path", "string"), ("chain_reason", "string"))))
-    full = full.select("*", F.col("type").alias("receiver_type"), (F.col("prior") > 0).alias("hardened")).fillna(False, ["ext", "tainted", "hard_any", "hard_all"])
+    nothing = (("chain", "string"), ("chain_source", "string"), ("chain_depth", "int"), ("chain_path", "string"), ("chain_reason", "string"))
+    full = full.join(chain, "root", "left") if chain is not None else full.select("*", *(F.lit(None).cast(t).alias(c) for c, t in nothing))
+    full = full.join(hardened(sites, s.assignments).withColumn("hardened", F.lit(True)), "site_id", "left")
+    full = full.withColumn("receiver_type", F.col("type")).fillna(False, ["ext", "tainted", "hard_any", "hard_all", "hardened", "receiver_ext", "receiver_tainted"])
     severity = patterns.select("rule_id", "severity").distinct()
-    out = decide(full, rules).join(severity, "rule_id")
+    return _ranked(decide(full, rules).join(severity, "rule_id"), detected_at)
+
+
+def _ranked(out: DataFrame, detected_at: int) -> DataFrame:
+    """Alerts with what their chain adds; of several at one key, the first."""
     sure = (F.col("chain") == "high") & (F.col("confidence") == "medium")
-    out = out.withColumn("message", F.when(sure, F.concat("message", F.lit(" [Taint confirmed: "), "chain_path", F.lit("]"))).when(F.col("chain").isin("high", "medium"), F.concat("message", F.lit(" [Taint source: "), "chain_source", F.lit("]"))).otherwise(F.col("message")))
-    out = out.withColumn("confidence", F.when(sure, "high").otherwise(F.col("confidence"))).withColumn("source_line", F.trim("text")).withColumn("detected_at", F.lit(detected_at).cast("long"))
-    keep = ["rule_id", "severity", "confidence", "message", "path", "line", "seq", "signature", "class_name", "method_name", "source_line", "chain", "chain_source", "chain_depth", "chain_path", "chain_reason", "detected_at"]
-    return merge.first_wins(out.select(*keep), ALERT_KEY, ["seq"])
+    chained = F.when(sure, F.concat("message", F.lit(" [Taint confirmed: "), "chain_path", F.lit("]"))).when(F.col("chain").isin("high", "medium"), F.concat("message", F.lit(" [Taint source: "), "chain_source", F.lit("]")))
+    out = out.withColumn("message", F.coalesce(chained, "message")).withColumn("confidence", F.when(sure, "high").otherwise(F.col("confidence")))
+    out = out.withColumn("source_line", F.trim("text")).withColumn("detected_at", F.lit(detected_at).cast("long"))
+    return merge.first_wins(out.select(*ALERT_COLUMNS), ALERT_KEY, ["seq"])
 
 
-def append_alerts(spark: SparkSession, new: DataFrame, table: str) -> DataFrame:
-    """Append the alerts that the Parquet table does not hold yet; the first writer of a key wins, also across runs."""
+def _exists(spark: SparkSession, table: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    held = spark.read.schema(new.schema).parquet(table) if there else spark.createDataFrame([], new.schema)
-    merge.keep_first_upsert(held, new, ALERT_KEY, ["detected_at", "seq"]).write.mode("append").parquet(table)
-    return spark.read.schema(new.schema).parquet(table)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def stored(spark: SparkSession, table: str) -> DataFrame:
+    """The alerts table; an empty one if none has been written."""
+    return spark.read.schema(ALERT_SCHEMA).parquet(table) if _exists(spark, table) else spark.createDataFrame([], ALERT_SCHEMA)
+
+
+def append_alerts(spark: SparkSession, new: DataFrame, table: str, clear: bool = False) -> DataFrame:
+    """Append the alerts that the Parquet table does not hold yet; the first writer of a key wins, also across runs. With
+    ``clear``, the new alerts take the place of all others."""
+    held = spark.createDataFrame([], ALERT_SCHEMA) if clear else stored(spark, table)
+    fresh = merge.keep_first_upsert(held, new.select(*ALERT_COLUMNS), ALERT_KEY, ["detected_at", "seq"])
+    fresh.write.mode("overwrite" if clear else "append").parquet(table)
+    return stored(spark, table)
+
+
+def newest(found: DataFrame) -> DataFrame:
+    """Alerts newest first, then by place, the chain as one struct that is null without a source."""
+    chain = [c for c in ALERT_COLUMNS if c.startswith("chain")]
+    one = F.when(F.col("chain_source").isNotNull(), F.struct(*(F.col(c).alias(c.removeprefix("chain_") if c != "chain" else "confidence") for c in chain))).alias("taint")
+    return found.select(*(c for c in ALERT_COLUMNS if c not in chain), one).orderBy(F.desc("detected_at"), "path", "line", "seq", "rule_id")
+
+
+def with_taint(found: DataFrame) -> DataFrame:
+    """Alerts that have a chain."""
+    return found.where(F.col("chain_source").isNotNull())
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """(severity, n): counts by severity."""
-    return found.groupBy("severity").agg(F.count("*").alias("n"))
+    """(severity, n, first): counts by severity, and the place in which the severity is met first."""
+    return found.groupBy("severity").agg(F.count("*").alias("n"), F.min(F.struct("path", "line", "seq")).alias("first"))
 
 
-def report(found: DataFrame) -> str:
-    """Alerts as text, by severity and place. For a terminal: what it prints, the driver holds."""
+def report(found: DataFrame, most: int = 1000) -> str:
+    """At most ``most`` alerts as text, by severity and place, and how many there are: what a terminal prints, the driver holds."""
     order = {k: i for i, k in enumerate(("critical", "high", "medium", "low", "info"))}
-    rows = sorted(found.select("severity", "rule_id", "confidence", "path", "line", "message").collect(), key=lambda r: (order.get(r.severity, 9), r.path, r.line, r.rule_id))
-    return "\n".join(f"{r.severity:9}{r.rule_id} ({r.confidence}) {r.path}:{r.line} {r.message}" for r in rows)
+    rank = F.coalesce(*(F.when(F.col("severity") == k, i) for k, i in order.items()), F.lit(9))
+    rows = found.select("severity", "rule_id", "confidence", "path", "line", "message").orderBy(rank, "path", "line", "rule_id").limit(most).collect()
+    lines = [f"{r.severity:9}{r.rule_id} ({r.confidence}) {r.path}:{r.line} {r.message}" for r in rows]
+    more = found.count() - len(rows) if len(rows) == most else 0
+    return "\n".join([*lines, *([f"... and {more} more"] if more else [])])

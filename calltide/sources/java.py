@@ -1,39 +1,36 @@
-"""Java sources as tables: files, lines, declarations, variables, constants and calls, by column expressions over lines.
+"""Java sources as tables: files, lines, declarations, variables, constants, imports and calls.
 
-There is no full parser here: code is cut into logical lines (a line that starts with a dot continues the one before),
-string contents and comments are blanked for bracket counting, and declarations and calls are met by patterns. Block
-scopes are flattened; the last declaration of a name in a scope wins.
+``facts`` reads each file once: ``calltide.sources.javascan`` cuts it into tokens (comments, strings and text blocks whole) and
+follows brackets, so declarations and calls may stand on any number of lines. It gives one row per fact, and every table here is a
+selection of these rows by column expressions. Block scopes are flattened into their method; the last declaration of a name in a
+scope wins. A file that cannot be read to its end gives what was found, and says so in ``files_read``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.functions.signatures import parameters, simple_type, trimmed
-from calltide.operators.merge import last_wins
+from calltide.functions.signatures import simple_type
+from calltide.operators.merge import first_wins, last_wins
+from calltide.sources.javascan import Fact, scan_text
 
 # Folder and file names that a scan leaves out.
 SKIPPED = [".git", "node_modules", "target", "build", ".gradle"]
-# Names that stand before a parenthesis without being calls.
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "synchronized", "super", "this", "new", "else", "try", "throw", "assert", "do", "case"]
-# Annotations that mark request handlers.
-HANDLER_CLASS, HANDLER_METHOD = r"@(RestController|Controller)\b", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\b"
-PRIMITIVE = "int|long|boolean|double|float|char|byte|short"
-_TYPE = rf"(?:{PRIMITIVE}|var|[A-Za-z_$][\w$.]*(?:<[^=;(]*>)?)(?:\[\])*"
-_MODIFIERS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default|native|strictfp|sealed|transient|volatile)\s+)*"
-_CLASS = rf"^\s*{_MODIFIERS}(?:class|interface|enum|record)\s+(\w+)"
-_METHOD = rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*{_MODIFIERS}(?:<[^>]+>\s+)?(?:({_TYPE})\s+)?(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w.,\s]+)?\{{?\s*$"
-_FIELD = rf"^\s*(?:try\s*\(\s*|for\s*\(\s*)?{_MODIFIERS}({_TYPE})\s+(\w+)\s*(?:=\s*(.*?))?\s*(?:[;:].*)?(?:\)\s*\{{)?$"
-_CATCH = r"catch\s*\(\s*(?:final\s+)?([\w.]+)(?:\s*\|\s*[\w.]+)*\s+(\w+)\s*\)"
-_CALL = r"((?:[A-Za-z_$][\w$]*\s*(?:\([^()]*\))?\s*\.\s*)*)([A-Za-z_$][\w$]*)\s*\("
-
-
-def source_files(spark: SparkSession, root: str, pattern: str = "*.java") -> DataFrame:
-    """(path, text) of every matching file below the root, those below a skipped name left out."""
+FACTS = (
+    "path string, kind string, seq int, line int, end int, class_name string, method_name string, method_line int, is_handler boolean, "
+    "name string, type string, value string, receiver string, modifiers string, text string, params array<struct<type: string, name: string>>"
+)
+
+
+def source_files(spark: SparkSession, root: str, pattern: str = "*.java", skip: bool = True) -> DataFrame:
+    """(path, text) of every matching file below the root; with ``skip``, those below a skipped name are left out."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED)))) if skip else files
 
 
 def one_file(files: DataFrame, target: str) -> DataFrame:
@@ -42,140 +39,110 @@ def one_file(files: DataFrame, target: str) -> DataFrame:
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    """(path, line, text, code): lines from 1; ``code`` is without comments, and with empty strings and characters."""
+    """(path, line, text): lines from 1."""
     lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("k", "text"))
-    blank = F.regexp_replace(F.col("text"), r'"(?:\\.|[^"\\])*"', '""')
-    blank = F.regexp_replace(F.regexp_replace(blank, r"'(?:\\.|[^'\\])'", "' '"), r"//.*$|/\*.*?\*/", "")
-    code = F.when(F.col("text").rlike(r"^\s*(\*|/\*)"), F.lit("")).otherwise(blank)
-    return lines.select("path", (F.col("k") + 1).alias("line"), "text", code.alias("code"))
+    return lines.select("path", (F.col("k") + 1).alias("line"), "text")
+
+
+def code_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank and do not begin as a comment does."""
+    return lines.where(~F.col("text").rlike(r"^\s*(//|\*|/\*|$)"))
+
+
+def source_line(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (path, line) with ``source_line``, empty where there is none."""
+    there = lines.select("path", "line", F.col("text").alias("source_line"))
+    return rows.join(there, ["path", "line"], "left").withColumn("source_line", F.coalesce("source_line", F.lit("")))
 
 
-def _depths(lines: DataFrame) -> DataFrame:
-    """lines with the bracket depth before and after them. The running sum is by file, so files are independent."""
-    rise = F.length(F.regexp_replace("code", r"[^{]", "")) - F.length(F.regexp_replace("code", r"[^}]", ""))
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("after", F.sum(rise).over(w)).withColumn("before", F.col("after") - rise)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = [c.split()[0] for c in FACTS.split(", params")[0].split(", ")] + ["params"]
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[c.split()[1]] for c in FACTS.split(", params")[0].split(", ")] + [pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))]
+    for batch in batches:
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found: list[Fact] = scan_text(text or "")
+            rows = [[path] * len(found), *([getattr(f, c) for f in found] for c in columns[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=columns)
 
 
-def _closed(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Declarations (path, line, before, ...) with ``end``: the first line at or below where the depth is back. The join is
-    within one file, so its rows are bounded by the file's declarations times its lines."""
-    tail = lines.select("path", F.col("line").alias("at"), F.col("after").alias("d"), F.col("code").contains("}").alias("closes"))
-    ends = found.join(tail, "path").where("at >= line and closes and d <= before").groupBy("path", "line").agg(F.min("at").alias("end"))
-    return found.join(ends, ["path", "line"], "left")
+def facts(files: DataFrame) -> DataFrame:
+    """One row per fact of each file; ``seq`` is its place in the file."""
+    return files.select("path", "text").mapInArrow(_rows, FACTS)
 
 
-def classes(lines: DataFrame) -> DataFrame:
+def files_read(found: DataFrame) -> DataFrame:
+    """(path, calls, error) of each file: how many calls it has, and why it could not be read whole, null if it could."""
+    error = F.max(F.when(F.col("kind") == "error", F.col("value")))
+    return found.groupBy("path").agg(F.count_if(F.col("kind") == "call").alias("calls"), error.alias("error"))
+
+
+def classes(found: DataFrame) -> DataFrame:
     """(path, class_name, line, end, is_handler), nested ones too; an unclosed class ends nowhere (null)."""
-    deep = _depths(lines)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(-3, Window.currentRow)
-    marked = F.max(F.when(F.col("text").rlike(HANDLER_CLASS), True).otherwise(False)).over(w)
-    found = deep.withColumn("marked", marked).withColumn("class_name", F.regexp_extract("code", _CLASS, 1)).where("class_name <> ''")
-    found = found.select("path", "line", "before", "class_name", (F.col("marked") | F.col("class_name").endswith("Controller")).alias("is_handler"))
-    return _closed(found, deep).drop("before")
-
-
-def _inside(rows: DataFrame, spans: DataFrame, name: str, keep: list[str]) -> DataFrame:
-    """rows with the innermost span of their file around them, null where there is none."""
-    span = spans.select("path", F.col("line").alias("_a"), F.coalesce("end", F.lit(1 << 30)).alias("_b"), F.struct(F.col("line"), *keep).alias(name))
-    near = rows.select("path", "line").distinct().join(span, "path").where("line between _a and _b").groupBy("path", "line").agg(F.max(name).alias(name))
-    return rows.join(near, ["path", "line"], "left")
-
-
-def methods(lines: DataFrame, types: DataFrame) -> DataFrame:
-    """(path, class_name, method_name, line, end, params, is_handler): declarations with their extent and parameters."""
-    deep = _depths(lines)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(-3, Window.currentRow)
-    marked = F.max(F.when(F.col("text").rlike(HANDLER_METHOD), True).otherwise(False)).over(w)
-    plain = F.regexp_replace("code", r"@\w+(?:\([^)]*\))?\s+(?=[^(]*\))", "")
-    found = deep.withColumn("marked", marked).select("path", "line", "before", "marked", F.regexp_extract(plain, _METHOD, 1).alias("returns"), F.regexp_extract(plain, _METHOD, 2).alias("method_name"), F.regexp_extract(plain, _METHOD, 3).alias("list"))
-    found = found.where((F.col("method_name") != "") & ~F.col("method_name").isin(*KEYWORDS) & ~F.col("returns").isin("return", "new", "throw", "else"))
-    placed = _inside(_closed(found, deep), types, "owner", ["class_name", "is_handler"]).where("owner is not null and (returns <> '' or method_name = owner.class_name)")
-    params = F.transform(parameters(F.col("list")), lambda p: F.struct(F.regexp_replace(p["type"], r"^final\s+", "").alias("type"), p["name"].alias("name")))
-    return placed.select("path", F.col("owner.class_name").alias("class_name"), "method_name", "line", "end", params.alias("params"), (F.col("owner.is_handler") | F.col("marked")).alias("is_handler"))
-
-
-def imports(lines: DataFrame) -> DataFrame:
+    return found.where("kind = 'class'").select("path", F.col("name").alias("class_name"), "line", "end", "is_handler")
+
+
+def methods(found: DataFrame) -> DataFrame:
+    """(path, class_name, method_name, line, end, returns, params, is_handler): declarations with their extent and parameters."""
+    rows = found.where("kind = 'method'")
+    return rows.select("path", "class_name", F.col("name").alias("method_name"), "line", "end", F.col("type").alias("returns"), "params", "is_handler")
+
+
+def imports(found: DataFrame) -> DataFrame:
     """(path, short_name, fqn): the last explicit import of each name; wildcards are no entries."""
-    fqn = F.regexp_extract("code", r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", 1)
-    found = lines.select("path", "line", fqn.alias("fqn")).where("fqn <> ''").withColumn("short_name", F.element_at(F.split("fqn", r"\."), -1))
-    return last_wins(found.select("path", "short_name", "line", "fqn"), ["path", "short_name"], ["line"]).drop("line")
+    rows = found.where("kind = 'import' and name <> '*'").select("path", F.col("name").alias("short_name"), "seq", F.col("type").alias("fqn"))
+    return last_wins(rows, ["path", "short_name"], ["seq"]).drop("seq")
 
 
-def packages(lines: DataFrame) -> DataFrame:
+def packages(found: DataFrame) -> DataFrame:
     """(path, package) of files that declare one."""
-    found = lines.select("path", "line", F.regexp_extract("code", r"^\s*package\s+([\w.]+)\s*;", 1).alias("package")).where("package <> ''")
-    return last_wins(found, ["path"], ["line"]).drop("line")
-
-
-def constants(lines: DataFrame, types: DataFrame) -> DataFrame:
-    """(class_name, field_name, value) of one-line string constants, the last of each name; also with an empty class name for
-    look-ups by field alone."""
-    rx = r'^\s*(?:(?:public|protected|private)\s+)?static\s+final\s+String\s+(\w+)\s*=\s*"([^"]*)"\s*;'
-    found = lines.select("path", "line", F.regexp_extract("text", rx, 1).alias("field_name"), F.regexp_extract("text", rx, 2).alias("value")).where("field_name <> ''")
-    found = _inside(found, types, "owner", ["class_name"]).select("path", "line", "field_name", "value", F.coalesce("owner.class_name", F.lit("")).alias("class_name"))
-    both = found.unionByName(found.withColumn("class_name", F.lit("")))
-    return last_wins(both, ["class_name", "field_name"], ["path", "line"]).select("class_name", "field_name", "value")
-
-
-def statements(lines: DataFrame) -> DataFrame:
-    """Logical lines: (path, line, text, code), a line that starts with a dot put behind the one before it."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = F.sum(F.when(F.col("code").rlike(r"^\s*\."), 0).otherwise(1)).over(w)
-    parts = lines.withColumn("k", number).groupBy("path", "k").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "text", "code"))).alias("p"))
-    join = lambda c: F.array_join(F.transform("p", lambda x: F.when(x["line"] == F.col("line"), F.rtrim(x[c])).otherwise(trimmed(x[c]))), "")
-    return parts.select("path", "line", join("text").alias("text"), join("code").alias("code"))
-
-
-def _scoped(rows: DataFrame, types: DataFrame, made: DataFrame) -> DataFrame:
-    rows = _inside(_inside(rows, types, "_c", ["class_name"]), made, "_m", ["method_name", "is_handler"])
-    return rows.where("_c is not null").withColumn("class_name", F.col("_c.class_name")).withColumn("method_name", F.col("_m.method_name")).withColumn("method_line", F.col("_m.line")).withColumn("is_handler", F.coalesce("_m.is_handler", F.lit(False))).drop("_c", "_m")
-
-
-def variables(whole: DataFrame, types: DataFrame, made: DataFrame) -> DataFrame:
-    """(path, class_name, scope, name, type, value): fields (scope ``<fields>``), locals, resources, loop and catch variables and
-    parameters; a ``new T(...)`` value overrides the declared type. The last declaration of a name in a scope wins."""
-    code = F.col("code")
-    word = lambda rx, k: F.regexp_extract("text", rx, k)
-    plain = whole.select("path", "line", F.regexp_extract(code, _FIELD, 1).alias("type"), F.regexp_extract(code, _FIELD, 2).alias("name"), word(_FIELD, 3).alias("value"))
-    plain = plain.where((F.col("name") != "") & ~F.col("type").isin("return", "throw", "package", "import", "new", "else", "case", "goto"))
-    caught = whole.select("path", "line", F.regexp_extract(code, _CATCH, 1).alias("type"), F.regexp_extract(code, _CATCH, 2).alias("name"), F.lit("").alias("value")).where("name <> ''")
-    rows = _scoped(plain.unionByName(caught), types, made).select("path", "line", "class_name", F.coalesce("method_name", F.lit("<fields>")).alias("scope"), "name", "type", "value")
-    given = made.select("path", "line", "class_name", F.col("method_name").alias("scope"), F.explode("params").alias("p")).select("path", "line", "class_name", "scope", F.col("p.name").alias("name"), F.col("p.type").alias("type"), F.lit("").alias("value"))
-    made_type = F.regexp_extract("value", r"^new\s+([\w.]+)", 1)
-    rows = rows.unionByName(given.where("name <> ''")).withColumn("type", simple_type(F.when(made_type != "", made_type).otherwise(F.col("type"))))
-    return last_wins(rows, ["path", "class_name", "scope", "name"], ["line"])
-
-
-def calls(whole: DataFrame, types: DataFrame, made: DataFrame) -> DataFrame:
-    """(path, line, seq, receiver, method, class_name, method_name, ...): calls and constructions (``<init>``, receiver the type)
-    of every statement inside a class, outer calls of a chain before inner ones; declarations are no calls."""
-    text = F.col("code")
-    hits = F.regexp_extract_all(text, F.lit(_CALL), F.lit(0))
-    direct = F.transform(hits, lambda h: F.struct(F.regexp_replace(F.regexp_replace(F.regexp_extract(h, _CALL, 1), r"\s", ""), r"\.$", "").alias("receiver"), F.regexp_extract(h, _CALL, 2).alias("method")))
-    inner = F.flatten(F.transform(direct, lambda d: F.transform(F.regexp_extract_all(d["receiver"], F.lit(_CALL), F.lit(0)), lambda h: F.struct(F.regexp_replace(F.regexp_extract(h, _CALL, 1), r"\.$", "").alias("receiver"), F.regexp_extract(h, _CALL, 2).alias("method")))))
-    built = F.transform(F.regexp_extract_all(text, F.lit(r"\bnew\s+([\w.]+)\s*(?:<[^>]*>)?\s*\("), F.lit(1)), lambda t: F.struct(t.alias("receiver"), F.lit("<init>").alias("method")))
-    names = F.regexp_extract_all(text, F.lit(r"\bnew\s+(?:[\w.]+\.)?(\w+)\s*(?:<[^>]*>)?\s*\("), F.lit(1))
-    every = F.concat(F.filter(direct, lambda d: ~F.array_contains(names, d["method"])), inner, built)
-    rows = whole.select("path", "line", "text", F.posexplode(every).alias("seq", "c")).select("path", "line", "text", "seq", "c.receiver", "c.method").where(~F.col("method").isin(*KEYWORDS))
-    declared = made.select("path", "line", F.col("method_name").alias("method"), F.lit("").alias("receiver"))
-    return _scoped(rows, types, made).join(declared, ["path", "line", "method", "receiver"], "left_anti")
-
-
-def argument_text(text: Column, method: Column) -> Column:
-    """What stands between the parentheses of the first call of ``method`` in a statement, up to the one that closes them."""
-    pattern = F.concat(F.lit(r"\b"), F.when(method == "<init>", F.lit(r"new\s+[\w.]+(?:<[^>]*>)?")).otherwise(method), F.lit(r"\s*\((.*)$"))
-    after = F.call_function("regexp_extract", text, pattern, F.lit(1))
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("quote"), F.lit("").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        quiet = acc["quote"] == ""
-        depth = acc["depth"] + F.when(quiet & (c == "("), 1).when(quiet & (c == ")"), -1).otherwise(0)
-        live = (acc["depth"] > 0) & (depth > 0)
-        return F.struct(
-            F.when(acc["depth"] > 0, depth).otherwise(acc["depth"]).alias("depth"),
-            F.when(quiet & c.isin('"', "'"), c).when(~quiet & (acc["quote"] == c), F.lit("")).otherwise(acc["quote"]).alias("quote"),
-            F.when(live, F.concat(acc["out"], c)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(F.split(after, ""), start, step, lambda acc: trimmed(acc["out"]))
+    return last_wins(found.where("kind = 'package'").select("path", "seq", F.col("type").alias("package")), ["path"], ["seq"]).drop("seq")
+
+
+def constants(found: DataFrame) -> DataFrame:
+    """(class_name, field_name, value) of constant texts, the last of each name; also with an empty class name for look-ups by
+    field alone."""
+    rows = found.where("kind = 'variable' and method_name is null and type = 'String'").where(F.col("modifiers").rlike(r"\bstatic\b") & F.col("modifiers").rlike(r"\bfinal\b"))
+    rows = rows.where(F.col("value").rlike(r'^"[^"]*"$'))
+    rows = rows.select("path", "seq", F.coalesce("class_name", F.lit("")).alias("class_name"), F.col("name").alias("field_name"), F.expr("substring(value, 2, length(value) - 2)").alias("value"))
+    both = rows.unionByName(rows.withColumn("class_name", F.lit("")))
+    return last_wins(both, ["class_name", "field_name"], ["path", "seq"]).select("class_name", "field_name", "value")
+
+
+def variables(found: DataFrame) -> DataFrame:
+    """(path, class_name, scope, name, type, value): fields (scope ``<fields>``), locals, resources, loop, catch and pattern variables
+    and parameters; a ``new T(...)`` value overrides the declared type. The last declaration of a name in a scope wins; a name that
+    is only assigned gets the type of its first ``new T(...)``."""
+    place = ["path", "class_name", F.coalesce("method_name", F.lit("<fields>")).alias("scope")]
+    rows = found.where("kind = 'variable'").select(*place, "seq", "name", "type", "value")
+    given = found.where("kind = 'method'").select("path", "class_name", F.col("name").alias("scope"), "seq", F.explode("params").alias("p"))
+    given = given.select("path", "class_name", "scope", "seq", F.col("p.name").alias("name"), F.col("p.type").alias("type"), F.lit("").alias("value"))
+    made = F.regexp_extract("value", r"^new\s+([\w.]+)", 1)
+    rows = rows.unionByName(given.where("name <> ''")).withColumn("type", simple_type(F.when(made != "", made).otherwise(F.col("type"))))
+    key = ["path", "class_name", "scope", "name"]
+    declared = last_wins(rows, key, ["seq"]).drop("seq")
+    bare = found.where("kind = 'assignment'").select(*place, "seq", "name", simple_type(made).alias("type"), "value").where("type <> ''")
+    return declared.unionByName(first_wins(bare, key, ["seq"]).drop("seq").join(declared.select(key), key, "left_anti").select(declared.columns))
+
+
+def assignments(found: DataFrame) -> DataFrame:
+    """(path, class_name, scope, name, line, value): every value that a name is given in a method, in order of ``seq``."""
+    rows = found.where("kind in ('variable', 'assignment') and value <> ''")
+    return rows.select("path", "class_name", F.coalesce("method_name", F.lit("<fields>")).alias("scope"), "name", "seq", "line", "value")
+
+
+def calls(found: DataFrame) -> DataFrame:
+    """(path, line, seq, receiver, method, args, class_name, method_name, method_line, is_handler, text): calls and constructions
+    (``<init>``, receiver the type) inside classes, the outer call of a chain before the inner ones; ``text`` is the source line."""
+    rows = found.where("kind = 'call' and class_name is not null")
+    return rows.select("path", "line", "seq", "receiver", F.col("name").alias("method"), F.col("value").alias("args"), "class_name", "method_name", "method_line", "is_handler", "text")
+
+
+def calls_by_file(found: DataFrame) -> DataFrame:
+    """(path, n): calls of each file."""
+    return calls(found).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def handler(class_name: Column, marks: Column) -> Column:
+    """Whether a class handles requests: by its name, or by a mark of its own."""
+    return class_name.endswith("Controller") | F.arrays_overlap(marks, F.array(F.lit("RestController"), F.lit("Controller")))

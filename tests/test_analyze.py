@@ -108,7 +108,7 @@ def test_resolution(scanned):
 
 def test_call_graph_and_alerts(spark, files, scanned, tmp_path):
     sites = analyze.resolve(scanned)
-    edges = analyze.call_graph(sites, scanned.methods)
+    edges = analyze.call_graph(sites, scanned)
     reached = graph.reach(edges, edges.selectExpr("source as root"), 5).where("root like '%::find'").collect()
     assert {r.node.split("::")[-1]: r.depth for r in reached} == {"find": 0, "load": 1, "helper": 2}
     found = analyze.alerts(files).cache()
@@ -198,3 +198,107 @@ def test_maven(spark, tmp_path):
     assert [r.name for r in maven.class_names(jars).collect()] == ["p.A"]
     settings = spark.createDataFrame([("s", "<settings><localRepository> /r </localRepository><repository><id>i</id><url>http://u</url></repository></settings>")], "path string, xml string")
     assert [tuple(r) for r in maven.repositories(settings).collect()] == [("s", "/r", "http://u")]
+
+
+SHAPES = '''package a.b;
+import java.util.*;
+import java.io.File;
+/* a comment
+   Cipher.getInstance("DES");
+*/
+@RestController
+public class Shapes<T> extends Base {
+  private final Map<String, List<T>> held = new HashMap<>();
+  String one() { return x; }
+  public <R> List<R> two(@Param("a") final String a,
+      Map<String, int[]> b)
+      throws Exception {
+    try (Connection c = source.open(); Statement s = c.make()) {
+      Rows r = s
+          .run("SELECT { " + a
+             + part(b, 1));
+      for (String q : list) { use(q); }
+      int i = 0, j = 2;
+      late = new File(a);
+      x.y().z(w.v());
+      list.forEach(k -> { seen(k); });
+      Object o = new Task() { public void go() { work(a); } };
+    } catch (IllegalStateException | Error e) { log.info("no } end"); }
+    if (o instanceof Shapes p && p.ok()) return null;
+    String t = """
+      text { of "lines"
+      """;
+    return null;
+  }
+  abstract void none();
+  enum Kind { A(1), B(2) { int q() { return deep(); } }; Kind(int i) {} }
+  record Pair(int left, String right) { int sum() { return left; } }
+}'''
+
+
+def test_facts_of_many_shapes(spark):
+    rows = [("s", SHAPES), ("bad", "class X { void f() { g(); "), ("open", "class Y { } /* never"), ("empty", ""), ("null", None)]
+    found = java.facts(spark.createDataFrame(rows, "path string, text string")).cache()
+    methods = {(r.class_name, r.method_name): (r.line, r.end, [(p.type, p.name) for p in r.params]) for r in java.methods(found.where("path = 's'")).collect()}
+    assert methods[("Shapes", "one")] == (10, 10, []) and methods[("Shapes", "none")] == (31, 31, [])
+    assert methods[("Shapes", "two")] == (11, 30, [("String", "a"), ("Map<String, int[]>", "b")])
+    assert methods[("Shapes", "go")][:2] == (23, 23) and methods[("Pair", "sum")][0] == 33 and ("Kind", "q") in methods
+    names = {(r.scope, r.name): (r.type, r.value) for r in java.variables(found.where("path = 's'")).collect()}
+    assert names[("<fields>", "held")][0] == "HashMap" and names[("two", "s")] == ("Statement", "c.make()") and names[("two", "q")][0] == "String"
+    assert names[("two", "j")] == ("int", "2") and names[("two", "e")][0] == "IllegalStateException" and names[("two", "p")][0] == "Shapes"
+    assert names[("two", "late")] == ("File", "new File(a)") and names[("two", "b")][0] == "Map" and names[("<fields>", "right")][0] == "String"
+    calls = [(r.line, r.receiver, r.method, r.args) for r in java.calls(found.where("path = 's'")).orderBy("seq").collect()]
+    assert (15, "s", "run", 'SELECT { " + a + part(b, 1)'.join(('"', ""))) in calls and (21, "x.y()", "z", "w.v()") in calls
+    assert calls.index((21, "x.y()", "z", "w.v()")) < calls.index((21, "x", "y", "")) and not any(m == "getInstance" for _, _, m, _ in calls)
+    assert {m for _, _, m, _ in calls} >= {"open", "make", "part", "use", "v", "forEach", "seen", "work", "info", "ok", "deep", "<init>"}
+    read = {r.path: (r.calls, r.error is None) for r in java.files_read(found).collect()}
+    assert read["s"][1] and read["bad"] == (1, False) and read["open"][1] is False and set(read) <= {"s", "bad", "open", "empty", "null"}
+
+
+PROBES = '''package p;
+import javax.xml.parsers.*;
+import javax.crypto.Cipher;
+import javax.naming.InitialContext;
+import javax.xml.parsers.DocumentBuilder;
+import javax.xml.parsers.DocumentBuilderFactory;
+public class RunController {
+  String run(String cmd) throws Exception { Runtime.getRuntime().exec(cmd); return cmd; }
+  void begin(String cmd) throws Exception {
+    ProcessBuilder b = new ProcessBuilder(cmd);
+    b.start();
+    new ProcessBuilder("ls").start();
+  }
+  void codes() throws Exception { Cipher.getInstance("DESede/CBC");
+    Cipher.getInstance("ARCFOUR"); }
+  void names(String n, InitialContext c) throws Exception { c.lookup(n); }
+  void safe(String f) throws Exception {
+    DocumentBuilderFactory k = DocumentBuilderFactory.newInstance();
+    k.setFeature("x", true);
+    DocumentBuilder d = k.newDocumentBuilder();
+    d.parse("a.xml");
+  }
+  void open() throws Exception {
+    DocumentBuilderFactory k = DocumentBuilderFactory.newInstance();
+    DocumentBuilder d = k.newDocumentBuilder();
+    d.parse("a.xml");
+    other.parse("b");
+  }
+}'''
+
+
+def test_rules_of_the_probe_project(spark, tmp_path):
+    returns = spark.createDataFrame([("java.lang.Runtime", "getRuntime", "java.lang.Runtime")], "class_name string, method string, return_type string")
+    found = analyze.alerts(spark.createDataFrame([("P.java", PROBES)], "path string, text string"), returns=returns, taint=False).cache()
+    got = {(r.rule_id, r.line): r.confidence for r in found.collect()}
+    assert got[("S003", 8)] == "high" and got[("S003", 11)] == "high" and ("S003", 12) not in {k for k in got if got[k] == "high"}
+    assert got[("S010", 14)] == "low" and got[("S010", 15)] == "high"
+    assert got[("S008", 16)] == "critical"
+    assert ("S007", 21) not in got and got[("S007", 26)] == "high" and ("S007", 27) not in got and got[("S007", 18)] == got[("S007", 24)] == "medium"
+    table = str(tmp_path / "alerts")
+    first = analyze.append_alerts(spark, found, table).count()
+    assert first == analyze.append_alerts(spark, found.withColumn("detected_at", F.lit(5).cast("long")), table).count()
+    later = found.withColumn("line", F.col("line") + 100).withColumn("detected_at", F.lit(9).cast("long"))
+    both = analyze.newest(analyze.append_alerts(spark, later, table)).collect()
+    assert len(both) == 2 * first and both[0].detected_at == 9 and both[0].taint is None and analyze.with_taint(found).count() == 0
+    assert analyze.append_alerts(spark, later, table, clear=True).count() == first
+    assert sum(r.n for r in analyze.summary(found).collect()) == first
