@@ -93,3 +93,37 @@ def descriptor_types(descriptor: Column) -> Column:
 def package_of_path(path: Column) -> Column:
     """Dotted package of a source file below src/main/java, src/test/java or src; empty otherwise."""
     return F.replace(F.regexp_extract(path, r"(?:^|/)src/(?:(?:main|test)/java/)?(.*)/[^/]+$", 1), F.lit("/"), F.lit("."))
+
+
+def named_parameters(text: Column) -> Column:
+    """(type, name) of the parameters that have a name."""
+    return F.filter(parameters(text), lambda p: p["name"] != "")
+
+
+def reference_parts(name: Column) -> Column:
+    """(receiver, method) of a reference, parted at its last dot; without one, or with nothing before it, no receiver."""
+    head = F.regexp_extract(name, r"^(.+)\.([^.]*)$", 1)
+    return F.struct(head.alias("receiver"), F.when(head == "", name).otherwise(F.regexp_extract(name, r"^(.+)\.([^.]*)$", 2)).alias("method"))
+
+
+def graph_owner(qualified: Column) -> Column:
+    """Class part of a graph name ``file::Class::method``: the last but one; of a name of two parts that is the file."""
+    return F.coalesce(F.try_element_at(F.split(qualified, "::"), F.lit(-2)), F.lit(""))
+
+
+def chained_receiver(text: Column) -> Column:
+    """(object, method) of a receiver that is a call: what stands before the last dot before its first parenthesis."""
+    rx = r"^([^(]*)\.(\w+)\s*\("
+    return F.struct(F.regexp_extract(text, rx, 1).alias("object"), F.regexp_extract(text, rx, 2).alias("method"))
+
+
+def import_name(line: Column) -> Column:
+    """Qualified name of an import line; null for wildcards and other lines."""
+    return F.nullif(F.regexp_extract(line, r"^\s*import\s+(?:static\s+)?([\w.]+[\w])\s*;?\s*$", 1), F.lit(""))
+
+
+def type_name(type_: Column, imported: Column, built_in: dict[str, str]) -> Column:
+    """Qualified name of a type without its arguments: a built-in name first, then the file's import, else as it stands."""
+    bare = simple_type(type_)
+    known = F.create_map(*(F.lit(x) for kv in built_in.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, bare), imported, bare)

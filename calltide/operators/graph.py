@@ -1,7 +1,7 @@
 """Call-graph traversal, level by level over all roots at once.
 
 Every level is one join of the frontier with the edges, without the nodes that a root has met before; a level's rows
-are at most the pairs (root, node) that it finds first. Levels are checkpointed, so lineage stays short and a lost
+are at most the pairs (root, node) that it finds first. Edges and levels are written, so lineage stays short and a lost
 executor costs one level. Depths are shortest ones; where several edges lead to a node, the least path is taken.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.operators.merge import top_per_group
-from calltide.session import ensure_checkpoint_dir
+from calltide.session import Scratch
 
 RANK = {"high": 3, "medium": 2, "low": 1}
 
@@ -19,18 +19,19 @@ RANK = {"high": 3, "medium": 2, "low": 1}
 def reach(edges: DataFrame, roots: DataFrame, depth: int, backward: bool = False, paths: bool = False) -> DataFrame:
     """(root, node, depth[, path]) within ``depth`` steps of each root (a column ``root``), the root itself at 0.
     ``edges`` has (source, target)."""
-    ensure_checkpoint_dir(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession)
     near, far = ("target", "source") if backward else ("source", "target")
-    step = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    step = scratch.keep(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct())  # made once for all levels
     keep = ["path"] if paths else []
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
     if paths:
         frontier = frontier.withColumn("path", F.array("node"))
+    frontier = scratch.keep(frontier)
     known = frontier.withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
         moved = frontier.join(step, "node").select("root", F.col("next").alias("node"), *([F.concat("path", F.array("next")).alias("path")] if paths else []))
         moved = moved.groupBy("root", "node").agg(F.min("path").alias("path")) if paths else moved.distinct()
-        frontier = moved.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", *keep).checkpoint()
+        frontier = scratch.keep(moved.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", *keep))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier.withColumn("depth", F.lit(k)))
@@ -42,6 +43,25 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFr
     return reach(edges, pairs.select("root"), depth, paths=True).join(pairs.select("root", "node").distinct(), ["root", "node"])
 
 
+def shortest_to(edges: DataFrame, roots: DataFrame, ends: DataFrame, depth: int = 5) -> DataFrame:
+    """(root, node, depth, path) from roots (root) to ends (node). Depths are found backwards from the ends, without paths, and
+    only edges on a shortest way are then walked forwards."""
+    scratch = Scratch(edges.sparkSession)
+    back = reach(edges, ends.select(F.col("node").alias("root")), depth, backward=True)
+    back = scratch.keep(back.select(F.col("root").alias("end"), "node", F.col("depth").alias("left")))
+    step = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    at = back.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
+    at = scratch.keep(at.select(F.col("node").alias("root"), "end", "node", "left", F.col("left").alias("depth"), F.array("node").alias("path")))
+    done = at.where("left = 0")
+    for _ in range(depth):
+        ways = at.where("left > 0").join(step, "node")
+        ways = ways.select("root", "end", F.col("next").alias("node"), (F.col("left") - 1).alias("left"), "depth", F.concat("path", F.array("next")).alias("path"))
+        at = ways.join(back, ["end", "node", "left"], "left_semi").groupBy("root", "end", "node", "left", "depth").agg(F.min("path").alias("path"))
+        at = scratch.keep(at)
+        done = done.unionByName(at.where("left = 0").select(*done.columns))
+    return done.select("root", F.col("end").alias("node"), "depth", "path")
+
+
 def impact(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """(root, n): how many different nodes reach each root within ``depth`` steps, itself included."""
     return reach(edges, roots, depth, backward=True).groupBy("root").agg(F.count("*").alias("n"))
@@ -78,3 +98,12 @@ def cross_edges(edges: DataFrame, nodes: DataFrame, place: str) -> DataFrame:
     a = nodes.select(F.col("node").alias("source"), F.col(place).alias("source_place"))
     b = nodes.select(F.col("node").alias("target"), F.col(place).alias("target_place"))
     return edges.join(a, "source").join(b, "target").where("source_place <> target_place")
+
+
+def stats(methods: DataFrame, sources: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: methods looked at, sources among them, sinks with a chain, chains."""
+    counted = [methods.agg(F.count("*").alias("n")).select(F.lit("methods").alias("what"), "n"), sources.agg(F.count("*").alias("n")).select(F.lit("sources").alias("what"), "n")]
+    counted.append(found.agg(F.count_distinct("root").alias("n")).select(F.lit("sinks").alias("what"), "n"))
+    counted.append(found.agg(F.count("*").alias("n")).select(F.lit("chains").alias("what"), "n"))
+    every = counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+    return every.agg(*(F.max(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in ("methods", "sources", "sinks", "chains")))

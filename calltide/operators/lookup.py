@@ -25,16 +25,17 @@ def cascade(rows: DataFrame, levels: Sequence[Level], default: Column, into: str
     return out.withColumn(into, F.coalesce(*values, default)).withColumn(provenance, told).drop(*(f"_v{k}" for k in range(len(levels))))
 
 
-def linearised(supers: DataFrame, depth: int = 16) -> DataFrame:
+def linearised(supers: DataFrame) -> DataFrame:
     """(name, ancestor, rank): the class itself first, then its superclass chain and interfaces, nearest and declared first.
 
-    ``supers`` has (name, super, ord); cycles end at the class itself. Each round joins the new frontier only.
+    ``supers`` has (name, super, ord); cycles end at the class itself. Each round joins the new frontier only, and there are as
+    many rounds as the deepest hierarchy has levels.
     """
     ensure_checkpoint_dir(supers.sparkSession)
     names = supers.select("name").union(supers.select("super")).distinct()
     frontier = names.select("name", F.col("name").alias("ancestor"), F.array().cast("array<int>").alias("way"))
     known = frontier
-    for _ in range(depth):
+    while True:  # ends when no class has a new ancestor: a class has as many as there are classes at most
         step = supers.select(F.col("name").alias("ancestor"), "super", "ord")
         frontier = frontier.join(step, "ancestor").select("name", F.col("super").alias("ancestor"), F.concat("way", F.array(F.col("ord").cast("int"))).alias("way"))
         frontier = frontier.join(known.select("name", "ancestor"), ["name", "ancestor"], "left_anti").groupBy("name", "ancestor").agg(F.min("way").alias("way")).checkpoint()

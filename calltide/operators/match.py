@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rules without a literal method name that are tested inside a site's row.
+LOOSE = 500
+
 
 def glob_regex(glob: Column) -> Column:
     """``*`` stands for any characters but parentheses; everything else, ``?`` included, for itself; the whole must match."""
@@ -21,8 +24,8 @@ def match_rules(sites: DataFrame, patterns: DataFrame, signature: str = "signatu
     """Each row of sites once for every rule of which a pattern (rule_id, glob) matches its signature.
 
     A rule whose patterns all have a literal method name joins on that name, with one regex for each (rule, name); any other
-    rule meets every site with one regex of all its patterns. So a site meets a rule once at most, and nothing is shuffled to
-    take out copies. Rules are a small table by nature: Spark broadcasts it below its size limit.
+    rule meets every site with one regex of all its patterns: as part of the site's own row while there are ``LOOSE`` such rules
+    at most, beyond that in a join. So a site meets a rule once at most, and nothing is shuffled to take out copies.
     """
     listed = patterns.select("rule_id", glob_regex(F.col("glob")).alias("rx"), glob_method(F.col("glob")).alias("name"))
     loose_rules = listed.groupBy("rule_id").agg(F.bool_or(F.col("name").isNull()).alias("loose"))
@@ -32,6 +35,12 @@ def match_rules(sites: DataFrame, patterns: DataFrame, signature: str = "signatu
     by_regex = told.where("loose").groupBy("rule_id").agg(either())
     hit = F.rlike(F.col(signature), F.col("rx"))
     named = sites.join(by_name, sites[method] == F.col("name")).where(hit)
-    loose = sites.join(by_regex, hit)
     columns = [*sites.columns, "rule_id"]
+    few = by_regex.limit(LOOSE + 1).collect()
+    if len(few) <= LOOSE:
+        tests = [F.when(F.col(signature).rlike(r.rx), F.lit(r.rule_id)) for r in few]
+        met = F.filter(F.array(*tests), lambda x: x.isNotNull()) if few else F.array().cast("array<string>")
+        loose = sites.withColumn("rule_id", F.explode(met))
+    else:
+        loose = sites.join(by_regex, hit)
     return named.select(*columns).unionByName(loose.select(*columns))

@@ -27,17 +27,14 @@ def _one(rows: DataFrame, key: Sequence[str], order: Sequence[str], by) -> DataF
 def prefer_merge(base: DataFrame, other: DataFrame, key: Sequence[str], order: Sequence[str], usable: Column, taken: Sequence[str], source: str = "source") -> DataFrame:
     """Every row of ``base`` (copies too), with the columns ``taken`` from the last row of ``other`` with its key if that
     row is ``usable``; then the first row of ``other`` for each key that base has not. ``source`` tells which it was."""
-    last = last_wins(other, key, order)
-    picked = last.where(usable).select(*key, *(F.col(c).alias(f"_{c}") for c in taken), F.lit(True).alias("_hit"))
-    merged = base.join(picked, list(key), "left")
-    rest = [c for c in base.columns if c not in taken]
-    merged = merged.select(
-        *rest,
-        *(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in taken),
-        F.when(F.col("_hit"), F.lit("override")).otherwise(F.lit("base")).alias(source),
-    )
-    extra = first_wins(other, key, order).join(base.select(*key).distinct(), list(key), "left_anti")
-    return merged.unionByName(extra.select(*base.columns).withColumn(source, F.lit("added")))
+    rest = [c for c in base.columns if c not in key]
+    by, row = F.struct(*order), F.struct(*(c for c in other.columns if c not in key))
+    ends = other.groupBy(*key).agg(F.max_by(row, by).alias("_last"), F.min_by(row, by).alias("_first"), F.max_by(usable, by).alias("_usable"))
+    merged = base.select(*key, F.struct(*rest).alias("_base")).join(ends, list(key), "full")
+    held, hit = F.col("_base").isNotNull(), F.coalesce("_usable", F.lit(False))
+    value = lambda c: F.when(held, F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(f"_base.{c}")) if c in taken else F.col(f"_base.{c}")).otherwise(F.col(f"_first.{c}"))
+    told = F.when(held, F.when(hit, "override").otherwise("base")).otherwise("added")
+    return merged.select(*(F.col(c) if c in key else value(c).alias(c) for c in base.columns), told.alias(source))
 
 
 def keep_first_upsert(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

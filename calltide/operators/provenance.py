@@ -76,3 +76,9 @@ def flags(parts: DataFrame) -> DataFrame:
     )
     first = F.element_at("parts", 1)["kind"]
     return out.withColumn("composite", F.when(F.size("parts") > 1, "concat").when(first.isin("method_return", "field", "unknown"), first).otherwise("direct"))
+
+
+def receiver_flags(parts: DataFrame) -> DataFrame:
+    """(site_id, ext, tainted, hardcoded) of a receiver's parts: it is hard-coded only if every part is."""
+    kind = F.col("kind")
+    return parts.groupBy("site_id").agg(F.bool_or(kind == "external_input").alias("ext"), F.bool_or(kind == "tainted").alias("tainted"), F.bool_and(kind == "hardcoded").alias("hardcoded"))

@@ -83,8 +83,9 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     ]
     typed = cascade(sites, levels, F.lit(None).cast("string"), "named", "how")
     chained = F.regexp_extract("bare", r"^([^(]*)\.(\w+)\s*\(.*\)$", 1)
-    short = F.when(own, F.col("class_name")).when(F.col("method") == "<init>", F.col("receiver")).when(F.col("named").isNotNull(), F.col("named")).when(F.col("bare").contains("("), F.lit(None)).otherwise(F.col("bare"))
-    how = F.when(own, "own").when(F.col("method") == "<init>", "constructor").when(F.col("named").isNotNull(), F.col("how")).when(F.col("bare").contains("("), "return-type")
+    made = F.nullif(F.regexp_extract("bare", r"^new\s*([\w.]+)\s*(?:<[^>]*>)?\([^()]*\)$", 1), F.lit(""))
+    short = F.when(own, F.col("class_name")).when(F.col("method") == "<init>", F.col("receiver")).when(made.isNotNull(), made).when(F.col("named").isNotNull(), F.col("named")).when(F.col("bare").contains("("), F.lit(None)).otherwise(F.col("bare"))
+    how = F.when(own, "own").when((F.col("method") == "<init>") | made.isNotNull(), "constructor").when(F.col("named").isNotNull(), F.col("how")).when(F.col("bare").contains("("), "return-type")
     typed = typed.withColumn("short", short).withColumn("told", how).withColumn("inner", F.nullif(chained, F.lit(""))).withColumn("inner_method", F.nullif(F.regexp_extract("bare", r"^[^(]*\.(\w+)\s*\(.*\)$", 1), F.lit("")))
     inner = [(variables, {"path": "path", "class_name": "class_name", "scope": "scope", "inner": "name"}, "type", "v"), (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "inner": "name"}, "type", "f")]
     typed = cascade(typed, inner, F.col("inner"), "inner_type", "_ignored").drop("_ignored")
@@ -238,6 +239,11 @@ def with_taint(found: DataFrame) -> DataFrame:
     return found.where(F.col("chain_source").isNotNull())
 
 
+def severe() -> Column:
+    """Whether an alert makes a build fail."""
+    return F.col("severity").isin("critical", "high")
+
+
 def summary(found: DataFrame) -> DataFrame:
     """(severity, n, first): counts by severity, and the place in which the severity is met first."""
     return found.groupBy("severity").agg(F.count("*").alias("n"), F.min(F.struct("path", "line", "seq")).alias("first"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calltide.operators import graph, merge
+from calltide.operators import codegraph, graph, merge
 from calltide.session import read_table
 
 
@@ -41,31 +41,32 @@ def _roots(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").where(condition).select(F.col("o_orderkey").alias("root"))
 
 
-URGENT, DEAR = "o_orderpriority = '1-URGENT'", "o_totalprice > 400000 AND o_orderstatus = 'F'"
+EVERY, URGENT, DEAR = "o_orderkey IS NOT NULL", "o_orderpriority = '1-URGENT'", "o_totalprice > 400000 AND o_orderstatus = 'F'"
 
 
 def callers_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per edge into a method, so parallel edges of different kinds repeat a caller."""
-    return edges(spark, sf_dir).select(F.col("target").alias("root"), F.col("source").alias("node"), "kind")
+    found = codegraph.edges_of(edges(spark, sf_dir), _roots(spark, sf_dir, EVERY).withColumnRenamed("root", "id"), incoming=True)
+    return found.select(F.col("id").alias("root"), F.col("other").alias("node"), "kind")
 
 
 def callers_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir, URGENT), 3, backward=True)
+    return graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir, EVERY), 3, backward=True)
 
 
 def callees_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir, URGENT), 3)
+    return graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir, EVERY), 3)
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From urgent orders to every dear finished order within five calls."""
+    """From urgent orders to every dear finished order within five calls; the search begins at the fewer ends."""
     sinks = _roots(spark, sf_dir, DEAR).withColumnRenamed("root", "node")
-    found = graph.reach(edges(spark, sf_dir), _roots(spark, sf_dir, URGENT), 5, paths=True).join(sinks, "node", "left_semi")
+    found = graph.shortest_to(edges(spark, sf_dir), _roots(spark, sf_dir, URGENT), sinks, 5)
     return found.select("root", "node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def impact_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.impact(edges(spark, sf_dir), _roots(spark, sf_dir, DEAR), 3)
+    return graph.impact(edges(spark, sf_dir), _roots(spark, sf_dir, EVERY), 3)
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,25 +124,26 @@ def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-degree and in-degree of each method by kind of edge."""
-    e = edges(spark, sf_dir)
-    out = e.groupBy(F.col("source").alias("node"), "kind").agg(F.count("*").alias("n")).withColumn("way", F.lit("out"))
-    return out.unionByName(e.groupBy(F.col("target").alias("node"), "kind").agg(F.count("*").alias("n")).withColumn("way", F.lit("in")))
+    e, every = edges(spark, sf_dir), _roots(spark, sf_dir, EVERY).withColumnRenamed("root", "id")
+    count = lambda found, way: found.groupBy(F.col("id").alias("node"), "kind").agg(F.count("*").alias("n")).withColumn("way", F.lit(way))
+    return count(codegraph.edges_of(e, every), "out").unionByName(count(codegraph.edges_of(e, every, incoming=True), "in"))
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of each method in order, as one list."""
-    return edges(spark, sf_dir).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")).cast("array<string>"), ",").alias("targets"))
+    found = codegraph.adjacency(edges(spark, sf_dir).select("source", "target").distinct().withColumn("seq", F.col("target")), ["seq"])
+    return found.select("source", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 
 
 QUERIES = {
     "callers_depth1": (callers_depth1, f"WITH {EDGES} SELECT target AS root, source AS node, kind FROM e"),
-    "callers_depth3": (callers_depth3, f"WITH RECURSIVE {_walk(URGENT, 'target', 'source', 3)} SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node"),
-    "callees_depth3": (callees_depth3, f"WITH RECURSIVE {_walk(URGENT, 'source', 'target', 3)} SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node"),
+    "callers_depth3": (callers_depth3, f"WITH RECURSIVE {_walk(EVERY, 'target', 'source', 3)} SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node"),
+    "callees_depth3": (callees_depth3, f"WITH RECURSIVE {_walk(EVERY, 'source', 'target', 3)} SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node"),
     "shortest_path": (
         shortest_path,
         f"WITH RECURSIVE {_walk(URGENT, 'source', 'target', 5, path=True)}, m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node) SELECT root, node, depth, array_to_string(min(path), '>') AS path FROM r JOIN m USING (root, node, depth) WHERE node IN (SELECT o_orderkey FROM orders WHERE {DEAR}) GROUP BY root, node, depth",
     ),
-    "impact_radius": (impact_radius, f"WITH RECURSIVE {_walk(DEAR, 'target', 'source', 3)} SELECT root, count(DISTINCT node) AS n FROM r GROUP BY root"),
+    "impact_radius": (impact_radius, f"WITH RECURSIVE {_walk(EVERY, 'target', 'source', 3)} SELECT root, count(DISTINCT node) AS n FROM r GROUP BY root"),
     "taint_sources": (taint_sources, f"WITH {SOURCES} SELECT * FROM src"),
     "taint_chains": (taint_chains, f"WITH RECURSIVE {CHAINS} SELECT * FROM c"),
     "taint_best_chain": (taint_best_chain, f"WITH RECURSIVE {CHAINS} SELECT root, source, depth, confidence, CAST(depth + 1 AS INTEGER) AS length FROM best"),

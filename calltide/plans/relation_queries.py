@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators import context, lookup, merge
+from calltide.operators import context, graph, lookup, merge
 from calltide.session import read_table
 
 _LINES = ["l_orderkey", "l_partkey"]
@@ -83,7 +83,8 @@ def inherited_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = read_table(spark, sf_dir, "customer").where("c_acctbal > 9800").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     every = read_table(spark, sf_dir, "customer").select(F.lit("WORLD").alias("owner"), F.col("c_mktsegment").alias("member"))
     members = rich.select(F.col("n_name").alias("owner"), F.col("c_mktsegment").alias("member")).union(wide.select("r_name", "c_mktsegment")).union(every).distinct()
-    asked = nation.join(every.select(F.col("member").alias("segment")).distinct(), F.col("n_nationkey") >= 0).select(F.col("n_name").alias("name"), "segment")
+    customers = read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = customers.select(F.col("n_name").alias("name"), F.col("c_mktsegment").alias("segment")).distinct()
     return lookup.inherited(asked, lookup.linearised(supers), members, "name", "segment")
 
 
@@ -135,12 +136,6 @@ def anti_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members and overloads of each brand: an overload is every part past the first with one name."""
-    part = read_table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
-    return part.groupBy("p_brand").agg(F.sum("n").alias("methods"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("overloads"), F.count("*").alias("names"))
-
-
 def param_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any, every and different kinds of a conversation's turns."""
     turns = read_table(spark, sf_dir, "conversations")
@@ -155,7 +150,7 @@ def param_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.col("t.role"), " → ").alias("path"), F.size("t").alias("n"))
+    return turns.select("conv_id", graph.propagation(F.col("t.role")).alias("path"), F.size("t").alias("n"))
 
 
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +159,6 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.first_wins(docs, ["digest"], ["doc_id"])
 
 
-def topk_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten richest customers without an order."""
-    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    rest = read_table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti")
-    return rest.orderBy(F.desc("c_acctbal"), "c_custkey").limit(10).select("c_custkey", "c_name")
-
-
 def severity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with counts, in the order in which they are first seen."""
     orders = read_table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("seen"))
@@ -214,10 +202,10 @@ FROM part LEFT JOIN a USING (p_brand, p_type) LEFT JOIN b USING (p_brand) LEFT J
     ),
     "inherited_lookup": (
         inherited_lookup,
-        """WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), s AS (SELECT DISTINCT c_mktsegment AS segment FROM customer),
+        """WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), s AS (SELECT DISTINCT c_nationkey, c_mktsegment AS segment FROM customer),
 m AS (SELECT DISTINCT n_name AS owner, c_mktsegment AS member FROM customer JOIN n ON c_nationkey = n_nationkey WHERE c_acctbal > 9900
   UNION SELECT DISTINCT r_name, c_mktsegment FROM customer JOIN n ON c_nationkey = n_nationkey WHERE c_acctbal > 9800)
-SELECT n_name AS name, segment, CASE WHEN (n_name, segment) IN (SELECT (owner, member) FROM m) THEN n_name WHEN (r_name, segment) IN (SELECT (owner, member) FROM m) THEN r_name ELSE 'WORLD' END AS owner FROM n, s""",
+SELECT n_name AS name, segment, CASE WHEN (n_name, segment) IN (SELECT (owner, member) FROM m) THEN n_name WHEN (r_name, segment) IN (SELECT (owner, member) FROM m) THEN r_name ELSE 'WORLD' END AS owner FROM n JOIN s ON c_nationkey = n_nationkey""",
     ),
     "prior_later_usage": (
         prior_later_usage,
@@ -251,10 +239,6 @@ SELECT d.user_id, coalesce(any_value(opened), -1) AS opened, coalesce(min(event_
         "SELECT doc_id, lang, 1 AS resolved FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, lang, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     ),
     "anti_sites": (anti_sites, "SELECT doc_id, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)"),
-    "index_stats": (
-        index_stats,
-        "SELECT p_brand, CAST(sum(n) AS BIGINT) AS methods, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS overloads, count(*) AS names FROM (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand",
-    ),
     "param_flags": (
         param_flags,
         """SELECT conv_id, CAST(bool_or(role = 'system') AS INTEGER) AS any_system, CAST(bool_and(length(text) > 100) AS INTEGER) AS all_long, count(DISTINCT role) AS kinds,
@@ -262,7 +246,6 @@ CASE WHEN count(DISTINCT role) > 2 THEN 'concat' WHEN bool_and(role = 'user') TH
     ),
     "path_join": (path_join, "SELECT conv_id, string_agg(role, ' → ' ORDER BY turn, role) AS path, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id"),
     "dedupe_first": (dedupe_first, "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, sha256(text) AS digest FROM documents GROUP BY text"),
-    "topk_missing": (topk_missing, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_acctbal DESC, c_custkey LIMIT 10"),
     "severity_groups": (severity_groups, "SELECT o_orderpriority, count(*) AS n, min(o_orderkey) AS seen FROM orders GROUP BY o_orderpriority"),
     "override_union": (
         override_union,

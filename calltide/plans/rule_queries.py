@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions import signatures as sg
-from calltide.operators import match, merge
-from calltide.session import read_table
+from calltide.operators import codegraph, match, merge, rules
+from calltide.plans import analyze
+from calltide.session import Scratch, read_table
 
 #: rule, severity, patterns.
 RULES = [
@@ -63,7 +64,7 @@ def rule_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = _decided(spark, sf_dir).where("confidence is not null")
+    fresh = Scratch(spark).keep(_decided(spark, sf_dir).where("confidence is not null"))  # read three times below
     held = fresh.where("rule_id = 'R06'")  # what an earlier run has written
     return held.unionByName(merge.keep_first_upsert(held, fresh, ["rule_id", "signature"], ["p_partkey"]))
 
@@ -74,7 +75,7 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 if any alert is critical or high, as a build would see it."""
-    return _alerts(spark, sf_dir).groupBy("p_type").agg(F.max(F.when(F.col("severity").isin("critical", "high"), 1).otherwise(0)).alias("exit_code"), F.count("*").alias("n"))
+    return _alerts(spark, sf_dir).groupBy("p_type").agg(F.max(F.when(analyze.severe(), 1).otherwise(0)).alias("exit_code"), F.count("*").alias("n"))
 
 
 def alert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +93,96 @@ def qualified_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def focus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods whose name equals, or whose qualified name contains, the focus."""
-    return _sites(spark, sf_dir).where((F.lower("method") == "red_widget") | F.col("signature").contains("PROMO.hot")).select("p_partkey", "signature")
+    return codegraph.focus(_sites(spark, sf_dir).withColumnRenamed("method", "name"), "red_widget").select("p_partkey", "signature")
 
 
 def builtin_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types resolved by a built-in table before the imports table, else kept."""
-    known = F.create_map(*(F.lit(x) for x in ("PROMO", "java.lang.Promo", "SMALL", "java.lang.Small")))
     imports = read_table(spark, sf_dir, "part").groupBy("p_type").agg(F.max("p_brand").alias("imported")).where("p_type in ('SMALL', 'LARGE', 'MEDIUM')")
     part = read_table(spark, sf_dir, "part").join(imports, "p_type", "left")
-    return part.select("p_partkey", F.coalesce(F.try_element_at(known, F.col("p_type")), "imported", "p_type").alias("type"))
+    text = F.concat("p_type", F.when(F.col("p_size") % 2 == 0, "<T, List<X>>[]").otherwise(""))
+    return part.select("p_partkey", sg.type_name(text, F.col("imported"), {"PROMO": "java.lang.Promo", "SMALL": "java.lang.Small"}).alias("type"))
+
+
+#: By rule: the methods and receiver types that a site can have.
+_METHODS = {
+    "S001": (["createStatement", "executeQuery", "execute"], ["java.sql.Statement", "java.sql.PreparedStatement", "java.sql.Connection"]),
+    "S003": (["exec", "start", "command"], ["java.lang.ProcessBuilder", "java.lang.Runtime"]),
+    "S006": (["<init>", "openConnection"], ["java.net.URL", "java.net.HttpURLConnection"]),
+    "S007": (["parse", "newInstance"], ["javax.xml.parsers.DocumentBuilder", "javax.xml.parsers.DocumentBuilderFactory", "org.xml.sax.XMLReader"]),
+    "S008": (["compile", "evaluate", "search", "lookup"], ["javax.naming.Context"]),
+    "S010": (["getInstance"], ["javax.crypto.Cipher"]),
+    "S011": (["forName", "newInstance"], ["java.lang.Class"]),
+}
+_ARGUMENTS = ['"DES/CBC"', '"DESede"', '"AES/ECB"', '"RC4"', '"ARCFOUR"', '"RSA"', '"RSA/OAEP"', '"MD5"', '"sha-1"', '"SHA-256"', '"AES/GCM"', ""]
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of an order as the context of a call, for one of the rules; flags are digits of its keys."""
+    ids = F.array(*(F.lit(r.id) for r in rules.RULES))
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("rule_id", F.get(ids, (F.col("l_partkey") % 13).cast("int")))
+    n = F.col("l_orderkey") + F.col("l_linenumber")
+    choice = lambda k: F.coalesce(*(F.when(F.col("rule_id") == r, F.get(F.array(*map(F.lit, v[k])), ((F.col("l_suppkey") + k * n) % len(v[k])).cast("int"))) for r, v in _METHODS.items()), F.lit("call"))
+    hard = F.col("l_suppkey") % 2 == 0
+    chain = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("l_orderkey") % 7).cast("int"))
+    out = lines.withColumns(
+        {
+            "method": choice(0), "receiver_type": choice(1), "args": F.get(F.array(*map(F.lit, _ARGUMENTS)), (n % len(_ARGUMENTS)).cast("int")),
+            "ext": n % 3 == 0, "tainted": n % 2 == 0, "hard_any": hard, "hard_all": hard & (F.col("l_suppkey") % 4 == 0), "chain": chain, "hardened": F.col("l_linenumber") % 3 == 0,
+            "receiver_ext": n % 5 == 0, "receiver_tainted": n % 5 == 1, "names": F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("v"), F.col("l_linenumber"))),
+        }
+    )
+    return out.select("l_orderkey", "l_linenumber", "rule_id", "method", "receiver_type", "args", "ext", "tainted", "hard_any", "hard_all", "chain", "hardened", "receiver_ext", "receiver_tainted", "names")
+
+
+def rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of the thirteen rules on contexts of their calls."""
+    return rules.decide(Scratch(spark).keep(_contexts(spark, sf_dir)), rules.RULES).select("l_orderkey", "l_linenumber", "rule_id", "confidence", "message")
+
+
+def _pick(values: list[str], index: str) -> str:
+    return "CASE " + index + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def _choice(k: int) -> str:
+    return "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {_pick(v[k], f'(l_suppkey + {k} * n) % {len(v[k])}')}" for r, v in _METHODS.items()) + " ELSE 'call' END"
+
+
+_W = "(^|[^A-Za-z0-9_])"
+_E = "([^A-Za-z0-9_]|$)"
+_RULES_SQL = f"""
+WITH l AS (SELECT *, l_orderkey + l_linenumber AS n, {_pick([r.id for r in rules.RULES], 'l_partkey % 13')} AS rule_id FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, rule_id, {_choice(0)} AS m, {_choice(1)} AS t, {_pick(_ARGUMENTS, f'n % {len(_ARGUMENTS)}')} AS a, n % 3 = 0 AS ext, n % 2 = 0 AS tainted, l_suppkey % 2 = 0 AS hard_any,
+  l_suppkey % 4 = 0 AS hard_all, CASE l_orderkey % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS chain, l_linenumber % 3 = 0 AS hardened, n % 5 = 0 AS rext, n % 5 = 1 AS rtainted,
+  CASE WHEN n % 4 = 0 THEN '' ELSE 'v' || l_linenumber END AS names FROM l),
+v AS (SELECT *, CASE rule_id
+  WHEN 'S001' THEN CASE WHEN contains(t, 'PreparedStatement') THEN NULL WHEN m = 'createStatement' THEN CASE WHEN ext OR chain IS NOT NULL THEN 'high' ELSE 'medium' END
+    WHEN t LIKE '%Statement' THEN CASE WHEN ext OR chain IS NOT NULL THEN 'high' WHEN tainted THEN 'medium' WHEN hard_any THEN 'low' ELSE 'medium' END WHEN contains(m, 'execute') THEN 'low' END
+  WHEN 'S002' THEN 'high'
+  WHEN 'S003' THEN CASE WHEN m = 'start' THEN CASE WHEN chain IS NOT NULL OR rext THEN 'high' WHEN rtainted THEN 'medium' END
+    WHEN ext OR chain IS NOT NULL THEN 'high' WHEN tainted THEN 'medium' WHEN hard_all THEN NULL WHEN hard_any THEN 'low' ELSE 'medium' END
+  WHEN 'S004' THEN chain
+  WHEN 'S005' THEN CASE WHEN ext THEN 'high' WHEN chain IS NOT NULL THEN 'medium' ELSE 'low' END
+  WHEN 'S006' THEN CASE WHEN t LIKE '%URL' AND ext THEN 'high' WHEN m = 'openConnection' THEN 'medium' WHEN chain IS NOT NULL THEN 'medium' ELSE 'low' END
+  WHEN 'S007' THEN CASE WHEN m = 'parse' AND t LIKE '%DocumentBuilder' AND NOT hardened THEN 'high' WHEN m = 'parse' AND t LIKE '%DocumentBuilder' AND ext THEN 'medium' WHEN m = 'newInstance' AND t LIKE '%DocumentBuilderFactory' THEN 'medium' END
+  WHEN 'S008' THEN CASE WHEN m IN ('compile', 'evaluate') THEN CASE WHEN ext THEN 'high' WHEN chain IS NOT NULL THEN 'medium' ELSE 'low' END WHEN m = 'search' THEN CASE WHEN ext THEN 'high' ELSE 'medium' END
+    WHEN m = 'lookup' THEN CASE WHEN ext THEN 'critical' WHEN chain IS NOT NULL THEN 'high' ELSE 'medium' END END
+  WHEN 'S009' THEN CASE WHEN hard_any THEN 'high' END
+  WHEN 'S010' THEN CASE WHEN a = '' THEN NULL
+    WHEN regexp_matches(a, '{_W}(DES|ECB|RC4|ARCFOUR){_E}') OR (regexp_matches(a, '{_W}RSA{_E}') AND NOT regexp_matches(a, '{_W}OAEP{_E}')) OR regexp_matches(a, '(?i){_W}(MD5|SHA-?1){_E}') THEN 'high'
+    WHEN regexp_matches(a, '(?i){_W}SHA-?(224|256|384|512|3){_E}') THEN NULL WHEN ext THEN 'high' ELSE 'low' END
+  WHEN 'S011' THEN CASE WHEN m = 'forName' THEN CASE WHEN ext THEN 'high' WHEN hard_all THEN 'low' ELSE 'medium' END WHEN chain IS NOT NULL OR tainted THEN 'medium' ELSE 'low' END
+  WHEN 'S012' THEN 'high'
+  WHEN 'S013' THEN CASE WHEN ext THEN 'high' WHEN chain IS NOT NULL THEN 'medium' END END AS confidence FROM s)
+SELECT l_orderkey, l_linenumber, rule_id, confidence, {_pick([r.description for r in rules.RULES], "CAST(substr(rule_id, 2) AS INTEGER) - 1")}
+  || CASE WHEN names <> '' AND ext THEN ': outside input ' || names WHEN names <> '' AND tainted THEN ': parameter ' || names ELSE '' END
+  || CASE WHEN rext THEN ' (receiver made of outside input)' WHEN rtainted THEN ' (receiver made of a parameter)' ELSE '' END AS message
+FROM v WHERE confidence IS NOT NULL
+"""
 
 
 QUERIES = {
+    "rule_lists": (rule_lists, _RULES_SQL),
     "glob_rule_match": (glob_rule_match, f"WITH {_MATCHED} SELECT p_partkey, signature, rule_id, severity FROM matched"),
     "rule_decision": (rule_decision, f"WITH {_DECIDED} SELECT p_partkey, rule_id, confidence FROM decided WHERE confidence IS NOT NULL"),
     "severity_summary": (
@@ -130,7 +209,7 @@ SELECT p_type, CAST(max(CASE WHEN severity IN ('critical', 'high') THEN 1 ELSE 0
         qualified_name,
         "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || '.' ELSE '' END || p_type || '.' || p_name || '(' || replace(p_name, ' ', ',') || ')' AS name FROM part",
     ),
-    "focus_filter": (focus_filter, f"SELECT p_partkey, signature FROM ({_SITES}) WHERE lower(method) = 'red_widget' OR contains(signature, 'PROMO.hot')"),
+    "focus_filter": (focus_filter, f"SELECT p_partkey, signature FROM ({_SITES}) WHERE method = 'red_widget' OR contains(signature, 'red_widget')"),
     "builtin_type_names": (
         builtin_type_names,
         "SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'java.lang.Promo' WHEN 'SMALL' THEN 'java.lang.Small' ELSE coalesce(imported, p_type) END AS type FROM part LEFT JOIN (SELECT p_type, max(p_brand) AS imported FROM part WHERE p_type IN ('SMALL', 'LARGE', 'MEDIUM') GROUP BY p_type) USING (p_type)",

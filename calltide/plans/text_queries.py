@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions import literals
 from calltide.functions import signatures as sg
+from calltide.operators import codegraph
 from calltide.session import read_table
 
 
@@ -26,11 +27,6 @@ def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("ord", "href"))
 
 
-def tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = lambda tag: F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
-    return read_table(spark, sf_dir, "pages").select("page_id", title("title").alias("title"), title("style").alias("style"))
-
-
 def last_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arguments of the last plain call in a page's script."""
     script = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
@@ -38,20 +34,9 @@ def last_args(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.from_json("props", "k int")["k"]
-    return read_table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_type", k.alias("k"))).alias("again"))
-
-
-def source_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third line of each text; empty if it has fewer."""
-    line = F.coalesce(F.get(F.split("text", "\n"), 2), F.lit(""))
-    return read_table(spark, sf_dir, "documents").select("doc_id", line.alias("line"), F.size(F.split("text", "\n")).alias("n_lines"))
-
-
-def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every text with its number, those that are comments or blank left out."""
-    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return lines.where(~F.col("line").rlike(r"^\s*(//|\*|/\*|$)")).select("doc_id", (F.col("k") + 1).alias("line_number"), F.length("line").alias("chars"))
+    events = codegraph.edge_metadata(read_table(spark, sf_dir, "events").withColumn("kind", F.lit("calls")), ["calls"], "k int", "props")
+    k = F.col("props.k")
+    return events.select("event_id", k.alias("k"), F.to_json(F.struct("event_type", k.alias("k"))).alias("again"))
 
 
 def constant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +87,25 @@ def describe_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("conv_id", F.when(F.col("names") == "", "no outside input").otherwise(F.concat(F.lit("outside input: "), "names")).alias("message"))
 
 
+def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph names, references, chained receivers, import lines and parameter lists put together from a part, and parted again."""
+    word = lambda k: F.split("p_name", " ")[k]
+    reference = F.when(F.col("p_size") % 2 == 0, F.concat(word(0), F.lit("."), word(1))).otherwise(word(1))
+    parted, chain = sg.reference_parts(reference), sg.chained_receiver(F.concat(F.lit("a."), word(0), F.lit("(x).y()")))
+    line = F.concat(F.lit("import static lib."), word(0), F.when(F.col("p_size") % 3 == 0, ".*").otherwise(""), F.lit(";"))
+    named = sg.named_parameters(F.concat(F.lit("Map<A, B> "), word(0), F.lit(", int")))
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", sg.graph_owner(F.concat(F.lit("src/F.java::"), F.col("p_brand"), F.lit("::"), word(0))).alias("owner"), parted["receiver"].alias("receiver"), parted["method"].alias("method"),
+        chain["object"].alias("object"), chain["method"].alias("first"), F.coalesce(sg.import_name(line), F.lit("")).alias("import_name"), F.array_join(F.transform(named, lambda p: p["name"]), ",").alias("names"),
+    )
+
+
 QUERIES = {
+    "name_parts": (
+        name_parts,
+        """WITH p AS (SELECT p_partkey, p_brand, p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT p_partkey, p_brand AS owner, CASE WHEN p_size % 2 = 0 THEN a ELSE '' END AS receiver, b AS method, 'a' AS object, a AS first, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'lib.' || a END AS import_name, a AS names FROM p""",
+    ),
     "url_package": (
         url_package,
         r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
@@ -112,10 +115,6 @@ SELECT page_id, regexp_extract(host, '^(.*)\.[^.]*$', 1) AS package, split_part(
         href_extract,
         """SELECT page_id, CAST(ord - 1 AS INTEGER) AS ord, hrefs[ord] AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages), unnest(range(1, len(hrefs) + 1)) AS t(ord)""",
     ),
-    "tag_extract": (
-        tag_extract,
-        "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS style FROM pages",
-    ),
     "last_args": (
         last_args,
         r"""SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), '[0-9A-Za-z_]+\s*\(([^()]*)\)', 1)[-1] AS args FROM pages""",
@@ -124,11 +123,6 @@ SELECT page_id, regexp_extract(host, '^(.*)\.[^.]*$', 1) AS package, split_part(
         json_props,
         """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{"event_type":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS again FROM events""",
     ),
-    "source_line": (source_line, "SELECT doc_id, coalesce(string_split(text, chr(10))[3], '') AS line, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines FROM documents"),
-    "source_lines": (
-        source_lines,
-        r"""SELECT doc_id, CAST(k AS INTEGER) AS line_number, CAST(length(lines[k]) AS INTEGER) AS chars FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(k) WHERE NOT regexp_matches(lines[k], '^\s*(//|\*|/\*|$)')""",
-    ),
     "constant_scan": (
         constant_scan,
         r"""WITH h AS (SELECT doc_id, regexp_extract_all(text, '([a-z_]+) = "([^"\n]*)"', 1) AS names, regexp_extract_all(text, '([a-z_]+) = "([^"\n]*)"', 2) AS vals FROM documents),

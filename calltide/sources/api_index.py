@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calltide.functions.signatures import descriptor_types, trimmed
 from calltide.operators.lookup import inherited, linearised
 
+
 def read_compact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, methods, fields) of JSON ``{class: {s, i, m: {name: [[descriptor, returns, parameters, modifiers, throws,
     deprecated]]}, f: {name: [type, modifiers]}}}``."""
@@ -69,5 +70,54 @@ def return_types(asked: DataFrame, classes: DataFrame, methods: DataFrame) -> Da
 
 def index_stats(classes: DataFrame, methods: DataFrame, fields: DataFrame) -> DataFrame:
     """One row: classes, methods, overloads past the first, fields."""
-    m = methods.groupBy("class_name", "method_name").agg(F.count("*").alias("n")).agg(F.sum("n").alias("methods"), F.sum(F.col("n") - 1).alias("overloads"))
-    return m.join(classes.agg(F.count("*").alias("classes")), F.lit(True)).join(fields.agg(F.count("*").alias("fields")), F.lit(True)).select("classes", "methods", "overloads", "fields")
+    count = lambda rows, what: rows.select(F.lit(what).alias("what"), F.lit(1).alias("n"))
+    names = methods.groupBy("class_name", "method_name").agg(F.count("*").alias("n"))
+    over = names.select(F.lit("overloads").alias("what"), (F.col("n") - 1).cast("int").alias("n"))
+    every = count(classes, "classes").union(count(methods, "methods")).union(over).union(count(fields, "fields"))
+    return every.agg(*(F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("classes", "methods", "overloads", "fields")))
+
+
+def javap_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of what ``javap -public -s`` has printed."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+
+
+def write_index(classes: DataFrame, methods: DataFrame, fields: DataFrame, path: str) -> None:
+    """The three tables as Parquet below the path, in place of what is there."""
+    for name, table in (("classes", classes), ("methods", methods), ("fields", fields)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables that ``write_index`` has written."""
+    classes, methods, fields = (spark.read.parquet(f"{path}/{name}") for name in ("classes", "methods", "fields"))
+    return classes, methods, fields
+
+
+def overloads(asked: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class_name, method, owner, ordinal, descriptor): all overloads of the nearest class that has the method."""
+    found = inherited(asked, linearised(supers(classes)), methods.select(F.col("class_name").alias("owner"), F.col("method_name").alias("member")), "class_name", "method")
+    there = methods.select(F.col("class_name").alias("owner"), F.col("method_name").alias("method"), "ordinal", "descriptor")
+    return found.join(there, ["owner", "method"]).select("class_name", "method", "owner", "ordinal", "descriptor")
+
+
+def field_types(asked: DataFrame, fields: DataFrame) -> DataFrame:
+    """(class_name, field_name, type) of the class's own field; null without one."""
+    return asked.join(fields.select("class_name", "field_name", "type"), ["class_name", "field_name"], "left")
+
+
+def class_info(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """asked (name) with super_class, interfaces and whether the class is known."""
+    return asked.join(classes.withColumn("known", F.lit(True)), "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def first_returns(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class_name, method, return_type) of every method that a class has or inherits: the first overload of the nearest class;
+    primitives and void are null."""
+    order = linearised(supers(classes)).select(F.col("name").alias("class_name"), F.col("ancestor").alias("owner"), "rank")
+    own = methods.where("ordinal = 0").select(F.col("class_name").alias("owner"), F.col("method_name").alias("method"), F.when(F.col("return_type").contains("."), F.col("return_type")).alias("return_type"))
+    alone = own.select(F.col("owner").alias("class_name"), "owner").distinct().withColumn("rank", F.lit(None).cast(order.schema["rank"].dataType))
+    every = order.unionByName(alone.join(order.select("class_name").distinct(), "class_name", "left_anti"))
+    rows = every.join(own, "owner")
+    return rows.groupBy("class_name", "method").agg(F.min_by("return_type", F.struct("rank", "owner")).alias("return_type"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.signatures import trimmed
@@ -54,6 +54,19 @@ def repositories(settings: DataFrame) -> DataFrame:
     return settings.select("path", tag(F.col("xml"), "localRepository").alias("local_repository"), F.explode_outer(urls).alias("url"))
 
 
+def repository_jars(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every jar below a local repository, relative to it; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jar").load(root).select("path")
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return found.select(F.regexp_replace("path", rf"^[a-z]*:?/*\Q{base}\E/", "").alias("path"))
+
+
+def missing(resolved: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(the first ``n`` missing dependencies by name, how many more there are)."""
+    gone = resolved.where("how = 'missing'").select("group_id", "artifact_id", "version").distinct()
+    return gone.orderBy("group_id", "artifact_id", "version").limit(n), gone.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+
+
 def resolved_jars(deps: DataFrame, files: DataFrame) -> DataFrame:
     """deps with ``jar`` and ``how``: the exact jar, else any jar of its version, else one of the last version in text order,
     else missing. ``files`` has the jars' paths below the repository (path)."""
@@ -86,5 +99,5 @@ def class_names(archives: DataFrame) -> DataFrame:
                 out += [(path, n[:-6].replace("/", ".")) for n in found if n.endswith(".class") and "$" not in n and not n.startswith("META-INF/")]
             yield pd.DataFrame(out, columns=["path", "name"])
 
-    return archives.select("path", "content").mapInPandas(names, "path string, name string")
+    return archives.select("path", "content").mapInPandas(names, "path string, name string").distinct()
 
