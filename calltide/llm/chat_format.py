@@ -60,6 +60,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     )
 
 
+def under_loss(formatted: Column, loss_mask: Column) -> Column:
+    """The texts, unescaped, that the mask puts under the loss, cut out of the formatted text by the mask's run lengths."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("cut"))
+
+    def step(acc: Column, m: Column) -> Column:
+        piece = F.substr(formatted, acc["at"].cast("int"), m["chars"].cast("int"))
+        return F.struct((acc["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(acc["cut"], F.array(piece))).otherwise(acc["cut"]).alias("cut"))
+
+    return F.transform(F.aggregate(loss_mask, start, step)["cut"], unescape)
+
+
 def parse(formatted: Column) -> Column:
     """The turns (role, text) that a formatted text holds."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>\n", -1), lambda b: b != "")

@@ -12,7 +12,8 @@ are the best path under these scores, not the merge result. Decoding needs no sc
 
 Decoding gives back every text exactly: a literal U+2581 is written in byte pieces, and control pieces never occur.
 Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows are each encoded;
-other columns are kept.
+other columns are kept, but those named as a result column (ids, n_pieces, ids_sha256, exact; the text of ``decode``) give way
+to it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -66,10 +66,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from the formatted text; conversation -1 holds another template's control strings."""
     added = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    read = chat_format.format_chats(turns).select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat_format.LOSS_ROLE), lambda t: t["text"]), "")
+    made = chat_format.format_chats(turns)
+    read = made.select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.under_loss(F.col("formatted"), F.col("loss_mask")).alias("masked"))
+    loss = F.array_join("masked", "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+    digests = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("whole"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return digests.select(
         "conv_id", "n_turns", F.sha2("whole", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
     )
 
