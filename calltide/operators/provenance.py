@@ -1,7 +1,8 @@
 """Where the arguments of a call come from: literals, outside input, parameters, constants, fields, results of calls.
 
 Arguments are cut into operands, one row each. Every round settles what it can (literals, parameters, constants) and
-puts what a variable or a pass-through call was made from in its place; ``ROUNDS`` bounds chains of assignments.
+puts what a variable or a pass-through call was made from in its place. A row remembers what it was before, and nothing is
+opened twice on its way, so rounds end with the longest chain of assignments.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
-from calltide.session import ensure_checkpoint_dir
+from calltide.session import Scratch
 
-ROUNDS = 4
 # Methods whose result is made of their receiver or arguments only.
 PASS_RECEIVER = ["get", "iterator", "stream", "toArray", "split", "getBytes", "toString", "trim", "substring", "toLowerCase", "toUpperCase", "replace", "replaceAll"]
 PASS_ARGUMENTS = ["asList", "singletonList", "unmodifiableList", "unmodifiableSet", "unmodifiableMap", "emptyList", "emptySet", "emptyMap", "of", "valueOf"]
@@ -21,17 +21,17 @@ PASS_ARGUMENTS = ["asList", "singletonList", "unmodifiableList", "unmodifiableSe
 def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame) -> DataFrame:
     """(site_id, pos, kind, text) for each operand of each argument of sites (site_id, path, class_name, scope, is_handler,
     arguments). ``params`` has (path, class_name, scope, name), ``variables`` also value, ``constants`` (class_name, field_name, value)."""
-    ensure_checkpoint_dir(sites.sparkSession)
+    scratch = Scratch(sites.sparkSession)
     place = ["site_id", "path", "class_name", "scope", "is_handler"]
     opened = sites.select(*place, F.posexplode(literals.arguments(F.col("arguments"))).alias("pos", "arg"))
-    rows = opened.select(*place, "pos", F.explode(literals.operands(F.col("arg"))).alias("text"))
+    rows = opened.select(*place, "pos", F.explode(literals.operands(F.col("arg"))).alias("text")).withColumn("seen", F.array("text"))
     known = params.select("path", "class_name", "scope", F.col("name").alias("text"), F.lit(True).alias("is_param")).distinct()
     values = variables.where("value is not null and value <> ''").select("path", "class_name", "scope", F.col("name").alias("text"), F.col("value").alias("made"))
     fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
     own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"))
     any_ = constants.select(F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name")).alias("text"), F.lit(True).alias("constant")).distinct()
     done = None
-    for k in range(ROUNDS + 1):
+    while True:
         joined = rows.join(known, ["path", "class_name", "scope", "text"], "left").join(own, ["class_name", "text"], "left").join(any_, "text", "left")
         joined = joined.join(values, ["path", "class_name", "scope", "text"], "left").join(fields, ["path", "class_name", "text"], "left")
         call = literals.call_name(F.col("text"))
@@ -42,22 +42,23 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
             .when(call.isin(*PASS_ARGUMENTS), literals.arguments(inner))
             .when(call.isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
         )
+        more = F.filter(more, lambda x: ~F.array_contains("seen", x))
         kind = (
             F.when(literals.is_literal(F.col("text")), "hardcoded")
             .when(F.col("is_param") & F.col("is_handler"), "external_input")
             .when(F.col("is_param"), "tainted")
             .when(F.col("own_constant") | F.col("constant"), "hardcoded")
-            .when(F.lit(k < ROUNDS) & (F.size(more) > 0), "open")
+            .when(F.size(more) > 0, "open")
             .when(call != "", "method_return")
             .when(F.col("is_field") | F.col("text").contains("."), "field")
             .when(literals.identifier(F.col("text")), "variable")
             .otherwise("unknown")
         )
-        settled = joined.select(*place, "pos", "text", kind.alias("kind"), more.alias("more")).checkpoint()
+        settled = scratch.keep(joined.select(*place, "pos", "text", "seen", kind.alias("kind"), more.alias("more")))
         part = settled.where("kind <> 'open'").select("site_id", "pos", "kind", "text")
         done = part if done is None else done.unionByName(part)
-        rows = settled.where("kind = 'open'").select(*place, "pos", F.explode("more").alias("text"))
-        if k < ROUNDS and rows.isEmpty():
+        rows = settled.where("kind = 'open'").select(*place, "pos", F.explode("more").alias("text"), "seen").withColumn("seen", F.array_append("seen", F.col("text")))
+        if rows.isEmpty():
             break
     return done
 

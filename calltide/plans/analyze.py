@@ -176,7 +176,10 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     asked = matched.dropDuplicates(["site_id"]).withColumn("arguments", F.col("args"))
     made = receiver_sources(asked, s.assignments).withColumn("site_id", F.concat("site_id", F.lit("#receiver")))
     given = s.methods.select("path", "class_name", F.col("method_name").alias("scope"), F.explode("params").alias("p")).select("path", "class_name", "scope", "p.name")
-    parts = provenance.argument_parts(asked.unionByName(made), given, s.variables, s.constants)
+    key = ["path", "class_name", "scope", "name"]
+    first = merge.first_wins(s.assignments, key, ["seq"]).select(*key, "value")  # of several values of a name, the first counts
+    values = s.variables.drop("value").join(first, key, "left").withColumn("value", F.coalesce("value", F.lit("")))
+    parts = provenance.argument_parts(asked.unionByName(made), given, values, s.constants)
     told = scratch.keep(provenance.flags(parts))
     receiver = told.where(F.col("site_id").endswith("#receiver")).select(F.regexp_replace("site_id", "#receiver$", "").alias("site_id"), F.col("ext").alias("receiver_ext"), F.col("tainted").alias("receiver_tainted"))
     told = told.where(~F.col("site_id").endswith("#receiver")).join(receiver, "site_id", "full")
