@@ -3,7 +3,8 @@ functions only.
 
 Texts are lower-cased and cut into words at white space; a shingle is ``SIZE`` words. For each item, the windows of a
 document that have the item's number of words are compared with it. A window without any shingle of the benchmark has
-similarity 0 with every item, so only the windows that line up a shared shingle are made (shingle join). Each gets a
+similarity 0 with every item; windows are made that line up a shared shingle (shingle join), and all between two of these that
+are no further apart than a similarity of 0.8 lets words be inserted or left out. Each gets a
 64-bit SimHash of its shingles, weighted by how often they occur in it. Fingerprints are cut into ``BLOCKS`` blocks; the
 items' blocks are listed with all their neighbours within ``RADIUS // BLOCKS`` bits, so every window within ``RADIUS``
 bits of an item of its size shares a block with it (pigeonhole). Candidates are verified by the exact weighted Jaccard
@@ -17,11 +18,11 @@ columns are ignored. Empty tables: no leaks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltide.llm.filters import without
-from calltide.session import ensure_checkpoint_dir
+from calltide.llm.filters import sized, without
+from calltide.session import Scratch
 
 SIZE, PERCENT = 5, 80
 BLOCKS, RADIUS = 4, 15
@@ -71,6 +72,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(__k, __th, item_id, percent): verified leaks of items in documents."""
+    scratch = Scratch(docs.sparkSession)
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SIZE).select("item_id", F.size("w").alias("size"), shingles("w").alias("ig"))
     listed = items.select("size", F.posexplode("ig").alias("at", "g")).distinct()
 
@@ -78,9 +80,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     grams = texts.select("__k", "__th", F.size("w").alias("n"), F.posexplode(shingles("w")).alias("pos", "g"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
     wanted = grams.join(listed, "g").select("__k", "__th", start.alias("start"), "size").distinct()
-    wanted = wanted.groupBy("__k", "__th").agg(F.collect_set(F.struct("start", "size")).alias("windows"))  # a document's own windows
-
-    cut = texts.join(wanted, ["__k", "__th"]).dropDuplicates(["__k", "__th"]).select("__k", "__th", F.explode("windows").alias("v"), "w")
+    near = F.col("size") * (100 - PERCENT) / 100 + 1
+    w = Window.partitionBy("__k", "__th", "size").orderBy("start")
+    next_ = F.coalesce(F.lead("start").over(w), F.col("start") + 1)
+    wanted = wanted.withColumn("next", F.when(next_ - F.col("start") <= near, next_).otherwise(F.col("start") + 1))
+    wanted = wanted.select("__k", "__th", "size", F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
+    wanted = scratch.keep(wanted.groupBy("__k", "__th").agg(F.collect_set(F.struct("start", "size")).alias("windows")))  # a document's own windows
+
+    held = texts.join(sized(wanted.select("__k", "__th")), ["__k", "__th"], "left_semi")
+    cut = held.join(wanted, ["__k", "__th"]).dropDuplicates(["__k", "__th"]).select("__k", "__th", F.explode("windows").alias("v"), "w")
     cut = cut.select("__k", "__th", "v.size", F.expr("slice(w, v.start + 1, v.size)").alias("w")).select("__k", "__th", "size", shingles("w").alias("wg"))
     printed = cut.select("__k", "__th", "size", "wg", simhash("wg").alias("wp"))
 
@@ -97,9 +105,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item leaks."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    found = leaks(docs, benchmark).select("__k", "__th").distinct().checkpoint()
-    return without(_keyed(docs), found).select(*docs.columns)
+    found = Scratch(docs.sparkSession).keep(leaks(docs, benchmark).select("__k", "__th").distinct())
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")  # no column of docs can clash with the keys
+    kept = without(_keyed(docs.select("doc_id", "text", row)), found)
+    return kept.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
