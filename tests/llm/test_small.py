@@ -541,3 +541,66 @@ def test_main_text_of_held_out_pages(spark):
         right += sum((b[0] in want.split("\n")) == bool(x) for b, x in zip(found, keep, strict=True))
         total += len(found)
     assert right / total >= 0.97, right / total
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_secret_battery_recall_and_false_discoveries(spark, copies):
+    """Random tokens of three encodings against long ordinary words, names, paths and numbers, on a small and a larger table."""
+    r = random.Random(17)
+    sixty_four = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: r.choice(("configuration", "repository", "management", "international", "description", "understanding", "application"))
+    plain = [
+        lambda: "".join(word().capitalize() for _ in range(3)), lambda: "/".join(word() for _ in range(3)), lambda: "_".join([word(), word(), str(r.randint(1, 99))]),
+        lambda: word() + word(), lambda: (word() + word()).upper(), lambda: str(r.randint(0, 9)) * 24, lambda: "2024-01-" + "-".join(str(r.randint(10, 28)) for _ in range(6)),
+    ]
+    secret = [lambda: "".join(r.choice(sixty_four) for _ in range(40)), lambda: "".join(r.choice(sixty_four[:52]) for _ in range(40)), lambda: "".join(r.choice(sixty_four[26:]) for _ in range(36))]
+    rows, truth = [], {}
+    for i in range(30 * copies):
+        made = [(secret if (i + k) % 3 == 0 else plain)[(i // 3 + k) % (3 if (i + k) % 3 == 0 else 7)]() for k in range(4)]
+        text, spans = "", set()
+        for k, token in enumerate(made):
+            if (i + k) % 3 == 0:
+                spans.add((len(text), len(text) + len(token)))
+            text += token + " and "
+        rows.append((i, text))
+        truth[i] = spans
+    got = rows_of(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = {i: {(s.start, s.end) for s in g.spans if s.kind == "random"} for i, g in got.items()}
+    hit, added, wanted = (sum(map(len, x)) for x in ([found[i] & truth[i] for i in truth], found.values(), truth.values()))
+    assert hit / wanted >= 0.7 and hit / added >= 0.95, (hit, added, wanted)
+
+
+def test_leak_with_words_inserted_in_its_middle(spark):
+    """No window that lines up a shared shingle is similar enough, but one between two of them is."""
+    item = [f"w{k}" for k in range(59)]
+    leak = ["x", *item[1:29], "y", "z", *item[29:58], "q"]
+    docs = spark.createDataFrame([(1, " ".join([f"a{k}" for k in range(20)] + leak + [f"b{k}" for k in range(20)])), (2, None)], "doc_id long, text string").withColumns({"__k": F.lit(1), "__th": F.lit(2)})
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    want = brute.leaks(docs.first().text, [(5, " ".join(item))])
+    assert [(r.doc_id, r.contaminated) for r in decontaminate.contamination(docs, bench).orderBy("doc_id").collect()] == [(1, bool(want)), (2, False)]
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == ({2} if want else {1, 2})
+
+
+def test_pii_added_spans_against_planted_ones(spark):
+    """Recall and precision of the looser forms that the field adds, among dates, versions, prices and measures."""
+    r = random.Random(23)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: prose(1, r.randint(0, 999))
+    strict = [lambda: f"{name()}@{name()}.example.org", lambda: f"+49 {digits(3)} {digits(4)} {digits(3)}", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"]
+    loose = [lambda: f"{name()} @ {name()}.example.org", lambda: f"{name()} (at) {name()}.example.org", lambda: f"1 ({digits(3)}) {digits(3)}-{digits(4)}"]
+    plain = [lambda: f"on 2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"price {digits(3)}.{digits(2)}", lambda: f"{digits(2)} x {digits(2)} cm", lambda: f"see {name()} at {name()}", lambda: f"room {digits(3)}"]
+    rows, truth = [], {}
+    for i in range(300):
+        text, spans = prose(6, i) + " ", set()
+        kind = (strict, loose, plain)[i % 3]
+        for k in range(2):
+            found = kind[(i // 3 + k) % len(kind)]()
+            if kind is loose:
+                spans.add((len(text), len(text) + len(found)))
+            text += found + " " + prose(5, 1000 + 2 * i + k) + " "
+        rows.append((i, text))
+        truth[i] = spans
+    got = rows_of(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")))
+    added = {i: {(s.start, s.end) for s in g.spans} - {(s.start, s.end) for s in g.base} for i, g in got.items()}
+    hit, made, wanted = (sum(map(len, x)) for x in ([added[i] & truth[i] for i in truth], added.values(), truth.values()))
+    assert hit / wanted >= 0.8 and hit / max(made, 1) >= 0.9, (hit, made, wanted)
