@@ -2,19 +2,23 @@
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its length (contract of the query). A span is
 the whole match. Other candidates are runs of ``MIN`` or more letters, digits, ``+ / _ -``; each gets the encoding with the least
-alphabet that holds it (hexadecimal, base 32, one-case alphanumeric, base 62, base 64). Three tests against uniform
+alphabet that holds it (hexadecimal, base 32, one-case alphanumeric, letters, base 62, base 64). Three tests against uniform
 random characters of that alphabet give one p-value each: chi-squared of the character counts (Wilson-Hilferty), runs
 above and below the alphabet's middle, and serial correlation of neighbours (normal; its distribution function by the
 logistic approximation). Fisher's method combines them.
 
 Random characters and short words cannot be told apart by tests alone, so false discoveries are controlled by length:
-candidates without a digit, or of digits alone, are ordinary words and numbers and serve as decoys. Per length band, a level of
-the combined p-value is accepted only if the decoys of that and all shorter bands (shorter words look more random, so
-this is on the safe side) show a false-discovery rate of at most ``FDR`` there, and the p-value is not below 0.01.
-The table of counts has bands x levels rows whatever the input; its thresholds are the only thing the driver reads.
+candidates of letters of one case alone, or of digits alone, are ordinary words and numbers and serve as decoys. Per length
+band, a level of the combined p-value is accepted only if the decoys of that and all shorter bands (shorter words look more
+random, so this is on the safe side) show a false-discovery rate of at most ``FDR`` there, and the p-value is not below 0.01.
+To the decoys are added ``PRIOR`` supposed ones of the band, of which a share of 2 ** -(length / HALVES) passes at any level: a
+table with few decoys still accepts long random tokens, and one with many goes by its own.
+The table of counts has bands x levels rows whatever the input; its thresholds are the only thing the driver reads. Texts are
+scanned once: base spans and tested candidates are written to the shared folder before the thresholds are known.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated rows are each
-scanned; added spans of kind ``random`` touch no base span; without decoys nothing is added.
+scanned; added spans of kind ``random`` touch no base span; a null doc_id is a row like any other; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calltide.session import Scratch
+
 KINDS = ("assign", "access", "hex", "random")
 MIN, FDR = 20, 0.05
 #: Upper lengths of the bands, and levels: -10 log10 of the combined p-value.
 BANDS, LEVELS = (23, 27, 31, 39, 47, 63, 127, 255), 60
 #: Largest level accepted at all: a combined p-value of 0.01.
 LEVEL = 20
+#: Supposed decoys of a band, and characters by which the share of them that pass is halved.
+PRIOR, HALVES = 20, 4
 
 # The contract's patterns.
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,6 +51,7 @@ ENCODINGS = (
     ("^[A-Z2-7]*$", _UPPER + "234567"),
     ("^[0-9a-z]*$", _DIGIT + _LOWER),
     ("^[0-9A-Z]*$", _DIGIT + _UPPER),
+    ("^[A-Za-z]*$", _UPPER + _LOWER),
     ("^[0-9A-Za-z]*$", _DIGIT + _UPPER + _LOWER),
     ("^[0-9A-Za-z+/]*$", _UPPER + _LOWER + _DIGIT + "+/"),
     ("^[0-9A-Za-z_-]*$", _UPPER + _LOWER + _DIGIT + "-_"),
@@ -120,7 +129,7 @@ def battery(token: Column) -> Column:
     places = lambda a, c: F.transform(c, lambda x: F.position(x, a).cast("double") - 0.5)
     level = let(alphabet, lambda a: let(chars, lambda c: let(places(a, c), lambda v: let(couple(v), lambda q: tests(a, c, q)))))
     band = F.coalesce(*(F.when(n <= b, F.lit(i)) for i, b in enumerate(BANDS)), F.lit(len(BANDS)))
-    plain = ~token.rlike("[0-9]") | ~token.rlike("[A-Za-z]")
+    plain = token.rlike("^([^a-zA-Z]*|[^A-Z0-9]*|[^a-z0-9]*)$")
     return F.struct(band.alias("band"), level.alias("level"), plain.alias("decoy"))
 
 
@@ -141,14 +150,15 @@ def thresholds(found: DataFrame) -> list[int]:
     for band in range(len(BANDS) + 1):
         decoys = [sum(r.d for r in counts if r.band <= band and r.level <= k) for k in range(LEVELS + 1)]
         targets = [sum(r.n for r in counts if r.band == band and r.level <= k) for k in range(LEVELS + 1)]
-        expected = lambda k: (decoys[k] + 1) / (decoys[-1] + 1) * targets[-1]  # noqa: B023, E731
+        length = BANDS[band - 1] + 1 if band else MIN
+        expected = lambda k: (decoys[k] + PRIOR * 2 ** -(length / HALVES)) / (decoys[-1] + PRIOR) * targets[-1]  # noqa: B023, E731
         out.append(max((k for k in range(LEVEL + 1) if targets[k] and expected(k) <= FDR * targets[k]), default=-1))
     return out
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end, found) by start, then kind as listed."""
-    found = candidates(docs)
+    found = Scratch(docs.sparkSession).keep(candidates(docs))
     limits = F.array(*map(F.lit, thresholds(found)))
     kept = F.filter("runs", lambda r: ~r["test"]["decoy"] & (r["test"]["level"] <= F.get(limits, r["test"]["band"])))
     names = F.array(*map(F.lit, KINDS))
