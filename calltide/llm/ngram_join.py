@@ -152,7 +152,7 @@ def ngram_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
         some = docs.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).join(sized(first.select("id").distinct()), "id", "left_semi")
         return some.mapInArrow(_texts(size), "node long, text string").join(first.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-    comps = simjoin.classes(docs.select("text").mapInArrow(_flat(size, percent), "sig long, a long, b long"), profile, payload, size, percent, scratch)
+    comps = simjoin.classes(docs.select("text").mapInArrow(_flat(size, percent), "sig long, a long, b long"), payload, size, percent, scratch, profile)
     linked = scratch.keep(nodes.join(comps, "node", "left").where("comp is not null or rows > 1").select("node", F.coalesce("comp", "node").alias("comp"), "least"))
     least = scratch.keep(linked.groupBy("comp").agg(F.min("least").alias("component_id")))
     ids = scratch.keep(linked.join(least, "comp").select("node", "component_id"))

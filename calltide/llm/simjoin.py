@@ -87,21 +87,55 @@ def stars(signatures: DataFrame) -> DataFrame:
     return signatures.repartition(key).sortWithinPartitions("sig", "a", "b").mapInArrow(_stars, "sig long, a long, b long")
 
 
+def _star(large: bool) -> Mapper:
+    """One half round over edges (u, v) sorted by (u, v): every node's neighbours get its least one, m, in its place. ``large``:
+    rows are both ways round, and neighbours above u are linked with m; otherwise v < u, and u and its neighbours are. A node's
+    rows are streamed; a row tells whether its edge is new."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        first = (0, 0)  # the node whose rows go on, and its m
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.ones(len(u), dtype=bool)
+            fresh[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+            opens = np.ones(len(u), dtype=bool)
+            opens[1:] = u[1:] != u[:-1]
+            if last is not None:
+                fresh[0], opens[0] = (u[0], v[0]) != last, u[0] != last[0]
+            heads = np.flatnonzero(opens)
+            place = np.cumsum(opens) - 1
+            m = np.where(place >= 0, np.minimum(u, v)[heads[np.maximum(place, 0)]] if len(heads) else 0, first[1])
+            last, first = (u[-1], v[-1]), (u[-1], m[-1])
+            if large:
+                keep = fresh & (v > u)
+                out = (v[keep], m[keep], m[keep] != u[keep])
+            else:
+                rest = fresh & (v != m)
+                out = (np.concatenate([u[opens], v[rest]]), np.concatenate([m[opens], m[rest]]), np.concatenate([np.zeros(opens.sum(), bool), np.ones(rest.sum(), bool)]))
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["u", "v", "new"])
+
+    return of
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the least node that links reach, for every node of an edge (a, b). Least labels spread over the
-    edges and jump along labels, so long chains take a logarithmic number of rounds."""
-    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("u", "v"))
-    near = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("w"))
-    labels = scratch.keep(near.select("node", F.least("node", "w").alias("comp")))
+    """(node, comp): the least node that links reach, for every node of an edge (a, b) between two nodes. Large and small stars
+    (Kiveris and others, 2014) by turns: one shuffle each, and a logarithmic number of rounds, squared at worst."""
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        offer = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        spread = labels.join(offer, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        jumped = spread.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("far", "comp")).alias("comp"), "old")
-        moved = scratch.keep(jumped)
-        labels = moved.select("node", "comp")
-        if moved.where("comp <> old").isEmpty():
-            return labels
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(True), "u long, v long, new boolean")
+        large = scratch.keep(large)
+        small = large.select("u", "v").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(False), "u long, v long, new boolean")
+        small = scratch.keep(small)
+        links = small.select("u", "v")
+        if large.select("new").union(small.select("new")).where("new").isEmpty():
+            break
+    own = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
+    return scratch.keep(own.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
 
 
 def sketch(s: np.ndarray, percent: int) -> np.ndarray:
@@ -248,29 +282,43 @@ def _open(found: DataFrame, comps: DataFrame) -> DataFrame:
     return every.join(buckets.select("sig", (F.col("n") + 1).alias("size")), "sig")
 
 
+def _profiles(size: int, percent: int) -> Mapper:
+    """(node, n, sketch) of (node, text)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = sets(batch, size)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in found], pa.int64()), sketches(found, percent)], names=["node", "n", "sketch"])
+
+    return of
+
+
 def classes(
-    signatures: DataFrame, profile: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], size: int, percent: int, scratch: Scratch
+    signatures: DataFrame, payload: Callable[[DataFrame], DataFrame], size: int, percent: int, scratch: Scratch, profile: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """(node, comp) for every node that has a link: 100 * common shingles >= percent * all shingles, of ``size`` words.
-    ``signatures`` are local stars; of the nodes asked for, ``profile(nodes)`` gives (node, n, sketch) and ``payload(nodes)``
-    (node, text)."""
+    ``signatures`` are local stars; of the nodes asked for, ``payload(nodes)`` gives (node, text) and ``profile(nodes)`` (node, n,
+    sketch). Without ``profile``, texts are short: those of all pairs are read once, and pairs are checked without sketches."""
     found = scratch.keep(stars(signatures))
     scratch.release()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     pairs = scratch.keep(found.select("a", "b").distinct())
-    known = scratch.keep(profile(ends(pairs)))
+    short = None if profile else scratch.keep(payload(ends(pairs)))
+    known = scratch.keep(profile(ends(pairs)) if profile else short.mapInArrow(_profiles(size, percent), "node long, n long, sketch array<long>"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     def links(candidates: DataFrame) -> DataFrame:
         candidates = scratch.keep(candidates)
-        texts = scratch.keep(payload(ends(candidates)))
+        texts = scratch.keep(payload(ends(candidates))) if short is None else short
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         checked = candidates.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(exact(size, percent), "a long, b long, link boolean")
         checked = scratch.keep(checked)
         scratch.release()
         return checked
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long")
+    near = pairs
+    if profile:
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long")
     checked = links(near)
     comps = components(checked.where("link"), scratch)
     members = scratch.keep(_open(found, comps))
