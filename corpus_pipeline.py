@@ -6,17 +6,14 @@ which is written as Parquet and read again as the next one's ``docs``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from calltide.llm.decontaminate import decontaminated
 from calltide.llm.ngram_join import deduplicated
 from calltide.llm.pieces import Vocabulary, encode
 from calltide.llm.pii import mask_pii
 from calltide.llm.quality import good_documents
-from calltide.session import ensure_checkpoint_dir, read_table
+from calltide.session import Scratch, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id. Links are by five-word shingles at 0.8, as in all stages."""
+    """One document of each group stays: the one with the least doc_id. Links are by five-word shingles at 0.8."""
     return deduplicated(docs, size=5, percent=80)
 
 
@@ -44,18 +41,24 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encode(docs, Vocabulary.load()).drop("text")
 
 
-STAGES = [("quality rules", quality_rules), ("n-gram jaccard join", ngram_join), ("benchmark decontamination", benchmark_decontamination), ("pii", pii), ("sentencepiece", sentencepiece)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", ngram_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("pii", pii),
+    ("sentencepiece", sentencepiece),
+]
 
 #: Trained models, connected components and a tokenizer are beyond SQL: tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to and read again from the shared folder of the session."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to and read again from the shared folder of the session; what a stage has
+    read is deleted when it is written."""
+    scratch = Scratch(spark)
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
-        docs = spark.read.parquet(f"{shared}/{k}")
+    for _, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
     return docs
