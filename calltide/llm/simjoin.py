@@ -7,7 +7,7 @@ many batches share meets once for each batch. The pairs are checked exactly and
 A bucket whose members are then in different components is open. In rounds, every member of an open bucket that is
 not in its largest component names the nearest possible partners of other components; these are checked and connected,
 refuted ones are remembered, and a bucket stays open while a member had more possible partners than it named. A bucket
-in which nothing possible is left is closed, so no link that the signatures show is lost, and a round has ``2 ** round``
+in which nothing possible is left is closed, so no link that the signatures show is lost, and a round has ``MOST * 4 ** round``
 rows for each member at most. Buckets of more than ``BLOCK`` members are compared in pairs of blocks.
 
 What is possible is told by odd sketches: a bit differs only where sets have different members, so two sets whose
@@ -30,6 +30,8 @@ from calltide.session import Scratch
 SKETCH, BITS = 512, 16
 #: Members of a block, and words of sketches compared at a time.
 BLOCK, CELLS = 2048, 1 << 20
+#: Partners that a member names in the first round; four times as many in each further one.
+MOST = 2
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -90,7 +92,7 @@ def stars(signatures: DataFrame) -> DataFrame:
 def _star(large: bool) -> Mapper:
     """One half round over edges (u, v) sorted by (u, v): every node's neighbours get its least one, m, in its place. ``large``:
     rows are both ways round, and neighbours above u are linked with m; otherwise v < u, and u and its neighbours are. A node's
-    rows are streamed; a row tells whether its edge is new."""
+    rows are streamed; a row tells whether its edge is new, or was new in the half round before."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
@@ -98,7 +100,7 @@ def _star(large: bool) -> Mapper:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            u, v, new = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             fresh = np.ones(len(u), dtype=bool)
             fresh[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
             opens = np.ones(len(u), dtype=bool)
@@ -114,7 +116,7 @@ def _star(large: bool) -> Mapper:
                 out = (v[keep], m[keep], m[keep] != u[keep])
             else:
                 rest = fresh & (v != m)
-                out = (np.concatenate([u[opens], v[rest]]), np.concatenate([m[opens], m[rest]]), np.concatenate([np.zeros(opens.sum(), bool), np.ones(rest.sum(), bool)]))
+                out = (np.concatenate([u[opens], v[rest]]), np.concatenate([m[opens], m[rest]]), np.concatenate([new[opens], np.ones(rest.sum(), bool)]))
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["u", "v", "new"])
 
@@ -124,15 +126,13 @@ def _star(large: bool) -> Mapper:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node that links reach, for every node of an edge (a, b) between two nodes. Large and small stars
     (Kiveris and others, 2014) by turns: one shuffle each, and a logarithmic number of rounds, squared at worst."""
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    step = lambda rows, large: rows.repartition("u").sortWithinPartitions("u", "v", F.desc("new")).mapInArrow(_star(large), "u long, v long, new boolean")
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(False).alias("new"))
     while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(True), "u long, v long, new boolean")
-        large = scratch.keep(large)
-        small = large.select("u", "v").repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(False), "u long, v long, new boolean")
-        small = scratch.keep(small)
-        links = small.select("u", "v")
-        if large.select("new").union(small.select("new")).where("new").isEmpty():
+        both = links.select("u", "v", F.lit(False).alias("new"))
+        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "new"))
+        links = scratch.keep(step(step(both, True), False))
+        if links.where("new").isEmpty():
             break
     own = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
     return scratch.keep(own.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()))
@@ -282,6 +282,20 @@ def _open(found: DataFrame, comps: DataFrame) -> DataFrame:
     return every.join(buckets.select("sig", (F.col("n") + 1).alias("size")), "sig")
 
 
+def _merged(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """comps (node, comp) with components joined that links (a, b) connect: the graph of components is connected, not that of nodes."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    placed = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    placed = scratch.keep(placed)
+    if placed.isEmpty():
+        return comps
+    top = components(placed.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    own = placed.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(placed.select("b", "cb")).distinct()
+    every = comps.unionByName(own.join(comps.select("node"), "node", "left_anti"))
+    moved = every.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    return scratch.keep(moved.select("node", F.coalesce("top", "comp").alias("comp")))
+
+
 def _profiles(size: int, percent: int) -> Mapper:
     """(node, n, sketch) of (node, text)."""
 
@@ -322,9 +336,8 @@ def classes(
     checked = links(near)
     comps = components(checked.where("link"), scratch)
     members = scratch.keep(_open(found, comps))
-    most = 1
+    most = MOST
     while not members.isEmpty():
-        most *= 2
         no = checked.where("not link")
         no = no.select(F.col("a").alias("x"), F.col("b").alias("y")).union(no.select("b", "a")).groupBy("x").agg(F.collect_set("y").alias("refuted"))
         rows = members.join(comps.select(F.col("node").alias("x"), "comp"), "x", "left").join(known.withColumnRenamed("node", "x"), "x").join(no, "x", "left")
@@ -340,7 +353,6 @@ def classes(
             break
         more = links(fresh)
         members = scratch.keep(members.join(named.where("more").select("sig").distinct(), "sig", "left_semi"))
-        if not more.where("link").isEmpty():
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more.where("link").select("a", "b")), scratch)
-        checked = scratch.keep(checked.union(more))
+        comps = _merged(comps, more.where("link"), scratch)
+        checked, most = checked.union(more), 4 * most
     return comps
