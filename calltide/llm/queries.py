@@ -16,6 +16,7 @@ from calltide.llm.pii import KINDS, find_pii
 from calltide.llm.quality import quality_rules
 from calltide.llm.secrets import find_secrets
 from calltide.llm.toxicity import toxicity
+from calltide.llm.url_filter import host, url_verdicts
 from calltide.session import read_table
 
 
@@ -85,6 +86,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(read_table(spark, sf_dir, "documents"))
 
 
+# The query's rules, and the sites whose pages its list names.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+LISTED_SITES = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of all pages of the listed sites."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(host(F.col("url")).rlike(LISTED_SITES)).select("url")
+    return url_verdicts(pages, listed, RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -109,5 +122,28 @@ FROM c GROUP BY conv_id
 """
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+q AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1, 's'), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS asked FROM p),
+k AS (
+  SELECT *, CASE WHEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') <> '' THEN
+    regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '')
+    || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '')
+    || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS key FROM q),
+listed AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.')),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+hosts AS (SELECT DISTINCT host, path FROM k),
+best AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM hosts JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, k.host, k.path, rule, coalesce(verdict, CASE WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, listed.key IS NOT NULL AS listed
+FROM k LEFT JOIN best ON k.host = best.host AND k.path = best.path LEFT JOIN listed ON k.key = listed.key
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op8_chat_format": OP8_SQL, "op12_url_filters": OP12_SQL}
