@@ -13,6 +13,7 @@ from calltide.llm.html_text import main_text
 from calltide.llm.ngram_join import ngram_groups
 from calltide.llm.paragraphs import substring_dedup
 from calltide.llm.pii import KINDS, find_pii
+from calltide.llm.prefix_trie import prefix_trie, rebuilt, turn_ids
 from calltide.llm.quality import quality_rules
 from calltide.llm.secrets import find_secrets
 from calltide.llm.toxicity import toxicity
@@ -98,6 +99,11 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, listed, RULES)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt with the first turns of another one."""
+    return prefix_trie(rebuilt(turn_ids(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -145,5 +151,33 @@ FROM k LEFT JOIN best ON k.host = best.host AND k.path = best.path LEFT JOIN lis
 """
 
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT DISTINCT conv_id, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT) AS b FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda crc, x:
+    list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 4 AS h FROM bytes),
+r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos + h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+seq AS (
+  SELECT c.conv_id, coalesce(list(sha256(role || chr(0) || text) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS ids,
+    coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS words
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+pre AS (SELECT conv_id, ids[1:d] AS k, d, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS w, len(ids) = d AS ends FROM seq, unnest(range(0, len(ids) + 1)) AS u(d)),
+node AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, max(w) AS w, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends
+  FROM pre GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON node.k = kids.k AND node.d = kids.d),
+below AS (
+  SELECT k[1:a] AS k, a AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n - 1) * w) AS saved FROM full_node, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM full_node x JOIN below ON x.k = below.k AND x.d = below.d LEFT JOIN node p ON x.d > 0 AND p.d = x.d - 1 AND p.k = x.k[1:x.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op12_url_filters": OP12_SQL}
+    return {"op8_chat_format": OP8_SQL, "op12_url_filters": OP12_SQL, "op13_prefix_trie": OP13_SQL}
