@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.llm import chat_format, pieces
+from calltide.llm.collocations import collocations
 from calltide.llm.decontaminate import contamination
 from calltide.llm.html_text import main_text
 from calltide.llm.ngram_join import ngram_groups
@@ -87,6 +88,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 # The query's rules, and the sites whose pages its list names.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 LISTED_SITES = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
@@ -128,6 +133,33 @@ FROM c GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, doc_id, unnest(string_split(translate(t, '.,;:!?' || chr(9) || chr(11) || chr(12) || chr(13), repeat(chr(10), 6) || ' ' || repeat(chr(10), 3)), chr(10))) AS piece FROM d),
+w AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split(piece, ' '), lambda x: x <> '') AS ws FROM p),
+one AS (SELECT lang, id, unnest(ws) AS phrase, generate_subscripts(ws, 1) AS i FROM w),
+run AS (
+  SELECT lang, phrase AS w1, lead(phrase, 1) OVER v AS w2, lead(phrase, 2) OVER v AS w3, lead(phrase, 3) OVER v AS w4, lead(phrase, 4) OVER v AS w5
+  FROM one WINDOW v AS (PARTITION BY id ORDER BY i)),
+total AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+f1 AS (SELECT lang, phrase, count(*) AS f FROM one GROUP BY lang, phrase HAVING count(*) >= 100),
+g AS (
+  SELECT lang, 2 AS k, concat_ws(' ', w1, w2) AS phrase FROM run WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM run WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM run WHERE w4 IS NOT NULL UNION ALL SELECT lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) FROM run WHERE w5 IS NOT NULL),
+c AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+f AS (SELECT lang, phrase, f FROM f1 UNION ALL SELECT lang, phrase, a FROM c),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c CROSS JOIN unnest([1, 2, 3, 4]) AS u(j) JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:k], ' ') WHERE j < k),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest([2, 3, 4]) AS u(m), unnest(range(1, len(ws) - m + 2)) AS v(i) WHERE m < k GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH p AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -180,4 +212,4 @@ FROM full_node x JOIN below ON x.k = below.k AND x.d = below.d LEFT JOIN node p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op12_url_filters": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op8_chat_format": OP8_SQL, "op11_collocations": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_prefix_trie": OP13_SQL}
