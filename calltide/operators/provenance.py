@@ -1,39 +1,66 @@
 """Where the arguments of a call come from: literals, outside input, parameters, constants, fields, results of calls.
 
-Arguments are cut into operands, one row each. Every round settles what it can (literals, parameters, constants) and
-puts what a variable or a pass-through call was made from in its place. A row remembers what it was before, and nothing is
-opened twice on its way, so rounds end with the longest chain of assignments.
+Terms are texts in a place (path, class, method). Every operand of an argument, of a value that a name is given, and of an
+argument that a known caller passes is a term, once, however often it stands there; it is settled (a literal, a parameter,
+a constant, ...) or made of other terms: a name of its value's operands, a pass-through call of its receiver or arguments, a
+parameter of what its callers pass. The sources of an argument are the settled terms that its operands reach. They are found
+for all operands at once, in rounds that join only what the last one has found new, so names that are used twice, or in
+circles, cost one row each. A name that is made of nothing but itself stays a variable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
 from calltide.session import Scratch
 
 # Methods whose result is made of their receiver or arguments only.
-PASS_RECEIVER = ["get", "iterator", "stream", "toArray", "split", "getBytes", "toString", "trim", "substring", "toLowerCase", "toUpperCase", "replace", "replaceAll"]
-PASS_ARGUMENTS = ["asList", "singletonList", "unmodifiableList", "unmodifiableSet", "unmodifiableMap", "emptyList", "emptySet", "emptyMap", "of", "valueOf"]
+PASS_RECEIVER = [
+    "get", "iterator", "stream", "toArray", "split", "getBytes", "toString", "trim", "substring", "toLowerCase", "toUpperCase", "replace", "replaceAll",
+]
+PASS_ARGUMENTS = [
+    "asList", "singletonList", "unmodifiableList", "unmodifiableSet", "unmodifiableMap", "emptyList", "emptySet", "emptyMap", "of", "valueOf",
+]
 
+_PLACE = ["path", "class_name", "scope"]
 
-def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame) -> DataFrame:
-    """(site_id, pos, kind, text) for each operand of each argument of sites (site_id, path, class_name, scope, is_handler,
-    arguments). ``params`` has (path, class_name, scope, name), ``variables`` also value, ``constants`` (class_name, field_name, value)."""
-    scratch = Scratch(sites.sparkSession)
-    place = ["site_id", "path", "class_name", "scope", "is_handler"]
-    opened = sites.select(*place, F.posexplode(literals.arguments(F.col("arguments"))).alias("pos", "arg"))
-    rows = opened.select(*place, "pos", F.explode(literals.operands(F.col("arg"))).alias("text")).withColumn("seen", F.array("text"))
-    known = params.select("path", "class_name", "scope", F.col("name").alias("text"), F.lit(True).alias("is_param")).distinct()
-    values = variables.where("value is not null and value <> ''").select("path", "class_name", "scope", F.col("name").alias("text"), F.col("value").alias("made"))
+
+def _named(text: Column) -> Column:
+    """One name for a term."""
+    return F.concat_ws("\u0001", *_PLACE, text)
+
+
+def _terms(
+    roots: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None, handlers: DataFrame, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """(term, text, kind, several) of every term, and the edges (term, next) of those that are made of others."""
+    given = variables.where("value is not null and value <> ''").select(*_PLACE, F.col("name").alias("text"), F.col("value").alias("made"))
+    known = params.select(*_PLACE, F.col("name").alias("text"), F.lit(True).alias("is_param")).distinct()
     fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
-    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"))
-    any_ = constants.select(F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name")).alias("text"), F.lit(True).alias("constant")).distinct()
-    done = None
+    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant")).distinct()
+    full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
+    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant")).distinct()
+    passed = None
+    seeds = roots.select(*_PLACE, "text").unionByName(given.select(*_PLACE, F.explode(literals.operands(F.col("made"))).alias("text")))
+    if callers is not None:
+        passed = scratch.keep(
+            callers.select(
+                F.concat_ws("\u0001", *_PLACE, "name").alias("term"), F.col("from_path").alias("path"), F.col("from_class").alias("class_name"),
+                F.col("from_scope").alias("scope"), F.explode(literals.operands(F.col("argument"))).alias("text"),
+            ).distinct()
+        )
+        seeds = seeds.unionByName(passed.select(*_PLACE, "text"))
+        called = passed.select("term").distinct().withColumn("is_called", F.lit(True))
+    frontier, tables, seen = seeds.distinct(), [], None
     while True:
-        joined = rows.join(known, ["path", "class_name", "scope", "text"], "left").join(own, ["class_name", "text"], "left").join(any_, "text", "left")
-        joined = joined.join(values, ["path", "class_name", "scope", "text"], "left").join(fields, ["path", "class_name", "text"], "left")
+        rows = frontier.join(known, [*_PLACE, "text"], "left").join(own, ["class_name", "text"], "left").join(any_, "text", "left")
+        rows = rows.join(given, [*_PLACE, "text"], "left").join(fields, ["path", "class_name", "text"], "left").join(handlers, _PLACE, "left")
+        rows = rows.withColumn("term", _named(F.col("text")))
+        rows = rows.join(called, "term", "left") if passed is not None else rows.withColumn("is_called", F.lit(None).cast("boolean"))
         call = literals.call_name(F.col("text"))
         inner = F.regexp_extract("text", r"\w+\s*\(([^()]*)\)$", 1)
         receiver = F.regexp_extract("text", r"^(.*)\.\w+\s*\([^()]*\)$", 1)
@@ -42,25 +69,80 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
             .when(call.isin(*PASS_ARGUMENTS), literals.arguments(inner))
             .when(call.isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
         )
-        more = F.filter(more, lambda x: ~F.array_contains("seen", x))
         kind = (
             F.when(literals.is_literal(F.col("text")), "hardcoded")
             .when(F.col("is_param") & F.col("is_handler"), "external_input")
+            .when(F.col("is_param") & F.col("is_called"), "open")
             .when(F.col("is_param"), "tainted")
             .when(F.col("own_constant") | F.col("constant"), "hardcoded")
-            .when(F.size(more) > 0, "open")
+            .when(F.size("more") > 0, "open")
             .when(call != "", "method_return")
             .when(F.col("is_field") | F.col("text").contains("."), "field")
             .when(literals.identifier(F.col("text")), "variable")
             .otherwise("unknown")
         )
-        settled = scratch.keep(joined.select(*place, "pos", "text", "seen", kind.alias("kind"), more.alias("more")))
-        part = settled.where("kind <> 'open'").select("site_id", "pos", "kind", "text")
-        done = part if done is None else done.unionByName(part)
-        rows = settled.where("kind = 'open'").select(*place, "pos", F.explode("more").alias("text"), "seen").withColumn("seen", F.array_append("seen", F.col("text")))
-        if rows.isEmpty():
+        several = (F.size("more") > 1) & F.col("is_param").isNull()
+        rows = rows.withColumn("more", more).select(*_PLACE, "term", "text", kind.alias("kind"), F.coalesce(several, F.lit(False)).alias("several"), "more")
+        tables.append(scratch.keep(rows))
+        seen = tables[-1].select("term") if seen is None else seen.unionByName(tables[-1].select("term"))
+        opened = tables[-1].where("kind = 'open' and more is not null").select(*_PLACE, F.explode("more").alias("text")).distinct()
+        frontier = scratch.keep(opened.withColumn("term", _named(F.col("text"))).join(seen, "term", "left_anti").drop("term"))
+        if frontier.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, tables)
+    edges = every.where("kind = 'open' and more is not null").select(*_PLACE, "term", F.explode("more").alias("text"))
+    edges = edges.select("term", _named(F.col("text")).alias("next"))
+    if passed is not None:
+        up = passed.select("term", _named(F.col("text")).alias("next"))
+        edges = edges.unionByName(up.join(every.where("kind = 'open'").select("term"), "term", "left_semi"))
+    edges = edges.where("term <> next").distinct()
+    return every.select("term", "text", "kind", "several"), scratch.keep(edges)
+
+
+def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """(site_id, pos, kind, text, several) for each source of each argument of sites (site_id, path, class_name, scope, is_handler,
+    arguments); ``several`` tells that it stands, or stood on its way, beside others. ``params`` has (path, class_name, scope, name),
+    ``variables`` also value, ``constants`` (class_name, field_name, value). With ``callers`` (path, class_name, scope, name, from_path,
+    from_class, from_scope, from_handler, argument: see ``passed_arguments``) parameters are followed into callers."""
+    scratch = Scratch(sites.sparkSession)
+    handlers = sites.select(*_PLACE, "is_handler")
+    if callers is not None:
+        handlers = handlers.unionByName(callers.select(F.col("from_path").alias("path"), F.col("from_class").alias("class_name"), F.col("from_scope").alias("scope"), F.col("from_handler").alias("is_handler")))
+    handlers = handlers.groupBy(*_PLACE).agg(F.bool_or("is_handler").alias("is_handler"))
+    opened = sites.select("site_id", *_PLACE, F.posexplode(literals.arguments(F.col("arguments"))).alias("pos", "arg"))
+    each = literals.operands(F.col("arg"))
+    opened = opened.select("site_id", *_PLACE, "pos", F.explode(each).alias("text"), (F.size(each) > 1).alias("beside"))
+    opened = scratch.keep(opened.distinct().withColumn("root", _named(F.col("text"))))
+    terms, edges = _terms(opened, params, variables, constants, callers, handlers, scratch)
+    frontier = scratch.keep(opened.select("root").distinct().withColumn("term", F.col("root")))
+    met = frontier
+    while True:
+        moved = frontier.join(edges, "term").select("root", F.col("next").alias("term")).distinct()
+        frontier = scratch.keep(moved.join(met, ["root", "term"], "left_anti"))
+        if frontier.isEmpty():
             break
-    return done
+        met = met.unionByName(frontier)
+    told = scratch.keep(met.join(terms, "term").select("root", "text", "kind", "several"))
+    beside = told.groupBy("root").agg(F.bool_or("several").alias("several"))
+    found = told.where("kind <> 'open'").select("root", "text", "kind").distinct()
+    found = beside.join(found, "root", "left")
+    out = opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(found, "root")
+    kind, text = F.coalesce("kind", F.lit("variable")).alias("kind"), F.coalesce("text", "own").alias("text")
+    return out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several")).groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"))
+
+
+def passed_arguments(sites: DataFrame, methods: DataFrame) -> DataFrame:
+    """Which argument each parameter of a method is given at which known call: (path, class_name, scope, name, from_path, from_class,
+    from_scope, from_handler, argument). sites have (type, called, args, path, class_name, scope, is_handler), methods (type, path,
+    class_name, method_name, params); a call meets the methods of its name and type that take as many arguments."""
+    given = sites.select(
+        "type", "called", F.col("path").alias("from_path"), F.col("class_name").alias("from_class"), F.col("scope").alias("from_scope"),
+        F.col("is_handler").alias("from_handler"), literals.arguments(F.col("args")).alias("given"),
+    ).withColumn("n", F.size("given")).where("n > 0")
+    taken = methods.select("type", F.col("method_name").alias("called"), *_PLACE[:2], F.col("method_name").alias("scope"), "params", F.size("params").alias("n"))
+    met = given.join(taken, ["type", "called", "n"])
+    pairs = met.select(*_PLACE, "from_path", "from_class", "from_scope", "from_handler", F.explode(F.arrays_zip("params", "given")).alias("z"))
+    return pairs.select(*_PLACE, F.col("z.params.name").alias("name"), "from_path", "from_class", "from_scope", "from_handler", F.col("z.given").alias("argument"))
 
 
 def flags(parts: DataFrame) -> DataFrame:
@@ -73,10 +155,11 @@ def flags(parts: DataFrame) -> DataFrame:
         F.bool_or(kind == "hardcoded").alias("hard_any"),
         F.bool_and(kind == "hardcoded").alias("hard_all"),
         F.count_distinct("kind").alias("kinds"),
+        F.bool_or("several").alias("_several"),
         F.array_join(F.array_sort(F.collect_set(F.when(kind.isin("external_input", "tainted"), F.col("text")))), ", ").alias("names"),
     )
     first = F.element_at("parts", 1)["kind"]
-    return out.withColumn("composite", F.when(F.size("parts") > 1, "concat").when(first.isin("method_return", "field", "unknown"), first).otherwise("direct"))
+    return out.withColumn("composite", F.when((F.size("parts") > 1) | F.col("_several"), "concat").when(first.isin("method_return", "field", "unknown"), first).otherwise("direct")).drop("_several")
 
 
 def receiver_flags(parts: DataFrame) -> DataFrame:

@@ -123,11 +123,15 @@ def node_id(path: Column, class_name: Column, method: Column) -> Column:
     return F.concat_ws("::", path, class_name, method)
 
 
+def typed_methods(s: Scan) -> DataFrame:
+    """Declared methods with ``type``, the qualified name of their class."""
+    return s.methods.join(s.packages, "path", "left").withColumn("type", F.concat_ws(".", "package", "class_name"))
+
+
 def call_graph(sites: DataFrame, s: Scan) -> DataFrame:
     """(source, target, line): calls between declared methods; a call meets the methods of its name in its receiver's qualified
     type, so classes of one name in different packages stay apart."""
-    owner = s.methods.join(s.packages, "path", "left").withColumn("type", F.concat_ws(".", "package", "class_name"))
-    callee = owner.select("type", F.col("method_name").alias("called"), node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
+    callee = typed_methods(s).select("type", F.col("method_name").alias("called"), node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("target")).distinct()
     caller = sites.where("method_name is not null").select(node_id(F.col("path"), F.col("class_name"), F.col("method_name")).alias("source"), "line", "type", "called")
     return caller.join(callee, ["type", "called"]).select("source", "target", "line")
 
@@ -162,9 +166,10 @@ def hardened(sites: DataFrame, assigned: DataFrame) -> DataFrame:
     return asked.where("object <> ''").join(locked, [*place, "object"]).where("since < seq").select("site_id").distinct()
 
 
-def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False) -> DataFrame:
+def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False, across: bool = True) -> DataFrame:
     """One row per rule and call site: rule_id, severity, confidence, message, path, line, signature, class_name, method_name,
-    source_line, chain columns (null without), detected_at. ``sanitizers``: methods that call one stop taint."""
+    source_line, chain columns (null without), detected_at. ``sanitizers``: methods that call one stop taint.
+    ``across``: parameters are followed into the arguments of known callers."""
     rules = RULES if rules is None else rules
     spark, scratch = files.sparkSession, Scratch(files.sparkSession)
     s = scan(files, scratch)
@@ -179,7 +184,8 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     key = ["path", "class_name", "scope", "name"]
     first = merge.first_wins(s.assignments, key, ["seq"]).select(*key, "value")  # of several values of a name, the first counts
     values = s.variables.drop("value").join(first, key, "left").withColumn("value", F.coalesce("value", F.lit("")))
-    parts = provenance.argument_parts(asked.unionByName(made), given, values, s.constants)
+    callers = provenance.passed_arguments(sites, typed_methods(s)) if across else None
+    parts = provenance.argument_parts(asked.unionByName(made), given, values, s.constants, callers)
     told = scratch.keep(provenance.flags(parts))
     receiver = told.where(F.col("site_id").endswith("#receiver")).select(F.regexp_replace("site_id", "#receiver$", "").alias("site_id"), F.col("ext").alias("receiver_ext"), F.col("tainted").alias("receiver_tainted"))
     told = told.where(~F.col("site_id").endswith("#receiver")).join(receiver, "site_id", "full")

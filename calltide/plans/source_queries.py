@@ -156,6 +156,42 @@ def argument_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.flags(found).join(receiver, "site_id").select(F.col("site_id").alias("path"), "ext", "tainted", "hard_any", "hard_all", "receiver_hardcoded", "kinds", "composite", "names")
 
 
+def deep_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of a name that stands at the end of up to thirty assignments, each of which uses the one before it twice."""
+    parts = _parts(spark, sf_dir).withColumn("n", F.col("size") % 20 + 11)
+    place = ["path", F.col("cls").alias("class_name"), F.lit("go").alias("scope")]
+    sites = parts.select(F.col("path").alias("site_id"), *place, F.lit(False).alias("is_handler"), F.concat(F.lit("v"), "n").alias("arguments"))
+    steps = parts.select(*place, "brand", "size", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("k"))
+    before = F.concat(F.lit("v"), F.col("k") - 1)
+    first = F.when(F.col("size") % 3 == 0, F.concat(F.lit('"'), "brand", F.lit('" + last + v0'))).otherwise(F.lit("id"))
+    value = F.when(F.col("k") == 0, first).otherwise(F.concat(before, F.lit(" + "), before))
+    made = steps.select("path", "class_name", "scope", F.concat(F.lit("v"), "k").alias("name"), value.alias("value"))
+    params = parts.select(*place, F.lit("id").alias("name"))
+    constants = parts.select(F.col("cls").alias("class_name"), F.lit("NONE").alias("field_name"), F.lit("").alias("value"))
+    return provenance.argument_parts(sites, params, made, constants).select(F.col("site_id").alias("path"), "pos", "kind", "text", "several")
+
+
+def call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reaches the parameter of each part's method: part 2k hands its own parameter on to part k, part 2k + 1 a text. Methods
+    of parts whose size is a multiple of 5 handle requests."""
+    parts = _parts(spark, sf_dir)
+    place = lambda k: [F.concat(F.lit("f"), k).alias("path"), F.concat(F.lit("C"), k).alias("class_name"), F.concat(F.lit("m"), k).alias("scope")]
+    handles = (F.col("size") % 5 == 0).alias("is_handler")
+    sites = parts.select(F.col("k").alias("site_id"), *place(F.col("k")), handles, F.lit("p").alias("arguments"))
+    params = sites.select("path", "class_name", "scope", F.lit("p").alias("name"))
+    callee = F.floor(F.col("k") / 2).cast("long")
+    calls = parts.where("k > 1").select(
+        F.concat(F.lit("x.C"), callee).alias("type"), F.concat(F.lit("m"), callee).alias("called"), *place(F.col("k")), handles,
+        F.when(F.col("k") % 2 == 0, "p").otherwise('"t" + NAME').alias("args"),
+    )
+    one = F.array(F.struct(F.lit("String").alias("type"), F.lit("p").alias("name")))
+    methods = parts.select(F.concat(F.lit("x.C"), "k").alias("type"), *place(F.col("k")), F.concat(F.lit("m"), "k").alias("method_name"), one.alias("params"))
+    constants = parts.select(F.concat(F.lit("C"), "k").alias("class_name"), F.lit("NAME").alias("field_name"), F.col("name").alias("value"))
+    none = sites.select("path", "class_name", "scope", F.lit("none").alias("name"), F.lit("").alias("value"))
+    found = provenance.argument_parts(sites, params, none, constants, provenance.passed_arguments(calls, methods.drop("scope")))
+    return provenance.flags(found).select(F.col("site_id").alias("k"), "ext", "tainted", "hard_any", "hard_all", "composite")
+
+
 def object_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.object_uses(java.calls(_facts(spark, sf_dir))).select("path", "scope", "object", "how", "method")
 
@@ -365,6 +401,22 @@ UNION ALL SELECT 'Q3', 'medium', path, 15, 'medium', '', '' FROM q""",
         argument_sources,
         f"""{_P} SELECT path, size % 2 = 0 AS ext, size % 2 <> 0 AS tainted, true AS hard_any, false AS hard_all, false AS receiver_hardcoded, CAST(3 + CASE WHEN size % 3 = 0 THEN 0 ELSE 0 END AS BIGINT) AS kinds, 'concat' AS composite, 'id' AS names FROM p""",
     ),
+    "deep_assignments": (
+        deep_assignments,
+        f"""{_P} SELECT path, 0 AS pos, 'tainted' AS kind, 'id' AS text, true AS several FROM p WHERE size % 3 <> 0
+UNION ALL SELECT path, 0, 'hardcoded', '"' || brand || '"', true FROM p WHERE size % 3 = 0 UNION ALL SELECT path, 0, 'variable', 'last', true FROM p WHERE size % 3 = 0""",
+    ),
+    "call_flow": (
+        call_flow,
+        """WITH RECURSIVE m AS (SELECT p_partkey AS k, p_size % 5 = 0 AS handles FROM part),
+r AS (
+  SELECT k AS root, k, handles, false AS text FROM m
+  UNION SELECT r.root, m.k, m.handles, m.k % 2 = 1 FROM r JOIN m ON m.k // 2 = r.k AND m.k > 1 WHERE NOT r.handles AND NOT r.text),
+s AS (
+  SELECT root, CASE WHEN text THEN 'hard' WHEN handles THEN 'ext' WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.k // 2 = r.k AND m.k > 1) THEN 'tainted' END AS kind, k FROM r)
+SELECT root AS k, bool_or(kind = 'ext') AS ext, bool_or(kind = 'tainted') AS tainted, bool_or(kind = 'hard') AS hard_any, bool_and(kind = 'hard') AS hard_all,
+  CASE WHEN bool_or(kind = 'hard') OR count(*) > 1 THEN 'concat' ELSE 'direct' END AS composite FROM s WHERE kind IS NOT NULL GROUP BY root""",
+    ),
     "object_uses": (
         object_uses,
         f"""{_P}, {_CALLS}, u AS (SELECT path, scope, method, receiver, args FROM c)
