@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from calltide.operators import graph
+from calltide.operators.checks import load_checks
 from calltide.operators.rules import RULES
 from calltide.plans import analyze
 from calltide.sources import api_index, java
@@ -28,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("path")
     a.add_argument("--format", choices=("text", "json"), default="text")
     a.add_argument("--severity", default="")
-    a.add_argument("--rules")
+    a.add_argument("--rules", help="a folder of rule files, with the checks (.py) that they name")
     a.add_argument("--file")
     a.add_argument("--no-taint", action="store_true")
     a.add_argument("--sanitizers", action="store_true")
@@ -84,14 +85,14 @@ def _analyze(spark: SparkSession, args: argparse.Namespace) -> int:
         found = analyze.newest(analyze.stored(spark, args.store))
         print("\n".join(found.limit(args.most).toJSON().collect()))
         return 0
-    rules = load_rules(spark, args.rules) if args.rules else None
+    rules, checks = (load_rules(spark, args.rules), load_checks(spark, args.rules)) if args.rules else (None, None)
     files = java.source_files(spark, args.path)
     returns = None
     if args.index:
         classes, methods, _ = api_index.read_compact(spark, args.index)
         returns = api_index.first_returns(classes, methods)
     files = java.one_file(files, args.file) if args.file else files
-    found = analyze.alerts(files, rules, returns, int(began * 1000), taint=not args.no_taint, sanitizers=args.sanitizers)
+    found = analyze.alerts(files, rules, returns, int(began * 1000), taint=not args.no_taint, sanitizers=args.sanitizers, checks=checks)
     found = (found.where(F.col("severity") == args.severity) if args.severity else found).cache()
     if args.store:
         analyze.append_alerts(spark, found, args.store, args.clear)

@@ -4,7 +4,8 @@ The context of a site: ``method``, ``receiver_type``, ``args``, ``ext`` (an oper
 caller's parameter), ``hard_any``/``hard_all`` (literals or constants), ``chain`` (confidence of its taint chain, null
 without), ``hardened`` (the receiver, or what made it, was locked down before), ``receiver_ext``/``receiver_tainted`` (what the
 receiver was made of), ``names`` (of outside and tainted operands). Each list gives a confidence, or null for no alert. A site
-whose rule names no list gets medium; one whose list is not known gets low, so that a broken rule is seen.
+whose rule names no list gets medium; one whose list is not known gets low, so that a broken rule is seen. Users add
+checks of their own with ``checks``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calltide.operators.checks import Check, checked
+
 
 @dataclass
 class Rule:
@@ -122,8 +125,17 @@ def told(rules: list[Rule]) -> Column:
     return F.concat(what, F.coalesce(source, F.lit("")), F.coalesce(made, F.lit("")))
 
 
-def decide(matched: DataFrame, rules: list[Rule]) -> DataFrame:
-    """matched (site context, rule_id) with ``confidence`` and ``message``; rows without an alert go."""
+def decide(matched: DataFrame, rules: list[Rule], checks: dict[str, Check] | None = None) -> DataFrame:
+    """matched (site context, rule_id) with ``confidence`` and ``message``; rows without an alert go. Rules that name one of
+    ``checks`` are decided by it, all others by column expressions."""
+    own = {r.id: r.check for r in rules if checks and r.check in checks}
+    if own:
+        asked = checked(matched, own, checks).where("verdict_alert").withColumn("confidence", F.col("verdict"))
+        asked = asked.withColumn("message", F.coalesce("verdict_message", told(rules))).drop("verdict_alert", "verdict_message", "verdict")
+        needed = [r.id for r in rules if r.needs_chain]
+        asked = asked.where(~_c("rule_id").isin(*needed) | _c("chain").isNotNull()) if needed else asked
+        others = matched.where(~_c("rule_id").isin(*own))
+        return decide(others, [r for r in rules if r.id not in own]).unionByName(asked)
     listed = [F.when(_c("rule_id") == r.id, F.coalesce(CHECKS[r.check](), F.lit("none"))) for r in rules if r.check in CHECKS]
     broken = [r.id for r in rules if r.check and r.check not in CHECKS]
     otherwise = F.when(_c("rule_id").isin(*broken), "low").otherwise("medium") if broken else F.lit("medium")

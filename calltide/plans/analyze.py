@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.operators import graph, match, merge, provenance
+from calltide.operators.checks import Check
 from calltide.operators.lookup import cascade
 from calltide.operators.rules import RULES, Rule, decide
 from calltide.session import Scratch
@@ -166,10 +167,10 @@ def hardened(sites: DataFrame, assigned: DataFrame) -> DataFrame:
     return asked.where("object <> ''").join(locked, [*place, "object"]).where("since < seq").select("site_id").distinct()
 
 
-def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False, across: bool = True) -> DataFrame:
+def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False, across: bool = True, checks: dict[str, Check] | None = None) -> DataFrame:
     """One row per rule and call site: rule_id, severity, confidence, message, path, line, signature, class_name, method_name,
     source_line, chain columns (null without), detected_at. ``sanitizers``: methods that call one stop taint.
-    ``across``: parameters are followed into the arguments of known callers."""
+    ``across``: parameters are followed into the arguments of known callers. ``checks``: those that a user adds, by name."""
     rules = RULES if rules is None else rules
     spark, scratch = files.sparkSession, Scratch(files.sparkSession)
     s = scan(files, scratch)
@@ -205,7 +206,7 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     full = full.join(hardened(sites, s.assignments).withColumn("hardened", F.lit(True)), "site_id", "left")
     full = full.withColumn("receiver_type", F.col("type")).fillna(False, ["ext", "tainted", "hard_any", "hard_all", "hardened", "receiver_ext", "receiver_tainted"])
     severity = patterns.select("rule_id", "severity").distinct()
-    return _ranked(decide(full, rules).join(severity, "rule_id"), detected_at)
+    return _ranked(decide(full, rules, checks).join(severity, "rule_id"), detected_at)
 
 
 def _ranked(out: DataFrame, detected_at: int) -> DataFrame:

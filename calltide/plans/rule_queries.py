@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions import signatures as sg
-from calltide.operators import codegraph, match, merge, rules
+from calltide.operators import checks, codegraph, match, merge, rules
 from calltide.plans import analyze
 from calltide.session import Scratch, read_table
 
@@ -140,6 +140,50 @@ def rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decide(Scratch(spark).keep(_contexts(spark, sf_dir)), rules.RULES).select("l_orderkey", "l_linenumber", "rule_id", "confidence", "message")
 
 
+_CHECK_TEXT = """
+def check(context):
+    sink = context["sink"]
+    if sink["args"] == '"MD5"':
+        raise ValueError("no MD5 here")
+    return {"alert": context["params"]["ext"] or sink["args"] == "", "message": "text check of " + sink["method"], "confidence": "high"}
+"""
+
+
+def _by_rows(context: dict) -> object:
+    """Throws where there are no arguments, answers in a wrong way where they name RC4."""
+    args = context["sink"]["args"]
+    if args == '"RC4"':
+        return "perhaps"
+    return {"alert": args[1] == "A", "confidence": "critical" if context["chain"] else None}
+
+
+def _by_batches(columns: dict) -> list:
+    """Throws for the whole batch if any name is v3."""
+    if any(p["names"] == "v3" for p in columns["params"]):
+        raise KeyError("v3")
+    return [p["names"] != "" for p in columns["params"]]
+
+
+#: By rule, the user's check that decides it; one has a mistake, one is not there.
+_CHECKED = {"S001": "rows", "S002": "batches", "S003": "text.py", "S004": "broken.py", "S005": "none"}
+
+
+def user_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of checks that a user adds, one of which throws, one that fails by batches, one that is no Python, one that is
+    missing, on the contexts of their rules' calls."""
+    added = checks.Registry()
+    added.add("rows", _by_rows)
+    added.add("batches", _by_batches, batched=True)
+    added.add_text("text.py", _CHECK_TEXT)
+    added.add_text("broken.py", "def check(context: return True")
+    asked = _contexts(spark, sf_dir).where(F.col("rule_id").isin(*_CHECKED))
+    found = checks.checked(asked, _CHECKED, added).where("verdict_alert")
+    told = F.col("verdict_message")
+    message = F.when(told.startswith("check failed: SyntaxError"), "check failed: SyntaxError").otherwise(F.coalesce(told, F.lit("")))
+    return found.select("l_orderkey", "l_linenumber", "rule_id", F.col("verdict").alias("confidence"), message.alias("message"))
+
+
+
 def _pick(values: list[str], index: str) -> str:
     return "CASE " + index + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
@@ -181,7 +225,23 @@ FROM v WHERE confidence IS NOT NULL
 """
 
 
+_CHECKS_SQL = f"""
+WITH l AS (SELECT *, l_orderkey + l_linenumber AS n, {_pick([r.id for r in rules.RULES], 'l_partkey % 13')} AS rule_id FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, rule_id, {_choice(0)} AS m, {_pick(_ARGUMENTS, f'n % {len(_ARGUMENTS)}')} AS a, n % 3 = 0 AS ext,
+  l_orderkey % 7 < 3 AS chained, CASE WHEN n % 4 = 0 THEN '' ELSE 'v' || l_linenumber END AS names FROM l),
+v AS (SELECT *, CASE rule_id
+  WHEN 'S001' THEN CASE WHEN a = '' THEN 'low:check failed: IndexError: string index out of range' WHEN a = '"RC4"' THEN 'low:check gave no verdict'
+    WHEN a[2] = 'A' THEN CASE WHEN chained THEN 'critical:' ELSE 'medium:' END END
+  WHEN 'S002' THEN CASE WHEN names = 'v3' THEN 'low:check failed: KeyError: ''v3''' WHEN names <> '' THEN 'medium:' END
+  WHEN 'S003' THEN CASE WHEN a = '"MD5"' THEN 'low:check failed: ValueError: no MD5 here' WHEN ext OR a = '' THEN 'high:text check of ' || m END
+  WHEN 'S004' THEN 'low:check failed: SyntaxError'
+  WHEN 'S005' THEN 'low:check failed: LookupError: no check none' END AS told FROM s)
+SELECT l_orderkey, l_linenumber, rule_id, string_split(told, ':')[1] AS confidence, substr(told, strpos(told, ':') + 1) AS message
+FROM v WHERE told IS NOT NULL
+"""
+
 QUERIES = {
+    "user_checks": (user_checks, _CHECKS_SQL),
     "rule_lists": (rule_lists, _RULES_SQL),
     "glob_rule_match": (glob_rule_match, f"WITH {_MATCHED} SELECT p_partkey, signature, rule_id, severity FROM matched"),
     "rule_decision": (rule_decision, f"WITH {_DECIDED} SELECT p_partkey, rule_id, confidence FROM decided WHERE confidence IS NOT NULL"),

@@ -49,6 +49,7 @@ class _Frame:
     parens: int = 0
     fact: Fact | None = None
     handler: bool = False
+    params: list[dict[str, str]] | None = None  # a record's
 
 
 class _Scan:
@@ -265,7 +266,7 @@ class _Scan:
             if k == top.start and not top.parens:
                 self.begin(k, frames)
             if mark and w == "(":
-                if top.kind == "class" and not top.parens and pending is None and "=" not in self.word[top.start : k]:
+                if top.kind == "class" and not top.parens and pending is None and "=" not in self.word[self.marks(top.start)[0] : k]:
                     pending = self.method(k, frames)
                 elif (found := self.call(k, frames)) is not None:
                     places[found[2].seq] = (found[0], -found[1])
@@ -361,9 +362,13 @@ class _Scan:
             fact.is_handler = handles
             frame = _Frame("class", name, k + 1, fact=fact, handler=handles)
             if self.word[j] == "record" and self.word[j + 2] == "(":
-                for p in self.parameters(j + 2, self.close.get(j + 2, j + 2)):
+                frame.params = self.parameters(j + 2, self.close.get(j + 2, j + 2))
+                for p in frame.params:
                     self.add("variable", j, [*frames, frame], **p)
             return frame
+        if top.kind == "class" and not top.parens and top.params is not None and j == k - 1 and self.word[j] == top.name:  # a record's compact constructor
+            fact = self.add("method", j, frames, name=top.name, params=top.params, is_handler=top.handler)
+            return _Frame("method", top.name, k + 1, fact=fact, handler=top.handler)
         if top.kind == "class" and not top.parens and k and self.word[k - 1] == ")":  # the body of an enum constant
             return _Frame("class", top.name, k + 1)
         if k and self.word[k - 1] == ")" and k - 1 in self.close:  # new T(...) { ... }: a class without a name of its own
