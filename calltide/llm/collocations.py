@@ -41,8 +41,8 @@ SHARD = 250_000
 #: A bit map of what may be frequent has 2**WIDTH 64-bit words at most.
 WIDTH = 21
 LONGEST = 5
-#: Bytes of text in a slice.
-SLICE = 4_000_000
+#: Bytes of text in a slice, and word hashes of stretches that are counted together.
+SLICE, TOGETHER = 4_000_000, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -203,23 +203,28 @@ def _stretches(may: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def _run_rows(may: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of k words in stretches of which the first and the last k - 1 may be frequent, with how often each is there."""
 
+    def counted(h: np.ndarray) -> pa.RecordBatch:
+        word, local = np.unique(h, return_inverse=True)
+        run, shorter = h, local.astype(np.int64)
+        whole = h != 0
+        for j in range(1, k - 1):  # hashes and local numbers of the runs of k - 1 words
+            run, whole = _longer(run[:-1], h[j:]), whole[:-1] & (h[j:] != 0)
+            shorter = np.unique(shorter[:-1] * len(word) + local[j:], return_inverse=True)[1].astype(np.int64)
+        alive = may.value(run) & whole
+        at = np.flatnonzero(alive[:-1] & alive[1:])
+        _, first, n = np.unique(shorter[at] * len(word) + local[at + k - 1], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_pydict({**{f"t{j + 1}": tokens.signed(h[at[first] + j]) for j in range(k)}, "n": n.astype(np.int64)})
+
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # a task's stretches are counted together, as far as memory is bounded
         for batch in source:
             for i in range(batch.num_rows):
-                h = np.asarray(batch.column("hashes")[i].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
-                if len(h) < k:
-                    continue
-                word, local = np.unique(h, return_inverse=True)
-                run, shorter = h, local.astype(np.int64)
-                whole = h != 0
-                for j in range(1, k - 1):  # hashes and local numbers of the runs of k - 1 words
-                    run, whole = _longer(run[:-1], h[j:]), whole[:-1] & (h[j:] != 0)
-                    shorter = np.unique(shorter[:-1] * len(word) + local[j:], return_inverse=True)[1].astype(np.int64)
-                alive = may.value(run) & whole
-                at = np.flatnonzero(alive[:-1] & alive[1:])
-                _, first, n = np.unique(shorter[at] * len(word) + local[at + k - 1], return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_pydict({**{f"t{j + 1}": tokens.signed(h[at + j]) for j in range(k)}, "n": n.astype(np.int64)})
+                held.append(np.asarray(batch.column("hashes")[i].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64))
+                if sum(map(len, held)) >= TOGETHER:
+                    yield counted(np.concatenate(held))
+                    held = []
+        if sum(map(len, held)) >= k:
+            yield counted(np.concatenate(held))
 
     return rows
 
