@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calltide.operators import overloads
 from calltide.operators.rules import Rule
 from calltide.plans import analyze
 from calltide.plans.source_queries import _P, _filled, _parts
@@ -78,6 +79,24 @@ def shape_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", "severity", "path", "line", "signature", "method_name", "confidence", "message", chain)
 
 
+def overload_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class Ck is below C(k / 2); the class of a part's brand is below H, which has put(C1, long), ..., put(C7, long), put(C2,
+    double) and put(C3, Integer); each part calls put(Ck, int). Every fourth call's first type is not known."""
+    parts = _parts(spark, sf_dir)
+    name = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    up = parts.where("k > 1").select(name(F.col("k")).alias("name"), name(F.floor(F.col("k") / 2)).alias("super"), F.lit(0).alias("ord"))
+    up = up.unionByName(parts.select(F.col("brand").alias("name"), F.lit("H").alias("super"), F.lit(0).alias("ord")).distinct())
+    first = F.when(F.col("size") % 4 != 0, name(F.col("k")))
+    asked = parts.select(F.col("k").alias("site_id"), F.col("brand").alias("class_name"), F.lit("put").alias("method"), F.array(first, F.lit("int")).alias("given"))
+    seven = parts.where("k between 1 and 7").select(F.col("k").alias("ordinal"), F.array(name(F.col("k")), F.lit("long")).alias("param_types"))
+    two = parts.where("k in (2, 3)").select(
+        (F.col("k") + 6).alias("ordinal"), F.array(name(F.col("k")), F.when(F.col("k") == 2, "double").otherwise("java.lang.Integer")).alias("param_types")
+    )
+    methods = seven.unionByName(two).select(F.lit("H").alias("class_name"), F.lit("put").alias("method_name"), F.col("ordinal").cast("int").alias("ordinal"), "param_types")
+    found = overloads.choose(asked, methods, up)
+    return found.select(F.col("site_id").alias("k"), "owner", "ordinal", F.col("far").cast("long").alias("far"), "sure")
+
+
 _S = f"{_P}, s AS (SELECT *, 'src/shop/Q' || k || '.java' AS path FROM (SELECT * EXCLUDE (path) FROM p))"
 
 QUERIES = {
@@ -112,4 +131,11 @@ FROM s, LATERAL (VALUES
   ('T2', 'medium', 9, 'Special.Special()', 'high', 'Special made: outside input id'), ('T3', 'critical', 5, 'lib.' || w1 || '.Tool.Tool()', 'high', 'Tool made'),
   ('T4', 'low', 15, 'shop.' || pkg || '.Q' || k || '.find()', 'medium', 'Calls itself: outside input id')) AS v(rule_id, severity, line, signature, confidence, message)""",
     ),
+    "overload_choice": (
+        overload_choice,
+        """WITH RECURSIVE up AS (SELECT p_partkey AS k, p_partkey AS top, 0 AS steps FROM part WHERE p_size % 4 <> 0 AND p_partkey > 0
+  UNION ALL SELECT k, top // 2, steps + 1 FROM up WHERE top > 7)
+SELECT k, 'H' AS owner, CAST(top AS INTEGER) AS ordinal, steps + 1 AS far, true AS sure FROM up WHERE top <= 7
+UNION ALL SELECT p_partkey, 'H', 1, 1, false FROM part WHERE p_size % 4 = 0""",
+    ),
 }
