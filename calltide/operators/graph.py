@@ -2,7 +2,8 @@
 
 Every level is one join of the frontier with the edges, without the nodes that a root has met before; a level's rows
 are at most the pairs (root, node) that it finds first. Edges and levels are written, so lineage stays short and a lost
-executor costs one level. Depths are shortest ones; where several edges lead to a node, the least path is taken.
+executor costs one level. Depths are shortest ones; where several edges lead to a node, the least path is taken. A hub's edges
+are dealt out in blocks of some ``HUB``, which its rows of the frontier meet one by one, so that no task holds all of them.
 """
 
 from __future__ import annotations
@@ -13,31 +14,70 @@ from pyspark.sql import functions as F
 from calltide.operators.merge import top_per_group
 from calltide.session import Scratch
 
+#: Edges of a node, at most, that are met as one block, in the mean.
+HUB = 10_000
 RANK = {"high": 3, "medium": 2, "low": 1}
 
 
-def reach(edges: DataFrame, roots: DataFrame, depth: int, backward: bool = False, paths: bool = False) -> DataFrame:
+def blocks(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """step (node, next) with the ``block`` of each edge, and the hubs (node, blocks): nodes with more than ``HUB`` edges, at most
+    one for so many edges. Without hubs there are no blocks, and None."""
+    hubs = step.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
+    hubs = hubs.select("node", F.ceil(F.col("n") / HUB).cast("int").alias("blocks"))
+    if hubs.isEmpty():
+        return step, None
+    dealt = step.join(hubs, "node", "left").withColumn("block", F.pmod(F.xxhash64("next"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    return dealt.drop("blocks"), hubs
+
+
+def moved(frontier: DataFrame, step: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """frontier joined with the edges of its nodes."""
+    if hubs is None:
+        return frontier.join(step, "node")
+    asked = frontier.join(hubs, "node", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return asked.drop("blocks").join(step, ["node", "block"]).drop("block")
+
+
+def reach(edges: DataFrame, roots: DataFrame, depth: int, backward: bool = False, paths: bool = False, ahead: bool = False) -> DataFrame:
     """(root, node, depth[, path]) within ``depth`` steps of each root (a column ``root``), the root itself at 0.
-    ``edges`` has (source, target)."""
+    ``edges`` has (source, target). Paths lead from the root to the node; with ``ahead`` from the node to the root."""
     scratch = Scratch(edges.sparkSession)
     near, far = ("target", "source") if backward else ("source", "target")
     step = scratch.keep(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct())  # made once for all levels
+    dealt, hubs = blocks(step)
+    if hubs is not None:
+        dealt, hubs = scratch.keep(dealt), scratch.keep(hubs)
     keep = ["path"] if paths else []
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
     if paths:
         frontier = frontier.withColumn("path", F.array("node"))
     frontier = scratch.keep(frontier)
     known = frontier.withColumn("depth", F.lit(0))
+    longer = F.concat(F.array("next"), "path") if ahead else F.concat("path", F.array("next"))
     for k in range(1, depth + 1):
-        moved = frontier.join(step, "node").select("root", F.col("next").alias("node"), *([F.concat("path", F.array("next")).alias("path")] if paths else []))
-        moved = moved.groupBy("root", "node").agg(F.min("path").alias("path")) if paths else moved.distinct()
-        frontier = scratch.keep(moved.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", *keep))
+        found = moved(frontier, dealt, hubs).select("root", F.col("next").alias("node"), *([longer.alias("path")] if paths else []))
+        found = found.groupBy("root", "node").agg(F.min("path").alias("path")) if paths else found.distinct()
+        frontier = scratch.keep(found.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", *keep))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier.withColumn("depth", F.lit(k)))
     return known.select("root", "node", "depth", *keep)
 
 
+def between(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
+    """(root, node, depth, path) of the pairs (root, node) that a path of ``depth`` steps or fewer connects, searched from both ends:
+    half of the steps forward from the roots, half backward from the other ends, which meet by a join. What grows with the number
+    of steps as a power is thus two searches of half the depth. The path is the least of the shortest ones."""
+    asked = pairs.select("root", F.col("node").alias("end")).distinct()
+    there = reach(edges, asked.select("root"), depth - depth // 2, paths=True).withColumnRenamed("depth", "gone")
+    back = reach(edges, asked.select(F.col("end").alias("root")), depth // 2, backward=True, paths=True, ahead=True)
+    back = back.select(F.col("root").alias("end"), "node", F.col("depth").alias("left"), F.col("path").alias("rest"))
+    met = asked.join(there, "root").join(back, ["end", "node"])
+    whole = F.concat("path", F.slice("rest", 2, depth + 1))
+    best = met.groupBy("root", "end").agg(F.min(F.struct((F.col("gone") + F.col("left")).alias("depth"), whole.alias("path"))).alias("best"))
+    return best.select("root", F.col("end").alias("node"), "best.depth", "best.path")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
     """(root, node, depth, path) of the pairs (root, node) that a path of ``depth`` steps or fewer connects."""
     return reach(edges, pairs.select("root"), depth, paths=True).join(pairs.select("root", "node").distinct(), ["root", "node"])

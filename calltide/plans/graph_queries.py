@@ -65,6 +65,15 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("root", "node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+def pair_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many calls lead from each order to its customer's last one, four at most, searched from both ends."""
+    orders = read_table(spark, sf_dir, "orders")
+    last = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"))
+    pairs = orders.join(last, "o_custkey").select(F.col("o_orderkey").alias("root"), "node")
+    found = graph.between(edges(spark, sf_dir), pairs, 4)
+    return found.select("root", "node", "depth", F.size("path").alias("length"))
+
+
 def impact_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(edges(spark, sf_dir), _roots(spark, sf_dir, EVERY), 3)
 
@@ -143,6 +152,14 @@ QUERIES = {
         shortest_path,
         f"WITH RECURSIVE {_walk(URGENT, 'source', 'target', 5, path=True)}, m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node) SELECT root, node, depth, array_to_string(min(path), '>') AS path FROM r JOIN m USING (root, node, depth) WHERE node IN (SELECT o_orderkey FROM orders WHERE {DEAR}) GROUP BY root, node, depth",
     ),
+    "pair_paths": (
+        pair_paths,
+        f"""WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT source, target FROM e),
+  l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS node FROM orders GROUP BY o_custkey),
+  r AS (SELECT DISTINCT node AS last, node, 0 AS depth FROM l UNION SELECT r.last, s.source, r.depth + 1 FROM r JOIN s ON s.target = r.node WHERE r.depth < 4),
+  b AS (SELECT last, node, min(depth) AS depth FROM r GROUP BY last, node)
+SELECT o_orderkey AS root, b.last AS node, depth, CAST(depth + 1 AS INTEGER) AS length FROM orders JOIN l USING (o_custkey) JOIN b ON b.last = l.node AND b.node = o_orderkey""",
+    ),
     "impact_radius": (impact_radius, f"WITH RECURSIVE {_walk(EVERY, 'target', 'source', 3)} SELECT root, count(DISTINCT node) AS n FROM r GROUP BY root"),
     "taint_sources": (taint_sources, f"WITH {SOURCES} SELECT * FROM src"),
     "taint_chains": (taint_chains, f"WITH RECURSIVE {CHAINS} SELECT * FROM c"),
