@@ -10,7 +10,7 @@ Texts are cut into pieces at marks and line ends, and pieces into words. All cou
    high. From the third word on, only stretches of the texts in which frequent pairs follow each other are read again.
 3. The candidates get their exact counts: each shard of at most some ``SHARD`` of them becomes a double-array trie that is
    broadcast (its size is bounded by the shard's), numpy moves the states of all positions of a slice of text along at once, level
-   by level, and bincounts the accepting ones; tasks' sums are summed up. Every shard is one pass over the texts.
+   by level, and bincounts the accepting ones; tasks' counts are summed up as vectors. Every shard is one pass over the texts.
 4. Scores, the parts' counts and which phrase stands inside an equally frequent longer one come from joins. Products are decimals
    of 38 digits.
 
@@ -38,6 +38,8 @@ from calltide.session import Scratch
 
 #: Candidates in one broadcast trie, in the mean, at most.
 SHARD = 250_000
+#: Phrases whose counts a task hands on together.
+BLOCK = 256
 #: A bit map of what may be frequent has 2**WIDTH 64-bit words at most.
 WIDTH = 21
 LONGEST = 5
@@ -284,7 +286,7 @@ class Shard:
 
 
 def _count_rows(shard: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, phrase, n): how often each phrase of the shard stands in the texts of one task."""
+    """(block, counts): how often each phrase of the shard stands in the texts of one task, ``BLOCK`` phrases in a row."""
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shard.value
@@ -306,8 +308,34 @@ def _count_rows(shard: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 total += np.bincount(number[number >= 0], minlength=len(total))
                 go = p.joined[at + k]
                 at, state = at[go], state[go]
-        hit = pa.array(np.flatnonzero(total))
-        yield pa.RecordBatch.from_arrays([s.lang.take(hit), s.phrase.take(hit), pa.array(total[total > 0])], ["lang", "phrase", "n"])
+        blocks = [(i // BLOCK, total[i : i + BLOCK]) for i in range(0, len(total), BLOCK)]
+        blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
+        yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in blocks], pa.int32()), "counts": pa.array([x for _, x in blocks], pa.binary())})
+
+    return rows
+
+
+def _sum_rows(shard: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, phrase, n) of all tasks' blocks, which come sorted by block."""
+
+    def told(block: int, total: np.ndarray) -> pa.RecordBatch:
+        s, hit = shard.value, np.flatnonzero(total)
+        at = pa.array(hit + block * BLOCK)
+        return pa.RecordBatch.from_arrays([s.lang.take(at), s.phrase.take(at), pa.array(total[hit])], ["lang", "phrase", "n"])
+
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = -1, np.zeros(0, dtype=np.int64)
+        for batch in source:
+            for i, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                x = np.frombuffer(counts, dtype=np.int64)
+                if i == block:
+                    total = total + x
+                    continue
+                if block >= 0:
+                    yield told(block, total)
+                block, total = i, x
+        if block >= 0:
+            yield told(block, total)
 
     return rows
 
@@ -320,8 +348,8 @@ def _exact(docs: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
     out = spark.createDataFrame([], "lang string, phrase string, n long")
     for i in range(shards):
         shard = spark.sparkContext.broadcast(Shard.of(parted.where(F.col("shard") == i).select("lang", "phrase").toArrow()))
-        counted = docs.mapInArrow(_count_rows(shard), "lang string, phrase string, n long")
-        out = out.unionByName(scratch.keep(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))))
+        counted = docs.mapInArrow(_count_rows(shard), "block int, counts binary").repartition("block").sortWithinPartitions("block")
+        out = out.unionByName(scratch.keep(counted.mapInArrow(_sum_rows(shard), "lang string, phrase string, n long")))
         shard.unpersist()
     return out
 
