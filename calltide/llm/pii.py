@@ -1,11 +1,12 @@
 """Operator 4: personal data by base patterns and a linear-chain CRF over word-shape features.
 
 Base spans are the leftmost non-overlapping matches of each kind that pass its check (contract of the query). The CRF
-tags the tokens of windows around digits and ``@`` (elsewhere no token can be part of a span), and its spans are added
-where they pass the kind's looser check and touch no base span: mail addresses with spaces around their marks or
-``(at)``, telephone numbers without ``+``, cards parted by full stops.
+tags the tokens of windows around digits, ``@``, ``(at)`` and `` dot `` (every form, base or looser, has one of them), and
+its spans are added where they, or what is left without two tokens at their ends, pass the kind's looser check and touch
+no base span: mail addresses with spaces around their marks, ``(at)``, or at and dot in words, telephone numbers without
+``+``, cards parted by full stops.
 
-The labelled table is small: windows of at most ``SAMPLE`` documents that have a digit or ``@`` (those with the least
+The labelled table is small: windows of at most ``SAMPLE`` documents that have such a mark (those with the least
 hash of doc_id), ``PARTS`` of these at most, labelled by their base spans, together with rewritten copies in the looser
 forms. A window with a looser form of its own is no label and is left out.
 
@@ -34,8 +35,9 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 400
 #: Windows in the labelled table, at most.
 PARTS = 4 * SAMPLE
-#: Code points around a digit or @ that a window takes in.
-REACH = 24
+#: Code points around a mark that a window takes in, besides what is left of the words there; around a dot in words, which may
+#: stand far from the name before it, FAR.
+REACH, FAR = 24, 60
 
 # The contract's patterns, in a form that takes linear time on long runs.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,7 +45,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)| dot ")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _NO_DIGIT = re.compile(r"[^0-9]")
 
@@ -82,11 +84,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @, grown to white space, merged where they meet."""
+    """Stretches around the marks of all forms, grown to white space, merged where they meet."""
     out: list[list[int]] = []
     at = _TRIGGER.search(text)
     while at:
-        begin, end = max(0, at.start() - REACH), min(len(text), at.end() + REACH)
+        reach = FAR if at[0] == " dot " else REACH
+        begin, end = max(0, at.start() - reach), min(len(text), at.end() + reach)
         while begin and not text[begin - 1].isspace():
             begin -= 1
         while end < len(text) and not text[end].isspace():
@@ -172,8 +175,15 @@ def _table(texts: list[str]) -> tuple[list[str], list[list[Span]]]:
             if _unlabelled(part, held):
                 continue
             rows.append((part, held))
-            for kind, s, e in held[:1]:
-                rows += [(part[:s] + new + part[e:], [(kind, s, s + len(new))]) for f in loose.get(kind, []) if (new := f(part[s:e])) and len(held) == 1]
+            for i, (kind, s, e) in enumerate(held):
+                if any(j != i and x < e and s < y for j, (_, x, y) in enumerate(held)):
+                    continue
+                made = [(new, len(new)) for f in loose.get(kind, []) if (new := f(part[s:e]))]
+                if kind == "email":  # a word that is a mark inside an address is none behind it
+                    made += [(f"{new} at", len(new)) for new in (part[s:e], *(new for new, _ in made))]
+                for new, size in made:
+                    moved = [(k, x + (len(new) - e + s) * (x >= e), y + (len(new) - e + s) * (x >= e)) for j, (k, x, y) in enumerate(held) if j != i]
+                    rows.append((part[:s] + new + part[e:], [*moved, (kind, s, s + size)]))
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
@@ -202,6 +212,16 @@ def train(texts: list[str]) -> crf.Crf | None:
     return crf.fit(features(tokens, parts, first), labels, np.array(first), FEATURES, LABELS)
 
 
+def _longest(kind: str, part: str, tokens: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The tagged tokens' stretch that passes the looser check, without two of the tokens at most."""
+    for less in range(min(3, len(tokens))):
+        for front in range(less + 1):
+            s, e = tokens[front][0], tokens[len(tokens) - 1 - less + front][1]
+            if _ADDED[kind].fullmatch(part, s, e) and _valid(kind, part[s:e]):
+                return s, e
+    return None
+
+
 def _added(model: crf.Crf, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans that the CRF adds to each text."""
     owner = [(i, a, b) for i, text in enumerate(texts) for a, b in windows(text)]
@@ -221,9 +241,11 @@ def _added(model: crf.Crf, texts: list[str], base: list[list[Span]]) -> list[lis
             k += 1
             while k < end and labels[k] and labels[k] % 2 == 0 and (labels[k] - 1) // 2 == (labels[start] - 1) // 2:
                 k += 1
-            s, e = begin + tokens[start][0], begin + tokens[k - 1][1]
+            if (found := _longest(kind, parts[w], tokens[start:k])) is None:
+                continue
+            s, e = begin + found[0], begin + found[1]
             clear = not any(a < e and s < b for _, a, b in base[i][max(0, bisect_left(base[i], s, key=lambda x: x[1]) - 8) : bisect_right(base[i], e, key=lambda x: x[1])])
-            if clear and _ADDED[kind].fullmatch(texts[i][s:e]) and _valid(kind, texts[i][s:e]):
+            if clear:
                 out[i].append((kind, s, e))
     return out
 
@@ -232,7 +254,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """docs with ``base`` and ``spans``, arrays of (kind, start, end), by start, then kind."""
     spark = docs.sparkSession
     bound(spark)
-    ids = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = docs.where(F.col("text").rlike(_TRIGGER.pattern) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
