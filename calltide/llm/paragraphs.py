@@ -227,7 +227,8 @@ def _verbatim(docs: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     runs = again.withColumn("opens", F.when(F.col("word") <= before + ANCHOR, 0).otherwise(1)).withColumn("run", F.sum("opens").over(w))
     # inside a run anchors overlap or touch, whatever they repeat: its first one is grown backwards, its last one forwards
     place = F.struct("word", "shift", "f_id", "f_th")
-    runs = runs.groupBy("__id", "__th", "run").agg(F.min_by(place, "word").alias("b"), F.max_by(place, "word").alias("e"))
+    runs = runs.groupBy("__id", "__th", "run").agg(F.min_by(place, "word").alias("b"), F.max_by(place, "word").alias("e"), F.collect_set("f_id").alias("firsts"))
+    runs = scratch.keep(runs)
     edge = lambda side, c, more: F.struct(F.lit(side).cast("long").alias("side"), (F.col(f"{c}.word") + more).alias("at"), (F.col(f"{c}.word") + more - F.col(f"{c}.shift")).alias("f_at"), f"{c}.f_id", f"{c}.f_th")
     edges = runs.select("__id", "__th", "run", F.explode(F.array(edge(0, "b", 0), edge(1, "e", ANCHOR))).alias("x"))
     edges = scratch.keep(edges.select("__id", "__th", "run", "x.f_id", "x.f_th", "x.side", "x.at", "x.f_at"))
@@ -240,8 +241,9 @@ def _verbatim(docs: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
     differs = F.array_position(F.zip_with("near", "f_near", lambda x, y: F.coalesce(x != y, F.lit(True))), True)
     more = F.when(differs > 0, differs - 1).otherwise(F.size("near"))
     of = lambda side, c: F.max(F.when(F.col("side") == side, c))
-    grown = ends.groupBy("__id", "__th", "run").agg(of(0, F.col("at") - more).alias("word"), of(1, F.col("at") + more).alias("to_word"), F.max("f_id").alias("first"))
-    return grown.drop("run")
+    grown = ends.groupBy("__id", "__th", "run").agg(of(0, F.col("at") - more).alias("word"), of(1, F.col("at") + more).alias("to_word"))
+    # a run may repeat several texts, one behind the other: each of them is a link
+    return grown.join(runs.select("__id", "__th", "run", F.explode("firsts").alias("first")), ["__id", "__th", "run"]).drop("run")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, verbatim: bool = False) -> DataFrame:
