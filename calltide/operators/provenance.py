@@ -133,16 +133,16 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
 
 def passed_arguments(sites: DataFrame, methods: DataFrame) -> DataFrame:
     """Which argument each parameter of a method is given at which known call: (path, class_name, scope, name, from_path, from_class,
-    from_scope, from_handler, argument). sites have (type, called, args, path, class_name, scope, is_handler), methods (type, path,
-    class_name, method_name, params); a call meets the methods of its name and type that take as many arguments."""
+    from_scope, from_handler, from_seq, argument). sites have (type, called, args, path, class_name, scope, is_handler, seq), methods
+    (type, path, class_name, method_name, params); a call meets the methods of its name and type that take as many arguments."""
     given = sites.select(
         "type", "called", F.col("path").alias("from_path"), F.col("class_name").alias("from_class"), F.col("scope").alias("from_scope"),
-        F.col("is_handler").alias("from_handler"), literals.arguments(F.col("args")).alias("given"),
+        F.col("is_handler").alias("from_handler"), F.col("seq").alias("from_seq"), literals.arguments(F.col("args")).alias("given"),
     ).withColumn("n", F.size("given")).where("n > 0")
     taken = methods.select("type", F.col("method_name").alias("called"), *_PLACE[:2], F.col("method_name").alias("scope"), "params", F.size("params").alias("n"))
     met = given.join(taken, ["type", "called", "n"])
-    pairs = met.select(*_PLACE, "from_path", "from_class", "from_scope", "from_handler", F.explode(F.arrays_zip("params", "given")).alias("z"))
-    return pairs.select(*_PLACE, F.col("z.params.name").alias("name"), "from_path", "from_class", "from_scope", "from_handler", F.col("z.given").alias("argument"))
+    pairs = met.select(*_PLACE, "from_path", "from_class", "from_scope", "from_handler", "from_seq", F.explode(F.arrays_zip("params", "given")).alias("z"))
+    return pairs.select(*_PLACE, F.col("z.params.name").alias("name"), "from_path", "from_class", "from_scope", "from_handler", "from_seq", F.col("z.given").alias("argument"))
 
 
 def flags(parts: DataFrame) -> DataFrame:

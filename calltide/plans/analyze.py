@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators import graph, match, merge, provenance
+from calltide.operators import graph, match, merge, objects, provenance
 from calltide.operators.checks import Check
 from calltide.operators.lookup import cascade
 from calltide.operators.rules import RULES, Rule, decide
@@ -158,13 +158,11 @@ def receiver_sources(sites: DataFrame, assigned: DataFrame) -> DataFrame:
     return sites.drop("arguments").join(first, ["path", "class_name", "scope", "receiver"], "left").withColumn("arguments", F.coalesce(inside, F.lit(""))).drop("value")
 
 
-def hardened(sites: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(site_id): sites whose receiver, or the object that made it, was locked down before in the same method."""
-    place = ["path", "class_name", "scope"]
-    locked = sites.where(F.col("method") == HARDENING).groupBy(*place, F.col("receiver").alias("object")).agg(F.min("seq").alias("since"))
-    maker = merge.first_wins(assigned, [*place, "name"], ["seq"]).select(*place, F.col("name").alias("receiver"), F.regexp_extract("value", r"^(\w+)\.", 1).alias("maker"))
-    asked = sites.join(maker, [*place, "receiver"], "left").select("site_id", *place, "seq", F.explode(F.array("receiver", F.coalesce("maker", F.lit("")))).alias("object"))
-    return asked.where("object <> ''").join(locked, [*place, "object"]).where("since < seq").select("site_id").distinct()
+def hardened(sites: DataFrame, assigned: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """(site_id): sites whose object, under whatever name, or what made it, was locked down before in the same method, there or in a
+    method that it was handed to."""
+    done, linked = objects.done_to(sites, assigned, [HARDENING], callers)
+    return objects.done_before(sites, done, linked)
 
 
 def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame | None = None, detected_at: int = 0, taint: bool = True, sanitizers: bool = False, across: bool = True, checks: dict[str, Check] | None = None) -> DataFrame:
@@ -185,7 +183,7 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     key = ["path", "class_name", "scope", "name"]
     first = merge.first_wins(s.assignments, key, ["seq"]).select(*key, "value")  # of several values of a name, the first counts
     values = s.variables.drop("value").join(first, key, "left").withColumn("value", F.coalesce("value", F.lit("")))
-    callers = provenance.passed_arguments(sites, typed_methods(s)) if across else None
+    callers = scratch.keep(provenance.passed_arguments(sites, typed_methods(s))) if across else None
     parts = provenance.argument_parts(asked.unionByName(made), given, values, s.constants, callers)
     told = scratch.keep(provenance.flags(parts))
     receiver = told.where(F.col("site_id").endswith("#receiver")).select(F.regexp_replace("site_id", "#receiver$", "").alias("site_id"), F.col("ext").alias("receiver_ext"), F.col("tainted").alias("receiver_tainted"))
@@ -203,7 +201,7 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     full = matched.join(told, "site_id", "left").withColumn("root", node_id(F.col("path"), F.col("class_name"), F.col("method_name")))
     nothing = (("chain", "string"), ("chain_source", "string"), ("chain_depth", "int"), ("chain_path", "string"), ("chain_reason", "string"))
     full = full.join(chain, "root", "left") if chain is not None else full.select("*", *(F.lit(None).cast(t).alias(c) for c, t in nothing))
-    full = full.join(hardened(sites, s.assignments).withColumn("hardened", F.lit(True)), "site_id", "left")
+    full = full.join(hardened(sites, s.assignments, callers).withColumn("hardened", F.lit(True)), "site_id", "left")
     full = full.withColumn("receiver_type", F.col("type")).fillna(False, ["ext", "tainted", "hard_any", "hard_all", "hardened", "receiver_ext", "receiver_tainted"])
     severity = patterns.select("rule_id", "severity").distinct()
     return _ranked(decide(full, rules, checks).join(severity, "rule_id"), detected_at)

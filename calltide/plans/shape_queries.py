@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators import overloads
+from calltide.operators import overloads, provenance
 from calltide.operators.rules import Rule
 from calltide.plans import analyze
 from calltide.plans.source_queries import _P, _filled, _parts
+from calltide.session import Scratch
 from calltide.sources import java
 
 #: A Java file of a part.
@@ -79,6 +80,32 @@ def shape_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", "severity", "path", "line", "signature", "method_name", "confidence", "message", chain)
 
 
+#: Objects under other names, made of each other, and handed to other methods; every second part's ``lock`` does nothing.
+_OBJECTS = """package flow.{pkg};
+class O{k} {
+  void alias(In in) { F f = F.newInstance(); F g = f; g.setFeature("{w1}", true); B b = f.newB(); b.parse(in); }
+  void late(In in) { F f = F.newInstance(); B b = f.newB(); b.parse(in); f.setFeature("{w1}", true); }
+  void child(In in) { F f = F.newInstance(); B b = f.newB(); b.setFeature("x", true); f.newB().parse(in); }
+  void helped(In in) { F f = F.newInstance(); lock(f); B b = f.newB(); B c = b; c.parse(in); }
+  void deep(In in) { F f = F.newInstance(); outer(f, 1); f.newB().parse(in); }
+  void outer(F q, int n) { F r = q; lock(r); }
+  void lock(F a) { F z = a; z.{lock}("{w2}", true); }
+}
+"""
+
+
+def object_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what is parsed was locked down before, under another name or in another method."""
+    lock = F.when(F.col("size") % 2 == 0, "setFeature").otherwise("setName")
+    text = F.replace(_filled(_OBJECTS), F.lit("{lock}"), lock)
+    s = analyze.scan(_parts(spark, sf_dir).select(F.concat(F.lit("flow/O"), "k", F.lit(".java")).alias("path"), text.alias("text")))
+    sites = Scratch(spark).keep(analyze.resolve(s))
+    callers = provenance.passed_arguments(sites, analyze.typed_methods(s))
+    safe = analyze.hardened(sites, s.assignments, callers).withColumn("hardened", F.lit(True))
+    asked = sites.where("method = 'parse'").join(safe, "site_id", "left")
+    return asked.select("path", F.col("method_name").alias("scope"), F.coalesce("hardened", F.lit(False)).alias("hardened"))
+
+
 def overload_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class Ck is below C(k / 2); the class of a part's brand is below H, which has put(C1, long), ..., put(C7, long), put(C2,
     double) and put(C3, Integer); each part calls put(Ck, int). Every fourth call's first type is not known."""
@@ -130,6 +157,11 @@ FROM s, LATERAL (VALUES
   ('T1', 'high', 10, 'lib.' || w1 || '.Tool.open()', 'high', 'Tool opened: outside input id'), ('T1', 'high', 10, 'lib.' || w1 || '.Tool.write()', 'high', 'Tool opened: outside input size'),
   ('T2', 'medium', 9, 'Special.Special()', 'high', 'Special made: outside input id'), ('T3', 'critical', 5, 'lib.' || w1 || '.Tool.Tool()', 'high', 'Tool made'),
   ('T4', 'low', 15, 'shop.' || pkg || '.Q' || k || '.find()', 'medium', 'Calls itself: outside input id')) AS v(rule_id, severity, line, signature, confidence, message)""",
+    ),
+    "object_flow": (
+        object_flow,
+        f"""{_P} SELECT 'flow/O' || k || '.java' AS path, o AS scope, CASE o WHEN 'alias' THEN true WHEN 'helped' THEN size % 2 = 0 WHEN 'deep' THEN size % 2 = 0 ELSE false END AS hardened
+FROM p, LATERAL (VALUES ('alias'), ('late'), ('child'), ('helped'), ('deep')) AS v(o)""",
     ),
     "overload_choice": (
         overload_choice,

@@ -182,7 +182,7 @@ def call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     callee = F.floor(F.col("k") / 2).cast("long")
     calls = parts.where("k > 1").select(
         F.concat(F.lit("x.C"), callee).alias("type"), F.concat(F.lit("m"), callee).alias("called"), *place(F.col("k")), handles,
-        F.when(F.col("k") % 2 == 0, "p").otherwise('"t" + NAME').alias("args"),
+        F.when(F.col("k") % 2 == 0, "p").otherwise('"t" + NAME').alias("args"), F.lit(0).alias("seq"),
     )
     one = F.array(F.struct(F.lit("String").alias("type"), F.lit("p").alias("name")))
     methods = parts.select(F.concat(F.lit("x.C"), "k").alias("type"), *place(F.col("k")), F.concat(F.lit("m"), "k").alias("method_name"), one.alias("params"))
