@@ -37,13 +37,13 @@ def _named(text: Column) -> Column:
 def _terms(
     roots: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None, handlers: DataFrame, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
-    """(term, text, kind, several) of every term, and the edges (term, next) of those that are made of others."""
+    """(term, text, kind, several, value) of every term, value being what a literal or constant says, and the edges (term, next) of those that are made of others."""
     given = variables.where("value is not null and value <> ''").select(*_PLACE, F.col("name").alias("text"), F.col("value").alias("made"))
     known = params.select(*_PLACE, F.col("name").alias("text"), F.lit(True).alias("is_param")).distinct()
     fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
-    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant")).distinct()
+    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
     full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
-    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant")).distinct()
+    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
     passed = None
     seeds = roots.select(*_PLACE, "text").unionByName(given.select(*_PLACE, F.explode(literals.operands(F.col("made"))).alias("text")))
     if callers is not None:
@@ -81,8 +81,9 @@ def _terms(
             .when(literals.identifier(F.col("text")), "variable")
             .otherwise("unknown")
         )
+        value = F.when(literals.is_literal(F.col("text")), literals.unquoted(F.col("text"))).when(F.col("is_param").isNull(), F.coalesce("own_value", "any_value"))
         several = (F.size("more") > 1) & F.col("is_param").isNull()
-        rows = rows.withColumn("more", more).select(*_PLACE, "term", "text", kind.alias("kind"), F.coalesce(several, F.lit(False)).alias("several"), "more")
+        rows = rows.withColumn("more", more).select(*_PLACE, "term", "text", kind.alias("kind"), F.coalesce(several, F.lit(False)).alias("several"), value.alias("value"), "more")
         tables.append(scratch.keep(rows))
         seen = tables[-1].select("term") if seen is None else seen.unionByName(tables[-1].select("term"))
         opened = tables[-1].where("kind = 'open' and more is not null").select(*_PLACE, F.explode("more").alias("text")).distinct()
@@ -96,12 +97,12 @@ def _terms(
         up = passed.select("term", _named(F.col("text")).alias("next"))
         edges = edges.unionByName(up.join(every.where("kind = 'open'").select("term"), "term", "left_semi"))
     edges = edges.where("term <> next").distinct()
-    return every.select("term", "text", "kind", "several"), scratch.keep(edges)
+    return every.select("term", "text", "kind", "several", "value"), scratch.keep(edges)
 
 
 def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None = None) -> DataFrame:
-    """(site_id, pos, kind, text, several) for each source of each argument of sites (site_id, path, class_name, scope, is_handler,
-    arguments); ``several`` tells that it stands, or stood on its way, beside others. ``params`` has (path, class_name, scope, name),
+    """(site_id, pos, kind, text, several, value) for each source of each argument of sites (site_id, path, class_name, scope, is_handler,
+    arguments); ``several`` tells that it stands, or stood on its way, beside others; value is what literals and constants say. ``params`` has (path, class_name, scope, name),
     ``variables`` also value, ``constants`` (class_name, field_name, value). With ``callers`` (path, class_name, scope, name, from_path,
     from_class, from_scope, from_handler, argument: see ``passed_arguments``) parameters are followed into callers."""
     scratch = Scratch(sites.sparkSession)
@@ -122,13 +123,14 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
         if frontier.isEmpty():
             break
         met = met.unionByName(frontier)
-    told = scratch.keep(met.join(terms, "term").select("root", "text", "kind", "several"))
+    told = scratch.keep(met.join(terms, "term").select("root", "text", "kind", "several", "value"))
     beside = told.groupBy("root").agg(F.bool_or("several").alias("several"))
-    found = told.where("kind <> 'open'").select("root", "text", "kind").distinct()
+    found = told.where("kind <> 'open'").groupBy("root", "text", "kind").agg(F.min("value").alias("value"))
     found = beside.join(found, "root", "left")
     out = opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(found, "root")
     kind, text = F.coalesce("kind", F.lit("variable")).alias("kind"), F.coalesce("text", "own").alias("text")
-    return out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several")).groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"))
+    out = out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several"), "value")
+    return out.groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"), F.min("value").alias("value"))
 
 
 def passed_arguments(sites: DataFrame, methods: DataFrame) -> DataFrame:
@@ -146,7 +148,8 @@ def passed_arguments(sites: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def flags(parts: DataFrame) -> DataFrame:
-    """(site_id, parts, ext, tainted, hard_any, hard_all, kinds, composite, names) of each site."""
+    """(site_id, parts, ext, tainted, hard_any, hard_all, kinds, composite, names, settled) of each site; settled is the text of the
+    first argument where one literal or constant is its only source."""
     kind = F.col("kind")
     out = parts.groupBy("site_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("parts"),
@@ -156,10 +159,12 @@ def flags(parts: DataFrame) -> DataFrame:
         F.bool_and(kind == "hardcoded").alias("hard_all"),
         F.count_distinct("kind").alias("kinds"),
         F.bool_or("several").alias("_several"),
+        F.count_if(F.col("pos") == 0).alias("_first"),
+        F.max(F.when((F.col("pos") == 0) & (kind == "hardcoded") & ~F.col("several"), F.col("value"))).alias("_value"),
         F.array_join(F.array_sort(F.collect_set(F.when(kind.isin("external_input", "tainted"), F.col("text")))), ", ").alias("names"),
     )
     first = F.element_at("parts", 1)["kind"]
-    return out.withColumn("composite", F.when((F.size("parts") > 1) | F.col("_several"), "concat").when(first.isin("method_return", "field", "unknown"), first).otherwise("direct")).drop("_several")
+    return out.withColumn("composite", F.when((F.size("parts") > 1) | F.col("_several"), "concat").when(first.isin("method_return", "field", "unknown"), first).otherwise("direct")).withColumn("settled", F.when(F.col("_first") == 1, F.col("_value"))).drop("_several", "_first", "_value")
 
 
 def receiver_flags(parts: DataFrame) -> DataFrame:

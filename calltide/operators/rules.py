@@ -1,6 +1,7 @@
 """Security rules as decision lists of column expressions over a call's context.
 
-The context of a site: ``method``, ``receiver_type``, ``args``, ``ext`` (an operand is outside input), ``tainted`` (one is a
+The context of a site: ``method``, ``receiver_type``, ``args``, ``settled`` (the first argument's text where
+constants settle it, else null), ``ext`` (an operand is outside input), ``tainted`` (one is a
 caller's parameter), ``hard_any``/``hard_all`` (literals or constants), ``chain`` (confidence of its taint chain, null
 without), ``hardened`` (the receiver, or what made it, was locked down before), ``receiver_ext``/``receiver_tainted`` (what the
 receiver was made of), ``names`` (of outside and tainted operands). Each list gives a confidence, or null for no alert. A site
@@ -73,10 +74,14 @@ def _directory() -> Column:
     return F.when(m.isin("compile", "evaluate"), _spread("low")).when(m == "search", _spread("medium")).when(m == "lookup", found)
 
 
+def _words() -> tuple[Column, Callable[..., Column]]:
+    """The algorithm, as far as it is settled, else the arguments; and whether it has a word (word borders are ASCII)."""
+    a = F.coalesce(_c("settled"), _c("args"), F.lit(""))
+    return a, lambda w, fold="": a.rlike(rf"{fold}(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)")
+
+
 def _crypto() -> Column:
-    """The algorithm as a word of the arguments; word borders are ASCII."""
-    a = F.coalesce(_c("args"), F.lit(""))
-    word = lambda w, fold="": a.rlike(rf"{fold}(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)")
+    a, word = _words()
     weak = (word("DES") & ~word("DESede") & ~word("3DES")) | word("ECB") | word("RC4") | word("ARCFOUR") | (word("RSA") & ~word("OAEP"))
     short = word("MD5", "(?i)") | word("SHA-?1", "(?i)")
     return F.when(a == "", None).when(weak | short, "high").when(word("SHA-?(224|256|384|512|3)", "(?i)"), None).when(_c("ext"), "high").otherwise("low")
@@ -91,6 +96,42 @@ def _log() -> Column:
     return F.when(_c("ext"), "high").when(_c("chain").isNotNull(), "medium")
 
 
+def _why_crypto() -> Column:
+    _, word = _words()
+    return (
+        F.when(word("DES") & ~word("DESede") & ~word("3DES"), "DES keys are too short").when(word("ECB"), "ECB shows equal blocks")
+        .when(word("RC4") | word("ARCFOUR"), "RC4 is broken").when(word("RSA") & ~word("OAEP"), "RSA without OAEP padding")
+        .when(word("MD5", "(?i)"), "MD5 has collisions").when(word("SHA-?1", "(?i)"), "SHA-1 has collisions")
+        .when(_c("ext"), "the algorithm is chosen outside").otherwise("the algorithm is not known")
+    )
+
+
+def _why_sql() -> Column:
+    spread = _c("ext") | _c("tainted") | _c("chain").isNotNull()
+    return F.when(_c("method") == "createStatement", "a statement without parameters").when(spread, "put together in place of parameters").when(_c("hard_any"), "a fixed text")
+
+
+def _why_command() -> Column:
+    return F.when(_c("method") == "start", "a process is started").when(_c("hard_any") & ~_c("hard_all"), "a fixed text with other parts")
+
+
+def _why_xml() -> Column:
+    parse = _c("method") == "parse"
+    return F.when(parse & ~_c("hardened"), "entities are not locked").when(parse, "locked, but it reads outside input").otherwise("lock entities before use")
+
+
+def _why_directory() -> Column:
+    m = _c("method")
+    return F.when(m.isin("compile", "evaluate"), "an XPath expression").when(m == "search", "an LDAP filter").when(m == "lookup", "a JNDI name")
+
+
+#: What a check adds to its rule's message.
+WHY: dict[str, Callable[[], Column]] = {
+    "crypto": _why_crypto, "sql": _why_sql, "command": _why_command, "xml": _why_xml, "directory": _why_directory,
+    "ssrf": lambda: F.when(_c("method") == "openConnection", "a connection is opened"),
+    "reflection": lambda: F.when(_c("method") == "forName", "a class by name").otherwise("an object of such a class"),
+}
+
 CHECKS: dict[str, Callable[[], Column]] = {
     "sql": _sql, "always": lambda: F.lit("high"), "command": _command, "chain": lambda: _c("chain"), "path": lambda: _spread("low"), "ssrf": _ssrf, "xml": _xml,
     "directory": _directory, "crypto": _crypto, "reflection": _reflection, "log": _log, "secret": lambda: F.when(_c("hard_any"), "high"),
@@ -117,10 +158,12 @@ RULES = [
 
 
 def told(rules: list[Rule]) -> Column:
-    """The message of an alert: what the rule says, the outside input and parameters it found, and what it does not know."""
+    """The message of an alert: what the rule says, why its check holds, the outside input and parameters it found."""
     what = F.coalesce(*(F.when(_c("rule_id") == r.id, F.lit(r.description or r.name)) for r in rules), F.lit(""))
     named = F.coalesce("names", F.lit("")) != ""
     source = F.when(named & _c("ext"), F.concat(F.lit(": outside input "), "names")).when(named & _c("tainted"), F.concat(F.lit(": parameter "), "names"))
+    why = F.coalesce(*(F.when(_c("rule_id") == r.id, WHY[r.check]()) for r in rules if r.check in WHY), F.lit(None).cast("string"))
+    what = F.concat(what, F.coalesce(F.concat(F.lit(" - "), why), F.lit("")))
     made = F.when(_c("receiver_ext"), " (receiver made of outside input)").when(_c("receiver_tainted"), " (receiver made of a parameter)")
     return F.concat(what, F.coalesce(source, F.lit("")), F.coalesce(made, F.lit("")))
 

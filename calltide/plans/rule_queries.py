@@ -132,7 +132,8 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "receiver_ext": n % 5 == 0, "receiver_tainted": n % 5 == 1, "names": F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("v"), F.col("l_linenumber"))),
         }
     )
-    return out.select("l_orderkey", "l_linenumber", "rule_id", "method", "receiver_type", "args", "ext", "tainted", "hard_any", "hard_all", "chain", "hardened", "receiver_ext", "receiver_tainted", "names")
+    out = out.withColumn("settled", F.when(F.col("l_quantity") % 10 == 0, "MD5"))
+    return out.select("l_orderkey", "l_linenumber", "rule_id", "method", "receiver_type", "args", "settled", "ext", "tainted", "hard_any", "hard_all", "chain", "hardened", "receiver_ext", "receiver_tainted", "names")
 
 
 def rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +197,7 @@ _W = "(^|[^A-Za-z0-9_])"
 _E = "([^A-Za-z0-9_]|$)"
 _RULES_SQL = f"""
 WITH l AS (SELECT *, l_orderkey + l_linenumber AS n, {_pick([r.id for r in rules.RULES], 'l_partkey % 13')} AS rule_id FROM lineitem),
-s AS (SELECT l_orderkey, l_linenumber, rule_id, {_choice(0)} AS m, {_choice(1)} AS t, {_pick(_ARGUMENTS, f'n % {len(_ARGUMENTS)}')} AS a, n % 3 = 0 AS ext, n % 2 = 0 AS tainted, l_suppkey % 2 = 0 AS hard_any,
+s AS (SELECT l_orderkey, l_linenumber, rule_id, {_choice(0)} AS m, {_choice(1)} AS t, CASE WHEN l_quantity % 10 = 0 THEN 'MD5' ELSE {_pick(_ARGUMENTS, f'n % {len(_ARGUMENTS)}')} END AS a, n % 3 = 0 AS ext, n % 2 = 0 AS tainted, l_suppkey % 2 = 0 AS hard_any,
   l_suppkey % 4 = 0 AS hard_all, CASE l_orderkey % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS chain, l_linenumber % 3 = 0 AS hardened, n % 5 = 0 AS rext, n % 5 = 1 AS rtainted,
   CASE WHEN n % 4 = 0 THEN '' ELSE 'v' || l_linenumber END AS names FROM l),
 v AS (SELECT *, CASE rule_id
@@ -217,8 +218,19 @@ v AS (SELECT *, CASE rule_id
     WHEN regexp_matches(a, '(?i){_W}SHA-?(224|256|384|512|3){_E}') THEN NULL WHEN ext THEN 'high' ELSE 'low' END
   WHEN 'S011' THEN CASE WHEN m = 'forName' THEN CASE WHEN ext THEN 'high' WHEN hard_all THEN 'low' ELSE 'medium' END WHEN chain IS NOT NULL OR tainted THEN 'medium' ELSE 'low' END
   WHEN 'S012' THEN 'high'
-  WHEN 'S013' THEN CASE WHEN ext THEN 'high' WHEN chain IS NOT NULL THEN 'medium' END END AS confidence FROM s)
-SELECT l_orderkey, l_linenumber, rule_id, confidence, {_pick([r.description for r in rules.RULES], "CAST(substr(rule_id, 2) AS INTEGER) - 1")}
+  WHEN 'S013' THEN CASE WHEN ext THEN 'high' WHEN chain IS NOT NULL THEN 'medium' END END AS confidence,
+  CASE rule_id
+  WHEN 'S001' THEN CASE WHEN m = 'createStatement' THEN 'a statement without parameters' WHEN ext OR tainted OR chain IS NOT NULL THEN 'put together in place of parameters' WHEN hard_any THEN 'a fixed text' END
+  WHEN 'S003' THEN CASE WHEN m = 'start' THEN 'a process is started' WHEN hard_any AND NOT hard_all THEN 'a fixed text with other parts' END
+  WHEN 'S006' THEN CASE WHEN m = 'openConnection' THEN 'a connection is opened' END
+  WHEN 'S007' THEN CASE WHEN m <> 'parse' THEN 'lock entities before use' WHEN hardened THEN 'locked, but it reads outside input' ELSE 'entities are not locked' END
+  WHEN 'S008' THEN CASE m WHEN 'search' THEN 'an LDAP filter' WHEN 'lookup' THEN 'a JNDI name' ELSE 'an XPath expression' END
+  WHEN 'S010' THEN CASE WHEN regexp_matches(a, '{_W}DES{_E}') THEN 'DES keys are too short' WHEN regexp_matches(a, '{_W}ECB{_E}') THEN 'ECB shows equal blocks'
+    WHEN regexp_matches(a, '{_W}(RC4|ARCFOUR){_E}') THEN 'RC4 is broken' WHEN regexp_matches(a, '{_W}RSA{_E}') AND NOT regexp_matches(a, '{_W}OAEP{_E}') THEN 'RSA without OAEP padding'
+    WHEN regexp_matches(a, '(?i){_W}MD5{_E}') THEN 'MD5 has collisions' WHEN regexp_matches(a, '(?i){_W}SHA-?1{_E}') THEN 'SHA-1 has collisions'
+    WHEN ext THEN 'the algorithm is chosen outside' ELSE 'the algorithm is not known' END
+  WHEN 'S011' THEN CASE WHEN m = 'forName' THEN 'a class by name' ELSE 'an object of such a class' END END AS why FROM s)
+SELECT l_orderkey, l_linenumber, rule_id, confidence, {_pick([r.description for r in rules.RULES], "CAST(substr(rule_id, 2) AS INTEGER) - 1")} || coalesce(' - ' || why, '')
   || CASE WHEN names <> '' AND ext THEN ': outside input ' || names WHEN names <> '' AND tainted THEN ': parameter ' || names ELSE '' END
   || CASE WHEN rext THEN ' (receiver made of outside input)' WHEN rtainted THEN ' (receiver made of a parameter)' ELSE '' END AS message
 FROM v WHERE confidence IS NOT NULL

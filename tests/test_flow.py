@@ -156,3 +156,28 @@ def test_scan_of_annotations_and_compact_constructors():
     assert [(f.name, [p["name"] for p in f.params]) for f in facts if f.kind == "method"] == [("f", ["v"]), ("P", ["a"])]
     assert [(f.name, f.method_name) for f in facts if f.kind == "call"] == [("g", "f"), ("h", None), ("k", "P")]
     assert [(f.name, f.value) for f in facts if f.kind == "variable"] == [("z", "h(2)"), ("a", "")]
+
+
+WEAK = """package w;
+import javax.crypto.Cipher;
+class K {
+  static final String ALGO = "DES";
+  static final String FINE = "AES/GCM/NoPadding";
+  Cipher one() { return Cipher.getInstance(ALGO); }
+  Cipher two() { String a = FINE; return Cipher.getInstance(a); }
+  Cipher three(boolean b) { String a = b ? ALGO : FINE; return Cipher.getInstance(a); }
+  Cipher four() { return made("RC4"); }
+  private Cipher made(String name) { return Cipher.getInstance(name); }
+}
+"""
+
+
+def test_algorithms_are_settled_by_constants_and_callers(spark):
+    from calltide.plans import analyze
+
+    files = spark.createDataFrame([("w/K.java", WEAK)], "path string, text string")
+    got = {r.method_name: (r.confidence, r.message) for r in analyze.alerts(files, taint=False).where("rule_id = 'S010'").collect()}
+    assert got["one"] == ("high", "Weak algorithm - DES keys are too short")
+    assert got["two"] == ("low", "Weak algorithm - the algorithm is not known")  # known, and not on a list
+    assert got["three"][0] == "low"
+    assert got["made"] == ("high", "Weak algorithm - RC4 is broken")
