@@ -20,6 +20,8 @@ from calltide.sources.javascan import Fact, scan_text
 
 # Folder and file names that a scan leaves out.
 SKIPPED = [".git", "node_modules", "target", "build", ".gradle"]
+#: Facts in an Arrow batch, in the mean, at most.
+FACTS_AT_ONCE = 20_000
 FACTS = (
     "path string, kind string, seq int, line int, end int, class_name string, method_name string, method_line int, is_handler boolean, "
     "name string, type string, value string, receiver string, modifiers string, text string, params array<struct<type: string, name: string>>"
@@ -59,16 +61,25 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = [c.split()[0] for c in FACTS.split(", params")[0].split(", ")] + ["params"]
     kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     types = [kinds[c.split()[1]] for c in FACTS.split(", params")[0].split(", ")] + [pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
     for batch in batches:
+        rows: list[tuple] = []
         for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found: list[Fact] = scan_text(text or "")
-            rows = [[path] * len(found), *([getattr(f, c) for f in found] for c in columns[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=columns)
+            rows += [(path, *(getattr(f, c) for c in columns[1:])) for f in found]
+            if len(rows) >= FACTS_AT_ONCE:
+                yield made(rows)
+                rows = []
+        if rows:
+            yield made(rows)
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """One row per fact of each file; ``seq`` is its place in the file."""
-    return files.select("path", "text").mapInArrow(_rows, FACTS)
+    """One row per fact of each file; ``seq`` is its place in the file. Files are dealt out before: reading them costs much more than
+    moving them, and a table of files, or a project that Spark packs into few partitions, would keep few cores busy."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return files.select("path", "text").repartition(n).mapInArrow(_rows, FACTS)
 
 
 def files_read(found: DataFrame) -> DataFrame:
