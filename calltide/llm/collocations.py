@@ -7,7 +7,8 @@ Texts are cut into pieces at marks and line ends, and pieces into words. All cou
    last k - 1 words may both be frequent. What may be frequent is asked of a bit map of hashes, which has no false negatives and
    a proven size (``2**WIDTH`` words of 64 bits, 16 MB); the runs' counts, summed up in each task first, are summed by a shuffle
    and those below ``least`` go. Words stand for their hashes here: one that shares its hash with another only makes counts too
-   high. From the third word on, only stretches of the texts in which frequent pairs follow each other are read again.
+   high. From the third word on, only stretches of the texts in which frequent pairs follow each other are read again, twice: runs
+   whose bucket of hashes has fewer than ``least`` of them in all texts go before they are counted one by one.
 3. The candidates get their exact counts: each shard of at most some ``SHARD`` of them becomes a double-array trie that is
    broadcast (its size is bounded by the shard's), numpy moves the states of all positions of a slice of text along at once, level
    by level, and bincounts the accepting ones; tasks' counts are summed up as vectors. Every shard is one pass over the texts.
@@ -38,6 +39,8 @@ from calltide.session import Scratch
 
 #: Candidates in one broadcast trie, in the mean, at most.
 SHARD = 250_000
+#: From three words on, runs are counted by 2**BUCKETS buckets of their hashes first; on larger tables more of them are full.
+BUCKETS = 20
 #: Phrases whose counts a task hands on together.
 BLOCK = 256
 #: A bit map of what may be frequent has 2**WIDTH 64-bit words at most.
@@ -202,26 +205,89 @@ def _stretches(may: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return rows
 
 
-def _run_rows(may: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of k words in stretches of which the first and the last k - 1 may be frequent, with how often each is there."""
+def _at(h: np.ndarray, may: BitMap, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of k words begin in stretches of which the first and the last k - 1 may be frequent, and each one's bucket."""
+    run, whole = h, h != 0
+    for j in range(1, k - 1):
+        run, whole = _longer(run[:-1], h[j:]), whole[:-1] & (h[j:] != 0)
+    alive = may(run) & whole
+    at = np.flatnonzero(alive[:-1] & alive[1:])
+    return at, (_longer(run[at], h[at + k - 1]) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _bucket_rows(may: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, counts): how many runs of k words of one task fall into each bucket of their hashes."""
+
+    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKETS, dtype=np.int64)
+        for batch in source:
+            for h in _lists(batch):
+                if len(h) >= k:
+                    total += np.bincount(_at(h, may.value, k)[1], minlength=len(total))
+        each = len(total) // 256
+        blocks = [(i, total[i * each : (i + 1) * each]) for i in range(256)]
+        blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
+        yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in blocks], pa.int32()), "counts": pa.array([x for _, x in blocks], pa.binary())})
+
+    return rows
+
+
+def _full_buckets(stretches: DataFrame, may: Broadcast, k: int, least: int) -> Broadcast:
+    """Which buckets hold ``least`` runs of k words or more: only runs in these can be frequent. Tasks hand their buckets on as
+    vectors; 2**BUCKETS bits are collected."""
+
+    def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, total in _summed(source):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    dealt = stretches.mapInArrow(_bucket_rows(may, k), "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    found = dealt.mapInArrow(summed, "block int, bits binary").toArrow()
+    full = np.zeros((256, (1 << BUCKETS) // 256), dtype=bool)
+    for i, bits in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        full[i] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+    return stretches.sparkSession.sparkContext.broadcast(full.reshape(-1))
+
+
+def _lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for i in range(batch.num_rows):
+        yield np.asarray(batch.column("hashes")[i].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
+
+
+def _summed(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, counts) of rows that come sorted by block, their vectors added up."""
+    block, total = -1, np.zeros(0, dtype=np.int64)
+    for batch in source:
+        for i, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            x = np.frombuffer(counts, dtype=np.int64)
+            if i == block:
+                total = total + x
+                continue
+            if block >= 0:
+                yield block, total
+            block, total = i, x
+    if block >= 0:
+        yield block, total
+
+
+def _run_rows(may: Broadcast, full: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of k words in full buckets of which the first and the last k - 1 may be frequent, with how often each is there."""
 
     def counted(h: np.ndarray) -> pa.RecordBatch:
+        at, bucket = _at(h, may.value, k)
+        at = at[full.value[bucket]]
         word, local = np.unique(h, return_inverse=True)
-        run, shorter = h, local.astype(np.int64)
-        whole = h != 0
-        for j in range(1, k - 1):  # hashes and local numbers of the runs of k - 1 words
-            run, whole = _longer(run[:-1], h[j:]), whole[:-1] & (h[j:] != 0)
-            shorter = np.unique(shorter[:-1] * len(word) + local[j:], return_inverse=True)[1].astype(np.int64)
-        alive = may.value(run) & whole
-        at = np.flatnonzero(alive[:-1] & alive[1:])
-        _, first, n = np.unique(shorter[at] * len(word) + local[at + k - 1], return_index=True, return_counts=True)
+        local = local.astype(np.int64)
+        shorter = local[at]
+        for j in range(1, k - 1):  # numbers of the runs' first k - 1 words
+            shorter = np.unique(shorter * len(word) + local[at + j], return_inverse=True)[1].astype(np.int64)
+        _, first, n = np.unique(shorter * len(word) + local[at + k - 1], return_index=True, return_counts=True)
         return pa.RecordBatch.from_pydict({**{f"t{j + 1}": tokens.signed(h[at[first] + j]) for j in range(k)}, "n": n.astype(np.int64)})
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # a task's stretches are counted together, as far as memory is bounded
         for batch in source:
-            for i in range(batch.num_rows):
-                held.append(np.asarray(batch.column("hashes")[i].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64))
+            for h in _lists(batch):
+                held.append(h)
                 if sum(map(len, held)) >= TOGETHER:
                     yield counted(np.concatenate(held))
                     held = []
@@ -238,7 +304,8 @@ def candidates(docs: DataFrame, words: DataFrame, least: int, scratch: Scratch)
     found, stretches = [], None
     for k in range(2, LONGEST + 1):
         schema = ", ".join(f"{t} long" for t in asked[:k]) + ", n long"
-        rows = docs.mapInArrow(_pair_rows(may), schema) if k == 2 else stretches.mapInArrow(_run_rows(may, k), schema)
+        full = _full_buckets(stretches, may, k, least) if k > 2 else None
+        rows = docs.mapInArrow(_pair_rows(may), schema) if k == 2 else stretches.mapInArrow(_run_rows(may, full, k), schema)
         runs = scratch.keep(rows.groupBy(*asked[:k]).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*asked[:k]))
         found.append(runs.select(*asked[:k], *(F.lit(None).cast("long").alias(t) for t in asked[k:])))
         may.unpersist()
@@ -324,17 +391,7 @@ def _sum_rows(shard: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         return pa.RecordBatch.from_arrays([s.lang.take(at), s.phrase.take(at), pa.array(total[hit])], ["lang", "phrase", "n"])
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = -1, np.zeros(0, dtype=np.int64)
-        for batch in source:
-            for i, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(counts, dtype=np.int64)
-                if i == block:
-                    total = total + x
-                    continue
-                if block >= 0:
-                    yield told(block, total)
-                block, total = i, x
-        if block >= 0:
+        for block, total in _summed(source):
             yield told(block, total)
 
     return rows
