@@ -74,8 +74,8 @@ def _graph(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _build_index(spark: SparkSession, args: argparse.Namespace) -> int:
-    lines = api_index.javap_lines(spark, args.javap)
-    api_index.write_index(*api_index.parse_javap(lines), args.out)
+    texts = api_index.javap_texts(spark, args.javap)
+    api_index.write_index(*api_index.parse_javap(texts), args.out)
     return 0
 
 

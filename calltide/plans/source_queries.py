@@ -254,8 +254,9 @@ def maven_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JAVAP = """Compiled from "{cls}.java"
 public class shop.{pkg}.{cls} extends shop.Base<java.util.Map<java.lang.String, int[]>> implements shop.{w2}, shop.Open {
-  public java.lang.String {w1}(int);
+  public static synchronized java.lang.String {w1}(int) throws java.io.IOException, shop.{w2}$Bad;
     descriptor: (I)Ljava/lang/String;
+    Deprecated: true
   public int {w1}();
     descriptor: ()I
   public shop.{w2}[] all();
@@ -266,9 +267,9 @@ public class shop.{pkg}.{cls} extends shop.Base<java.util.Map<java.lang.String,
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = _parts(spark, sf_dir).select(F.col("path").alias("file"), F.posexplode(F.split(_filled(_JAVAP), "\n")).alias("line", "text"))
+    files = _parts(spark, sf_dir).select(F.col("path").alias("file"), _filled(_JAVAP).alias("text"))
     base = "public class shop.Base {\n  public java.lang.Object held();\n    descriptor: ()Ljava/lang/Object;\n  public void none();\n    descriptor: ()V\n}"
-    root = read_table(spark, sf_dir, "region").agg(F.count("*").alias("n")).select(F.lit("Base").alias("file"), F.posexplode(F.split(F.lit(base), "\n")).alias("line", "text"))
+    root = read_table(spark, sf_dir, "region").agg(F.count("*").alias("n")).select(F.lit("Base").alias("file"), F.lit(base).alias("text"))
     return api_index.parse_javap(files.unionByName(root))
 
 
@@ -279,7 +280,7 @@ def api_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, methods, _ = _index(spark, sf_dir)
-    return methods.select("class_name", "method_name", "ordinal", "descriptor", "return_type", F.array_join("param_types", ",").alias("param_types"))
+    return methods.select("class_name", "method_name", "ordinal", "descriptor", "return_type", *(F.array_join(c, ",").alias(c) for c in ("param_types", "modifiers", "throws")), "deprecated")
 
 
 def api_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,10 +337,11 @@ def _sql_text(template: str) -> str:
 
 _DEPS = """d AS (SELECT k AS path, 'g.' || w1 AS group_id, w2 AS artifact_id, '1.' || size AS version FROM p UNION ALL SELECT k, 'g.none', 'n' || k, NULL FROM p)"""
 _INDEX = """m AS (
-  SELECT 'shop.' || pkg || '.' || cls AS class_name, w1 AS method_name, 0 AS ordinal, '(I)Ljava/lang/String;' AS descriptor, 'java.lang.String' AS return_type, 'int' AS param_types FROM p
-  UNION ALL SELECT 'shop.' || pkg || '.' || cls, w1, 1, '()I', 'int', '' FROM p
-  UNION ALL SELECT 'shop.' || pkg || '.' || cls, 'all', 0, '()[Lshop/' || w2 || ';', 'shop.' || w2 || '[]', '' FROM p
-  UNION ALL SELECT 'shop.Base', 'held', 0, '()Ljava/lang/Object;', 'java.lang.Object', '' UNION ALL SELECT 'shop.Base', 'none', 0, '()V', 'void', '')"""
+  SELECT 'shop.' || pkg || '.' || cls AS class_name, w1 AS method_name, 0 AS ordinal, '(I)Ljava/lang/String;' AS descriptor, 'java.lang.String' AS return_type, 'int' AS param_types,
+    'static,synchronized' AS modifiers, 'java.io.IOException,shop.' || w2 || '.Bad' AS throws, true AS deprecated FROM p
+  UNION ALL SELECT 'shop.' || pkg || '.' || cls, w1, 1, '()I', 'int', '', '', '', false FROM p
+  UNION ALL SELECT 'shop.' || pkg || '.' || cls, 'all', 0, '()[Lshop/' || w2 || ';', 'shop.' || w2 || '[]', '', '', '', false FROM p
+  UNION ALL SELECT 'shop.Base', 'held', 0, '()Ljava/lang/Object;', 'java.lang.Object', '', '', '', false UNION ALL SELECT 'shop.Base', 'none', 0, '()V', 'void', '', '', '', false)"""
 
 QUERIES = {
     "java_calls": (java_calls, f"{_P}, {_CALLS} SELECT path, line, receiver, method, args, scope, is_handler, text FROM c"),
@@ -470,9 +472,11 @@ UNION ALL SELECT 'shop.Base', 'held', 'shop.Base', 1, '()Ljava/lang/Object;' UNI
     ),
     "api_compact": (
         api_compact,
-        f"""{_P} SELECT 'shop.' || pkg || '.' || cls AS name, '{{"s":"shop.Base","i":["shop.' || w2 || '","shop.Open"],"m":{{' || CASE WHEN w1 < 'all' THEN own || ',' || every ELSE every || ',' || own END || '}},"f":{{"MAX":["long"]}}}}' AS json
-FROM (SELECT *, '"' || w1 || '":[["(I)Ljava/lang/String;","java.lang.String"],["()I","int"]]' AS own, '"all":[["()[Lshop/' || w2 || ';","shop.' || w2 || '[]"]]' AS every FROM p)
-UNION ALL SELECT 'shop.Base', '{{"i":[],"m":{{"held":[["()Ljava/lang/Object;","java.lang.Object"]],"none":[["()V","void"]]}}}}'""",
+        f"""{_P} SELECT 'shop.' || pkg || '.' || cls AS name, '{{"s":"shop.Base","i":["shop.' || w2 || '","shop.Open"],"m":{{' || CASE WHEN w1 < 'all' THEN own || ',' || every ELSE every || ',' || own END
+  || '}},"f":{{"MAX":["long",["static","final"]]}}}}' AS json
+FROM (SELECT *, '"' || w1 || '":[["(I)Ljava/lang/String;","java.lang.String",["int"],["static","synchronized"],["java.io.IOException","shop.' || w2 || '.Bad"],1],["()I","int",[],[],[],0]]' AS own,
+  '"all":[["()[Lshop/' || w2 || ';","shop.' || w2 || '[]",[],[],[],0]]' AS every FROM p)
+UNION ALL SELECT 'shop.Base', '{{"s":"","i":[],"m":{{"held":[["()Ljava/lang/Object;","java.lang.Object",[],[],[],0]],"none":[["()V","void",[],[],[],0]]}},"f":{{}}}}'""",
     ),
     "taint_totals": (taint_totals, f"{_P} SELECT 2 * count(*) AS methods, count(*) AS sources, count(*) AS sinks, count(*) AS chains FROM p"),
 }

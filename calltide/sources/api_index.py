@@ -2,57 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltide.functions.signatures import descriptor_types, trimmed
 from calltide.operators.lookup import inherited, linearised
 
 
+# The modifiers that an index names, in its order.
+METHOD_MODIFIERS = ["static", "abstract", "final", "synchronized", "native", "default"]
+FIELD_MODIFIERS = ["static", "final", "volatile", "transient"]
+# A line that names a class; one that names a member; arguments of types, three deep.
+_CLASS = r"(?m)^(?=[ \t]*(?:(?:public|protected|private|abstract|final|static|strictfp|sealed|non-sealed) +)*(?:class|interface|enum|@interface) +[\w.$]+)"
+_MEMBER = r"\n(?=[^\n:]*;[ \t\r]*(?:\n|$))"
+_GENERIC = r"<[^<>]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>[^<>]*)*>"
+
+
 def read_compact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, methods, fields) of JSON ``{class: {s, i, m: {name: [[descriptor, returns, parameters, modifiers, throws,
-    deprecated]]}, f: {name: [type, modifiers]}}}``."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<s: string, i: array<string>, m: map<string, array<array<string>>>, f: map<string, array<string>>>>").alias("x"))
-    one = text.select(F.explode("x").alias("name", "c"))
-    classes = one.select("name", F.col("c.s").alias("super_class"), F.coalesce("c.i", F.array().cast("array<string>")).alias("interfaces"))
-    m = one.select(F.col("name").alias("class_name"), F.explode("c.m").alias("method_name", "o")).select("class_name", "method_name", F.posexplode("o").alias("ordinal", "v"))
-    methods = m.select("class_name", "method_name", "ordinal", F.get("v", 0).alias("descriptor"), F.get("v", 1).alias("return_type"))
+    deprecated]]}, f: {name: [type, modifiers]}}}``; of rows with less, parameters come from the descriptor, the rest is empty."""
+    shape = "map<string, struct<s: string, i: array<string>, m: map<string, array<array<string>>>, f: map<string, array<string>>>>"
+    one = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)).alias("name", "c"))
+    none = F.array().cast("array<string>")
+    listed = lambda i: F.coalesce(F.from_json(F.get("v", i), "array<string>"), none)
+    classes = one.select("name", F.nullif("c.s", F.lit("")).alias("super_class"), F.coalesce("c.i", none).alias("interfaces"))
+    rows = one.select(F.col("name").alias("class_name"), F.explode("c.m").alias("method_name", "o"))
+    rows = rows.select("class_name", "method_name", F.posexplode("o").alias("ordinal", "v")).withColumn("descriptor", F.get("v", 0))
     types = descriptor_types(F.col("descriptor"))
-    methods = methods.withColumn("param_types", F.slice(types, 1, F.greatest(F.size(types) - 1, F.lit(0))))
-    fields = one.select(F.col("name").alias("class_name"), F.explode("c.f").alias("field_name", "v")).select("class_name", "field_name", F.get("v", 0).alias("type"))
+    told = F.slice(types, 1, F.greatest(F.size(types) - 1, F.lit(0)))
+    params = F.coalesce(F.from_json(F.get("v", 2), "array<string>"), told).alias("param_types")
+    rest = (listed(3).alias("modifiers"), listed(4).alias("throws"), F.coalesce(F.get("v", 5) == "1", F.lit(False)).alias("deprecated"))
+    methods = rows.select("class_name", "method_name", "ordinal", "descriptor", F.get("v", 1).alias("return_type"), params, *rest)
+    fields = one.select(F.col("name").alias("class_name"), F.explode("c.f").alias("field_name", "v"))
+    return classes, methods, fields.select("class_name", "field_name", F.get("v", 0).alias("type"), listed(1).alias("modifiers"))
+
+
+def parse_javap(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same tables from what ``javap -public -s`` or ``-v`` prints: texts (file, text), each a file or a part of one that no
+    class crosses. A class goes from the line that names it to its closing brace, and is a row of its own from there on; a member
+    from its line to the next one's, and descriptor and deprecation are looked for in between. Lines outside of classes, members
+    without a descriptor and initialisers count for nothing. A class that is printed twice has the members of its last printing (by
+    file, place and text). Null and empty texts have no classes."""
+    block = texts.select("file", F.posexplode(F.split("text", _CLASS)).alias("at", "block")).where(F.col("block").rlike(r"\A" + _CLASS[4:]))
+    block = block.withColumn("block", F.get(F.split("block", r"\n[ \t]*\}[ \t\r]*(?:\n|$)", 2), 0))
+    plain = lambda line: F.regexp_replace(F.regexp_replace(line, _GENERIC, ""), r"\$", ".")
+    listed = lambda text, rx: F.filter(F.transform(F.split(F.regexp_extract(text, rx, 1), ","), trimmed), lambda x: x != "")
+    named = block.withColumn("head", plain(F.regexp_extract("block", r"^[^\n]*", 0)))
+    named = named.withColumn("name", F.regexp_extract("head", r"(?:class|interface|enum) +([\w.]+)", 1))
+    last = named.groupBy("name").agg(F.max(F.struct("file", "at", "block", "head")).alias("c")).select("name", "c.block", "c.head")
+
+    interface = F.col("head").rlike(r"(^|[\s@])interface ")
+    extends = listed(F.col("head"), r"\sextends ([\w., ]+?)(?: implements |\s*\{)")
+    above = F.when(interface, extends).otherwise(listed(F.col("head"), r"\simplements ([\w., ]+?)\s*\{"))
+    classes = last.select("name", F.when(~interface, F.get(extends, 0)).alias("super_class"), above.alias("interfaces"))
+
+    members = F.split("block", _MEMBER)
+    rows = last.select(F.col("name").alias("class_name"), F.posexplode(F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0)))).alias("place", "text"))
+    rows = rows.withColumn("line", plain(F.regexp_extract("text", r"^[^\n]*", 0)))
+    rows = rows.withColumn("descriptor", F.regexp_extract("text", r"\n\s*descriptor:\s+(\S+)", 1)).where("descriptor <> ''")
+    words = F.split(F.trim(F.regexp_extract("line", r"^[^(=;]*", 0)), r"\s+")
+    modifiers = lambda known: F.array_intersect(F.array(*map(F.lit, known)), words)
+    types = descriptor_types(F.col("descriptor"))
+
+    called = F.regexp_extract("line", r"([\w.]+)\s*\(", 1)
+    method = F.when(called == F.col("class_name"), "<init>").otherwise(called)
+    m = rows.where("descriptor like '(%'").select(
+        "class_name", method.alias("method_name"), "place", "descriptor", F.element_at(types, -1).alias("return_type"), F.slice(types, 1, F.size(types) - 1).alias("param_types"),
+        modifiers(METHOD_MODIFIERS).alias("modifiers"), listed(F.col("line"), r"\)\s*throws\s+([^;]+)").alias("throws"), F.col("text").rlike(r"\n\s*Deprecated: true[ \t\r]*(?:\n|$)").alias("deprecated"),
+    ).where("method_name <> ''")
+    order = Window.partitionBy("class_name", "method_name").orderBy("place")
+    columns = ["class_name", "method_name", "ordinal", "descriptor", "return_type", "param_types", "modifiers", "throws", "deprecated"]
+    methods = m.withColumn("ordinal", F.row_number().over(order) - 1).select(*columns)
+    field = F.regexp_extract("line", r"(\w+)\s*(?:=[^;]*)?;\s*$", 1)
+    fields = rows.where("descriptor not like '(%'").select("class_name", field.alias("field_name"), F.get(types, 0).alias("type"), modifiers(FIELD_MODIFIERS).alias("modifiers"))
     return classes, methods, fields
 
 
-def parse_javap(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same tables from the text of ``javap -public -s``: lines (file, line, text). A member line comes before its
-    descriptor line; the class line above holds for both."""
-    w = Window.partitionBy("file").orderBy("line")
-    rx = r"^(?:Compiled from.*)?\s*(?:public |abstract |final |static )*(?:class|interface|enum) ([\w.$]+)"
-    plain = F.regexp_replace(F.regexp_replace("text", r"<[^<>]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>[^<>]*)*>", ""), r"\$", ".")
-    head = lines.withColumn("plain", plain).withColumn("c", F.nullif(F.regexp_extract("plain", rx, 1), F.lit("")))
-    placed = head.withColumn("class_name", F.last("c", ignorenulls=True).over(w)).withColumn("descriptor", F.nullif(F.regexp_extract(F.lead("text").over(w), r"^\s+descriptor: (\S+)", 1), F.lit("")))
-    listed = lambda rx: F.filter(F.transform(F.split(F.regexp_extract("plain", rx, 1), ","), trimmed), lambda x: x != "")
-    interface = F.col("plain").rlike(r"(^|\s)interface ")
-    extends = listed(r"\sextends ([\w.$, ]+?)(?: implements |\s*\{)")
-    classes = placed.where("c is not null").select(F.col("class_name").alias("name"), F.when(~interface, F.get(extends, 0)).alias("super_class"), F.when(interface, extends).otherwise(listed(r"\simplements ([\w.$, ]+?)\s*\{")).alias("interfaces"))
-    member = placed.where("descriptor is not null and c is null")
-    name = F.regexp_extract("plain", r"([\w.$]+)\(", 1)
-    types = descriptor_types(F.col("descriptor"))
-    order = Window.partitionBy("class_name", "method_name").orderBy("file", "line")
-    m = member.where("descriptor like '(%'").select("file", "line", "class_name", F.when(name == F.col("class_name"), "<init>").otherwise(name).alias("method_name"), "descriptor", F.element_at(types, -1).alias("return_type"), F.slice(types, 1, F.size(types) - 1).alias("param_types"))
-    methods = m.withColumn("ordinal", F.row_number().over(order) - 1).select("class_name", "method_name", "ordinal", "descriptor", "return_type", "param_types")
-    fields = member.where("descriptor not like '(%'").select("class_name", F.regexp_extract("plain", r"(\S+);\s*$", 1).alias("field_name"), F.get(types, 0).alias("type"))
-    return classes, methods, fields
+def _quoted(text: Column) -> Column:
+    """A text as JSON; null is empty."""
+    one = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def _object(entries: Column) -> Column:
+    """The JSON object of entries (key, json), by key."""
+    each = F.transform(F.array_sort(entries), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["json"]))
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(each, ","), F.lit("")), F.lit("}"))
 
 
 def to_compact(classes: DataFrame, methods: DataFrame, fields: DataFrame) -> DataFrame:
-    """(name, json): one compact JSON object per class."""
-    over = methods.groupBy("class_name", "method_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "descriptor", "return_type"))).alias("o"))
-    over = over.select("class_name", "method_name", F.transform("o", lambda x: F.array(x["descriptor"], x["return_type"])).alias("v"))
-    m = over.groupBy("class_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method_name", "v")))).alias("m"))
-    f = fields.groupBy("class_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", F.array("type"))))).alias("f"))
-    rows = classes.withColumnRenamed("name", "class_name").join(m, "class_name", "left").join(f, "class_name", "left")
-    return rows.select(F.col("class_name").alias("name"), F.to_json(F.struct(F.col("super_class").alias("s"), F.col("interfaces").alias("i"), "m", "f")).alias("json"))
+    """(name, json): one compact JSON object per class, of the shape that ``read_compact`` reads. What a class lacks is empty."""
+    listed = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    row = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    flag = F.when(F.col("deprecated"), "1").otherwise("0")
+    m = methods.select("class_name", "method_name", "ordinal", row(_quoted(F.col("descriptor")), _quoted(F.col("return_type")), listed("param_types"), listed("modifiers"), listed("throws"), flag).alias("json"))
+    m = m.groupBy("class_name", "method_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "json"))).alias("o"))
+    m = m.select("class_name", F.struct(F.col("method_name").alias("key"), row(F.array_join("o.json", ",")).alias("json")).alias("e"))
+    f = fields.select("class_name", F.struct(F.col("field_name").alias("key"), row(_quoted(F.col("type")), listed("modifiers")).alias("json")).alias("e"))
+    gathered = lambda d, into: d.groupBy("class_name").agg(F.collect_list("e").alias(into))
+    rows = classes.withColumnRenamed("name", "class_name").join(gathered(m, "m"), "class_name", "left").join(gathered(f, "f"), "class_name", "left")
+    parts = ('{"s":', _quoted(F.col("super_class"))), (',"i":', listed("interfaces")), (',"m":', _object(F.col("m"))), (',"f":', _object(F.col("f")))
+    return rows.select(F.col("class_name").alias("name"), F.concat(*(x for k, v in parts for x in (F.lit(k), v)), F.lit("}")).alias("json"))
 
 
 def supers(classes: DataFrame) -> DataFrame:
@@ -77,10 +127,10 @@ def index_stats(classes: DataFrame, methods: DataFrame, fields: DataFrame) -> Da
     return every.agg(*(F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("classes", "methods", "overloads", "fields")))
 
 
-def javap_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of what ``javap -public -s`` has printed."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+def javap_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what ``javap -public -s`` has printed, one row for a class: the reader itself parts files at closing braces, so
+    that one large file is read by many tasks."""
+    return spark.read.text(path, lineSep="\n}").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def write_index(classes: DataFrame, methods: DataFrame, fields: DataFrame, path: str) -> None:

@@ -160,11 +160,10 @@ public final class p.Sub extends p.Base<java.lang.String> implements java.util.M
 
 
 def test_api_index(spark, tmp_path):
-    lines = spark.createDataFrame([("x", i, t) for i, t in enumerate(JAVAP.splitlines())], "file string, line int, text string")
-    classes, methods, fields = api_index.parse_javap(lines)
+    classes, methods, fields = api_index.parse_javap(spark.createDataFrame([("x", JAVAP)], "file string, text string"))
     assert {(r.name, r.super_class, tuple(r.interfaces)) for r in classes.collect()} == {("p.Base", None, ()), ("p.Sub", "p.Base", ("java.util.Map", "p.Named"))}
     assert {(r.class_name, r.method_name, r.ordinal, r.return_type) for r in methods.collect()} == {("p.Base", "<init>", 0, "void"), ("p.Base", "name", 0, "java.lang.String"), ("p.Base", "name", 1, "int"), ("p.Sub", "other", 0, "p.Sub")}
-    assert [tuple(r) for r in fields.collect()] == [("p.Base", "MAX", "int")]
+    assert [tuple(r) for r in fields.collect()] == [("p.Base", "MAX", "int", ["static", "final"])]
     assert tuple(api_index.index_stats(classes, methods, fields).first()) == (2, 4, 1, 1)
     asked = spark.createDataFrame([("p.Sub", "name"), ("p.Sub", "other"), ("p.Sub", "none")], "class_name string, method string")
     assert {tuple(r) for r in api_index.return_types(asked, classes, methods).collect()} == {("p.Sub", "name", "java.lang.String"), ("p.Sub", "other", "p.Sub")}
