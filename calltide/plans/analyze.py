@@ -18,6 +18,7 @@ from calltide.operators.lookup import cascade
 from calltide.operators.rules import RULES, Rule, decide
 from calltide.session import Scratch
 from calltide.sources import java
+from calltide.sources.store import Store
 
 # Names that need no import, by package.
 BUILT_IN = {
@@ -216,22 +217,19 @@ def _ranked(out: DataFrame, detected_at: int) -> DataFrame:
     return merge.first_wins(out.select(*ALERT_COLUMNS), ALERT_KEY, ["seq"])
 
 
-def _exists(spark: SparkSession, table: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def _store(spark: SparkSession, table: str) -> Store:
+    return Store(spark, table, ALERT_SCHEMA, ALERT_KEY, ["detected_at", "seq"])
 
 
 def stored(spark: SparkSession, table: str) -> DataFrame:
     """The alerts table; an empty one if none has been written."""
-    return spark.read.schema(ALERT_SCHEMA).parquet(table) if _exists(spark, table) else spark.createDataFrame([], ALERT_SCHEMA)
+    return _store(spark, table).rows()
 
 
 def append_alerts(spark: SparkSession, new: DataFrame, table: str, clear: bool = False) -> DataFrame:
-    """Append the alerts that the Parquet table does not hold yet; the first writer of a key wins, also across runs. With
-    ``clear``, the new alerts take the place of all others."""
-    held = spark.createDataFrame([], ALERT_SCHEMA) if clear else stored(spark, table)
-    fresh = merge.keep_first_upsert(held, new.select(*ALERT_COLUMNS), ALERT_KEY, ["detected_at", "seq"])
-    fresh.write.mode("overwrite" if clear else "append").parquet(table)
+    """Append the alerts that the table does not hold yet; the first writer of a key wins, also across runs and among runs at one
+    time. With ``clear``, the new alerts take the place of all others."""
+    _store(spark, table).append(new.select(*ALERT_COLUMNS), clear)
     return stored(spark, table)
 
 
