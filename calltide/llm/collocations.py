@@ -8,7 +8,7 @@ Texts are cut into pieces at marks and line ends, and pieces into words. All cou
    a proven size (``2**WIDTH`` words of 64 bits, 16 MB); the runs' counts, summed up in each task first, are summed by a shuffle
    and those below ``least`` go. Words stand for their hashes here: one that shares its hash with another only makes counts too
    high. From the third word on, only stretches of the texts in which frequent pairs follow each other are read again, twice: runs
-   whose bucket of hashes has fewer than ``least`` of them in all texts go before they are counted one by one.
+   of which one of two buckets of hashes has fewer than ``least`` in all texts go before they are counted one by one.
 3. The candidates get their exact counts: each shard of at most some ``SHARD`` of them becomes a double-array trie that is
    broadcast (its size is bounded by the shard's), numpy moves the states of all positions of a slice of text along at once, level
    by level, and bincounts the accepting ones; tasks' counts are summed up as vectors. Every shard is one pass over the texts.
@@ -39,14 +39,15 @@ from calltide.session import Scratch
 
 #: Candidates in one broadcast trie, in the mean, at most.
 SHARD = 250_000
-#: From three words on, runs are counted by 2**BUCKETS buckets of their hashes first; on larger tables more of them are full.
+#: From three words on, runs are counted by two sets of 2**BUCKETS buckets of their hashes first, each from bits of its own; a run that
+#: is frequent fills both of its buckets, and others seldom meet two full ones. On larger tables more of them are full.
 BUCKETS = 20
 #: Phrases whose counts a task hands on together.
 BLOCK = 256
 #: A bit map of what may be frequent has 2**WIDTH 64-bit words at most.
 WIDTH = 21
 LONGEST = 5
-#: Bytes of text in a slice, and word hashes of stretches that are counted together.
+#: Bytes of text in a slice, and different runs that a task holds while it adds up their counts.
 SLICE, TOGETHER = 4_000_000, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -206,24 +207,26 @@ def _stretches(may: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _at(h: np.ndarray, may: BitMap, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of k words begin in stretches of which the first and the last k - 1 may be frequent, and each one's bucket."""
+    """Where runs of k words begin in stretches of which the first and the last k - 1 may be frequent, and each one's two buckets."""
     run, whole = h, h != 0
     for j in range(1, k - 1):
         run, whole = _longer(run[:-1], h[j:]), whole[:-1] & (h[j:] != 0)
     alive = may(run) & whole
     at = np.flatnonzero(alive[:-1] & alive[1:])
-    return at, (_longer(run[at], h[at + k - 1]) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+    x = _longer(run[at], h[at + k - 1])
+    first, second = x >> np.uint64(64 - BUCKETS), x & np.uint64((1 << BUCKETS) - 1)
+    return at, np.stack([first, second + np.uint64(1 << BUCKETS)]).astype(np.int64)
 
 
 def _bucket_rows(may: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(block, counts): how many runs of k words of one task fall into each bucket of their hashes."""
+    """(block, counts): how many runs of k words of one task fall into each bucket of their hashes, the first set before the second."""
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS, dtype=np.int64)
+        total = np.zeros(2 << BUCKETS, dtype=np.int64)
         for batch in source:
             for h in _lists(batch):
                 if len(h) >= k:
-                    total += np.bincount(_at(h, may.value, k)[1], minlength=len(total))
+                    total += np.bincount(_at(h, may.value, k)[1].reshape(-1), minlength=len(total))
         each = len(total) // 256
         blocks = [(i, total[i * each : (i + 1) * each]) for i in range(256)]
         blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
@@ -233,8 +236,8 @@ def _bucket_rows(may: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _full_buckets(stretches: DataFrame, may: Broadcast, k: int, least: int) -> Broadcast:
-    """Which buckets hold ``least`` runs of k words or more: only runs in these can be frequent. Tasks hand their buckets on as
-    vectors; 2**BUCKETS bits are collected."""
+    """Which buckets hold ``least`` runs of k words or more: only runs with both buckets among these can be frequent. Tasks hand their
+    buckets on as vectors; 2 * 2**BUCKETS bits are collected."""
 
     def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, total in _summed(source):
@@ -242,7 +245,7 @@ def _full_buckets(stretches: DataFrame, may: Broadcast, k: int, least: int) -> B
 
     dealt = stretches.mapInArrow(_bucket_rows(may, k), "block int, counts binary").repartition("block").sortWithinPartitions("block")
     found = dealt.mapInArrow(summed, "block int, bits binary").toArrow()
-    full = np.zeros((256, (1 << BUCKETS) // 256), dtype=bool)
+    full = np.zeros((256, (2 << BUCKETS) // 256), dtype=bool)
     for i, bits in zip(found["block"].to_pylist(), found["bits"].to_pylist(), strict=True):
         full[i] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
     return stretches.sparkSession.sparkContext.broadcast(full.reshape(-1))
@@ -269,30 +272,40 @@ def _summed(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]
         yield block, total
 
 
+def _added_up(runs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of runs (a column each) and the sums of their counts."""
+    order = np.lexsort(runs)
+    runs, n = runs[:, order], n[order]
+    first = np.ones(len(n), dtype=bool)
+    first[1:] = (runs[:, 1:] != runs[:, :-1]).any(axis=0)
+    return runs[:, first], np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
+
+
 def _run_rows(may: Broadcast, full: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of k words in full buckets of which the first and the last k - 1 may be frequent, with how often each is there."""
-
-    def counted(h: np.ndarray) -> pa.RecordBatch:
-        at, bucket = _at(h, may.value, k)
-        at = at[full.value[bucket]]
-        word, local = np.unique(h, return_inverse=True)
-        local = local.astype(np.int64)
-        shorter = local[at]
-        for j in range(1, k - 1):  # numbers of the runs' first k - 1 words
-            shorter = np.unique(shorter * len(word) + local[at + j], return_inverse=True)[1].astype(np.int64)
-        _, first, n = np.unique(shorter * len(word) + local[at + k - 1], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_pydict({**{f"t{j + 1}": tokens.signed(h[at[first] + j]) for j in range(k)}, "n": n.astype(np.int64)})
+    """Runs of k words in full buckets of which the first and the last k - 1 may be frequent, with how often each is there. A task's
+    runs are added up over all its stretches; only if more than ``TOGETHER`` different ones are held are they handed on before."""
+
+    def handed_on(runs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({**{f"t{j + 1}": tokens.signed(runs[j]) for j in range(k)}, "n": n})
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # a task's stretches are counted together, as far as memory is bounded
+        none = (np.zeros((k, 0), dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        held, fresh, size = none, [], 0
         for batch in source:
             for h in _lists(batch):
-                held.append(h)
-                if sum(map(len, held)) >= TOGETHER:
-                    yield counted(np.concatenate(held))
-                    held = []
-        if sum(map(len, held)) >= k:
-            yield counted(np.concatenate(held))
+                if len(h) < k:
+                    continue
+                at, bucket = _at(h, may.value, k)
+                at = at[full.value[bucket].all(axis=0)]
+                fresh.append(_added_up(np.stack([h[at + j] for j in range(k)]), np.ones(len(at), dtype=np.int64)))
+                size += len(fresh[-1][1])
+                if size < TOGETHER:
+                    continue
+                held, fresh, size = _added_up(*(np.concatenate(x, axis=-1) for x in zip(held, *fresh, strict=True))), [], 0
+                if len(held[1]) > TOGETHER:
+                    yield handed_on(*held)
+                    held = none
+        yield handed_on(*_added_up(*(np.concatenate(x, axis=-1) for x in zip(held, *fresh, strict=True))))
 
     return rows
 

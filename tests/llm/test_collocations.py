@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,28 @@ def test_double_array(tmp_path):
             assert (s >= 0) == (p in prefixes) and (s < 0 or trie.leaf[s] == number.get(p, -1))
         at, state = at[state >= 0], state[state >= 0]
     assert len(trie.check) < 4 * len(prefixes) + 700
+
+
+@pytest.mark.parametrize("together", [1, 40, 1_000_000])
+def test_runs_are_added_up_over_stretches(together, monkeypatch):
+    monkeypatch.setattr(c, "TOGETHER", together)
+    r = np.random.default_rng(5)
+    stretches = [np.where(r.random(400) < 0.1, 0, r.integers(1, 7, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(6)] + [np.zeros(2, dtype=np.uint64)]
+    want = Counter(tuple(h[i : i + 3].tolist()) for h in stretches for i in range(len(h) - 2) if h[i : i + 3].all())
+    every = SimpleNamespace(value=lambda h: np.ones(len(h), dtype=bool))
+    full = SimpleNamespace(value=np.ones(2 << c.BUCKETS, dtype=bool))
+    batches = (pa.RecordBatch.from_pydict({"hashes": pa.array([c.tokens.signed(h)], pa.list_(pa.int64()))}) for h in stretches)
+    got, rows = Counter(), 0
+    for b in c._run_rows(every, full, 3)(batches):
+        rows += b.num_rows
+        for t1, t2, t3, n in zip(*(b.column(x).to_numpy().view(np.uint64).tolist() for x in ("t1", "t2", "t3", "n")), strict=True):
+            got[t1, t2, t3] += n
+    assert got == want and (together < 1_000_000 or rows == len(want))
+
+
+def test_a_frequent_run_fills_both_of_its_buckets():
+    h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at, bucket = c._at(h, lambda x: np.ones(len(x), dtype=bool), 4)
+    assert len(at) == len(h) - 3 and bucket.shape == (2, len(at))
+    assert bucket[0].max() < 1 << c.BUCKETS <= bucket[1].min() and bucket[1].max() < 2 << c.BUCKETS
+    assert len(np.unique(bucket[0])) > 1900 and abs(np.corrcoef(bucket)[0, 1]) < 0.1
