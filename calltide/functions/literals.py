@@ -17,33 +17,38 @@ def unquoted(text: Column) -> Column:
     return F.regexp_replace(text, r"""^["'](.*)["']$""", "$1")
 
 
-def _outside_quotes(text: Column, mark: str, brackets: bool) -> Column:
-    """Parts between marks that are outside quotes (and brackets), trimmed, empty ones dropped."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"))
-
-    def step(acc: Column, c: Column) -> Column:
-        quiet = acc["quote"] == ""
-        cut = quiet & (c == mark) & (acc["depth"] == 0)
-        move = F.when(quiet & c.isin("(", "<", "[", "{"), 1).when(quiet & c.isin(")", ">", "]", "}"), -1).otherwise(0) if brackets else F.lit(0)
+#: A quoted text, or one that is not closed and runs to the end.
+_QUOTED = r"""\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)"""
+
+
+def _kept(parts: Column) -> Column:
+    """Parts trimmed, empty ones dropped."""
+    return F.filter(F.transform(parts, trimmed), lambda p: p != "")
+
+
+def arguments(text: Column) -> Column:
+    """Arguments of a call: commas inside quotes or brackets do not part them. Brackets are followed from token to token (a quoted
+    text, a bracket, a comma, what stands between), and only in texts that have any."""
+    plain = F.regexp_extract_all(text, F.lit(rf"(?:[^,\"']++|{_QUOTED})++"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"{_QUOTED}|[,()<>\[\]{{}}]|[^,()<>\[\]{{}}\"']++"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"))
+
+    def step(acc: Column, t: Column) -> Column:
+        cut = (t == ",") & (acc["depth"] == 0)
+        move = F.when(t.isin("(", "<", "[", "{"), 1).when(t.isin(")", ">", "]", "}"), -1).otherwise(0)
         return F.struct(
             (acc["depth"] + move).alias("depth"),
-            F.when(quiet & c.isin('"', "'"), c).when(~quiet & (acc["quote"] == c), F.lit("")).otherwise(acc["quote"]).alias("quote"),
             F.when(cut, F.concat(acc["parts"], F.array(acc["open"]))).otherwise(acc["parts"]).alias("parts"),
-            F.when(cut, F.lit("")).otherwise(F.concat(acc["open"], c)).alias("open"),
+            F.when(cut, F.lit("")).otherwise(F.concat(acc["open"], t)).alias("open"),
         )
 
-    whole = F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["parts"], F.array(acc["open"])))
-    return F.filter(F.transform(whole, trimmed), lambda p: p != "")
-
-
-def arguments(text: Column) -> Column:
-    """Arguments of a call: commas inside quotes or brackets do not part them."""
-    return _outside_quotes(text, ",", brackets=True)
+    whole = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["parts"], F.array(acc["open"])))
+    return _kept(F.when(text.rlike(r"[()<>\[\]{}]"), whole).otherwise(plain))
 
 
 def operands(text: Column) -> Column:
     """Operands of a text concatenation: ``+`` inside quotes does not part them."""
-    return _outside_quotes(text, "+", brackets=False)
+    return _kept(F.regexp_extract_all(text, F.lit(rf"(?:[^+\"']++|{_QUOTED})++"), F.lit(0)))
 
 
 def merged_literals(parts: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calltide.functions import literals
 from calltide.functions import signatures as sg
 from calltide.operators import codegraph
-from calltide.session import read_table
+from calltide.session import dealt, read_table
 
 
 def url_package(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ def parameter_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concat_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An expression with a quoted plus sign, its operands and merged literals."""
     text = F.concat(F.lit('"a+'), F.col("p_type"), F.lit('" + "'), F.col("p_brand"), F.lit('" + '), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(' + "z"'))
-    merged = literals.merged_literals(literals.operands(text))
-    return read_table(spark, sf_dir, "part").select("p_partkey", F.size(merged).alias("n"), F.array_join(F.transform(merged, lambda m: m["text"]), "|").alias("parts"), F.size(F.filter(merged, lambda m: m["literal"])).alias("literals"))
+    rows = dealt(read_table(spark, sf_dir, "part")).select("p_partkey", literals.merged_literals(literals.operands(text)).alias("merged"))
+    merged = F.col("merged")
+    return rows.select("p_partkey", F.size(merged).alias("n"), F.array_join(F.transform(merged, lambda m: m["text"]), "|").alias("parts"), F.size(F.filter(merged, lambda m: m["literal"])).alias("literals"))
 
 
 def descriptor_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """What grows with the tables: plans whose sides are larger than Spark can know when it plans."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from calltide.functions import literals
 from calltide.sources import java
 
 
@@ -18,3 +21,32 @@ def test_source_line_broadcasts_no_texts(spark):
     texts = {(r.path, r.line): r.source_line for r in found.collect()}
     assert len(texts) == 40 and texts["f6", 1] == "first 6" and texts["f7", 2] == "second"
     assert {texts["f5", 0], texts["f8", 3], texts["f9", 4]} == {""}
+
+
+def _split(text: str, mark: str, brackets: bool) -> list[str]:
+    """Parts between marks outside quotes (and brackets), letter by letter."""
+    depth, quote, parts, part = 0, "", [], ""
+    for c in text:
+        if not quote and c == mark and not depth:
+            parts, part = [*parts, part], ""
+            continue
+        part += c
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif brackets:
+            depth += (c in "(<[{") - (c in ")>]}")
+    return [p for p in (x.strip() for x in [*parts, part]) if p]
+
+
+def test_arguments_and_operands_as_letter_by_letter(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab ,+\"'()<>[]{}") for _ in range(draw.randint(0, 30))) for _ in range(3000)] + ['"a+b" + ' * 20000, "f(x), " * 2000]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for r in rows.select("t", literals.arguments(F.col("t")).alias("a"), literals.operands(F.col("t")).alias("o")).collect():
+        assert r.a == (None if r.t is None else _split(r.t, ",", True)) and r.o == (None if r.t is None else _split(r.t, "+", False))
+
+
+def test_operands_walk_no_letters(spark):
+    assert "aggregate" not in _plan(spark.range(1).select(literals.operands(F.col("id").cast("string"))))
