@@ -50,19 +50,19 @@ def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.array_join(F.transform("params", lambda p: F.concat(p["type"], F.lit(" "), p["name"])), ",")
-    found = java.methods(java.facts(shape_files(spark, sf_dir)))
+    found = java.methods(java.facts(shape_files(spark, sf_dir), ["method"]))
     return found.select("path", "class_name", "method_name", "line", "end", "returns", types.alias("params"), "is_handler")
 
 
 def shape_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = java.calls(java.facts(shape_files(spark, sf_dir)))
+    found = java.calls(java.facts(shape_files(spark, sf_dir), ["call"]))
     scope = F.coalesce("method_name", F.lit("")).alias("scope")
     return found.select("path", "line", "class_name", scope, "receiver", "method", "args", "is_handler")
 
 
 def shape_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyze.scan(shape_files(spark, sf_dir))
-    return found.variables.select("path", "class_name", "scope", "name", "type", "value")
+    found = java.variables(java.facts(shape_files(spark, sf_dir), ["variable", "assignment", "method"]))
+    return found.select("path", "class_name", "scope", "name", "type", "value")
 
 
 _RULES = [

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
+from calltide.plans import source_queries
 from calltide.sources import java
 
 
@@ -50,3 +51,24 @@ def test_arguments_and_operands_as_letter_by_letter(spark):
 
 def test_operands_walk_no_letters(spark):
     assert "aggregate" not in _plan(spark.range(1).select(literals.operands(F.col("id").cast("string"))))
+
+
+def _scans(df) -> int:
+    """How often a plan reads Java files."""
+    return sum(line.lstrip(" :+-*()0123456789").startswith("MapInArrow") for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_variables_and_imports_scan_once(spark):
+    text = "package p;\nimport a.B;\nclass C { int n; void f(int n, String s) { n = 1; x = new T(1); x = new U(2); final B b = new D(); b = new E(); } }"
+    files = spark.createDataFrame([("f", text)], "path string, text string")
+    found = java.variables(java.facts(files, ["variable", "assignment", "method"]))
+    assert _scans(found) == 1
+    rows = {(r.scope, r.name): (r.type, r.value) for r in found.collect()}
+    assert rows == {("<fields>", "n"): ("int", ""), ("f", "n"): ("int", ""), ("f", "s"): ("String", ""), ("f", "x"): ("T", "new T(1)"), ("f", "b"): ("D", "new D()")}
+    assert {r.kind for r in java.facts(files, ["import"]).collect()} == {"import"}
+
+
+def test_imports_query_scans_once(spark, tmp_path):
+    spark.range(3).selectExpr("id AS p_partkey", "'red ring' AS p_name", "'b' AS p_brand", "'SMALL' AS p_type", "5 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = source_queries.java_imports(spark, str(tmp_path))
+    assert _scans(found) == 0 and found.count() == 6  # the facts were read once, and written
