@@ -30,8 +30,8 @@ _PLACE = ["path", "class_name", "scope"]
 
 
 def _named(text: Column) -> Column:
-    """One name for a term."""
-    return F.concat_ws("\u0001", *_PLACE, text)
+    """One name for a term: 128 bits, as a round of the search moves nothing but names."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", *_PLACE, text)))
 
 
 def _terms(
@@ -44,17 +44,20 @@ def _terms(
     own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
     full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
     any_ = constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
+    # Made once; texts that are put together look small to Spark before they are made, so no side is left to be broadcast.
+    given, known, fields, own, any_ = (scratch.keep(side).hint("merge") for side in (given, known, fields, own, any_))
+    handlers = scratch.keep(handlers).hint("merge")
     passed = None
     seeds = roots.select(*_PLACE, "text").unionByName(given.select(*_PLACE, F.explode(literals.operands(F.col("made"))).alias("text")))
     if callers is not None:
         passed = scratch.keep(
             callers.select(
-                F.concat_ws("\u0001", *_PLACE, "name").alias("term"), F.col("from_path").alias("path"), F.col("from_class").alias("class_name"),
+                _named(F.col("name")).alias("term"), F.col("from_path").alias("path"), F.col("from_class").alias("class_name"),
                 F.col("from_scope").alias("scope"), F.explode(literals.operands(F.col("argument"))).alias("text"),
             ).distinct()
         )
         seeds = seeds.unionByName(passed.select(*_PLACE, "text"))
-        called = passed.select("term").distinct().withColumn("is_called", F.lit(True))
+        called = passed.select("term").distinct().withColumn("is_called", F.lit(True)).hint("merge")
     frontier, tables, seen = seeds.distinct(), [], None
     while True:
         rows = frontier.join(known, [*_PLACE, "text"], "left").join(own, ["class_name", "text"], "left").join(any_, "text", "left")
@@ -87,7 +90,7 @@ def _terms(
         tables.append(scratch.keep(rows))
         seen = tables[-1].select("term") if seen is None else seen.unionByName(tables[-1].select("term"))
         opened = tables[-1].where("kind = 'open' and more is not null").select(*_PLACE, F.explode("more").alias("text")).distinct()
-        frontier = scratch.keep(opened.withColumn("term", _named(F.col("text"))).join(seen, "term", "left_anti").drop("term"))
+        frontier = scratch.keep(opened.withColumn("term", _named(F.col("text"))).join(seen.hint("merge"), "term", "left_anti").drop("term"))
         if frontier.isEmpty():
             break
     every = reduce(DataFrame.unionByName, tables)
@@ -118,16 +121,16 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
     frontier = scratch.keep(opened.select("root").distinct().withColumn("term", F.col("root")))
     met = frontier
     while True:
-        moved = frontier.join(edges, "term").select("root", F.col("next").alias("term")).distinct()
-        frontier = scratch.keep(moved.join(met, ["root", "term"], "left_anti"))
+        moved = frontier.join(edges.hint("merge"), "term").select("root", F.col("next").alias("term")).distinct()
+        frontier = scratch.keep(moved.join(met.hint("merge"), ["root", "term"], "left_anti"))
         if frontier.isEmpty():
             break
         met = met.unionByName(frontier)
-    told = scratch.keep(met.join(terms, "term").select("root", "text", "kind", "several", "value"))
+    told = scratch.keep(met.join(terms.hint("merge"), "term").select("root", "text", "kind", "several", "value"))
     beside = told.groupBy("root").agg(F.bool_or("several").alias("several"))
     found = told.where("kind <> 'open'").groupBy("root", "text", "kind").agg(F.min("value").alias("value"))
-    found = beside.join(found, "root", "left")
-    out = opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(found, "root")
+    found = beside.join(found.hint("merge"), "root", "left")
+    out = opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(found.hint("merge"), "root")
     kind, text = F.coalesce("kind", F.lit("variable")).alias("kind"), F.coalesce("text", "own").alias("text")
     out = out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several"), "value")
     return out.groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"), F.min("value").alias("value"))
