@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.signatures import trimmed
 from calltide.operators.merge import first_wins, top_per_group
-from calltide.session import ensure_checkpoint_dir
+from calltide.session import Scratch
 
 # Scopes that do not belong to a project's own classes.
 LEFT_OUT = ["test", "provided", "system"]
@@ -34,13 +34,14 @@ def dependencies(poms: DataFrame) -> DataFrame:
 
 def with_parents(deps: DataFrame, parents: DataFrame, depth: int = 5) -> DataFrame:
     """Dependencies of each pom and of its parents (path, parent) up to ``depth``, the nearest of each artifact."""
-    ensure_checkpoint_dir(deps.sparkSession)
+    scratch = Scratch(deps.sparkSession)
+    deps, parents = scratch.keep(deps), scratch.keep(parents.select("path", "parent"))  # poms are read once
     own = deps.select("path").union(parents.select("path")).distinct()
     frontier = own.select("path", F.col("path").alias("at"), F.lit(0).alias("depth"))
-    every = frontier
+    every = frontier = scratch.keep(frontier)
     for k in range(1, depth + 1):
         up = frontier.join(parents.select(F.col("path").alias("at"), "parent"), "at").select("path", F.col("parent").alias("at"), F.lit(k).alias("depth"))
-        frontier = up.join(every.select("path", "at"), ["path", "at"], "left_anti").distinct().checkpoint()
+        frontier = scratch.keep(up.join(every.select("path", "at"), ["path", "at"], "left_anti").distinct())
         if frontier.isEmpty():
             break
         every = every.unionByName(frontier)
