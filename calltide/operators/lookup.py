@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltide.session import ensure_checkpoint_dir
+from calltide.session import Scratch
 
 Level = tuple[DataFrame, dict[str, str], str, str]  # table, {row column: table column}, value column, provenance
 
@@ -31,14 +31,16 @@ def linearised(supers: DataFrame) -> DataFrame:
     ``supers`` has (name, super, ord); cycles end at the class itself. Each round joins the new frontier only, and there are as
     many rounds as the deepest hierarchy has levels.
     """
-    ensure_checkpoint_dir(supers.sparkSession)
+    scratch = Scratch(supers.sparkSession)
+    supers = scratch.keep(supers.select("name", "super", "ord"))  # made once for all rounds
     names = supers.select("name").union(supers.select("super")).distinct()
-    frontier = names.select("name", F.col("name").alias("ancestor"), F.array().cast("array<int>").alias("way"))
+    frontier = scratch.keep(names.select("name", F.col("name").alias("ancestor"), F.array().cast("array<int>").alias("way")))
     known = frontier
     while True:  # ends when no class has a new ancestor: a class has as many as there are classes at most
         step = supers.select(F.col("name").alias("ancestor"), "super", "ord")
         frontier = frontier.join(step, "ancestor").select("name", F.col("super").alias("ancestor"), F.concat("way", F.array(F.col("ord").cast("int"))).alias("way"))
-        frontier = frontier.join(known.select("name", "ancestor"), ["name", "ancestor"], "left_anti").groupBy("name", "ancestor").agg(F.min("way").alias("way")).checkpoint()
+        frontier = frontier.join(known.select("name", "ancestor"), ["name", "ancestor"], "left_anti").groupBy("name", "ancestor").agg(F.min("way").alias("way"))
+        frontier = scratch.keep(frontier)
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
