@@ -78,7 +78,10 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     own = F.col("receiver").isin("", "this", "super")
     bare = F.regexp_replace("receiver", r"^(this|super)\.", "")
     sites = s.calls.withColumn("scope", F.coalesce("method_name", F.lit("<fields>"))).withColumn("bare", bare).withColumn("fields", F.lit("<fields>"))
-    variables = s.variables.select("path", "class_name", "scope", "name", "type")
+    # Made once, and written: a look-up table that an aggregate has just made would keep Spark from parting a name that many sites have.
+    scratch = Scratch(spark)
+    variables = scratch.keep(s.variables.select("path", "class_name", "scope", "name", "type"))
+    packages, imports = scratch.keep(s.packages), scratch.keep(s.imports)
     levels = [
         (variables, {"path": "path", "class_name": "class_name", "scope": "scope", "bare": "name"}, "type", "variable"),
         (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "bare": "name"}, "type", "field"),
@@ -92,15 +95,17 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
     inner = [(variables, {"path": "path", "class_name": "class_name", "scope": "scope", "inner": "name"}, "type", "v"), (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "inner": "name"}, "type", "f")]
     typed = cascade(typed, inner, F.col("inner"), "inner_type", "_ignored").drop("_ignored")
 
-    declared = s.classes.join(s.packages, "path", "left").select("path", F.coalesce("package", F.lit("")).alias("package"), F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"))
-    near = merge.first_wins(declared, ["package", "short_name"], ["path"]).select("package", "short_name", "fqn")
-    far = declared.groupBy("short_name").agg(F.min("fqn").alias("fqn"), F.max("fqn").alias("last")).where("fqn = last").select("short_name", "fqn")
+    declared = s.classes.join(packages, "path", "left").select("path", F.coalesce("package", F.lit("")).alias("package"), F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"))
+    declared = scratch.keep(declared)
+    near = scratch.keep(merge.first_wins(declared, ["package", "short_name"], ["path"]).select("package", "short_name", "fqn"))
+    far = scratch.keep(declared.groupBy("short_name").agg(F.min("fqn").alias("fqn"), F.max("fqn").alias("last")).where("fqn = last").select("short_name", "fqn"))
+    held = scratch.keep(declared.select("path", "short_name", "fqn").dropDuplicates(["path", "short_name"]))
 
     def qualified(rows: DataFrame, name: str, into: str, told: str) -> DataFrame:
         """By an import, a class of the file, one of its package, a name that needs no import, or the one class of that name."""
         levels = [
-            (s.imports, {"path": "path", name: "short_name"}, "fqn", "import"),
-            (declared.select("path", "short_name", "fqn").dropDuplicates(["path", "short_name"]), {"path": "path", name: "short_name"}, "fqn", "file"),
+            (imports, {"path": "path", name: "short_name"}, "fqn", "import"),
+            (held, {"path": "path", name: "short_name"}, "fqn", "file"),
             (near, {"package": "package", name: "short_name"}, "fqn", "package"),
             (_built_in(spark), {name: "short_name"}, "fqn", "built-in"),
             (far, {name: "short_name"}, "fqn", "project"),
@@ -109,7 +114,7 @@ def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
         dotted = F.col(name).rlike(r"^[a-z_]\w*(\.\w+)+$")
         return rows.withColumn(into, F.when(dotted, F.col(name)).otherwise(F.col(into))).withColumn(told, F.when(dotted, "qualified").otherwise(F.col(told)))
 
-    typed = typed.join(s.packages, "path", "left").withColumn("package", F.coalesce("package", F.lit("")))
+    typed = typed.join(packages, "path", "left").withColumn("package", F.coalesce("package", F.lit("")))
     typed = qualified(typed, "inner_type", "inner_fqn", "_ignored").drop("_ignored")
     if returns is not None:
         side = returns.select(F.col("class_name").alias("inner_fqn"), F.col("method").alias("inner_method"), "return_type").dropDuplicates(["inner_fqn", "inner_method"])
