@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
-from calltide.plans import source_queries
-from calltide.sources import java
+from calltide.operators import lookup, provenance
+from calltide.plans import analyze, source_queries
+from calltide.sources import java, maven
 
 
 def _plan(df) -> str:
@@ -72,3 +73,32 @@ def test_imports_query_scans_once(spark, tmp_path):
     spark.range(3).selectExpr("id AS p_partkey", "'red ring' AS p_name", "'b' AS p_brand", "'SMALL' AS p_type", "5 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
     found = source_queries.java_imports(spark, str(tmp_path))
     assert _scans(found) == 0 and found.count() == 6  # the facts were read once, and written
+
+
+def test_arguments_of_many_sites_are_not_broadcast(spark):
+    sites = spark.createDataFrame([("s", "f", "C", "m", False, "a")], "site_id string, path string, class_name string, scope string, is_handler boolean, arguments string")
+    params = spark.createDataFrame([("f", "C", "m", "id")], "path string, class_name string, scope string, name string")
+    made = spark.createDataFrame([("f", "C", "m", "a", "b + b"), ("f", "C", "m", "b", 'id + "x"')], "path string, class_name string, scope string, name string, value string")
+    constants = spark.createDataFrame([("D", "NAME", "v")], "class_name string, field_name string, value string")
+    found = provenance.argument_parts(sites, params, made, constants)
+    assert "Broadcast" not in _plan(found)
+    assert {(r.kind, r.text, r.several) for r in found.collect()} == {("tainted", "id", True), ("hardcoded", '"x"', True)}
+
+
+def test_look_up_tables_of_resolve_are_written(spark):
+    files = spark.createDataFrame([(f"f{k}", f"package p; class C{k} {{ void m() {{ F f = F.make(); f.go(); }} }}") for k in range(3)], "path string, text string")
+    found = analyze.resolve(analyze.scan(files))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.signature for r in found.collect()) == ["F.go()"] * 3 + ["F.make()"] * 3
+
+
+def test_hierarchies_and_poms_are_made_once(spark):
+    supers = spark.range(1, 4).select(F.concat(F.lit("C"), "id").alias("name"), F.explode(F.array(F.concat(F.lit("C"), F.col("id") - 1))).alias("super"), F.lit(0).alias("ord"))
+    order = lookup.linearised(supers)
+    assert "Existing" not in _plan(order) and "Generate" not in _plan(order)
+    assert order.where("name = 'C3'").count() == 4
+    xml = "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency>"
+    poms = spark.createDataFrame([("a", xml), ("b", "")], "path string, xml string")
+    found = maven.with_parents(maven.dependencies(poms), spark.createDataFrame([("b", "a")], "path string, parent string"))
+    assert "regexp" not in _plan(found)
+    assert {(r.path, r.depth) for r in found.collect()} == {("a", 0), ("b", 1)}
