@@ -1,13 +1,14 @@
 """What grows with the tables: plans whose sides are larger than Spark can know when it plans."""
 
+import cProfile
 import random
 
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
 from calltide.operators import lookup, provenance
-from calltide.plans import analyze, source_queries
-from calltide.sources import java, maven
+from calltide.plans import analyze, shape_queries, source_queries
+from calltide.sources import java, javascan, maven
 
 
 def _plan(df) -> str:
@@ -102,3 +103,11 @@ def test_hierarchies_and_poms_are_made_once(spark):
     found = maven.with_parents(maven.dependencies(poms), spark.createDataFrame([("b", "a")], "path string, parent string"))
     assert "regexp" not in _plan(found)
     assert {(r.path, r.depth) for r in found.collect()} == {("a", 0), ("b", 1)}
+
+
+
+def test_scan_makes_few_calls_for_a_token(spark):
+    text = shape_queries._SHAPES * 5
+    profile = cProfile.Profile()
+    profile.runcall(javascan.scan_text, text)
+    assert sum(e.callcount for e in profile.getstats()) < 11 * len(javascan._Scan(text).word)
