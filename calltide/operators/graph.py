@@ -68,7 +68,9 @@ def between(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
     """(root, node, depth, path) of the pairs (root, node) that a path of ``depth`` steps or fewer connects, searched from both ends:
     half of the steps forward from the roots, half backward from the other ends, which meet by a join. What grows with the number
     of steps as a power is thus two searches of half the depth. The path is the least of the shortest ones."""
-    asked = pairs.select("root", F.col("node").alias("end")).distinct()
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.select("source", "target").distinct())  # made once for both searches
+    asked = scratch.keep(pairs.select("root", F.col("node").alias("end")).distinct())
     there = reach(edges, asked.select("root"), depth - depth // 2, paths=True).withColumnRenamed("depth", "gone")
     back = reach(edges, asked.select(F.col("end").alias("root")), depth // 2, backward=True, paths=True, ahead=True)
     back = back.select(F.col("root").alias("end"), "node", F.col("depth").alias("left"), F.col("path").alias("rest"))
@@ -87,9 +89,10 @@ def shortest_to(edges: DataFrame, roots: DataFrame, ends: DataFrame, depth: int
     """(root, node, depth, path) from roots (root) to ends (node). Depths are found backwards from the ends, without paths, and
     only edges on a shortest way are then walked forwards."""
     scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.select("source", "target").distinct())  # made once for both directions and all steps
     back = reach(edges, ends.select(F.col("node").alias("root")), depth, backward=True)
     back = scratch.keep(back.select(F.col("root").alias("end"), "node", F.col("depth").alias("left")))
-    step = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    step = edges.select(F.col("source").alias("node"), F.col("target").alias("next"))
     at = back.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
     at = scratch.keep(at.select(F.col("node").alias("root"), "end", "node", "left", F.col("left").alias("depth"), F.array("node").alias("path")))
     done = at.where("left = 0")

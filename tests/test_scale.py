@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
-from calltide.operators import lookup, provenance
+from calltide.operators import graph, lookup, provenance
 from calltide.plans import analyze, shape_queries, source_queries
 from calltide.sources import java, javascan, maven
 
@@ -105,6 +105,22 @@ def test_hierarchies_and_poms_are_made_once(spark):
     assert {(r.path, r.depth) for r in found.collect()} == {("a", 0), ("b", 1)}
 
 
+def test_path_searches_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    for search, sides in ((graph.shortest_to, [("root", 1), ("node", 9)]), (graph.between, None)):
+        edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "source long, target long").mapInArrow(counted, "source long, target long")
+        before = made.value
+        given = [spark.createDataFrame([(v,)], f"{c} long") for c, v in sides] if sides else [spark.createDataFrame([(1, 9)], "root long, node long")]
+        assert [(r.root, r.node, r.depth, r.path) for r in search(edges, *given, 8).collect()] == [(1, 9, 8, list(range(1, 10)))]
+        assert made.value - before == 12
+
+
 
 def test_scan_makes_few_calls_for_a_token(spark):
     text = shape_queries._SHAPES * 5
