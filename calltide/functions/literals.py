@@ -21,15 +21,25 @@ def unquoted(text: Column) -> Column:
 _QUOTED = r"""\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)"""
 
 
+#: Texts whose brackets close, three deep at most: kinds of brackets are not told apart.
+_FLAT = r"[^()<>\[\]{}\"']++"
+_DEEP = ""
+for _ in range(3):
+    _DEEP = rf"[(<\[{{](?:{_FLAT}|{_QUOTED}{_DEEP})*+[)>\]}}]"
+    _DEEP = "|" + _DEEP
+_CLOSED = rf"\A(?:{_FLAT}|{_QUOTED}{_DEEP})*+\z"
+
+
 def _kept(parts: Column) -> Column:
     """Parts trimmed, empty ones dropped."""
     return F.filter(F.transform(parts, trimmed), lambda p: p != "")
 
 
 def arguments(text: Column) -> Column:
-    """Arguments of a call: commas inside quotes or brackets do not part them. Brackets are followed from token to token (a quoted
-    text, a bracket, a comma, what stands between), and only in texts that have any."""
+    """Arguments of a call: commas inside quotes or brackets do not part them. One pattern cuts texts whose brackets close and are three
+    deep at most; in others they are followed from token to token (a quoted text, a bracket, a comma, what stands between)."""
     plain = F.regexp_extract_all(text, F.lit(rf"(?:[^,\"']++|{_QUOTED})++"), F.lit(0))
+    closed = F.regexp_extract_all(text, F.lit(rf"(?:[^,()<>\[\]{{}}\"']++|{_QUOTED}{_DEEP})++"), F.lit(0))
     tokens = F.regexp_extract_all(text, F.lit(rf"{_QUOTED}|[,()<>\[\]{{}}]|[^,()<>\[\]{{}}\"']++"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"))
 
@@ -43,7 +53,7 @@ def arguments(text: Column) -> Column:
         )
 
     whole = F.aggregate(tokens, start, step, lambda acc: F.concat(acc["parts"], F.array(acc["open"])))
-    return _kept(F.when(text.rlike(r"[()<>\[\]{}]"), whole).otherwise(plain))
+    return _kept(F.when(~text.rlike(r"[()<>\[\]{}]"), plain).when(text.rlike(_CLOSED), closed).otherwise(whole))
 
 
 def operands(text: Column) -> Column:

@@ -38,17 +38,13 @@ def _terms(
     roots: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None, handlers: DataFrame, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
     """(term, text, kind, several, value) of every term, value being what a literal or constant says, and the edges (term, next) of those that are made of others."""
-    given = variables.where("value is not null and value <> ''").select(*_PLACE, F.col("name").alias("text"), F.col("value").alias("made"))
-    known = params.select(*_PLACE, F.col("name").alias("text"), F.lit(True).alias("is_param")).distinct()
-    fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
-    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
-    full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
-    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
-    # Made once; texts that are put together look small to Spark before they are made, so no side is left to be broadcast.
-    given, known, fields, own, any_ = (scratch.keep(side).hint("merge") for side in (given, known, fields, own, any_))
-    handlers = scratch.keep(handlers).hint("merge")
+    given = variables.where("value is not null and value <> ''").select(*_PLACE, _named(F.col("name")).alias("term"), literals.operands(F.col("value")).alias("made"))
+    given = scratch.keep(given)
+    parts = given.select(*_PLACE, F.explode(F.array_distinct("made")).alias("text"))
+    seeds = roots.select(*_PLACE, "text", F.col("root").alias("term")).unionByName(parts.withColumn("term", _named(F.col("text"))))
+    known = params.select(*_PLACE, F.col("name")).join(handlers.hint("merge"), _PLACE, "left").distinct()
+    known = known.select(_named(F.col("name")).alias("term"), F.lit(True).alias("is_param"), "is_handler")
     passed = None
-    seeds = roots.select(*_PLACE, "text").unionByName(given.select(*_PLACE, F.explode(literals.operands(F.col("made"))).alias("text")))
     if callers is not None:
         passed = scratch.keep(
             callers.select(
@@ -56,41 +52,49 @@ def _terms(
                 F.col("from_scope").alias("scope"), F.explode(literals.operands(F.col("argument"))).alias("text"),
             ).distinct()
         )
-        seeds = seeds.unionByName(passed.select(*_PLACE, "text"))
+        seeds = seeds.unionByName(passed.select(*_PLACE, "text").withColumn("term", _named(F.col("text"))))
         called = passed.select("term").distinct().withColumn("is_called", F.lit(True)).hint("merge")
-    frontier, tables, seen = seeds.distinct(), [], None
+    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
+    full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
+    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
+    fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
+    # Made once; texts that are put together look small to Spark before they are made, so no side is left to be broadcast.
+    known, own, any_, fields = (scratch.keep(side).hint("merge") for side in (known, own, any_, fields))
+    made = given.select("term", "made").hint("merge")
+    frontier, tables, seen = scratch.keep(seeds.distinct()), [], None
     while True:
-        rows = frontier.join(known, [*_PLACE, "text"], "left").join(own, ["class_name", "text"], "left").join(any_, "text", "left")
-        rows = rows.join(given, [*_PLACE, "text"], "left").join(fields, ["path", "class_name", "text"], "left").join(handlers, _PLACE, "left")
-        rows = rows.withColumn("term", _named(F.col("text")))
+        # Many terms have one text: constants are asked for by different texts, and what is found is written, so that Spark knows its size.
+        named = scratch.keep(frontier.select("text").distinct().join(any_, "text"))
+        # Three joins by the term, which is moved once for them.
+        rows = frontier.join(known, "term", "left").join(made, "term", "left")
         rows = rows.join(called, "term", "left") if passed is not None else rows.withColumn("is_called", F.lit(None).cast("boolean"))
+        rows = rows.join(own, ["class_name", "text"], "left").join(named, "text", "left")
         call = literals.call_name(F.col("text"))
         inner = F.regexp_extract("text", r"\w+\s*\(([^()]*)\)$", 1)
         receiver = F.regexp_extract("text", r"^(.*)\.\w+\s*\([^()]*\)$", 1)
-        more = (
-            F.when(F.col("made").isNotNull() & F.col("is_param").isNull(), literals.operands(F.col("made")))
-            .when(call.isin(*PASS_ARGUMENTS), literals.arguments(inner))
-            .when(call.isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
-        )
+        is_made = F.col("made").isNotNull() & F.col("is_param").isNull()
+        through = F.when(F.col("call").isin(*PASS_ARGUMENTS), literals.arguments(inner)).when(F.col("call").isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
+        rows = rows.withColumn("call", F.when(F.col("text").endswith(")"), call).otherwise("")).withColumn("literal", literals.is_literal(F.col("text")))
+        rows = rows.withColumn("through", F.when(~is_made & (F.col("call") != ""), through)).withColumn("more", F.when(is_made, F.col("made")).otherwise(F.col("through")))
         kind = (
-            F.when(literals.is_literal(F.col("text")), "hardcoded")
+            F.when(F.col("literal"), "hardcoded")
             .when(F.col("is_param") & F.col("is_handler"), "external_input")
             .when(F.col("is_param") & F.col("is_called"), "open")
             .when(F.col("is_param"), "tainted")
             .when(F.col("own_constant") | F.col("constant"), "hardcoded")
             .when(F.size("more") > 0, "open")
-            .when(call != "", "method_return")
-            .when(F.col("is_field") | F.col("text").contains("."), "field")
+            .when(F.col("call") != "", "method_return")
+            .when(F.col("text").contains("."), "field")
             .when(literals.identifier(F.col("text")), "variable")
             .otherwise("unknown")
         )
-        value = F.when(literals.is_literal(F.col("text")), literals.unquoted(F.col("text"))).when(F.col("is_param").isNull(), F.coalesce("own_value", "any_value"))
+        value = F.when(F.col("literal"), literals.unquoted(F.col("text"))).when(F.col("is_param").isNull(), F.coalesce("own_value", "any_value"))
         several = (F.size("more") > 1) & F.col("is_param").isNull()
-        rows = rows.withColumn("more", more).select(*_PLACE, "term", "text", kind.alias("kind"), F.coalesce(several, F.lit(False)).alias("several"), value.alias("value"), "more")
+        rows = rows.select(*_PLACE, "term", "text", kind.alias("kind"), F.coalesce(several, F.lit(False)).alias("several"), value.alias("value"), "more", F.col("through").isNotNull().alias("passes"))
         tables.append(scratch.keep(rows))
         seen = tables[-1].select("term") if seen is None else seen.unionByName(tables[-1].select("term"))
-        opened = tables[-1].where("kind = 'open' and more is not null").select(*_PLACE, F.explode("more").alias("text")).distinct()
-        frontier = scratch.keep(opened.withColumn("term", _named(F.col("text"))).join(seen.hint("merge"), "term", "left_anti").drop("term"))
+        opened = tables[-1].where("kind = 'open' and passes").select(*_PLACE, F.explode("more").alias("text")).distinct()  # parts of values were there from the start
+        frontier = scratch.keep(opened.withColumn("term", _named(F.col("text"))).join(seen.hint("merge"), "term", "left_anti"))
         if frontier.isEmpty():
             break
     every = reduce(DataFrame.unionByName, tables)
@@ -100,7 +104,21 @@ def _terms(
         up = passed.select("term", _named(F.col("text")).alias("next"))
         edges = edges.unionByName(up.join(every.where("kind = 'open'").select("term"), "term", "left_semi"))
     edges = edges.where("term <> next").distinct()
-    return every.select("term", "text", "kind", "several", "value"), scratch.keep(edges)
+    maybe = F.col("kind").isin("variable", "unknown")
+    met = every.where(maybe).join(fields, ["path", "class_name", "text"], "left").withColumn("kind", F.when(F.col("is_field"), "field").otherwise(F.col("kind")))
+    told = ["term", "text", "kind", "several", "value"]
+    return scratch.keep(every.where(~maybe).select(told).unionByName(met.select(told))), scratch.keep(edges)
+
+
+def _reached(asked: DataFrame, terms: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(root, text, kind, several, value) of each term that a root reaches. Inside a method there are as many as it has pairs of terms."""
+    frontier = met = scratch.keep(asked.withColumn("term", F.col("root")))
+    while True:
+        moved = frontier.join(edges.hint("merge"), "term").select("root", F.col("next").alias("term")).distinct()
+        frontier = scratch.keep(moved.join(met.hint("merge"), ["root", "term"], "left_anti"))
+        if frontier.isEmpty():
+            return met.join(terms.hint("merge"), "term").select("root", "text", "kind", "several", "value")
+        met = met.unionByName(frontier)
 
 
 def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None = None) -> DataFrame:
@@ -112,25 +130,21 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
     handlers = sites.select(*_PLACE, "is_handler")
     if callers is not None:
         handlers = handlers.unionByName(callers.select(F.col("from_path").alias("path"), F.col("from_class").alias("class_name"), F.col("from_scope").alias("scope"), F.col("from_handler").alias("is_handler")))
-    handlers = handlers.groupBy(*_PLACE).agg(F.bool_or("is_handler").alias("is_handler"))
+    handlers = handlers.where("is_handler").distinct()
     opened = sites.select("site_id", *_PLACE, F.posexplode(literals.arguments(F.col("arguments"))).alias("pos", "arg"))
-    each = literals.operands(F.col("arg"))
-    opened = opened.select("site_id", *_PLACE, "pos", F.explode(each).alias("text"), (F.size(each) > 1).alias("beside"))
-    opened = scratch.keep(opened.distinct().withColumn("root", _named(F.col("text"))))
+    opened = opened.select("site_id", *_PLACE, "pos", literals.operands(F.col("arg")).alias("each"))
+    opened = opened.select("site_id", *_PLACE, "pos", F.explode(F.array_distinct("each")).alias("text"), (F.size("each") > 1).alias("beside"))
+    opened = scratch.keep(opened.withColumn("root", _named(F.col("text"))))
     terms, edges = _terms(opened, params, variables, constants, callers, handlers, scratch)
-    frontier = scratch.keep(opened.select("root").distinct().withColumn("term", F.col("root")))
-    met = frontier
-    while True:
-        moved = frontier.join(edges.hint("merge"), "term").select("root", F.col("next").alias("term")).distinct()
-        frontier = scratch.keep(moved.join(met.hint("merge"), ["root", "term"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        met = met.unionByName(frontier)
-    told = scratch.keep(met.join(terms.hint("merge"), "term").select("root", "text", "kind", "several", "value"))
+    roots = scratch.keep(opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(terms.withColumnRenamed("term", "root").hint("merge"), "root"))
+    # Settled terms are their own only source; what is made of others is searched for them.
+    asked = scratch.keep(roots.where("kind = 'open'").select("root").distinct())
+    told = scratch.keep(_reached(asked, terms, edges, scratch))
     beside = told.groupBy("root").agg(F.bool_or("several").alias("several"))
     found = told.where("kind <> 'open'").groupBy("root", "text", "kind").agg(F.min("value").alias("value"))
     found = beside.join(found.hint("merge"), "root", "left")
-    out = opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(found.hint("merge"), "root")
+    out = roots.where("kind = 'open'").select("site_id", "pos", "root", "own", "beside").join(found.hint("merge"), "root")
+    out = roots.where("kind <> 'open'").select(*out.columns).unionByName(out).repartition("site_id")  # parts of a site meet here, and stay for ``flags``
     kind, text = F.coalesce("kind", F.lit("variable")).alias("kind"), F.coalesce("text", "own").alias("text")
     out = out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several"), "value")
     return out.groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"), F.min("value").alias("value"))
@@ -160,7 +174,7 @@ def flags(parts: DataFrame) -> DataFrame:
         F.bool_or(kind == "tainted").alias("tainted"),
         F.bool_or(kind == "hardcoded").alias("hard_any"),
         F.bool_and(kind == "hardcoded").alias("hard_all"),
-        F.count_distinct("kind").alias("kinds"),
+        F.size(F.collect_set("kind")).cast("long").alias("kinds"),
         F.bool_or("several").alias("_several"),
         F.count_if(F.col("pos") == 0).alias("_first"),
         F.max(F.when((F.col("pos") == 0) & (kind == "hardcoded") & ~F.col("several"), F.col("value"))).alias("_value"),

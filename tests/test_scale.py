@@ -128,3 +128,10 @@ def test_scan_appends_no_token_by_token():
     profile.runcall(javascan.scan_text, text)
     appends = sum(e.callcount for e in profile.getstats() if "'append' of 'list'" in str(e.code))
     assert appends < 2 * len(javascan._Scan(text).word)
+
+
+def test_flags_shuffle_parts_once(spark):
+    parts = spark.createDataFrame([("s", 0, "hardcoded", '"a"', False, "a"), ("s", 1, "tainted", "id", False, None)], "site_id string, pos int, kind string, text string, several boolean, value string")
+    found = provenance.flags(parts)
+    assert _plan(found).count("Exchange") == 1
+    assert [(r.kinds, r.settled, r.names) for r in found.collect()] == [(2, "a", "id")]
