@@ -5,7 +5,8 @@ argument that a known caller passes is a term, once, however often it stands the
 a constant, ...) or made of other terms: a name of its value's operands, a pass-through call of its receiver or arguments, a
 parameter of what its callers pass. The sources of an argument are the settled terms that its operands reach. They are found
 for all operands at once, in rounds that join only what the last one has found new, so names that are used twice, or in
-circles, cost one row each. A name that is made of nothing but itself stays a variable.
+circles, cost one row each. A name that is made of nothing but itself stays a variable. With callers, sources
+are handed up from term to term.
 """
 
 from __future__ import annotations
@@ -121,6 +122,36 @@ def _reached(asked: DataFrame, terms: DataFrame, edges: DataFrame, scratch: Scra
         met = met.unionByName(frontier)
 
 
+def _handed_up(asked: DataFrame, terms: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same with one row for equal sources, in whatever terms they stand. Across calls many roots reach the same terms, so pairs of both
+    grow with the depth of the calls; sources are handed up instead, from what is passed to the parameter, each once to a term."""
+    frontier = reached = scratch.keep(asked.select(F.col("root").alias("term")))
+    while True:  # only what roots reach is looked at, each term once
+        moved = frontier.join(edges.hint("merge"), "term").select(F.col("next").alias("term")).distinct()
+        frontier = scratch.keep(moved.join(reached.hint("merge"), "term", "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    several = F.unhex(F.md5(F.lit("several")))
+    rows = terms.join(reached.hint("merge"), "term", "left_semi")
+    rows = rows.withColumn("source", F.when(F.col("kind") != "open", F.unhex(F.md5(F.to_json(F.struct("text", "kind", "value"))))))
+    rows = scratch.keep(rows)
+    sources = scratch.keep(rows.where("source is not null").select("source", "text", "kind", "value").distinct())  # its size is known, so a few that all share are broadcast
+    held = rows.where("source is not null").select("term", "source").unionByName(rows.where("several").select("term", several.alias("source")))
+    frontier = held = scratch.keep(held.distinct())
+    edges = scratch.keep(edges.join(reached.hint("merge"), "term", "left_semi"))
+    while True:  # what a round moves is written, so that later rounds, in which it is little, shuffle neither the edges nor what is held
+        moved = scratch.keep(frontier.select(F.col("term").alias("next"), "source").join(edges, "next").select("term", "source").distinct())
+        old = held.join(moved, ["term", "source"], "left_semi")
+        frontier = scratch.keep(moved.join(old, ["term", "source"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        held = held.unionByName(frontier)
+    found = held.withColumnRenamed("term", "root").join(asked.hint("merge"), "root", "left_semi").join(sources, "source", "left")
+    found = found.select("root", "text", F.coalesce("kind", F.lit("open")).alias("kind"), (F.col("source") == several).alias("several"), "value")
+    return found.unionByName(asked.select("root", F.lit(None).cast("string").alias("text"), F.lit("open").alias("kind"), F.lit(False).alias("several"), F.lit(None).cast("string").alias("value")))
+
+
 def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """(site_id, pos, kind, text, several, value) for each source of each argument of sites (site_id, path, class_name, scope, is_handler,
     arguments); ``several`` tells that it stands, or stood on its way, beside others; value is what literals and constants say. ``params`` has (path, class_name, scope, name),
@@ -139,7 +170,7 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
     roots = scratch.keep(opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(terms.withColumnRenamed("term", "root").hint("merge"), "root"))
     # Settled terms are their own only source; what is made of others is searched for them.
     asked = scratch.keep(roots.where("kind = 'open'").select("root").distinct())
-    told = scratch.keep(_reached(asked, terms, edges, scratch))
+    told = scratch.keep(_reached(asked, terms, edges, scratch) if callers is None else _handed_up(asked, terms, edges, scratch))
     beside = told.groupBy("root").agg(F.bool_or("several").alias("several"))
     found = told.where("kind <> 'open'").groupBy("root", "text", "kind").agg(F.min("value").alias("value"))
     found = beside.join(found.hint("merge"), "root", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calltide.functions import literals
 from calltide.operators import graph, lookup, provenance
 from calltide.plans import analyze, shape_queries, source_queries
+from calltide.session import Scratch
 from calltide.sources import java, javascan, maven
 
 
@@ -135,3 +136,24 @@ def test_flags_shuffle_parts_once(spark):
     found = provenance.flags(parts)
     assert _plan(found).count("Exchange") == 1
     assert [(r.kinds, r.settled, r.names) for r in found.collect()] == [(2, "a", "id")]
+
+
+def test_sources_that_callers_share_are_handed_up_once(spark, monkeypatch):
+    n, sizes, keep = 12, [], Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    place = "path string, class_name string, scope string"
+    sites = spark.createDataFrame([(k, "f", "C", f"m{k}", False, "p") for k in range(n)], f"site_id int, {place}, is_handler boolean, arguments string")
+    params = spark.createDataFrame([("f", "C", f"m{k}", "p") for k in range(n)], f"{place}, name string")
+    made = spark.createDataFrame([], f"{place}, name string, value string")
+    constants = spark.createDataFrame([], "class_name string, field_name string, value string")
+    calls = [("f", "C", f"m{k}", "p", "f", "C", f"m{k + 1}", False, "p") for k in range(n - 1)] + [("f", "C", f"m{n - 1}", "p", "f", "C", "go", False, '"x"')]
+    callers = spark.createDataFrame(calls, f"{place}, name string, from_path string, from_class string, from_scope string, from_handler boolean, argument string")
+    found = provenance.argument_parts(sites, params, made, constants, callers).collect()
+    assert {(r.site_id, r.kind, r.text, r.several, r.value) for r in found} == {(k, "hardcoded", '"x"', False, "x") for k in range(n)}
+    assert max(sizes) <= 4 * n  # the pairs of a method and those that its parameter comes from are n * n / 2
