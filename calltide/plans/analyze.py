@@ -207,7 +207,10 @@ def alerts(files: DataFrame, rules: list[Rule] | None = None, returns: DataFrame
     full = matched.join(told, "site_id", "left").withColumn("root", node_id(F.col("path"), F.col("class_name"), F.col("method_name")))
     nothing = (("chain", "string"), ("chain_source", "string"), ("chain_depth", "int"), ("chain_path", "string"), ("chain_reason", "string"))
     full = full.join(chain, "root", "left") if chain is not None else full.select("*", *(F.lit(None).cast(t).alias(c) for c, t in nothing))
-    full = full.join(hardened(sites, s.assignments, callers).withColumn("hardened", F.lit(True)), "site_id", "left")
+    if checks or any(r.check == "xml" for r in rules):  # no other check looks at it
+        full = full.join(hardened(sites, s.assignments, callers).withColumn("hardened", F.lit(True)), "site_id", "left")
+    else:
+        full = full.withColumn("hardened", F.lit(False))
     full = full.withColumn("receiver_type", F.col("type")).fillna(False, ["ext", "tainted", "hard_any", "hard_all", "hardened", "receiver_ext", "receiver_tainted"])
     severity = patterns.select("rule_id", "severity").distinct()
     return _ranked(decide(full, rules, checks).join(severity, "rule_id"), detected_at)

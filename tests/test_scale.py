@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions import literals
 from calltide.operators import graph, lookup, provenance
+from calltide.operators.rules import Rule
 from calltide.plans import analyze, shape_queries, source_queries
 from calltide.session import Scratch
 from calltide.sources import java, javascan, maven
@@ -157,3 +158,11 @@ def test_sources_that_callers_share_are_handed_up_once(spark, monkeypatch):
     found = provenance.argument_parts(sites, params, made, constants, callers).collect()
     assert {(r.site_id, r.kind, r.text, r.several, r.value) for r in found} == {(k, "hardcoded", '"x"', False, "x") for k in range(n)}
     assert max(sizes) <= 4 * n  # the pairs of a method and those that its parameter comes from are n * n / 2
+
+
+def test_objects_are_followed_only_for_rules_that_ask(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(analyze.objects, "done_to", lambda *given: asked.append(given))
+    files = spark.createDataFrame([("f", "package p; class C { void m(String id) { F f = new F(id); } }")], "path string, text string")
+    found = analyze.alerts(files, [Rule("T", "made", "high", ["F.F(*)"], "F made", "path")], taint=False, across=False)
+    assert not asked and [(r.rule_id, r.confidence, r.message) for r in found.collect()] == [("T", "low", "F made: parameter id")]
