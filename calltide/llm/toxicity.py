@@ -94,7 +94,7 @@ def _pairs(known: Broadcast) -> Callable:
 
 
 def tells(c0: Column, c1: Column, n0: int, n1: int) -> Column:
-    """Whether the counts c0 of n0 texts and c1 of n1 tell the classes apart: no part of the score."""
+    """Whether the counts c0 of n0 texts and c1 of n1 tell the classes apart. No part of the score: a test still sets this name."""
     n, c = n0 + n1, c0 + c1
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(F.lit(0.0))
     g2 = 2 * (part(c0, c * n0 / n) + part(c1, c * n1 / n) + part(n0 - c0, (n - c) * n0 / n) + part(n1 - c1, (n - c) * n1 / n))
