@@ -58,7 +58,8 @@ def arguments(text: Column) -> Column:
 
 def operands(text: Column) -> Column:
     """Operands of a text concatenation: ``+`` inside quotes does not part them."""
-    return _kept(F.regexp_extract_all(text, F.lit(rf"(?:[^+\"']++|{_QUOTED})++"), F.lit(0)))
+    quoted = F.regexp_extract_all(text, F.lit(rf"(?:[^+\"']++|{_QUOTED})++"), F.lit(0))
+    return _kept(F.when(text.contains('"') | text.contains("'"), quoted).otherwise(F.split(text, r"\+")))
 
 
 def merged_literals(parts: Column) -> Column:

@@ -6,13 +6,16 @@ a constant, ...) or made of other terms: a name of its value's operands, a pass-
 parameter of what its callers pass. The sources of an argument are the settled terms that its operands reach. They are found
 for all operands at once, in rounds that join only what the last one has found new, so names that are used twice, or in
 circles, cost one row each. A name that is made of nothing but itself stays a variable. With callers, sources
-are handed up from term to term.
+are handed up from term to term. Without, no search leaves its place: what terms of a place are made of is moved to one task,
+searched there, and only the sources that are found are settled; places of more than ``HELD`` terms are searched in rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,17 @@ PASS_ARGUMENTS = [
 ]
 
 _PLACE = ["path", "class_name", "scope"]
+#: Terms of a place that are made of others, at most, that a task holds.
+HELD = 100_000
+#: Rows of a place, in the order in which a task meets them.
+_PARAM, _CONSTANT, _GIVEN, _THROUGH, _ROOT = range(5)
+#: Rows that a task returns at once, in the mean.
+_AT_ONCE = 20_000
+
+
+def _place() -> Column:
+    """One name for a place, of which a term's name is made, too."""
+    return F.unhex(F.md5(F.concat_ws("\u0001", *_PLACE)))
 
 
 def _named(text: Column) -> Column:
@@ -55,10 +69,7 @@ def _terms(
         )
         seeds = seeds.unionByName(passed.select(*_PLACE, "text").withColumn("term", _named(F.col("text"))))
         called = passed.select("term").distinct().withColumn("is_called", F.lit(True)).hint("merge")
-    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
-    full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
-    any_ = constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
-    fields = variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
+    (own, any_), fields = _constants(constants), _fields(variables)
     # Made once; texts that are put together look small to Spark before they are made, so no side is left to be broadcast.
     known, own, any_, fields = (scratch.keep(side).hint("merge") for side in (known, own, any_, fields))
     made = given.select("term", "made").hint("merge")
@@ -71,10 +82,8 @@ def _terms(
         rows = rows.join(called, "term", "left") if passed is not None else rows.withColumn("is_called", F.lit(None).cast("boolean"))
         rows = rows.join(own, ["class_name", "text"], "left").join(named, "text", "left")
         call = literals.call_name(F.col("text"))
-        inner = F.regexp_extract("text", r"\w+\s*\(([^()]*)\)$", 1)
-        receiver = F.regexp_extract("text", r"^(.*)\.\w+\s*\([^()]*\)$", 1)
         is_made = F.col("made").isNotNull() & F.col("is_param").isNull()
-        through = F.when(F.col("call").isin(*PASS_ARGUMENTS), literals.arguments(inner)).when(F.col("call").isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
+        through = _through(F.col("text"), F.col("call"))
         rows = rows.withColumn("call", F.when(F.col("text").endswith(")"), call).otherwise("")).withColumn("literal", literals.is_literal(F.col("text")))
         rows = rows.withColumn("through", F.when(~is_made & (F.col("call") != ""), through)).withColumn("more", F.when(is_made, F.col("made")).otherwise(F.col("through")))
         kind = (
@@ -111,6 +120,140 @@ def _terms(
     return scratch.keep(every.where(~maybe).select(told).unionByName(met.select(told))), scratch.keep(edges)
 
 
+def _through(text: Column, call: Column) -> Column:
+    """What the result of a pass-through call is made of; null for other texts."""
+    inner = F.regexp_extract(text, r"\w+\s*\(([^()]*)\)$", 1)
+    receiver = F.regexp_extract(text, r"^(.*)\.\w+\s*\([^()]*\)$", 1)
+    return F.when(call.isin(*PASS_ARGUMENTS), literals.arguments(inner)).when(call.isin(*PASS_RECEIVER) & (receiver != ""), F.array(receiver))
+
+
+def _constants(constants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class_name, text, own_constant, own_value) of constants by their class, and (text, constant, any_value) by their whole name."""
+    own = constants.select("class_name", F.col("field_name").alias("text"), F.lit(True).alias("own_constant"), F.col("value").alias("own_value")).distinct()
+    full = F.when(F.col("class_name") == "", F.col("field_name")).otherwise(F.concat_ws(".", "class_name", "field_name"))
+    return own, constants.select(full.alias("text"), F.lit(True).alias("constant"), F.col("value").alias("any_value")).distinct()
+
+
+def _fields(variables: DataFrame) -> DataFrame:
+    return variables.where("scope = '<fields>'").select("path", "class_name", F.col("name").alias("text"), F.lit(True).alias("is_field")).distinct()
+
+
+class _Held:
+    """The terms of one place: parameters, constants, what names are given and what calls pass through."""
+
+    def __init__(self, place: bytes):
+        self.place, self.params, self.fixed = place, set(), set()
+        self.given: dict[str, list[list[str]]] = {}
+        self.through: dict[str, list[list[str]]] = {}
+        self.steps: dict[str, tuple[bool, bool, set[str]]] = {}
+
+    def add(self, tag: int, text: str, more: list[str], literal: bool) -> None:
+        if tag == _PARAM:
+            self.params.add(text)
+            return
+        if tag == _CONSTANT or literal:
+            self.fixed.add(text)
+        if tag != _CONSTANT:
+            (self.given if tag == _GIVEN else self.through).setdefault(text, []).append(more)
+
+    def step(self, text: str) -> tuple[bool, bool, set[str]]:
+        """Whether the term is settled, whether it is made of several others, and of which it is made."""
+        if (known := self.steps.get(text)) is None:
+            rows = [] if text in self.params else self.given.get(text) or self.through.get(text) or []
+            nexts = set() if text in self.fixed else set().union(*rows)
+            known = self.steps[text] = (not rows or text in self.fixed or not all(rows), any(len(r) > 1 for r in rows), nexts)
+        return known
+
+    def sources(self, root: str) -> tuple[list[str | None], bool]:
+        """The settled terms that the root reaches, and whether one on the way is made of several."""
+        met, todo, found, several = {root}, [root], [], False
+        while todo:
+            settled, many, nexts = self.step(text := todo.pop())
+            several = several or many
+            if settled:
+                found.append(text)
+            fresh = nexts - met
+            met |= fresh
+            todo += fresh
+        return found or [None], several
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, own, text, several): the sources of the roots of each place, whose rows come one after the other."""
+    held, out = _Held(b""), ([], [], [], [])
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["place", "own", "text", "several"])
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("place", "tag", "text", "literal")]
+        more, at = batch.column("more").flatten().to_numpy(zero_copy_only=False).tolist(), 0
+        sizes = batch.column("more").value_lengths().to_numpy(zero_copy_only=False).tolist()
+        for place, tag, text, literal, size in zip(*columns, sizes, strict=True):
+            if place != held.place:
+                held = _Held(place)
+            if tag != _ROOT:
+                held.add(tag, text, more[at : at + size], literal)
+                at += size
+                continue
+            found, several = held.sources(text)
+            for c, v in zip(out, ([place] * len(found), [text] * len(found), found, [several] * len(found)), strict=True):
+                c.extend(v)
+            if len(out[0]) >= _AT_ONCE:
+                yield made()
+                out = ([], [], [], [])
+    if out[0]:
+        yield made()
+
+
+def _makers(opened: DataFrame, variables: DataFrame, scratch: Scratch) -> DataFrame:
+    """(place, class_name, tag, text, more, literal): every name with what it is given, every pass-through call with what it passes."""
+    literal = literals.is_literal(F.col("text")).alias("literal")
+    given = variables.where("value is not null and value <> ''").select(*_PLACE, F.col("name").alias("text"), literals.operands(F.col("value")).alias("more"))
+    given = scratch.keep(given.select(*_PLACE, _place().alias("place"), F.lit(_GIVEN).alias("tag"), "text", "more", literal))
+    call = lambda rows: rows.where(F.col("text").endswith(")")).distinct().withColumn("more", _through(F.col("text"), literals.call_name(F.col("text")))).where("more is not null")
+    fresh = seen = scratch.keep(call(opened.select(*_PLACE, "text").unionByName(given.select(*_PLACE, F.explode(F.filter("more", lambda t: t.endswith(")"))).alias("text")))))
+    while not fresh.isEmpty():  # a round for each call inside a call
+        inner = call(fresh.select(*_PLACE, F.explode("more").alias("text"))).withColumn("place", _place())
+        fresh = scratch.keep(inner.join(seen.select(_place().alias("place"), "text").hint("merge"), ["place", "text"], "left_anti").drop("place"))
+        seen = seen.unionByName(fresh)
+    through = seen.select(_place().alias("place"), "class_name", F.lit(_THROUGH).alias("tag"), "text", "more", literal)
+    return given.drop("path", "scope").unionByName(through)
+
+
+def _within(opened: DataFrame, makers: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, handlers: DataFrame, scratch: Scratch) -> DataFrame:
+    """(site_id, pos, kind, text, several, value) of each source of each root, searched place by place."""
+    own, any_ = _constants(constants)
+    # Many terms have one text: constants are asked for by different texts, and what is found is written, so that Spark knows its size.
+    texts = scratch.keep(makers.select("text").distinct())
+    whole = scratch.keep(texts.join(any_.select("text").hint("merge"), "text", "left_semi"))
+    owned = scratch.keep(own.select("class_name", "text").hint("merge").join(texts, "text", "left_semi").distinct())
+    fixed = makers.join(whole, "text", "left_semi").select("place", "text").unionByName(makers.join(owned, ["class_name", "text"], "left_semi").select("place", "text"))
+    known = params.select(*_PLACE, F.col("name").alias("text")).join(handlers.hint("merge"), _PLACE, "left").distinct()
+    known = scratch.keep(known.select(_place().alias("place"), "text", F.lit(True).alias("is_param"), "is_handler").distinct())
+    bare = lambda rows, tag: rows.select("place", F.lit(tag).alias("tag"), "text", F.array().cast("array<string>").alias("more"), F.lit(False).alias("literal"))
+    every = makers.drop("class_name").unionByName(bare(known, _PARAM)).unionByName(bare(fixed, _CONSTANT)).unionByName(bare(opened.select("place", "text").distinct(), _ROOT))
+    found = every.repartition("place").sortWithinPartitions("place", "tag").mapInArrow(_searched, "place binary, own string, text string, several boolean")
+    rows = opened.withColumnRenamed("text", "own").join(found.hint("merge"), ["place", "own"])
+    rows = scratch.keep(rows.select("site_id", "pos", "path", "class_name", "place", "own", "text", (F.col("beside") | F.col("several")).alias("several")))
+    named = scratch.keep(rows.select("text").distinct().join(any_.hint("merge"), "text"))
+    rows = rows.join(known.hint("merge"), ["place", "text"], "left").join(own.hint("merge"), ["class_name", "text"], "left").join(named, "text", "left")
+    literal, text = literals.is_literal(F.col("text")), F.col("text")
+    kind = (
+        F.when(literal, "hardcoded")
+        .when(F.col("is_param") & F.col("is_handler"), "external_input")
+        .when(F.col("is_param"), "tainted")
+        .when(F.col("own_constant") | F.col("constant"), "hardcoded")
+        .when(text.endswith(")") & (literals.call_name(text) != ""), "method_return")
+        .when(text.contains("."), "field")
+        .when(literals.identifier(text) | text.isNull(), "variable")
+        .otherwise("unknown")
+    )
+    value = F.when(literal, literals.unquoted(text)).when(F.col("is_param").isNull(), F.coalesce("own_value", "any_value"))
+    rows = scratch.keep(rows.select("site_id", "pos", "path", "class_name", kind.alias("kind"), "text", "own", "several", value.alias("value")))
+    maybe = F.col("kind").isin("variable", "unknown") & F.col("text").isNotNull()
+    met = rows.where(maybe).join(_fields(variables).hint("merge"), ["path", "class_name", "text"], "left").withColumn("kind", F.when(F.col("is_field"), "field").otherwise(F.col("kind")))
+    rows = rows.where(~maybe).unionByName(met.select(*rows.columns))
+    return rows.select("site_id", "pos", "kind", F.coalesce("text", "own").alias("text"), "several", "value")
+
+
 def _reached(asked: DataFrame, terms: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(root, text, kind, several, value) of each term that a root reaches. Inside a method there are as many as it has pairs of terms."""
     frontier = met = scratch.keep(asked.withColumn("term", F.col("root")))
@@ -165,7 +308,29 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
     opened = sites.select("site_id", *_PLACE, F.posexplode(literals.arguments(F.col("arguments"))).alias("pos", "arg"))
     opened = opened.select("site_id", *_PLACE, "pos", literals.operands(F.col("arg")).alias("each"))
     opened = opened.select("site_id", *_PLACE, "pos", F.explode(F.array_distinct("each")).alias("text"), (F.size("each") > 1).alias("beside"))
-    opened = scratch.keep(opened.withColumn("root", _named(F.col("text"))))
+    opened = scratch.keep(opened.withColumn("place", _place()))
+    if callers is not None:
+        out = _across(opened, params, variables, constants, callers, handlers, scratch)
+    else:
+        makers = _makers(opened, variables, scratch)
+        large = scratch.keep(makers.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("place"))
+        if large.isEmpty():
+            out = _within(opened, makers, params, variables, constants, handlers, scratch)
+        else:
+            rest = scratch.keep(opened.join(large, "place", "left_anti"))
+            out = _within(rest, makers.join(large, "place", "left_anti"), params, variables, constants, handlers, scratch)
+            most, there = scratch.keep(opened.join(large, "place", "left_semi")), variables.withColumn("place", _place())
+            there = there.join(large, "place", "left_semi").unionByName(there.where("scope = '<fields>'").join(large, "place", "left_anti").withColumn("value", F.lit("")))
+            out = out.unionByName(_across(most, params, there.drop("place"), constants, None, handlers, scratch))
+    out = out.repartition("site_id")  # parts of a site meet here, and stay for ``flags``
+    return out.groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"), F.min("value").alias("value"))
+
+
+def _across(
+    opened: DataFrame, params: DataFrame, variables: DataFrame, constants: DataFrame, callers: DataFrame | None, handlers: DataFrame, scratch: Scratch
+) -> DataFrame:
+    """The same as ``_within``, searched in rounds of joins, also through callers."""
+    opened = opened.withColumn("root", _named(F.col("text")))
     terms, edges = _terms(opened, params, variables, constants, callers, handlers, scratch)
     roots = scratch.keep(opened.select("site_id", "pos", "root", F.col("text").alias("own"), "beside").join(terms.withColumnRenamed("term", "root").hint("merge"), "root"))
     # Settled terms are their own only source; what is made of others is searched for them.
@@ -175,10 +340,9 @@ def argument_parts(sites: DataFrame, params: DataFrame, variables: DataFrame, co
     found = told.where("kind <> 'open'").groupBy("root", "text", "kind").agg(F.min("value").alias("value"))
     found = beside.join(found.hint("merge"), "root", "left")
     out = roots.where("kind = 'open'").select("site_id", "pos", "root", "own", "beside").join(found.hint("merge"), "root")
-    out = roots.where("kind <> 'open'").select(*out.columns).unionByName(out).repartition("site_id")  # parts of a site meet here, and stay for ``flags``
+    out = roots.where("kind <> 'open'").select(*out.columns).unionByName(out)
     kind, text = F.coalesce("kind", F.lit("variable")).alias("kind"), F.coalesce("text", "own").alias("text")
-    out = out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several"), "value")
-    return out.groupBy("site_id", "pos", "kind", "text").agg(F.bool_or("several").alias("several"), F.min("value").alias("value"))
+    return out.select("site_id", "pos", kind, text, (F.col("beside") | F.col("several")).alias("several"), "value")
 
 
 def passed_arguments(sites: DataFrame, methods: DataFrame) -> DataFrame:

@@ -181,3 +181,41 @@ def test_algorithms_are_settled_by_constants_and_callers(spark):
     assert got["two"] == ("low", "Weak algorithm - the algorithm is not known")  # known, and not on a list
     assert got["three"][0] == "low"
     assert got["made"] == ("high", "Weak algorithm - RC4 is broken")
+
+
+def _drawn(draw, k):
+    """A place's rows at random: names made of each other, also twice, calls in calls, constants, parameters, fields; some rows come twice."""
+    names = [f"v{i}" for i in range(7)]
+    leaf = lambda: draw.choice([*names, "NAME", "D.FAR", "q", "r", '"x"', "7", "o.f", "go(1)", "a - b"])
+    term = lambda: draw.choice(["{}", "{}", "{}", "{}.trim()", "Arrays.asList({}, {})", "of({}.trim())", "{}.trim().split(1)"]).format(leaf(), leaf())
+    value = lambda: " + ".join(term() for _ in range(draw.randint(1, 3)))
+    place = (f"p{k % 5}", draw.choice(["A", "B"]), f"m{k}")
+    values = [(*place, draw.choice([*names, "q", "NAME", "null"]), draw.choice([value(), value(), "+", "", None])) for _ in range(draw.randint(0, 8))]
+    fields = [(*place[:2], "<fields>", draw.choice(names), value())]
+    params = [(*place, n) for n in draw.sample([*names, "q", "r"], 2)]
+    sites = [(f"s{k}.{i}", *place, draw.random() < 0.3, ", ".join(value() for _ in range(draw.randint(1, 2)))) for i in range(2)]
+    return sites, params + params[:1], values + values[:2] + fields
+
+
+def test_search_of_a_place_and_by_joins_agree(spark, monkeypatch):
+    draw = random.Random(3)
+    sites, params, values = (sum(rows, []) for rows in zip(*(_drawn(draw, k) for k in range(60)), strict=True))
+    known = [("A", "NAME", "n"), ("A", "NAME", "m"), ("", "NAME", "z"), ("D", "FAR", "f"), ("B", "v3", "3"), ("A", "v1.trim()", "t")]
+    tables = [
+        spark.createDataFrame(sites, f"site_id string, {PLACE}, is_handler boolean, arguments string"), spark.createDataFrame(params, f"{PLACE}, name string"),
+        spark.createDataFrame(values, f"{PLACE}, name string, value string"), spark.createDataFrame(known, "class_name string, field_name string, value string"),
+    ]
+    found = lambda: sorted(map(str, provenance.argument_parts(*tables).collect()))
+    monkeypatch.setattr(provenance, "_AT_ONCE", 7)
+    near = found()
+    monkeypatch.setattr(provenance, "HELD", 0)
+    assert len(near) > 200 and near == found()
+    assert len({x.split("kind='")[1].split("'")[0] for x in near}) == 7
+
+
+def test_search_of_a_place_takes_no_rounds(spark, monkeypatch):
+    kept, keep = [], provenance.Scratch.keep
+    monkeypatch.setattr(provenance.Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    chain = [("v0", "id")] + [(f"v{k}", f"v{k - 1} + v{k - 1}") for k in range(1, 40)]
+    assert parts(spark, "v39", chain, params=["id"]) == [(0, "tainted", "id", True)]
+    assert len(kept) < 15
