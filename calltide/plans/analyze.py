@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from calltide.operators import graph, match, merge, objects, provenance
 from calltide.operators.checks import Check
-from calltide.operators.lookup import cascade
+from calltide.operators.lookup import cascade, in_files
 from calltide.operators.rules import RULES, Rule, decide
 from calltide.session import Scratch
 from calltide.sources import java
@@ -36,6 +36,7 @@ SANITIZERS = [
     "setFloat", "setBoolean", "setBytes", "setDate", "setTimestamp", "setObject", "validate", "whitelist", "allowlist",
 ]
 HARDENING = "setFeature"
+_DOTTED = r"^[a-z_]\w*(\.\w+)+$"
 ALERT_KEY = ["rule_id", "path", "line", "signature"]
 ALERT_SCHEMA = (
     "rule_id string, severity string, confidence string, message string, path string, line int, seq int, signature string, class_name string, method_name string, source_line string, "
@@ -71,56 +72,77 @@ def _built_in(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(short_name, fqn)")
 
 
-def resolve(s: Scan, returns: DataFrame | None = None) -> DataFrame:
+def resolve(s: Scan, returns: DataFrame | None = None, scratch: Scratch | None = None, text: bool = True) -> DataFrame:
     """Call sites with ``type`` (qualified class of the receiver), ``provenance`` and ``signature``. ``returns`` has
-    (class_name, method, return_type) of a library, for receivers that are calls."""
+    (class_name, method, return_type) of a library, for receivers that are calls. Look-up tables are written to ``scratch``, which may
+    drop them when the sites are written; without ``text``, source lines are not moved, and null."""
     spark = s.facts.sparkSession
     own = F.col("receiver").isin("", "this", "super")
     bare = F.regexp_replace("receiver", r"^(this|super)\.", "")
-    sites = s.calls.withColumn("scope", F.coalesce("method_name", F.lit("<fields>"))).withColumn("bare", bare).withColumn("fields", F.lit("<fields>"))
+    calls = s.calls if text else s.calls.withColumn("text", F.lit(None).cast("string"))
+    sites = calls.withColumn("scope", F.coalesce("method_name", F.lit("<fields>"))).withColumn("bare", bare).withColumn("fields", F.lit("<fields>"))
+    # What the receiver alone tells; the rest is looked up.
+    made = F.nullif(F.regexp_extract("bare", r"^new\s*([\w.]+)\s*(?:<[^>]*>)?\([^()]*\)$", 1), F.lit(""))
+    alone = F.when(own, F.col("class_name")).when(F.col("method") == "<init>", F.col("receiver")).otherwise(made)
     # Made once, and written: a look-up table that an aggregate has just made would keep Spark from parting a name that many sites have.
-    scratch = Scratch(spark)
-    variables = scratch.keep(s.variables.select("path", "class_name", "scope", "name", "type"))
+    scratch = scratch or Scratch(spark)
     packages, imports = scratch.keep(s.packages), scratch.keep(s.imports)
+    declared = s.classes.join(packages, "path", "left").select("path", F.coalesce("package", F.lit("")).alias("package"), F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"))
+    declared = scratch.keep(declared)
+    near = scratch.keep(merge.first_wins(declared, ["package", "short_name"], ["path"]).select("package", "short_name", "fqn"))
+    far = scratch.keep(declared.groupBy("short_name").agg(F.min("fqn").alias("fqn"), F.max("fqn").alias("last")).where("fqn = last").select("short_name", "fqn"))
+    held = scratch.keep(declared.select("path", "short_name", "fqn").dropDuplicates(["path", "short_name"]))
+    beyond = [
+        (near, {"package": "package", "short": "short_name"}, "fqn", "package"),
+        (_built_in(spark), {"short": "short_name"}, "fqn", "built-in"),
+        (far, {"short": "short_name"}, "fqn", "project"),
+    ]
+    told = F.when(own, "own").when(alone.isNotNull(), "constructor")
+    if returns is None:  # nothing is asked of what receivers return
+        asked = sites.select("*", F.col("bare").alias("name"), alone.alias("value"), told.alias("told")).drop("fields", "bare")
+        found = scratch.keep(in_files(asked, java.declared(s.facts), imports, held, packages))
+        dotted = F.col("short").rlike(_DOTTED)
+        # What no file tells is asked for once by each name in a package.
+        open_ = scratch.keep(found.where(F.col("fqn").isNull() & ~dotted).select("package", "short").distinct())
+        met = scratch.keep(cascade(open_, beyond, F.col("short"), "met", "how"))
+        found = found.join(met, ["package", "short"], "left")
+        type_ = F.when(dotted, F.col("short")).otherwise(F.coalesce("fqn", "met"))
+        looked = F.when(dotted, "qualified").otherwise(F.coalesce("looked", "how"))
+        return _signed(found.withColumn("type", type_).withColumn("provenance", F.coalesce("told", looked)))
+
+    variables = scratch.keep(s.variables.select("path", "class_name", "scope", "name", "type"))
     levels = [
         (variables, {"path": "path", "class_name": "class_name", "scope": "scope", "bare": "name"}, "type", "variable"),
         (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "bare": "name"}, "type", "field"),
     ]
     typed = cascade(sites, levels, F.lit(None).cast("string"), "named", "how")
     chained = F.regexp_extract("bare", r"^([^(]*)\.(\w+)\s*\(.*\)$", 1)
-    made = F.nullif(F.regexp_extract("bare", r"^new\s*([\w.]+)\s*(?:<[^>]*>)?\([^()]*\)$", 1), F.lit(""))
-    short = F.when(own, F.col("class_name")).when(F.col("method") == "<init>", F.col("receiver")).when(made.isNotNull(), made).when(F.col("named").isNotNull(), F.col("named")).when(F.col("bare").contains("("), F.lit(None)).otherwise(F.col("bare"))
-    how = F.when(own, "own").when((F.col("method") == "<init>") | made.isNotNull(), "constructor").when(F.col("named").isNotNull(), F.col("how")).when(F.col("bare").contains("("), "return-type")
+    short = F.when(alone.isNotNull(), alone).when(F.col("named").isNotNull(), F.col("named")).when(F.col("bare").contains("("), F.lit(None)).otherwise(F.col("bare"))
+    how = F.when(told.isNotNull(), told).when(F.col("named").isNotNull(), F.col("how")).when(F.col("bare").contains("("), "return-type")
     typed = typed.withColumn("short", short).withColumn("told", how).withColumn("inner", F.nullif(chained, F.lit(""))).withColumn("inner_method", F.nullif(F.regexp_extract("bare", r"^[^(]*\.(\w+)\s*\(.*\)$", 1), F.lit("")))
     inner = [(variables, {"path": "path", "class_name": "class_name", "scope": "scope", "inner": "name"}, "type", "v"), (variables, {"path": "path", "class_name": "class_name", "fields": "scope", "inner": "name"}, "type", "f")]
     typed = cascade(typed, inner, F.col("inner"), "inner_type", "_ignored").drop("_ignored")
 
-    declared = s.classes.join(packages, "path", "left").select("path", F.coalesce("package", F.lit("")).alias("package"), F.col("class_name").alias("short_name"), F.concat_ws(".", "package", "class_name").alias("fqn"))
-    declared = scratch.keep(declared)
-    near = scratch.keep(merge.first_wins(declared, ["package", "short_name"], ["path"]).select("package", "short_name", "fqn"))
-    far = scratch.keep(declared.groupBy("short_name").agg(F.min("fqn").alias("fqn"), F.max("fqn").alias("last")).where("fqn = last").select("short_name", "fqn"))
-    held = scratch.keep(declared.select("path", "short_name", "fqn").dropDuplicates(["path", "short_name"]))
-
     def qualified(rows: DataFrame, name: str, into: str, told: str) -> DataFrame:
         """By an import, a class of the file, one of its package, a name that needs no import, or the one class of that name."""
         levels = [
             (imports, {"path": "path", name: "short_name"}, "fqn", "import"),
             (held, {"path": "path", name: "short_name"}, "fqn", "file"),
-            (near, {"package": "package", name: "short_name"}, "fqn", "package"),
-            (_built_in(spark), {name: "short_name"}, "fqn", "built-in"),
-            (far, {name: "short_name"}, "fqn", "project"),
+            *((table, {name if k == "short" else k: v for k, v in keys.items()}, value, how) for table, keys, value, how in beyond),
         ]
         rows = cascade(rows, levels, F.col(name), into, told)
-        dotted = F.col(name).rlike(r"^[a-z_]\w*(\.\w+)+$")
+        dotted = F.col(name).rlike(_DOTTED)
         return rows.withColumn(into, F.when(dotted, F.col(name)).otherwise(F.col(into))).withColumn(told, F.when(dotted, "qualified").otherwise(F.col(told)))
 
     typed = typed.join(packages, "path", "left").withColumn("package", F.coalesce("package", F.lit("")))
     typed = qualified(typed, "inner_type", "inner_fqn", "_ignored").drop("_ignored")
-    if returns is not None:
-        side = returns.select(F.col("class_name").alias("inner_fqn"), F.col("method").alias("inner_method"), "return_type").dropDuplicates(["inner_fqn", "inner_method"])
-        typed = typed.join(side, ["inner_fqn", "inner_method"], "left").withColumn("short", F.coalesce("short", "return_type"))
+    side = returns.select(F.col("class_name").alias("inner_fqn"), F.col("method").alias("inner_method"), "return_type").dropDuplicates(["inner_fqn", "inner_method"])
+    typed = typed.join(side, ["inner_fqn", "inner_method"], "left").withColumn("short", F.coalesce("short", "return_type"))
     typed = typed.withColumn("short", F.coalesce("short", "bare"))
-    out = qualified(typed, "short", "type", "looked").withColumn("provenance", F.coalesce("told", "looked"))
+    return _signed(qualified(typed, "short", "type", "looked").withColumn("provenance", F.coalesce("told", "looked")))
+
+
+def _signed(out: DataFrame) -> DataFrame:
     name = F.when(F.col("method") == "<init>", F.element_at(F.split("type", r"\."), -1)).otherwise(F.col("method"))
     out = out.withColumn("called", name).withColumn("signature", F.concat("type", F.lit("."), name, F.lit("()")))
     return out.select("path", "line", "seq", "text", "args", "receiver", "method", "called", "class_name", "method_name", "method_line", "scope", "is_handler", "type", "provenance", "signature", F.concat_ws(":", "path", "line", "seq").alias("site_id"))

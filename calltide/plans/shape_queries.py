@@ -98,10 +98,15 @@ def object_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether what is parsed was locked down before, under another name or in another method."""
     lock = F.when(F.col("size") % 2 == 0, "setFeature").otherwise("setName")
     text = F.replace(_filled(_OBJECTS), F.lit("{lock}"), lock)
-    s = analyze.scan(_parts(spark, sf_dir).select(F.concat(F.lit("flow/O"), "k", F.lit(".java")).alias("path"), text.alias("text")))
-    sites = Scratch(spark).keep(analyze.resolve(s))
+    scratch = Scratch(spark)
+    s = analyze.scan(_parts(spark, sf_dir).select(F.concat(F.lit("flow/O"), "k", F.lit(".java")).alias("path"), text.alias("text")), scratch)
+    sites = scratch.keep(analyze.resolve(s, scratch=scratch, text=False).drop("text", "line", "signature", "provenance", "method_line"))
+    scratch.drop(sites, s.facts)
+    scratch.release()
     callers = provenance.passed_arguments(sites, analyze.typed_methods(s))
     safe = analyze.hardened(sites, s.assignments, callers).withColumn("hardened", F.lit(True))
+    scratch.drop(sites)
+    scratch.release()
     asked = sites.where("method = 'parse'").join(safe, "site_id", "left")
     return asked.select("path", F.col("method_name").alias("scope"), F.coalesce("hardened", F.lit(False)).alias("hardened"))
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from calltide.functions import literals
-from calltide.operators import graph, lookup, provenance
+from calltide.operators import graph, lookup, objects, provenance
 from calltide.operators.rules import Rule
 from calltide.plans import analyze, shape_queries, source_queries
 from calltide.session import Scratch
@@ -166,3 +166,47 @@ def test_objects_are_followed_only_for_rules_that_ask(spark, monkeypatch):
     files = spark.createDataFrame([("f", "package p; class C { void m(String id) { F f = new F(id); } }")], "path string, text string")
     found = analyze.alerts(files, [Rule("T", "made", "high", ["F.F(*)"], "F made", "path")], taint=False, across=False)
     assert not asked and [(r.rule_id, r.confidence, r.message) for r in found.collect()] == [("T", "low", "F made: parameter id")]
+
+
+def _drawn_files(spark):
+    """Files whose calls have receivers of many kinds; some paths come twice or are null."""
+    draw, names = random.Random(4), ["a", "b", "Tool", "Q", "List", "Lone"]
+    name = lambda: draw.choice(names)
+    kind = lambda: draw.choice(["Tool", "Q", "List", "x.y.Z", "Lone", "int", f"C{draw.randint(0, 9)}"])
+    step = lambda: draw.choice([
+        "{t} {n} = new {u}({m});", "{n} = new {t}();", "{n}.go({m});", "this.{n}.go();", "{n}.x().y(1);", "new {t}(1).run();", "own({n});", "x.y.Z.call();", "{t}.make();", "{t} {n};", "super.go({n});",
+    ]).format(t=kind(), u=kind(), n=name(), m=name())
+    rows = []
+    for k in range(80):
+        head = "".join(f"import lib{draw.randint(0, 2)}.{kind().split('.')[-1]};\n" for _ in range(draw.randint(0, 3)))
+        body = "".join(f"void m{i}({kind()} {name()}) {{ {' '.join(step() for _ in range(4))} }}\n" for i in range(2))
+        text = f"{f'package p{k % 3};' if k % 4 else ''}\n{head}class C{draw.randint(0, 9)} {{ {kind()} {name()}; {body} class In {{ void z() {{ {step()} }} }} }}"
+        rows.append((f"f{k}" if k % 10 else None if k % 20 else "same", text))
+    return spark.createDataFrame(rows + rows[:5], "path string, text string")
+
+
+def test_sites_are_looked_up_file_by_file(spark):
+    s = analyze.scan(_drawn_files(spark))
+    nothing = spark.createDataFrame([], "class_name string, method string, return_type string")
+    near, far = analyze.resolve(s), analyze.resolve(s, nothing)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # sites were moved for each of a dozen look-ups
+    rows = near.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, far.collect())) and len({r.provenance for r in rows}) >= 9
+    assert analyze.resolve(s, text=False).where("text is not null").isEmpty()
+
+
+def test_links_of_a_method_are_followed_in_one_task(spark, monkeypatch):
+    kept, keep, draw = [], Scratch.keep, random.Random(2)
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    columns = "path string, class_name string, scope string, name string, value string"
+    chain = spark.createDataFrame([("p", "A", "m", f"v{k}", f"v{k - 1}") for k in range(1, 20)], columns)
+    assert objects.closure(chain).count() == 20 * 20 and len(kept) < 5  # a round for each link before
+    value = lambda n: draw.choice(["{}", "this.{}", "{}.make(1)", "new {}()", "null", "true"]).format(n)
+    name = lambda: f"v{draw.randint(0, 5)}"
+    rows = [(draw.choice(["p", "q", None]), "A", f"m{k % 9}", name(), value(name())) for k in range(120)]
+    given = spark.createDataFrame(rows + rows[:9] + [("p", "A", "m", None, "v1"), ("p", "A", "m", "v1", None)], columns)
+    monkeypatch.setattr(objects, "_AT_ONCE", 5)
+    found = lambda: sorted(map(str, objects.closure(given).collect()))
+    near = found()
+    monkeypatch.setattr(objects, "HELD", 2)
+    assert len(near) > 100 and near == found()
